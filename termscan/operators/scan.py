@@ -567,3 +567,39 @@ def best_term(scan: DataFrame, order: Sequence[str] = ("term_id",)) -> DataFrame
 
 def with_p_values(scan: DataFrame) -> DataFrame:
     return scan.withColumn("p_value", t_pvalue(F.col("t_value"), F.col("df")))
+
+
+def model_columns(long: DataFrame, terms: Sequence[Term], outcomes: DataFrame) -> DataFrame:
+    """``(sample, y, m1..mk)``: the outcome next to the columns of a few terms, one shuffle by sample."""
+    ids = sorted({i for t in terms for i in t if i != SINGLE})
+    pick = lambda i: F.max(F.when(F.col("term_id") == i, F.col("value")))
+    columns = [(pick(a) if b == SINGLE else pick(a) * pick(b)).alias(f"m{k + 1}") for k, (a, b) in enumerate(terms)]
+    if not columns:
+        return outcomes.select("sample", "y")
+    chosen = long.filter(F.col("term_id").isin(ids)).groupBy("sample").agg(*columns)
+    return outcomes.select("sample", "y").join(chosen, "sample")
+
+
+def orthonormal_basis(columns: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """``(sample, yr, q1..qk)`` and the number of samples, from ``(sample, y, m1..mk)``.
+
+    The centred k x k cross products come from Spark; their Cholesky factor turns the columns into
+    orthonormal ones by a projection. A second round removes what rounding left.
+    """
+    names = [f"m{i + 1}" for i in range(k)]
+    cols = ["y", *names]
+    cov = [
+        F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)
+    ]
+    current = columns
+    for _ in range(2 if k else 1):
+        row = current.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)], *cov).first()
+        n = int(row.n)
+        c = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) * n
+        inv = np.linalg.inv(cholesky_or_fail(c[1:, 1:])) if k else np.zeros((0, 0))
+        part = inv @ c[1:, 0]
+        centred = [F.col(x) - F.lit(float(row[f"a{i}"])) for i, x in enumerate(cols)]
+        q = [sum((F.lit(float(inv[i, j])) * centred[j + 1] for j in range(i + 1)), F.lit(0.0)) for i in range(k)]
+        yr = centred[0] - sum((F.lit(float(part[i])) * q[i] for i in range(k)), F.lit(0.0))
+        current = current.select("sample", yr.alias("y"), *[q[i].alias(names[i]) for i in range(k)])
+    return current.select("sample", F.col("y").alias("yr"), *[F.col(m).alias(f"q{i + 1}") for i, m in enumerate(names)]), n
