@@ -35,12 +35,23 @@ def rounded(column, digits: int = 6):
 
 
 # The embeddings stand in for a genotype table: vec_id is the sample, positions are terms.
-EMB = F.col("embedding").cast("array<double>")
 N_TERMS = 64
 
+
+def emb():
+    return F.col("embedding").cast("array<double>")
+
+
 # Two outcomes that depend on a few known terms (0-based positions).
-Y1 = F.col("label") + 40.0 * EMB[3] - 30.0 * EMB[10] + 500.0 * EMB[5] * EMB[7]
-Y2 = F.col("label") - 25.0 * EMB[19] + 35.0 * EMB[32]
+def y1():
+    e = emb()
+    return F.col("label") + 40.0 * e[3] - 30.0 * e[10] + 500.0 * e[5] * e[7]
+
+
+def y2():
+    e = emb()
+    return F.col("label") - 25.0 * e[19] + 35.0 * e[32]
+
 
 _D = "CAST(embedding[{}] AS DOUBLE)"
 SQL_Y1 = f"(label + 40.0::DOUBLE * {_D.format(4)} - 30.0::DOUBLE * {_D.format(11)} + 500.0::DOUBLE * {_D.format(6)} * {_D.format(8)})"
@@ -55,8 +66,8 @@ SQL_LONG = (
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """``(sample, values, y, y2)``."""
-    emb = table(spark, folder, "embeddings")
-    return emb.select(F.col("vec_id").alias("sample"), EMB.alias("values"), Y1.alias("y"), Y2.alias("y2"))
+    rows = table(spark, folder, "embeddings")
+    return rows.select(F.col("vec_id").alias("sample"), emb().alias("values"), y1().alias("y"), y2().alias("y2"))
 
 
 def wide_names() -> list[str]:
@@ -65,8 +76,8 @@ def wide_names() -> list[str]:
 
 def wide(spark: SparkSession, folder: str) -> DataFrame:
     """The embeddings with one column per position."""
-    emb = table(spark, folder, "embeddings")
-    return emb.select(F.col("vec_id").alias("sample"), *[EMB[i].alias(n) for i, n in enumerate(wide_names())])
+    rows = table(spark, folder, "embeddings")
+    return rows.select(F.col("vec_id").alias("sample"), *[emb()[i].alias(n) for i, n in enumerate(wide_names())])
 
 
 SQL_WIDE = "SELECT vec_id AS sample, " + ", ".join(

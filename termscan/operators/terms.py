@@ -72,8 +72,8 @@ def pair_terms(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def pair_terms_wide(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """A wide table with one more column per pair, in one projection; no pairs leave it as it is."""
-    new = [(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"{a}_{b}") for a, b in pairs]
-    return df.select("*", *new)
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    return df.selectExpr("*", *[f"{quoted(a)} * {quoted(b)} AS {quoted(a + '_' + b)}" for a, b in pairs])
 
 
 def upper_triangle_index(n: Column) -> Column:
