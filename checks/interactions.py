@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.registry import N_TERMS, SQL_LONG, SQL_WIDE, SQL_Y1, emb, query, rounded, table, vectors, wide, wide_names
@@ -121,18 +119,11 @@ def pair_terms_wide(spark, folder):
     """All pairs as new columns of the wide table in one projection, then summed up per sample."""
     names = wide_names()
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    # A table that really is wide, as a file would be.
+    # Tables that really are wide, as files would be.
     source = DurableTable(wide(spark, folder), "wide").df
-    out = terms.pair_terms_wide(source, pairs)
-    made = [f"{a}_{b}" for a, b in pairs]
-
-    def sums(batches):
-        for pdf in batches:
-            m = pdf[made].to_numpy()
-            yield pd.DataFrame({"sample": pdf["sample"], "n": m.shape[1], "total": m.sum(1), "weighted": m @ np.arange(m.shape[1])})
-
-    rows = out.mapInPandas(sums, "sample long, n long, total double, weighted double")
-    return rows.select("sample", "n", rounded("total").alias("total"), rounded("weighted", 3).alias("weighted"))
+    out = DurableTable(terms.pair_terms_wide(source, pairs), "wide-pairs").df
+    made = out.selectExpr("sample", "array(" + ", ".join(f"{a}_{b}" for a, b in pairs) + ") AS f")
+    return made.select("sample", *_order_sums(F.col("f")))
 
 
 @query(

@@ -204,13 +204,13 @@ def lasso_path(
 ) -> DataFrame:
     """(1 / 2n) RSS + reg |b| for several values of reg from the moments of one pass.
 
-    ``standardize`` weighs each coefficient by the sample deviation of its column, as Spark ML does.
+    ``standardize`` weighs each coefficient by the population deviation of its column, as Spark ML does.
     """
     m = array_moments(df, values, y, centred=intercept)
     sd = np.ones(len(names))
     if standardize:
         about = m.gram if intercept else array_moments(df, values, y, centred=True).gram
-        sd = np.sqrt(np.diag(about) / (m.n - 1))
+        sd = np.sqrt(np.diag(about) / m.n)
         sd = np.where(sd > 0, sd, 1.0)
     # The deviation of the outcome is scaled out, so that tolerances mean the same for any unit.
     unit = float(np.sqrt(m.yy / m.n)) or 1.0
