@@ -302,6 +302,18 @@ def _replayed(batches: Iterator[pa.RecordBatch], history: Sequence[np.ndarray],
             yield block, x, y, w, u
 
 
+@dataclass(frozen=True)
+class _InTask:
+    """A small value that travels with the task."""
+
+    value: list[np.ndarray]
+
+
+def _share(spark: SparkSession, history: list[np.ndarray]):
+    """Long histories go to each executor once, short ones with the tasks, which starts them sooner."""
+    return _InTask(history) if sum(z.nbytes for z in history) < 1_000_000 else spark.sparkContext.broadcast(history)
+
+
 def _totals_kernel(shared, d: int, rho: float):
     """Per task, the sum of w + u in slices (keys 0 and up) and the scalar sums (key -1)."""
 
@@ -377,7 +389,7 @@ def admm(
     history, log, converged = [np.zeros(d)], [], False
     durable: DurableTable | None = None
     for iteration in range(1, max_iter + 1):
-        z, shared = history[-1], spark.sparkContext.broadcast(history)
+        z, shared = history[-1], _share(spark, history)
         parts = ready.mapInArrow(_totals_kernel(shared, d, rho), _SUMS_SCHEMA)
         totals = {r.i: np.frombuffer(bytes(r.m)) for r in summed_by_key(parts).collect()}
         gap, ww, uu, half_rss = totals.pop(-1)
@@ -395,7 +407,8 @@ def admm(
                 durable.drop()
             durable, ready, history = fresh, data.join(fresh.df, "block"), []
         history = [*history, z_new]
-        shared.unpersist()
+        if not isinstance(shared, _InTask):
+            shared.unpersist()
         if converged:
             break
     if durable:
