@@ -42,15 +42,18 @@ def emb():
     return F.col("embedding").cast("array<double>")
 
 
+def entry_at(i: int):
+    return F.col("embedding")[i].cast("double")
+
+
 # Two outcomes that depend on a few known terms (0-based positions).
 def y1():
-    e = emb()
-    return F.col("label") + 40.0 * e[3] - 30.0 * e[10] + 500.0 * e[5] * e[7]
+    e = entry_at
+    return F.col("label") + 40.0 * e(3) - 30.0 * e(10) + 500.0 * e(5) * e(7)
 
 
 def y2():
-    e = emb()
-    return F.col("label") - 25.0 * e[19] + 35.0 * e[32]
+    return F.col("label") - 25.0 * entry_at(19) + 35.0 * entry_at(32)
 
 
 _D = "CAST(embedding[{}] AS DOUBLE)"
@@ -77,7 +80,7 @@ def wide_names() -> list[str]:
 def wide(spark: SparkSession, folder: str) -> DataFrame:
     """The embeddings with one column per position."""
     rows = table(spark, folder, "embeddings")
-    return rows.select(F.col("vec_id").alias("sample"), *[emb()[i].alias(n) for i, n in enumerate(wide_names())])
+    return rows.select(F.col("vec_id").alias("sample"), *[entry_at(i).alias(n) for i, n in enumerate(wide_names())])
 
 
 SQL_WIDE = "SELECT vec_id AS sample, " + ", ".join(

@@ -84,3 +84,37 @@ def coefficients(
     with np.errstate(divide="ignore", invalid="ignore"):
         t = estimate / std_error
     return Coefficients(n, df, rss, estimate, std_error, t, two_sided_p(t, df))
+
+
+def coefficients_by_group(n: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> dict[str, np.ndarray]:
+    """Coefficient tables of many small models at once.
+
+    ``mean`` is (groups, k + 1) and ``cov`` (groups, k + 1, k + 1) with population covariances, the
+    outcome last. Groups with too few samples or dependent regressors raise, as single fits do.
+    """
+    k = mean.shape[1] - 1
+    check_samples(int(n.min()), k + 1)
+    df = n - k - 1
+    c = cov * n[:, None, None]
+    gram, xy, yy = c[:, :k, :k], c[:, :k, k], c[:, k, k]
+    scale = np.sqrt(np.einsum("gii->gi", gram))
+    if not np.all(scale > 0):
+        raise SingularModel("a regressor is constant")
+    corr = gram / scale[:, :, None] / scale[:, None, :]
+    try:
+        low = np.linalg.cholesky(corr)
+    except np.linalg.LinAlgError as err:
+        raise SingularModel("the regressors are linearly dependent") from err
+    if np.any(np.square(np.einsum("gii->gi", low)) < COLLINEAR):
+        raise SingularModel("the regressors are linearly dependent")
+    inv = np.linalg.inv(corr) / scale[:, :, None] / scale[:, None, :]
+    beta = np.einsum("gij,gj->gi", inv, xy)
+    rss = np.maximum(yy - np.einsum("gi,gi->g", beta, xy), 0.0)
+    x_mean = mean[:, :k]
+    var0 = 1.0 / n + np.einsum("gi,gij,gj->g", x_mean, inv, x_mean)
+    estimate = np.column_stack([beta, mean[:, k] - np.einsum("gi,gi->g", x_mean, beta)])
+    var = np.column_stack([np.einsum("gii->gi", inv), var0])
+    std_error = np.sqrt((rss / df)[:, None] * var)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = estimate / std_error
+    return {"estimate": estimate, "std_error": std_error, "t_value": t, "p_value": two_sided_p(t, df[:, None])}

@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.functions.solve import Coefficients, check_samples, coefficients
+from termscan.functions.solve import Coefficients, check_samples, coefficients, coefficients_by_group
 
 INTERCEPT = "(Intercept)"
 FIT_SCHEMA = "position int, term string, estimate double, std_error double, t_value double, p_value double"
@@ -79,19 +79,21 @@ def ols_by_group(df: DataFrame, group: str, x: Sequence[str], y: str) -> DataFra
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                f = _solve(row, k)
-                yield pd.DataFrame(
-                    {
-                        "phenotype": row["g"],
-                        "position": range(1, k + 2),
-                        "term": names,
-                        "estimate": f.estimate,
-                        "std_error": f.std_error,
-                        "t_value": f.t_value,
-                        "p_value": f.p_value,
-                    }
-                )
+            if pdf.empty:
+                continue
+            mean = pdf[[f"m{i}" for i in range(k + 1)]].to_numpy(dtype=float)
+            cov = np.stack(
+                [pdf[[f"c{min(i, j)}_{max(i, j)}" for j in range(k + 1)]].to_numpy(dtype=float) for i in range(k + 1)], axis=1
+            )
+            stats = coefficients_by_group(pdf["n"].to_numpy(dtype=float), mean, cov)
+            yield pd.DataFrame(
+                {
+                    "phenotype": np.repeat(pdf["g"].to_numpy(), k + 1),
+                    "position": np.tile(np.arange(1, k + 2), len(pdf)),
+                    "term": np.tile(names, len(pdf)),
+                    **{name: v.ravel() for name, v in stats.items()},
+                }
+            )
 
     moments = df.groupBy(F.col(group).cast("string").alias("g")).agg(*_moments(x, y))
     return moments.mapInPandas(solve, "phenotype string, " + FIT_SCHEMA)

@@ -17,9 +17,12 @@ def vectors_to_long(df: DataFrame, sample: str, values: str) -> DataFrame:
 
 
 def wide_to_long(df: DataFrame, sample: str, terms: Sequence[str]) -> DataFrame:
-    """One column per term to ``(sample, term, value)``."""
-    typed = df.select(F.col(sample).alias("sample"), *[F.col(f"`{t}`").cast("double").alias(t) for t in terms])
-    return typed.unpivot(["sample"], list(terms), "term", "value")
+    """One column per term to ``(sample, term, value)``; one pass over each row, whatever its width."""
+    values = F.array(*[F.col(f"`{t}`").cast("double") for t in terms])
+    names = F.array(*[F.lit(t) for t in terms])
+    return df.select(F.col(sample).alias("sample"), F.posexplode(values).alias("at", "value")).select(
+        "sample", names[F.col("at")].alias("term"), "value"
+    )
 
 
 def long_to_wide(long: DataFrame, terms: Sequence, sample: str = "sample", term: str = "term") -> DataFrame:

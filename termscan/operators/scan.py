@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termscan.errors import SampleMismatch
 from termscan.functions.solve import COLLINEAR, check_samples, cholesky_or_fail
 from termscan.functions.tdist import t_pvalue
 from termscan.operators.tiles import Y_BLOCK, TileSet, read_tile, record_batch, row_block_runs
@@ -29,6 +30,8 @@ SINGLE = -1
 CONSTANT = 1e-12
 # Pair moments up to this size are added up inside each task.
 LOCAL_PAIR_BYTES = 256e6
+# Correlations of a model with a condition number below this lose no digits that matter.
+WELL_CONDITIONED = 1e4
 # Rows that one task streams for a pair of term blocks before another task takes over.
 SEGMENT_ROWS = 262_144
 
@@ -389,17 +392,23 @@ def _all_kernel(specs: list[_TraitSpec], depth: int, n: int, width: int, y_scale
     return kernel
 
 
-def _partials(ts: TileSet, cols: _Columns, pairs: bool) -> DataFrame:
-    depth = 2 + len(cols.terms) + len(cols.traits)
-    fits = depth * 8.0 * (ts.n_blocks * ts.width) ** 2 / 2 <= LOCAL_PAIR_BYTES
-    if not pairs or fits:
-        return ts.tiles.mapInArrow(_local_kernel(cols, pairs), PARTIAL_SCHEMA)
-    singles = ts.tiles.mapInArrow(_local_kernel(cols, False), PARTIAL_SCHEMA)
-    return singles.unionByName(_meeting_pairs(ts, cols))
-
+def _scored(ts: TileSet, cols: _Columns, pairs: bool, score, schema: str) -> tuple[DataFrame, bool]:
+    """Moments of all terms, added up per term and scored, and whether one task did it all.
 
-def _by_term(partials: DataFrame) -> DataFrame:
-    return partials.repartition("a", "j").sortWithinPartitions("a", "j")
+    A table that fits one task is scored there. Otherwise partial moments meet by term; pair
+    moments that are too many for a task come from tasks of their own.
+    """
+    local = _local_kernel(cols, pairs)
+    depth = 2 + len(cols.terms) + len(cols.traits)
+    fits = not pairs or depth * 8.0 * (ts.n_blocks * ts.width) ** 2 / 2 <= LOCAL_PAIR_BYTES
+    if fits and ts.n_parts == 1:
+        return ts.tiles.mapInArrow(lambda batches: score(local(batches)), schema), True
+    if fits:
+        partials = ts.tiles.mapInArrow(local, PARTIAL_SCHEMA)
+    else:
+        singles = ts.tiles.mapInArrow(_local_kernel(cols, False), PARTIAL_SCHEMA)
+        partials = singles.unionByName(_meeting_pairs(ts, cols))
+    return partials.repartition("a", "j").sortWithinPartitions("a", "j").mapInArrow(score, schema), False
 
 
 def best_candidates(
@@ -409,16 +418,15 @@ def best_candidates(
     cols = _Columns.of(ts, states)
     specs = _specs(ts, cols, states, closed)
     depth = 2 + len(cols.terms) + len(cols.traits)
-    scored = _by_term(_partials(ts, cols, pairs)).mapInArrow(_best_kernel(specs, depth, ts.n_samples, ts.width), BEST_SCHEMA)
-    rank = F.struct(-F.col("abs_t"), F.col("b") != SINGLE, F.col("a"), F.col("b"))
-    best = scored.groupBy("trait").agg(F.min_by(F.struct("a", "b", "t", "m"), rank).alias("w"))
+    scored, at_once = _scored(ts, cols, pairs, _best_kernel(specs, depth, ts.n_samples, ts.width), BEST_SCHEMA)
+    if not at_once:
+        rank = F.struct(-F.col("abs_t"), F.col("b") != SINGLE, F.col("a"), F.col("b"))
+        scored = scored.groupBy("trait").agg(F.min_by(F.struct("a", "b", "t", "m"), rank).alias("w")).select("trait", "w.*")
     names = list(states)
     out = {}
-    for row in best.collect():  # one row per trait
-        spec, m = specs[row.trait], np.frombuffer(bytes(row.w.m), dtype=np.float64)
-        out[names[row.trait]] = Candidate(
-            (row.w.a, row.w.b), row.w.t, spec.df, m[1], m[0], m[2:][list(spec.at)], m[2 + spec.y_at]
-        )
+    for row in scored.collect():  # one row per trait
+        spec, m = specs[row.trait], np.frombuffer(bytes(row.m), dtype=np.float64)
+        out[names[row.trait]] = Candidate((row.a, row.b), row.t, spec.df, m[1], m[0], m[2:][list(spec.at)], m[2 + spec.y_at])
     return out
 
 
@@ -431,7 +439,7 @@ def scan_table(
     specs = _specs(ts, cols, states, taken)
     depth = 2 + len(cols.terms) + len(cols.traits)
     kernel = _all_kernel(specs, depth, ts.n_samples, ts.width, cols.y_scale)
-    rows = _by_term(_partials(ts, cols, pairs)).mapInArrow(kernel, ALL_SCHEMA)
+    rows, _ = _scored(ts, cols, pairs, kernel, ALL_SCHEMA)
     names = F.array(*[F.lit(t) for t in states])
     return rows.select(names[F.col("trait")].alias("phenotype"), *[f for f in rows.columns if f != "trait"])
 
@@ -509,6 +517,8 @@ def measure(ts: TileSet, terms: Mapping[str, Sequence[Term]], near: Mapping[str,
 def _recentred(ts: TileSet, states: Mapping[str, ModelState]) -> dict[str, ModelState]:
     cols = _Columns.of(ts, states)
     cross, n = _cross_products(ts, cols), ts.n_samples
+    if round(cross[0, 0]) != n:
+        raise SampleMismatch(f"outcomes for {n} samples, but terms for {cross[0, 0]:.0f}")
     out = {}
     for i, (trait, s) in enumerate(states.items()):
         at = [1 + c for c in cols.at[i]]
@@ -584,22 +594,26 @@ def orthonormal_basis(columns: DataFrame, k: int) -> tuple[DataFrame, int]:
     """``(sample, yr, q1..qk)`` and the number of samples, from ``(sample, y, m1..mk)``.
 
     The centred k x k cross products come from Spark; their Cholesky factor turns the columns into
-    orthonormal ones by a projection. A second round removes what rounding left.
+    orthonormal ones by a projection. Nearly dependent columns take a second round.
     """
     names = [f"m{i + 1}" for i in range(k)]
     cols = ["y", *names]
     cov = [
         F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)
     ]
-    current = columns
-    for _ in range(2 if k else 1):
+    current, n = columns, 0
+    for _ in range(2):
         row = current.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)], *cov).first()
         n = int(row.n)
         c = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) * n
-        inv = np.linalg.inv(cholesky_or_fail(c[1:, 1:])) if k else np.zeros((0, 0))
+        low = cholesky_or_fail(c[1:, 1:])
+        inv = np.linalg.inv(low) if k else low
         part = inv @ c[1:, 0]
         centred = [F.col(x) - F.lit(float(row[f"a{i}"])) for i, x in enumerate(cols)]
         q = [sum((F.lit(float(inv[i, j])) * centred[j + 1] for j in range(i + 1)), F.lit(0.0)) for i in range(k)]
         yr = centred[0] - sum((F.lit(float(part[i])) * q[i] for i in range(k)), F.lit(0.0))
         current = current.select("sample", yr.alias("y"), *[q[i].alias(names[i]) for i in range(k)])
+        scale = np.sqrt(np.diag(c)[1:])
+        if k < 2 or np.linalg.cond(c[1:, 1:] / np.outer(scale, scale)) < WELL_CONDITIONED:
+            break
     return current.select("sample", F.col("y").alias("yr"), *[F.col(m).alias(f"q{i + 1}") for i, m in enumerate(names)]), n

@@ -51,6 +51,7 @@ class TileSet:
     traits: tuple[str, ...]
     y_mean: np.ndarray
     y_scale: np.ndarray
+    n_parts: int
 
     @property
     def n_blocks(self) -> int:
@@ -89,7 +90,19 @@ def _cut(row_block: int, x: np.ndarray, y: np.ndarray, width: int) -> pa.RecordB
 
 
 def _doubles(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    """An array column as a matrix; ragged arrays, nulls and values that are not finite raise."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten()
+    if column.null_count or flat.null_count or np.any(lengths != width):
+        raise BadShape(f"some array does not have {width} values")
+    out = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+    return _finite(out)
+
+
+def _finite(values: np.ndarray) -> np.ndarray:
+    if not np.isfinite(values).all():
+        raise BadShape("some value is missing or infinite")
+    return values
 
 
 def _pack_vectors(n_terms: int, n_traits: int, width: int):
@@ -122,6 +135,7 @@ def _pack_cells(n_terms: int, n_traits: int, width: int):
 
     def finish(row_block: int, terms: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
         t, v = np.concatenate(terms), np.concatenate(values)
+        # Samples that lack cells, or have some twice, break the run of ids.
         if len(t) % per_sample or not np.array_equal(t.reshape(-1, per_sample), np.tile(ids, (len(t) // per_sample, 1))):
             raise BadShape("some sample lacks a cell or has one twice")
         m = v.reshape(-1, per_sample)
@@ -142,7 +156,7 @@ def _pack_cells(n_terms: int, n_traits: int, width: int):
                         yield finish(current, terms, values)
                     current, terms, values = int(blocks[lo]), [], []
                 terms.append(t[lo:hi])
-                values.append(v[lo:hi])
+                values.append(_finite(v[lo:hi]))
         if terms:
             yield finish(current, terms, values)
 
@@ -163,21 +177,20 @@ def _scale(var: list[float | None]) -> np.ndarray:
 def from_vectors(
     df: DataFrame, traits: tuple[str, ...], pairs: bool = False, width: int = TILE_WIDTH, row_block: Column | None = None
 ) -> TileSet:
-    """Tiles from ``(sample, values array<double>, <one double column per trait>)``."""
-    ys = F.array(*[F.col(f"`{t}`").cast("double") for t in traits]) if traits else F.array().cast("array<double>")
-    rows = df.select("sample", F.col("values").cast("array<double>").alias("values"), ys.alias("ys"))
-    holes = F.exists("values", lambda v: v.isNull() | F.isnan(v)) | F.exists("ys", lambda v: v.isNull() | F.isnan(v))
-    stats = rows.agg(
-        F.count("*").alias("n"),
-        F.min(F.size("values")).alias("low"),
-        F.max(F.size("values")).alias("high"),
-        F.count_if(holes).alias("holes"),
-        *[F.avg(F.col("ys")[i]).alias(f"m{i}") for i in range(len(traits))],
-        *[F.var_pop(F.col("ys")[i]).alias(f"v{i}") for i in range(len(traits))],
+    """Tiles from ``(sample, values array<double>, <one double column per trait>)``.
+
+    Only the outcomes are read ahead, for their means; packing itself checks the values.
+    """
+    first = df.select(F.size("values").alias("n")).first()
+    if first is None or first.n < 1:
+        raise BadShape("no samples or no terms")
+    ys = [F.col(f"`{t}`").cast("double") for t in traits]
+    stats = df.agg(
+        F.count("*").alias("n"), *[F.avg(y).alias(f"m{i}") for i, y in enumerate(ys)], *[F.var_pop(y).alias(f"v{i}") for i, y in enumerate(ys)]
     ).first()
-    if stats.n == 0 or stats.low != stats.high or stats.holes:
-        raise BadShape(f"{stats.n} samples, {stats.low} to {stats.high} terms, {stats.holes} with missing values")
-    n_terms = int(stats.high)
+    packed_ys = F.array(*ys) if traits else F.array().cast("array<double>")
+    rows = df.select("sample", F.col("values").cast("array<double>").alias("values"), packed_ys.alias("ys"))
+    n_terms = int(first.n)
     width = min(width, n_terms)
     block, n_blocks = _row_block(stats.n, n_terms, width)
     if row_block is not None:
@@ -194,23 +207,30 @@ def from_vectors(
         tuple(traits),
         np.array([stats[f"m{i}"] for i in range(len(traits))], dtype=float),
         _scale([stats[f"v{i}"] for i in range(len(traits))]),
+        n_parts,
     )
 
 
 def from_long(
-    long: DataFrame, phenotypes: DataFrame, traits: tuple[str, ...], pairs: bool = False, width: int = TILE_WIDTH
+    long: DataFrame,
+    phenotypes: DataFrame,
+    traits: tuple[str, ...],
+    pairs: bool = False,
+    width: int = TILE_WIDTH,
+    n_terms: int | None = None,
 ) -> TileSet:
     """Tiles from ``(sample, term_id, value)`` and ``(sample, trait, y)``, by one shuffle of the cells.
 
-    Term ids must be 0, 1, 2, ... and every sample must have every term and trait.
+    Term ids must be 0, 1, 2, ... and every sample must have every term and trait. With ``n_terms``
+    from a catalogue the cells are read only once.
     """
-    sizes = long.agg(F.max("term_id").alias("last"), F.count("*").alias("cells")).first()
-    if not sizes.cells:
-        raise BadShape("no genotype cells")
-    n_terms = int(sizes["last"]) + 1
-    n_samples, rest = divmod(int(sizes.cells), n_terms)
-    if rest:
-        raise BadShape(f"{sizes.cells} cells do not fill rows of {n_terms} terms")
+    if n_terms is None:
+        seen = long.agg(F.max("term_id").alias("last"), F.count("*").alias("cells")).first()
+        if not seen.cells:
+            raise BadShape("no genotype cells")
+        n_terms = int(seen["last"]) + 1
+        if seen.cells % n_terms:
+            raise BadShape(f"{seen.cells} cells do not fill rows of {n_terms} terms")
     index = F.lit(0)
     for i, t in enumerate(traits):
         index = F.when(F.col("trait") == t, F.lit(i)).otherwise(index)
@@ -218,6 +238,7 @@ def from_long(
     per_trait = {
         r.trait: r for r in chosen.groupBy("trait").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v")).collect()
     }
+    n_samples = int(max((r.n for r in per_trait.values()), default=0))
     for t in traits:
         if t not in per_trait or per_trait[t].n != n_samples:
             raise BadShape(f"trait {t} does not have one value for each of {n_samples} samples")
@@ -237,6 +258,7 @@ def from_long(
         tuple(traits),
         np.array([per_trait[t].m for t in traits], dtype=float),
         _scale([per_trait[t].v for t in traits]),
+        n_parts,
     )
 
 

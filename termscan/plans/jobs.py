@@ -56,7 +56,7 @@ def run_stepwise(
     require_same_samples(geno.samples, pheno.samples)
     traits = tuple(r.term for r in pheno.terms.orderBy("term_id").collect())
     y = pheno.long().join(pheno.terms.withColumnRenamed("term", "trait"), "term_id").select("sample", "trait", F.col("value").alias("y"))
-    ts = tiles.from_long(geno.long(), y, traits, pairs)
+    ts = tiles.from_long(geno.long(), y, traits, pairs, n_terms=geno.terms.count())
     models, paths = stepwise(ts, pairs, forward, backward, max_iterations=max_iterations)
     seconds = time.perf_counter() - started
     used = {i for m in models.values() for t in m.terms for i in t} | {i for p in paths.values() for s in p for i in s.term}
