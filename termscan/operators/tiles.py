@@ -9,12 +9,14 @@ chosen so that a whole row block stays small however many terms there are.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +176,21 @@ def _scale(var: list[float | None]) -> np.ndarray:
     return np.where(sd > 0, sd, 1.0)
 
 
+def _built(tiles: DataFrame, n_samples: int) -> DataFrame:
+    """Packs the tiles now, so that a bad table fails here and not in a later scan."""
+    try:
+        rows = tiles.filter(F.col("term_block") == Y_BLOCK).agg(F.sum("n_rows")).first()[0]
+    except PythonException as err:
+        tiles.unpersist()
+        found = re.search(r"BadShape: (.*)", str(err))
+        if found:
+            raise BadShape(found.group(1)) from err
+        raise
+    if rows != n_samples:
+        raise BadShape(f"{rows} samples in tiles, {n_samples} in the table")
+    return tiles
+
+
 def from_vectors(
     df: DataFrame, traits: tuple[str, ...], pairs: bool = False, width: int = TILE_WIDTH, row_block: Column | None = None
 ) -> TileSet:
@@ -200,7 +217,7 @@ def from_vectors(
     ordered = keyed.repartition(n_parts, "row_block").sortWithinPartitions("row_block", "sample")
     packed = ordered.select("row_block", "values", "ys").mapInArrow(_pack_vectors(n_terms, len(traits), width), TILE_SCHEMA)
     return TileSet(
-        packed.persist(StorageLevel.MEMORY_AND_DISK),
+        _built(packed.persist(StorageLevel.MEMORY_AND_DISK), int(stats.n)),
         int(stats.n),
         n_terms,
         width,
@@ -224,13 +241,13 @@ def from_long(
     Term ids must be 0, 1, 2, ... and every sample must have every term and trait. With ``n_terms``
     from a catalogue the cells are read only once.
     """
+    n_cells = None
     if n_terms is None:
         seen = long.agg(F.max("term_id").alias("last"), F.count("*").alias("cells")).first()
         if not seen.cells:
             raise BadShape("no genotype cells")
         n_terms = int(seen["last"]) + 1
-        if seen.cells % n_terms:
-            raise BadShape(f"{seen.cells} cells do not fill rows of {n_terms} terms")
+        n_cells = seen.cells
     index = F.lit(0)
     for i, t in enumerate(traits):
         index = F.when(F.col("trait") == t, F.lit(i)).otherwise(index)
@@ -242,6 +259,8 @@ def from_long(
     for t in traits:
         if t not in per_trait or per_trait[t].n != n_samples:
             raise BadShape(f"trait {t} does not have one value for each of {n_samples} samples")
+    if n_cells not in (None, n_terms * n_samples):
+        raise BadShape(f"{n_cells} cells for {n_terms} terms and {n_samples} samples")
     width = min(width, n_terms)
     block, n_blocks = _row_block(n_samples, n_terms, width)
     cells = long.select("sample", F.col("term_id").cast("long").alias("term_id"), F.col("value").cast("double").alias("value"))
