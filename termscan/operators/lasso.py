@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termscan.errors import BadShape
-from termscan.operators.tiles import record_batch
+from termscan.operators.blocks import with_pairs
+from termscan.operators.tiles import TASK_BYTES, record_batch
 from termscan.session import DurableTable
 
 COEF_SCHEMA = "position int, term string, estimate double"
@@ -23,6 +25,8 @@ COEF_SCHEMA = "position int, term string, estimate double"
 GRAM_COLUMNS = 4096
 # Doubles per record when long vectors are added up.
 SLICE = 8192
+# Partial sums of all tasks together up to this size are added up on the driver.
+DRIVER_BYTES = 4_000_000
 BLOCK_BYTES = 32_000_000
 # Iterations of ADMM between durable copies of its state; tasks replay the steps since then.
 DURABLE_EVERY = 8
@@ -44,9 +48,10 @@ def _shrink(v: np.ndarray, k: float) -> np.ndarray:
 
 
 def coefficient_table(spark: SparkSession, names: Sequence[str], beta: np.ndarray, intercept: float | None = None) -> DataFrame:
-    rows = [(i + 1, n, float(b) + 0.0) for i, (n, b) in enumerate(zip(names, beta))]
+    labels, values = list(names), np.asarray(beta, dtype=float) + 0.0
     if intercept is not None:
-        rows.append((len(rows) + 1, "(Intercept)", float(intercept)))
+        labels, values = [*labels, "(Intercept)"], np.append(values, intercept)
+    rows = pd.DataFrame({"position": np.arange(1, len(labels) + 1), "term": labels, "estimate": values})
     return spark.createDataFrame(rows, COEF_SCHEMA)
 
 
@@ -245,14 +250,33 @@ def _inverse(m: np.ndarray) -> np.ndarray:
     return low.T @ low
 
 
-def _block_kernel(d: int, rho: float):
-    """Each block with its products and the inverse its updates need, of the smaller of two sizes."""
+@dataclass(frozen=True)
+class _Design:
+    """How the columns of a block come about: as stored, or with the products of all pairs."""
+
+    stored: int
+    pairs: bool
+
+    @property
+    def columns(self) -> int:
+        return self.stored * (self.stored + 1) // 2 if self.pairs else self.stored
+
+    def expand(self, x: np.ndarray) -> np.ndarray:
+        return with_pairs(x) if self.pairs else x
+
+
+def _block_kernel(design: _Design, rho: float):
+    """Each block with its products and the inverse its updates need, of the smaller of two sizes.
+
+    Only the single columns are stored; products of pairs are made again whenever they are used.
+    """
+    stored, d = design.stored, design.columns
 
     def finish(block: int, xs: list, ys: list) -> pa.RecordBatch:
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        n = len(x)
+        single, y = np.concatenate(xs), np.concatenate(ys)
+        x, n = design.expand(single), len(single)
         inverse = _inverse(x.T @ x + rho * np.eye(d) if n >= d else np.eye(n) + x @ x.T / rho)
-        return record_batch([(block, n, x.tobytes(), y.tobytes(), (x.T @ y).tobytes(), inverse.tobytes())], _BLOCK)
+        return record_batch([(block, n, single.tobytes(), y.tobytes(), (x.T @ y).tobytes(), inverse.tobytes())], _BLOCK)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, xs, ys = None, [], []
@@ -260,7 +284,7 @@ def _block_kernel(d: int, rho: float):
             if batch.num_rows == 0:
                 continue
             blocks = batch.column("block").to_numpy()
-            x = batch.column("values").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            x = batch.column("values").flatten().to_numpy(zero_copy_only=False).reshape(-1, stored)
             y = batch.column("y").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(blocks)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(blocks)]):
@@ -282,16 +306,18 @@ def ridge_update(x: np.ndarray, inverse: np.ndarray, q: np.ndarray, rho: float)
     return inverse @ q if n >= d else q / rho - x.T @ (inverse @ (x @ q)) / rho**2
 
 
-def _replayed(batches: Iterator[pa.RecordBatch], history: Sequence[np.ndarray], d: int, rho: float):
+def _replayed(batches: Iterator[pa.RecordBatch], history: Sequence[np.ndarray], design: _Design, rho: float):
     """Every block with its w and u after one step per z of the history.
 
     A step adds the last gap to u and solves the block's ridge problem about z - u.
     """
     read = lambda b, c, r: np.frombuffer(b.column(c)[r].as_buffer(), dtype=np.float64)
+    d = design.columns
     for batch in batches:
         blocks, rows = batch.column("block").to_pylist(), batch.column("n_rows").to_pylist()
         for r, (block, n) in enumerate(zip(blocks, rows)):
-            x, y, xty = read(batch, "x", r).reshape(n, d), read(batch, "y", r), read(batch, "xty", r)
+            x = design.expand(read(batch, "x", r).reshape(n, design.stored))
+            y, xty = read(batch, "y", r), read(batch, "xty", r)
             side = min(n, d)
             inverse = read(batch, "inverse", r).reshape(side, side)
             w, u = (read(batch, "w", r), read(batch, "u", r)) if batch.column("w")[r].is_valid else (None, np.zeros(d))
@@ -314,13 +340,13 @@ def _share(spark: SparkSession, history: list[np.ndarray]):
     return _InTask(history) if sum(z.nbytes for z in history) < 1_000_000 else spark.sparkContext.broadcast(history)
 
 
-def _totals_kernel(shared, d: int, rho: float):
+def _totals_kernel(shared, design: _Design, rho: float):
     """Per task, the sum of w + u in slices (keys 0 and up) and the scalar sums (key -1)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        history = shared.value
+        history, d = shared.value, design.columns
         z, total, sums, seen = history[-1], np.zeros(d), np.zeros(4), False
-        for _, x, y, w, u in _replayed(batches, history, d, rho):
+        for _, x, y, w, u in _replayed(batches, history, design, rho):
             gap, fit = w - z, x @ z - y
             total += w + u
             sums += (gap @ gap, w @ w, u @ u, 0.5 * (fit @ fit))
@@ -336,14 +362,24 @@ _STATE = pa.schema([("block", pa.int64()), ("w", pa.binary()), ("u", pa.binary()
 STATE_SCHEMA = "block long, w binary, u binary"
 
 
-def _state_kernel(shared, d: int, rho: float):
+def _state_kernel(shared, design: _Design, rho: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, w, u in _replayed(batches, shared.value, d, rho):
+        for block, _, _, w, u in _replayed(batches, shared.value, design, rho):
             yield record_batch([(block, w.tobytes(), u.tobytes())], _STATE)
 
     return kernel
 
 
+def _added_up(parts: DataFrame, d: int, tasks: int) -> dict[int, np.ndarray]:
+    """Totals per key. Few short partial sums come straight to the driver, others meet by key first."""
+    small = 8 * d * tasks <= DRIVER_BYTES
+    out: dict[int, np.ndarray] = {}
+    for r in (parts if small else summed_by_key(parts)).collect():
+        part = np.frombuffer(bytes(r.m))
+        out[r.i] = out[r.i] + part if r.i in out else part
+    return out
+
+
 @dataclass(frozen=True)
 class AdmmResult:
     beta: np.ndarray
@@ -355,43 +391,50 @@ LOG_SCHEMA = "iteration int, primal double, eps_primal double, dual double, eps_
 
 
 def row_blocks(
-    df: DataFrame, d: int, n: int, rho: float, values: str = "values", y: str = "y", sample: str = "sample",
+    df: DataFrame, design: _Design, n: int, rho: float, values: str = "values", y: str = "y", sample: str = "sample",
     blocks: int | None = None,
 ) -> tuple[DataFrame, int]:
     """Row blocks with their inverses, kept in memory and on disk, and how many there are.
 
-    Samples are unique, so their hash spreads them evenly.
+    Samples are unique, so their hash spreads them evenly. A task takes as many blocks as make a
+    fair amount of work.
     """
-    size = max(1, BLOCK_BYTES // (8 * d))
+    size = max(1, BLOCK_BYTES // (8 * design.columns))
     count = blocks or max(1, -(-n // size))
+    parts = max(1, min(count, int(8 * n * design.columns / TASK_BYTES)))
     rows = df.select(F.pmod(F.xxhash64(sample), F.lit(count)).cast("long").alias("block"), *_narrow_columns(values, y))
-    ordered = rows.repartition(count, "block").sortWithinPartitions("block")
-    kept = ordered.mapInArrow(_block_kernel(d, rho), BLOCK_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = rows.repartition(parts, "block").sortWithinPartitions("block")
+    kept = ordered.mapInArrow(_block_kernel(design, rho), BLOCK_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
     return kept, kept.count()
 
 
 def admm(
     df: DataFrame, lam: float = 0.5, rho: float = 1.0, max_iter: int = 100, abs_tol: float = 1e-4, rel_tol: float = 1e-2,
-    values: str = "values", y: str = "y", sample: str = "sample", blocks: int | None = None,
+    values: str = "values", y: str = "y", sample: str = "sample", blocks: int | None = None, pairs: bool = False,
 ) -> AdmmResult:
     """Minimise RSS / 2 + lam |b| by consensus over row blocks; no intercept, no standardisation.
 
+    With ``pairs`` the columns are the values and then the products of all their pairs.
+
     A block keeps its own coefficients w and dual u; the common z is their shrunken mean. One job
     per iteration brings all blocks up to date and adds up w + u. Their state is written to the
     shared folder every few iterations, and tasks replay the steps since then from the few z that
     the driver holds: plans stay the same size, and a lost executor costs a few steps.
     """
     spark = df.sparkSession
-    n, d = array_shape(df, values)
-    data, n_blocks = row_blocks(df, d, n, rho, values, y, sample, blocks)
+    n, stored = array_shape(df, values)
+    design = _Design(stored, pairs)
+    d = design.columns
+    data, n_blocks = row_blocks(df, design, n, rho, values, y, sample, blocks)
+    tasks = max(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     none = F.lit(None).cast("binary")
     ready = data.withColumn("w", none).withColumn("u", none)
     history, log, converged = [np.zeros(d)], [], False
     durable: DurableTable | None = None
     for iteration in range(1, max_iter + 1):
         z, shared = history[-1], _share(spark, history)
-        parts = ready.mapInArrow(_totals_kernel(shared, d, rho), _SUMS_SCHEMA)
-        totals = {r.i: np.frombuffer(bytes(r.m)) for r in summed_by_key(parts).collect()}
+        parts = ready.mapInArrow(_totals_kernel(shared, design, rho), _SUMS_SCHEMA)
+        totals = _added_up(parts, d, tasks)
         gap, ww, uu, half_rss = totals.pop(-1)
         mean = np.concatenate([totals[k] for k in sorted(totals)]) / n_blocks
         z_new = _shrink(mean, lam / (n_blocks * rho))
@@ -402,7 +445,7 @@ def admm(
         log.append((iteration, *map(float, (primal, eps_primal, dual, eps_dual, half_rss + lam * np.abs(z).sum()))))
         converged = bool(primal <= eps_primal and dual <= eps_dual)
         if not converged and iteration % DURABLE_EVERY == 0:
-            fresh = DurableTable(ready.mapInArrow(_state_kernel(shared, d, rho), STATE_SCHEMA), "admm")
+            fresh = DurableTable(ready.mapInArrow(_state_kernel(shared, design, rho), STATE_SCHEMA), "admm")
             if durable:
                 durable.drop()
             durable, ready, history = fresh, data.join(fresh.df, "block"), []

@@ -1,4 +1,4 @@
-"""End-to-end jobs: format conversion and stepwise selection from files."""
+"""End-to-end jobs: format conversion, stepwise selection and lasso from files."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.operators import grid, tiles
+from termscan.operators import grid, lasso, tiles
 from termscan.operators.ols import summary_text
 from termscan.operators.samples import require_same_samples
 from termscan.plans.stepwise import check_threshold, model_frame, path_frame, stepwise
@@ -71,3 +71,45 @@ def run_stepwise(
     sinks.write_total_time(spark, out, time.perf_counter() - started)
     ts.release()
     return frame
+
+
+def _sample_vectors(values: DataFrame) -> DataFrame:
+    """``(sample_pos, values)``: one array per sample, as long as there are terms."""
+    cells = F.sort_array(F.collect_list(F.struct("term_id", "value")))
+    return values.groupBy("sample_pos").agg(F.transform(cells, lambda c: c["value"]).alias("values"))
+
+
+def run_lasso(
+    spark: SparkSession,
+    markers: str,
+    phenotypes: str,
+    out: str,
+    trait: str | None = None,
+    lam: float = 0.5,
+    rho: float = 1.0,
+    max_iter: int = 100,
+    abs_tol: float = 1e-4,
+    rel_tol: float = 1e-2,
+    blocks: int | None = None,
+) -> DataFrame:
+    """Consensus lasso over all markers and their pairs, from a marker table and a sample-major file.
+
+    ``trait`` defaults to the first. Writes the coefficients and the convergence log, and returns
+    the coefficients.
+    """
+    started = time.perf_counter()
+    table, _ = text.read_marker_table(spark, markers)
+    pheno = text.read_sample_major(spark, phenotypes)
+    key, column = pheno.columns[0], trait or pheno.columns[1]
+    outcome = pheno.select(F.col(f"`{key}`").alias("sample"), F.col(f"`{column}`").alias("y"))
+    require_same_samples(table.samples, outcome)
+    names = [r.term for r in table.terms.orderBy("term_id").collect()]
+    vectors = _sample_vectors(table.values)
+    df = vectors.join(table.samples, "sample_pos").join(outcome, "sample").select("sample", "values", "y")
+    result = lasso.admm(df, lam, rho, max_iter, abs_tol, rel_tol, blocks=blocks, pairs=True)
+    labels = names + [f"{a}_{b}" for i, a in enumerate(names) for b in names[i + 1 :]]
+    frame = lasso.coefficient_table(spark, labels, result.beta)
+    frame.write.mode("overwrite").parquet(f"{out}/coefficients")
+    spark.createDataFrame(result.log, lasso.LOG_SCHEMA).write.mode("overwrite").parquet(f"{out}/convergence")
+    sinks.write_total_time(spark, out, time.perf_counter() - started)
+    return frame

@@ -39,6 +39,7 @@ def test_three_solvers_agree(spark, lam):
 def test_blocks_with_fewer_rows_than_columns(spark, monkeypatch):
     monkeypatch.setattr(lasso, "DURABLE_EVERY", 3)
     monkeypatch.setattr(lasso, "SLICE", 7)
+    monkeypatch.setattr(lasso, "DRIVER_BYTES", 0)
     x, y, df, names = _data(spark, n=40, d=20, seed=1)
     result = lasso.admm(df, 3.0, rho=5.0, blocks=6, abs_tol=1e-7, rel_tol=1e-7, max_iter=400)
     assert result.converged
@@ -90,3 +91,33 @@ def test_too_many_columns_for_a_gram_matrix(spark, monkeypatch):
     _, _, df, names = _data(spark)
     with pytest.raises(ValueError, match="lasso_admm"):
         lasso.lasso_cd(df, names, 1.0)
+
+
+def test_pairs_are_made_inside_the_blocks(spark):
+    x, y, df, names = _data(spark, n=50, d=4, seed=5)
+    result = lasso.admm(df, 2.0, rho=10.0, blocks=3, abs_tol=1e-8, rel_tol=1e-8, max_iter=300, pairs=True)
+    a, b = np.triu_indices(4, 1)
+    full = np.column_stack([x, x[:, a] * x[:, b]])
+    assert result.beta == pytest.approx(lasso.coordinate_descent(full.T @ full, full.T @ y, 2.0), abs=1e-5)
+
+
+def test_lasso_job(spark, tmp_path):
+    from termscan.plans import jobs
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.uniform(size=(40, 3)) * 2) / 2
+    y = 3 * x[:, 0] + 2 * x[:, 1] * x[:, 2] + 0.1 * rng.normal(size=40)
+    s = [f"s{i}" for i in range(40)]
+    lines = [["Samples", "allele", "chr", "pos", "cm", *s]] + [[f"m{j}", "A/C", 1, j, "NA", *x[:, j]] for j in range(3)]
+    (tmp_path / "m.txt").write_text("".join("\t".join(map(str, r)) + "\n" for r in lines))
+    order = rng.permutation(40)
+    pheno = [["<Marker>", "PH1"]] + [[s[i], y[i]] for i in order]
+    (tmp_path / "p.txt").write_text("".join("\t".join(map(str, r)) + "\n" for r in pheno))
+    out = str(tmp_path / "out")
+    got = jobs.run_lasso(spark, str(tmp_path / "m.txt"), str(tmp_path / "p.txt"), out, lam=0.1, rho=5.0, abs_tol=1e-8, rel_tol=1e-8, max_iter=400, blocks=2)
+    rows = got.orderBy("position").collect()
+    assert [r.term for r in rows] == ["m0", "m1", "m2", "m0_m1", "m0_m2", "m1_m2"]
+    full = np.column_stack([x, x[:, 0] * x[:, 1], x[:, 0] * x[:, 2], x[:, 1] * x[:, 2]])
+    want = lasso.coordinate_descent(full.T @ full, full.T @ y, 0.1)
+    assert [r.estimate for r in rows] == pytest.approx(want, abs=1e-4)
+    assert spark.read.parquet(f"{out}/coefficients").count() == 6 and spark.read.parquet(f"{out}/convergence").count() > 1
