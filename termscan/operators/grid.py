@@ -17,11 +17,12 @@ from termscan.errors import BadShape
 PIECE = 1024
 
 
-def to_cells(rows: DataFrame) -> DataFrame:
-    """``(row, cells array<string>)`` to cells; a ragged grid raises."""
-    sizes = rows.agg(F.min(F.size("cells")).alias("low"), F.max(F.size("cells")).alias("high")).first()
-    if sizes.low != sizes.high:
-        raise BadShape(f"rows have between {sizes.low} and {sizes.high} cells")
+def to_cells(rows: DataFrame, checked: bool = False) -> DataFrame:
+    """``(row, cells array<string>)`` to cells; a ragged grid raises, unless that was ``checked`` before."""
+    if not checked:
+        sizes = rows.agg(F.min(F.size("cells")).alias("low"), F.max(F.size("cells")).alias("high")).first()
+        if sizes.low != sizes.high:
+            raise BadShape(f"rows have between {sizes.low} and {sizes.high} cells")
     return rows.select("row", F.posexplode("cells").alias("col", "cell")).withColumn("col", F.col("col").cast("long"))
 
 

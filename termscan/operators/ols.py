@@ -126,17 +126,14 @@ def model_summary(terms: DataFrame, response: str) -> DataFrame:
         F.format_string("%.3f", "t_value").alias("c3"),
         F.format_string("%.6f", "p_value").alias("c4"),
     )
-    widths = text.agg(
-        *[F.greatest(F.max(F.length(f"c{i}")), F.lit(len(h))).alias(f"w{i}") for i, h in enumerate(heads)]
-    )
-    spark = terms.sparkSession
-    head = spark.createDataFrame([(0, *heads)], text.schema)
-    padded = head.unionByName(text).join(F.broadcast(widths), F.lit(True))  # one row of widths
-    cells = [F.rpad("c0", F.col("w0"), F.lit(" "))]
-    cells += [F.lpad(f"c{i}", F.col(f"w{i}") + 3, F.lit(" ")) for i in range(1, 5)]
+    # The widest entries: five numbers.
+    widths = text.agg(*[F.max(F.length(f"c{i}")).alias(f"w{i}") for i in range(5)]).first()
+    width = [max(w, len(h)) for w, h in zip(widths, heads)]
+    padded = terms.sparkSession.createDataFrame([(0, *heads)], text.schema).unionByName(text)
+    cells = [F.rpad("c0", width[0], " "), *[F.lpad(f"c{i}", width[i] + 3, " ") for i in range(1, 5)]]
     body = padded.select((F.col("line_no") + 2).alias("line_no"), F.concat(*cells).alias("line"))
     first = [(0, f"The Response variable: {response}"), (1, "")]
-    return spark.createDataFrame(first, body.schema).unionByName(body)
+    return terms.sparkSession.createDataFrame(first, body.schema).unionByName(body)
 
 
 def summary_text(terms: DataFrame, response: str) -> str:

@@ -144,12 +144,10 @@ def dedupe_terms(long: DataFrame) -> DataFrame:
 
 def redundancy_check(long: DataFrame) -> DataFrame:
     """How many terms there are, and how many distinct value vectors."""
-    total = long.select("term_id").distinct().agg(F.count("*").alias("n_terms"))
-    gone = redundant_terms(long).agg(F.count("*").alias("gone"))
-    # Two one-row tables.
-    return total.join(F.broadcast(gone), F.lit(True)).select(
-        "n_terms", (F.col("n_terms") - F.col("gone")).alias("n_distinct"), (F.col("gone") > 0).alias("redundant")
-    )
+    all_terms = long.select("term_id").distinct().select(F.lit(1).alias("term"), F.lit(0).alias("gone"))
+    gone = redundant_terms(long).select(F.lit(0).alias("term"), F.lit(1).alias("gone"))
+    sums = all_terms.unionByName(gone).agg(F.sum("term").alias("n_terms"), F.sum("gone").alias("gone"))
+    return sums.select("n_terms", (F.col("n_terms") - F.col("gone")).alias("n_distinct"), (F.col("gone") > 0).alias("redundant"))
 
 
 def term_subset(terms: DataFrame, forced: Sequence[str], size: int, seed: int) -> DataFrame:

@@ -25,7 +25,7 @@ def convert_format(
     spark: SparkSession, source: str, target: str, delimiter: str = "\t", drop: Sequence[int] = (), transpose: bool = False
 ) -> None:
     """Read delimited text, drop columns, transpose if asked, and write term-major text."""
-    cells = grid.to_cells(text.read_delimited(spark, source, delimiter))
+    cells = text.read_grid(spark, source, delimiter)
     sinks.write_tsv(convert_cells(cells, drop, transpose), target)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,12 @@ class TermTable:
         return self.values.join(self.samples, "sample_pos").select("sample", "term_id", "value")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(row, line)`` with dense row numbers in file order (files by path, then position).
+def _numbered(spark: SparkSession, path: str, **sums: Column) -> tuple[DataFrame, list]:
+    """``(row, line)`` with dense row numbers in file order, and one record per input split.
 
-    Each input split numbers its own lines; only one record per split is added up to place the
-    splits, so no task sees more than its split. A split that is planned differently on the
-    second read fails loudly instead of shifting rows.
+    Each split numbers its own lines; only one record per split, with any further ``sums`` of its
+    lines, is added up to place the splits, so no task sees more than its split. A split that is
+    planned differently on the second read fails loudly instead of shifting rows.
     """
     raw = spark.read.text(path).select(
         F.col("value").alias("line"),
@@ -52,27 +52,49 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     key = ["file", "start", "length", "part"]
     raw = raw.withColumn("part", F.shiftright("mid", 33))
-    splits = raw.groupBy(*key).agg(F.count("*").alias("n"), F.min("mid").alias("first")).orderBy("file", "start")
+    found = raw.groupBy(*key).agg(
+        F.count("*").alias("n"), F.min("mid").alias("first"), *[c.alias(k) for k, c in sums.items()]
+    )
+    splits = found.orderBy("file", "start").collect()
     placed, total = [], 0
-    for s in splits.collect():
-        placed.append((s.file, s.start, s.length, s.part, total - s.first))
+    for s in splits:
+        placed.append((s.file, s.start, s.length, s.part, total - s["first"]))
         total += s.n
-    schema = "file string, start long, length long, part long, shift long"
-    shifts = spark.createDataFrame(placed, schema)
+    shifts = spark.createDataFrame(placed, "file string, start long, length long, part long, shift long")
     if small_enough_to_broadcast(len(placed) * 300):
         shifts = F.broadcast(shifts)
     lost = F.raise_error(F.lit("an input split changed between two reads of the same file"))
-    return raw.join(shifts, key, "left").select(
+    lines = raw.join(shifts, key, "left").select(
         F.when(F.col("shift").isNull(), lost).otherwise(F.col("mid") + F.col("shift")).alias("row"), "line"
     )
+    return lines, [(s, p[4]) for s, p in zip(splits, placed)]
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(row, line)``: rows are numbered from 0 in file order, files by path."""
+    return _numbered(spark, path)[0]
+
+
+def _cells(lines: DataFrame, delimiter: str) -> DataFrame:
+    return lines.select("row", F.split("line", delimiter).alias("cells"))
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = "\t") -> DataFrame:
     """Grid rows ``(row, cells)``; ``delimiter`` is a regular expression."""
-    return read_lines(spark, path).select("row", F.split("line", delimiter).alias("cells"))
+    return _cells(read_lines(spark, path), delimiter)
 
 
-def _ragged(expected) -> F.Column:
+def read_grid(spark: SparkSession, path: str, delimiter: str = "\t") -> DataFrame:
+    """Cells ``(row, col, cell)``; the pass that places the splits also finds ragged rows."""
+    size = F.size(F.split("line", delimiter))
+    lines, splits = _numbered(spark, path, low=F.min(size), high=F.max(size))
+    low, high = min(s.low for s, _ in splits), max(s.high for s, _ in splits)
+    if low != high:
+        raise BadShape(f"rows have between {low} and {high} cells")
+    return grid.to_cells(_cells(lines, delimiter), checked=True)
+
+
+def _ragged(expected: Column) -> Column:
     return F.raise_error(F.concat(F.lit("ragged row "), F.col("row"), F.lit(", expected cells: "), expected))
 
 
@@ -97,26 +119,31 @@ def require_unique(names: DataFrame, column: str) -> DataFrame:
     return names
 
 
-def _header(rows: DataFrame) -> tuple[int, list[str]]:
-    found = rows.filter(F.col("cells")[0].isin(*HEADER_MARKS)).limit(2).collect()
-    if len(found) != 1:
-        raise BadShape(f"a term-major file needs one {HEADER_MARKS[0]} line, found {len(found)} or more")
-    return found[0].row, found[0].cells
+def _name(delimiter: str) -> Column:
+    """The first cell, without splitting the rest of the line."""
+    return F.split("line", delimiter, 2)[0]
 
 
 def read_term_major(spark: SparkSession, path: str, delimiter: str = "\t") -> TermTable:
-    """A file with a line of sample names, then one line per term."""
-    rows = read_delimited(spark, path, delimiter)
-    header_row, header = _header(rows)
-    data = rows.filter(F.col("row") != header_row)
+    """A file with a line of sample names, then one line per term.
+
+    The catalogues are kept, so that looking at names does not read the file again.
+    """
+    mark = _name(delimiter).isin(*HEADER_MARKS)
+    lines, splits = _numbered(spark, path, marks=F.count_if(mark), marked=F.max(F.when(mark, F.col("mid"))))
+    if sum(s.marks for s, _ in splits) != 1:
+        raise BadShape(f"a term-major file needs exactly one {HEADER_MARKS[0]} line")
+    header_row = next(s.marked + shift for s, shift in splits if s.marks)
+    header = lines.filter(F.col("row") == header_row)
+    n_cells = header.select(F.size(F.split("line", delimiter))).first()[0]
+    data = lines.filter(F.col("row") != header_row)
     # One cell per sample after the name; term numbers follow the file.
-    cells = _typed_cells(data, len(header), 1)
+    cells = _typed_cells(_cells(data, delimiter), n_cells, 1)
     term_id = (F.col("row") - (F.col("row") > header_row).cast("long")).alias("term_id")
-    terms = require_unique(data.select(term_id, F.col("cells")[0].alias("term")), "term")
-    samples = rows.filter(F.col("row") == header_row).select(
-        F.posexplode(F.slice("cells", 2, len(header) - 1)).alias("sample_pos", "sample")
-    )
-    return TermTable(cells.select(F.col("at").alias("sample_pos"), term_id, "value"), samples, terms)
+    terms = data.select(term_id, _name(delimiter).alias("term")).persist()
+    samples = _cells(header, delimiter).select(F.posexplode(F.slice("cells", 2, n_cells - 1)).alias("sample_pos", "sample"))
+    values = cells.select(F.col("at").alias("sample_pos"), term_id, "value")
+    return TermTable(values, samples.persist(), require_unique(terms, "term"))
 
 
 def read_sample_major(
@@ -128,7 +155,7 @@ def read_sample_major(
     scan that reads only the columns a query needs; meant for up to a few thousand columns.
     """
     if transpose:
-        cells = grid.transpose(grid.drop_columns(grid.to_cells(read_delimited(spark, path)), drop))
+        cells = grid.transpose(grid.drop_columns(read_grid(spark, path), drop))
         return grid.to_typed_wide(cells)
     names = spark.read.text(path).first()[0].split("\t")
     if len(set(names)) != len(names):
@@ -159,7 +186,7 @@ def read_sample_major_long(
     return TermTable(
         cells.select((F.col("row") - 1).alias("sample_pos"), F.col("at").cast("long").alias("term_id"), "value"),
         samples,
-        require_unique(terms.withColumn("term_id", F.col("term_id").cast("long")), "term"),
+        require_unique(terms.withColumn("term_id", F.col("term_id").cast("long")).persist(), "term"),
     )
 
 
@@ -186,8 +213,9 @@ def read_marker_table(spark: SparkSession, path: str, delimiter: str = "\t") ->
     )
     cells = _typed_cells(data, n_cells, lead)
     values = cells.select(F.col("at").alias("sample_pos"), term_id, "value")
+    markers = markers.persist()
     terms = require_unique(markers.select("term_id", "term"), "term")
-    return TermTable(values, samples, terms), markers
+    return TermTable(values, samples.persist(), terms), markers
 
 
 def read_json_terms(spark: SparkSession, path: str, sample: str = "Sample") -> DataFrame:
