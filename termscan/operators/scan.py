@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from termscan.errors import SampleMismatch
 from termscan.functions.solve import COLLINEAR, check_samples, cholesky_or_fail
 from termscan.functions.tdist import t_pvalue
-from termscan.operators.tiles import Y_BLOCK, TileSet, read_tile, record_batch, row_block_runs
+from termscan.operators.tiles import Y_BLOCK, TileSet, matrix, read_row_blocks, record_batch
 
 # A term is (a, -1), a single column, or (a, b) with a < b, a product of two.
 Term = tuple[int, int]
@@ -93,6 +93,11 @@ class _Columns:
     y_scale: np.ndarray
     width: int
 
+    @property
+    def blocks(self) -> list[int]:
+        """Term blocks that the model columns come from."""
+        return sorted({i // self.width for term in self.terms for i in term if i != SINGLE})
+
     @staticmethod
     def of(ts: TileSet, states: Mapping[str, ModelState]) -> _Columns:
         # The same term may have been centred differently by two traits, so both are kept apart.
@@ -148,13 +153,14 @@ def _pair_records(i: int, j: int, acc: np.ndarray, width: int) -> list[tuple]:
     return [(first + a, j, np.ascontiguousarray(acc[:, a, :]).tobytes()) for a in range(last)]
 
 
-def _local_kernel(cols: _Columns, pairs: bool):
+def _local_kernel(cols: _Columns, n_blocks: int, pairs: bool):
+    blocks = range(n_blocks)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single: dict[int, np.ndarray] = {}
         pair: dict[tuple[int, int], np.ndarray] = {}
-        for _, tiles in row_block_runs(batches):
+        for _, tiles in read_row_blocks(batches, blocks):
             v = cols.values(tiles)
-            blocks = sorted(b for b in tiles if b != Y_BLOCK)
             for i in blocks:
                 m = _single_moments(tiles[i], v)
                 single[i] = single[i] + m if i in single else m
@@ -170,16 +176,15 @@ def _local_kernel(cols: _Columns, pairs: bool):
     return kernel
 
 
-_MEET_SCHEMA = "i int, j int, segment int, row_block long, role int, n_rows int, n_cols int, x binary"
-_FRAME_SCHEMA = "row_block long, n_rows int, n_cols int, x binary"
-_FRAME = pa.schema([("row_block", pa.int64()), ("n_rows", pa.int32()), ("n_cols", pa.int32()), ("x", pa.binary())])
+_FRAME_SCHEMA = "row_block long, n_rows int, x binary"
+_FRAME = pa.schema([("row_block", pa.int64()), ("n_rows", pa.int32()), ("x", pa.binary())])
 
 
 def _frame_kernel(cols: _Columns):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row_block, tiles in row_block_runs(batches):
-            v = np.ascontiguousarray(cols.values(tiles))
-            yield record_batch([(row_block, v.shape[0], v.shape[1], v.tobytes())], _FRAME)
+        for row_block, tiles in read_row_blocks(batches, cols.blocks):
+            v = cols.values(tiles)
+            yield record_batch([(row_block, len(v), np.ascontiguousarray(v).tobytes())], _FRAME)
 
     return kernel
 
@@ -192,12 +197,13 @@ def _meet_kernel(width: int):
         for batch in batches:
             ii, jj = batch.column("i").to_pylist(), batch.column("j").to_pylist()
             seg, role = batch.column("segment").to_pylist(), batch.column("role").to_pylist()
+            rows, data = batch.column("n_rows").to_pylist(), batch.column("x")
             for r in range(batch.num_rows):
                 if (ii[r], jj[r], seg[r]) != key:
                     if acc is not None:
                         yield record_batch(_pair_records(key[0], key[1], acc, width), _PARTIAL)
                     key, acc = (ii[r], jj[r], seg[r]), None
-                x = read_tile(batch, r)
+                x = matrix(data[r].as_buffer(), rows[r])
                 if role[r] == 0:
                     v = x
                     continue
@@ -222,22 +228,21 @@ def _meeting_pairs(ts: TileSet, cols: _Columns) -> DataFrame:
     """
     last = ts.n_blocks - 1
     segments = max(1, -(-ts.n_samples // SEGMENT_ROWS))
-    frame = _needed(ts, cols).mapInArrow(_frame_kernel(cols), _FRAME_SCHEMA)
+    frame = ts.columns(cols.blocks).mapInArrow(_frame_kernel(cols), _FRAME_SCHEMA)
     segment = F.pmod(F.hash("row_block"), F.lit(segments)).alias("segment")
-    shape = ["n_rows", "n_cols", "x"]
     model = (
         frame.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("i"))
         .select("*", F.explode(F.sequence("i", F.lit(last))).alias("j"))
-        .select("i", "j", segment, "row_block", F.lit(0).alias("role"), *shape)
+        .select("i", "j", segment, "row_block", F.lit(0).alias("role"), "n_rows", "x")
     )
-    data = ts.tiles.filter(F.col("term_block") != Y_BLOCK)
-    left = data.select("*", F.explode(F.sequence("term_block", F.lit(last))).alias("j")).select(
-        F.col("term_block").alias("i"), "j", segment, "row_block", F.lit(1).alias("role"), *shape
+    data = ts.blocks.select("row_block", "n_rows", F.posexplode("x").alias("block", "x"))
+    left = data.select("*", F.explode(F.sequence("block", F.lit(last))).alias("j")).select(
+        F.col("block").alias("i"), "j", segment, "row_block", F.lit(1).alias("role"), "n_rows", "x"
     )
     right = (
-        data.filter(F.col("term_block") > 0)
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("term_block") - 1)).alias("i"))
-        .select("i", F.col("term_block").alias("j"), segment, "row_block", F.lit(2).alias("role"), *shape)
+        data.filter(F.col("block") > 0)
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"))
+        .select("i", F.col("block").alias("j"), segment, "row_block", F.lit(2).alias("role"), "n_rows", "x")
     )
     met = model.unionByName(left).unionByName(right)
     ordered = met.repartition("i", "j", "segment").sortWithinPartitions("i", "j", "segment", "row_block", "role")
@@ -398,15 +403,15 @@ def _scored(ts: TileSet, cols: _Columns, pairs: bool, score, schema: str) -> tup
     A table that fits one task is scored there. Otherwise partial moments meet by term; pair
     moments that are too many for a task come from tasks of their own.
     """
-    local = _local_kernel(cols, pairs)
+    local = _local_kernel(cols, ts.n_blocks, pairs)
     depth = 2 + len(cols.terms) + len(cols.traits)
     fits = not pairs or depth * 8.0 * (ts.n_blocks * ts.width) ** 2 / 2 <= LOCAL_PAIR_BYTES
-    if fits and ts.n_parts == 1:
-        return ts.tiles.mapInArrow(lambda batches: score(local(batches)), schema), True
+    if fits and ts.n_parts == 1 and ts.written is None:
+        return ts.blocks.mapInArrow(lambda batches: score(local(batches)), schema), True
     if fits:
-        partials = ts.tiles.mapInArrow(local, PARTIAL_SCHEMA)
+        partials = ts.blocks.mapInArrow(local, PARTIAL_SCHEMA)
     else:
-        singles = ts.tiles.mapInArrow(_local_kernel(cols, False), PARTIAL_SCHEMA)
+        singles = ts.blocks.mapInArrow(_local_kernel(cols, ts.n_blocks, False), PARTIAL_SCHEMA)
         partials = singles.unionByName(_meeting_pairs(ts, cols))
     return partials.repartition("a", "j").sortWithinPartitions("a", "j").mapInArrow(score, schema), False
 
@@ -451,7 +456,7 @@ _CROSS = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())])
 def _cross_kernel(cols: _Columns):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = 0.0
-        for _, tiles in row_block_runs(batches):
+        for _, tiles in read_row_blocks(batches, cols.blocks):
             v = cols.values(tiles)
             v = np.concatenate([np.ones((len(v), 1)), v], axis=1)
             acc = acc + v.T @ v
@@ -465,15 +470,10 @@ def _cross_kernel(cols: _Columns):
     return kernel
 
 
-def _needed(ts: TileSet, cols: _Columns) -> DataFrame:
-    blocks = sorted({t // ts.width for term in cols.terms for t in term if t != SINGLE} | {Y_BLOCK})
-    return ts.tiles.filter(F.col("term_block").isin(blocks))
-
-
 def _cross_products(ts: TileSet, cols: _Columns) -> np.ndarray:
     """Sums of products of [1, model columns, outcomes]: k x k numbers, added up in Spark."""
     k = 1 + len(cols.terms) + len(cols.traits)
-    summed = _needed(ts, cols).mapInArrow(_cross_kernel(cols), _CROSS_SCHEMA).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    summed = ts.columns(cols.blocks).mapInArrow(_cross_kernel(cols), _CROSS_SCHEMA).groupBy("i", "j").agg(F.sum("v").alias("v"))
     out = np.zeros((k, k))
     for r in summed.collect():
         out[r.i, r.j] = r.v
@@ -485,7 +485,7 @@ def _rss_kernel(cols: _Columns, beta: np.ndarray, shift: np.ndarray):
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(len(cols.traits))
-        for _, tiles in row_block_runs(batches):
+        for _, tiles in read_row_blocks(batches, cols.blocks):
             v = cols.values(tiles)
             acc += np.square(v[:, k:] - shift - v[:, :k] @ beta).sum(0)
         t = np.arange(len(acc))
@@ -501,7 +501,7 @@ def residual_squares(ts: TileSet, states: Mapping[str, ModelState], betas: Mappi
     for i, trait in enumerate(states):
         beta[list(cols.at[i]), i] = betas[trait]
     shift = np.array([shifts[t] for t in states])
-    summed = _needed(ts, cols).mapInArrow(_rss_kernel(cols, beta, shift), _CROSS_SCHEMA).groupBy("i").agg(F.sum("v").alias("v"))
+    summed = ts.columns(cols.blocks).mapInArrow(_rss_kernel(cols, beta, shift), _CROSS_SCHEMA).groupBy("i").agg(F.sum("v").alias("v"))
     names = list(states)
     return {names[r.i]: r.v for r in summed.collect()}
 

@@ -1,16 +1,16 @@
-"""Sample x term tables as dense tiles.
+"""Sample x term tables as dense row blocks.
 
-A tile holds some samples and up to ``width`` terms as a float64 matrix. All tiles of a row block
-lie in one partition in term order, next to a tile with the outcomes (term block -1), so a scan
-reads them in place: no join and no shuffle of the data. The number of samples per row block is
-chosen so that a whole row block stays small however many terms there are.
+A row block holds some samples: their outcomes, and their values cut into tiles of up to ``width``
+terms, each a float64 matrix. It is one record, so a scan reads it in place wherever it lies: no
+join and no shuffle of the data. The number of samples per row block is chosen so that a record
+stays small however many terms there are.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termscan.errors import BadShape
+from termscan.session import DurableTable
 
 Y_BLOCK = -1
 TILE_WIDTH = 512
@@ -30,23 +31,18 @@ ROW_BLOCK_BYTES = 64_000_000
 TASK_WORK = 2e9
 TASK_BYTES = 128e6
 
-TILE_SCHEMA = "row_block long, term_block int, n_rows int, n_cols int, x binary"
-_TILE_ARROW = pa.schema(
-    [
-        ("row_block", pa.int64()),
-        ("term_block", pa.int32()),
-        ("n_rows", pa.int32()),
-        ("n_cols", pa.int32()),
-        ("x", pa.binary()),
-    ]
-)
+# Tables above this size are written to the shared folder; smaller ones are cheap to pack again.
+DURABLE_BYTES = 4e9
+
+BLOCK_SCHEMA = "row_block long, n_rows int, y binary, x array<binary>"
+_BLOCK = pa.schema([("row_block", pa.int64()), ("n_rows", pa.int32()), ("y", pa.binary()), ("x", pa.list_(pa.binary()))])
 
 
 @dataclass(frozen=True)
 class TileSet:
-    """Tiles with what the driver needs to know about them."""
+    """Row blocks with what the driver needs to know about them."""
 
-    tiles: DataFrame
+    blocks: DataFrame
     n_samples: int
     n_terms: int
     width: int
@@ -54,13 +50,20 @@ class TileSet:
     y_mean: np.ndarray
     y_scale: np.ndarray
     n_parts: int
+    written: DurableTable | None = None
 
     @property
     def n_blocks(self) -> int:
         return -(-self.n_terms // self.width)
 
+    def columns(self, blocks: Sequence[int]) -> DataFrame:
+        """Row blocks with only these tiles, which is all that tasks then receive."""
+        return self.blocks.select("row_block", "n_rows", "y", F.array(*[F.col("x")[b] for b in blocks]).cast("array<binary>").alias("x"))
+
     def release(self) -> None:
-        self.tiles.unpersist()
+        if self.written is not None:
+            self.written.drop()
+        self.blocks.unpersist()
 
 
 def rows_per_block(n_terms: int, width: int) -> int:
@@ -74,21 +77,14 @@ def partitions_for(n_samples: int, n_terms: int, pairs: bool, row_blocks: int) -
     return int(max(1, min(row_blocks, math.ceil(need))))
 
 
-def tile_record(row_block: int, term_block: int, matrix: np.ndarray) -> tuple:
-    m = np.ascontiguousarray(matrix, dtype=np.float64)
-    return (row_block, term_block, m.shape[0], m.shape[1], m.tobytes())
-
-
 def record_batch(records: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*records)) if records else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _cut(row_block: int, x: np.ndarray, y: np.ndarray, width: int) -> pa.RecordBatch:
-    records = [tile_record(row_block, Y_BLOCK, y)]
-    for b, start in enumerate(range(0, x.shape[1], width)):
-        records.append(tile_record(row_block, b, x[:, start : start + width]))
-    return record_batch(records, _TILE_ARROW)
+    tiles = [np.ascontiguousarray(x[:, at : at + width]).tobytes() for at in range(0, x.shape[1], width)]
+    return record_batch([(row_block, len(x), np.ascontiguousarray(y).tobytes(), tiles)], _BLOCK)
 
 
 def _doubles(column: pa.Array, width: int) -> np.ndarray:
@@ -176,19 +172,25 @@ def _scale(var: list[float | None]) -> np.ndarray:
     return np.where(sd > 0, sd, 1.0)
 
 
-def _built(tiles: DataFrame, n_samples: int) -> DataFrame:
-    """Packs the tiles now, so that a bad table fails here and not in a later scan."""
+def _kept(blocks: DataFrame, n_samples: int, n_terms: int, check: bool) -> tuple[DataFrame, DurableTable | None]:
+    """Row blocks that scans can read again and again. ``check`` packs them now, so that a bad table fails here."""
+    written = None
     try:
-        rows = tiles.filter(F.col("term_block") == Y_BLOCK).agg(F.sum("n_rows")).first()[0]
+        if 8.0 * n_samples * n_terms > DURABLE_BYTES:
+            written = DurableTable(blocks, "tiles")
+            blocks = written.df
+        else:
+            blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = blocks.agg(F.sum("n_rows")).first()[0] if check or written else n_samples
     except PythonException as err:
-        tiles.unpersist()
+        blocks.unpersist()
         found = re.search(r"BadShape: (.*)", str(err))
         if found:
             raise BadShape(found.group(1)) from err
         raise
     if rows != n_samples:
         raise BadShape(f"{rows} samples in tiles, {n_samples} in the table")
-    return tiles
+    return blocks, written
 
 
 def from_vectors(
@@ -215,9 +217,10 @@ def from_vectors(
     n_parts = partitions_for(stats.n, n_terms, pairs, n_blocks)
     keyed = rows.select(block.cast("long").alias("row_block"), "sample", "values", "ys")
     ordered = keyed.repartition(n_parts, "row_block").sortWithinPartitions("row_block", "sample")
-    packed = ordered.select("row_block", "values", "ys").mapInArrow(_pack_vectors(n_terms, len(traits), width), TILE_SCHEMA)
+    packed = ordered.select("row_block", "values", "ys").mapInArrow(_pack_vectors(n_terms, len(traits), width), BLOCK_SCHEMA)
+    blocks, written = _kept(packed, int(stats.n), n_terms, check=True)
     return TileSet(
-        _built(packed.persist(StorageLevel.MEMORY_AND_DISK), int(stats.n)),
+        blocks,
         int(stats.n),
         n_terms,
         width,
@@ -225,6 +228,7 @@ def from_vectors(
         np.array([stats[f"m{i}"] for i in range(len(traits))], dtype=float),
         _scale([stats[f"v{i}"] for i in range(len(traits))]),
         n_parts,
+        written,
     )
 
 
@@ -268,9 +272,10 @@ def from_long(
     keyed = cells.unionByName(outcome).withColumn("row_block", block.cast("long"))
     n_parts = partitions_for(n_samples, n_terms, pairs, n_blocks)
     ordered = keyed.repartition(n_parts, "row_block").sortWithinPartitions("row_block", "sample", "term_id")
-    packed = ordered.select("row_block", "term_id", "value").mapInArrow(_pack_cells(n_terms, len(traits), width), TILE_SCHEMA)
+    packed = ordered.select("row_block", "term_id", "value").mapInArrow(_pack_cells(n_terms, len(traits), width), BLOCK_SCHEMA)
+    blocks, written = _kept(packed, n_samples, n_terms, check=False)
     return TileSet(
-        packed.persist(StorageLevel.MEMORY_AND_DISK),
+        blocks,
         n_samples,
         n_terms,
         width,
@@ -278,25 +283,20 @@ def from_long(
         np.array([per_trait[t].m for t in traits], dtype=float),
         _scale([per_trait[t].v for t in traits]),
         n_parts,
+        written,
     )
 
 
-def read_tile(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    shape = batch.column("n_rows")[i].as_py(), batch.column("n_cols")[i].as_py()
-    return np.frombuffer(batch.column("x")[i].as_buffer(), dtype=np.float64).reshape(shape)
+def matrix(buffer: pa.Buffer, n_rows: int) -> np.ndarray:
+    return np.frombuffer(buffer, dtype=np.float64).reshape(n_rows, -1)
 
 
-def row_block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, np.ndarray]]]:
-    """The tiles of each row block, from a stream that keeps them together."""
-    current, held = None, {}
+def read_row_blocks(batches: Iterator[pa.RecordBatch], which: Sequence[int]) -> Iterator[tuple[int, dict[int, np.ndarray]]]:
+    """Each row block as matrices by term block; ``which`` tells the blocks that were selected."""
     for batch in batches:
-        blocks = batch.column("row_block").to_pylist()
-        terms = batch.column("term_block").to_pylist()
-        for i, (block, term) in enumerate(zip(blocks, terms)):
-            if block != current:
-                if held:
-                    yield current, held
-                current, held = block, {}
-            held[term] = read_tile(batch, i)
-    if held:
-        yield current, held
+        ids, rows = batch.column("row_block").to_pylist(), batch.column("n_rows").to_pylist()
+        for r, (row_block, n) in enumerate(zip(ids, rows)):
+            tiles = batch.column("x")[r].values
+            held = {b: matrix(tiles[i].as_buffer(), n) for i, b in enumerate(which)}
+            held[Y_BLOCK] = matrix(batch.column("y")[r].as_buffer(), n) if len(batch.column("y")[r].as_buffer()) else np.zeros((n, 0))
+            yield row_block, held

@@ -208,7 +208,7 @@ def test_missing_cells_are_an_error(spark):
     twice = long.filter("NOT (sample = 'i3' AND term_id = 2)").unionByName(long.filter("sample = 'i4' AND term_id = 2"))
     ts = tiles.from_long(twice, pheno, ("y",))
     with pytest.raises(Exception, match="lacks a cell"):
-        ts.tiles.count()
+        ts.blocks.count()
     with pytest.raises(BadShape):
         tiles.from_long(long, pheno.filter("sample <> 'i3'"), ("y",))
     with pytest.raises(BadShape):
@@ -220,3 +220,25 @@ def test_perfect_fit_enters_first(spark):
     models, paths = select(vector_frame(spark, x, {"pheno": 5 * x[:, 2] + 1}), forward=1e-6, backward=2e-6)
     assert paths["pheno"][0].term == (2, S)
     assert models["pheno"].terms == ((2, S),)
+
+
+@pytest.mark.parametrize("meet", [False, True])
+def test_written_tiles_in_many_tasks(spark, monkeypatch, meet):
+    """Large tables live in the shared folder and are scanned by many tasks; the result is the same."""
+    x, y = _random(12, n=200)
+    df = vector_frame(spark, x, {"y": y})
+    plain, _ = select(df, ("y",), True, forward=0.01, backward=0.02)
+    monkeypatch.setattr(tiles, "DURABLE_BYTES", 0)
+    monkeypatch.setattr(tiles, "TASK_WORK", 1.0)
+    monkeypatch.setattr(tiles, "TILE_BYTES", 8 * 9 * 10)
+    if meet:
+        monkeypatch.setattr(scan, "LOCAL_PAIR_BYTES", 0)
+        monkeypatch.setattr(scan, "SEGMENT_ROWS", 64)
+    ts = tiles.from_vectors(df, ("y",), True, 4)
+    assert ts.n_parts > 4 and ts.written is not None
+    models, _ = sw.stepwise(ts, True, 0.01, 0.02)
+    assert models["y"].terms == plain["y"].terms
+    assert models["y"].fit.t_value == pytest.approx(plain["y"].fit.t_value)
+    ts.release()
+    with pytest.raises(Exception):
+        ts.blocks.count()
