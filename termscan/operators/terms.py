@@ -111,9 +111,9 @@ def redundant_terms(long: DataFrame) -> DataFrame:
     value: no pairs within a group, no array of a whole term. Terms that only share a fingerprint
     are grouped anew until none is left over.
     """
-    prints = fingerprints(long)
+    # One small record per term, used in every round.
+    left = fingerprints(long).persist()
     found: DataFrame | None = None
-    left = prints
     while True:
         first = left.groupBy("h1", "h2", "n").agg(F.min("term_id").alias("kept"), F.count("*").alias("members"))
         suspects = left.join(first.filter("members > 1"), ["h1", "h2", "n"]).filter("term_id <> kept")
