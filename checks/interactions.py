@@ -17,12 +17,16 @@ def _long(spark, folder):
 
 
 def _catalog(spark, folder):
-    return terms.term_catalog(wide(spark, folder), "sample")
+    """The terms that the data has."""
+    return terms.distinct_terms(_long(spark, folder)).select("term_id", F.concat(F.lit("e"), F.col("term_id").cast("string")).alias("term"))
 
 
-@query(f"WITH {_CATALOG} SELECT term_id, term FROM catalog")
+@query(f"WITH {_CATALOG}, l AS ({SQL_LONG}) SELECT term_id, term, count(*) AS n FROM catalog JOIN l USING (term_id) GROUP BY term_id, term")
 def term_catalog(spark, folder):
-    return _catalog(spark, folder)
+    """Columns of the wide table by position, with the number of their values."""
+    table_ = wide(spark, folder)
+    counts = reshape.wide_to_long(table_, "sample", wide_names()).groupBy("term").agg(F.count("value").alias("n"))
+    return terms.term_catalog(table_, "sample").join(counts, "term").select("term_id", "term", "n")
 
 
 @query(f"WITH l AS ({SQL_LONG}) SELECT DISTINCT term_id FROM l")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from termscan.errors import SampleMismatch
 from termscan.functions.solve import COLLINEAR, check_samples, cholesky_or_fail
 from termscan.functions.tdist import t_pvalue
-from termscan.operators.tiles import Y_BLOCK, TileSet, matrix, read_row_blocks, record_batch
+from termscan.operators.tiles import TASK_BYTES, Y_BLOCK, TileSet, cores, matrix, read_row_blocks, record_batch
 
 # A term is (a, -1), a single column, or (a, b) with a < b, a product of two.
 Term = tuple[int, int]
@@ -245,7 +245,9 @@ def _meeting_pairs(ts: TileSet, cols: _Columns) -> DataFrame:
         .select("i", F.col("block").alias("j"), segment, "row_block", F.lit(2).alias("role"), "n_rows", "x")
     )
     met = model.unionByName(left).unionByName(right)
-    ordered = met.repartition("i", "j", "segment").sortWithinPartitions("i", "j", "segment", "row_block", "role")
+    keys = ts.n_blocks * (ts.n_blocks + 1) // 2 * segments
+    tasks = min(keys, max(cores(met), _tasks(8.0 * ts.n_samples * ts.n_terms * ts.n_blocks)))
+    ordered = met.repartition(tasks, "i", "j", "segment").sortWithinPartitions("i", "j", "segment", "row_block", "role")
     return ordered.mapInArrow(_meet_kernel(ts.width), PARTIAL_SCHEMA)
 
 
@@ -397,6 +399,10 @@ def _all_kernel(specs: list[_TraitSpec], depth: int, n: int, width: int, y_scale
     return kernel
 
 
+def _tasks(n_bytes: float) -> int:
+    return max(1, int(n_bytes / TASK_BYTES))
+
+
 def _scored(ts: TileSet, cols: _Columns, pairs: bool, score, schema: str) -> tuple[DataFrame, bool]:
     """Moments of all terms, added up per term and scored, and whether one task did it all.
 
@@ -405,7 +411,9 @@ def _scored(ts: TileSet, cols: _Columns, pairs: bool, score, schema: str) -> tup
     """
     local = _local_kernel(cols, ts.n_blocks, pairs)
     depth = 2 + len(cols.terms) + len(cols.traits)
-    fits = not pairs or depth * 8.0 * (ts.n_blocks * ts.width) ** 2 / 2 <= LOCAL_PAIR_BYTES
+    n_wide = ts.n_blocks * ts.width
+    set_bytes = depth * 8.0 * (n_wide * n_wide / 2 if pairs else n_wide)
+    fits = not pairs or set_bytes <= LOCAL_PAIR_BYTES
     if fits and ts.n_parts == 1 and ts.written is None:
         return ts.blocks.mapInArrow(lambda batches: score(local(batches)), schema), True
     if fits:
@@ -413,7 +421,10 @@ def _scored(ts: TileSet, cols: _Columns, pairs: bool, score, schema: str) -> tup
     else:
         singles = ts.blocks.mapInArrow(_local_kernel(cols, ts.n_blocks, False), PARTIAL_SCHEMA)
         partials = singles.unionByName(_meeting_pairs(ts, cols))
-    return partials.repartition("a", "j").sortWithinPartitions("a", "j").mapInArrow(score, schema), False
+    sets = ts.n_parts if fits else -(-ts.n_samples // SEGMENT_ROWS)
+    keys = ts.n_blocks * (ts.n_terms if pairs else 1)
+    tasks = min(keys, max(_tasks(sets * set_bytes), cores(partials) if sets * set_bytes > TASK_BYTES else 1))
+    return partials.repartition(tasks, "a", "j").sortWithinPartitions("a", "j").mapInArrow(score, schema), False
 
 
 def best_candidates(

@@ -27,9 +27,13 @@ Y_BLOCK = -1
 TILE_WIDTH = 512
 TILE_BYTES = 2_000_000
 ROW_BLOCK_BYTES = 64_000_000
-# Multiply-adds one task should do per pass, and bytes it should hold.
+# Multiply-adds one task should do per pass, and bytes it should read.
 TASK_WORK = 2e9
 TASK_BYTES = 128e6
+# A task hands on one set of moments whatever it reads, so beyond the cores at hand tasks must read
+# this many samples or more: what is shuffled stays a small part of what is read.
+TASK_ROWS = 512
+TASK_ROWS_PAIRS = 2048
 
 # Tables above this size are written to the shared folder; smaller ones are cheap to pack again.
 DURABLE_BYTES = 4e9
@@ -68,13 +72,18 @@ class TileSet:
 
 def rows_per_block(n_terms: int, width: int) -> int:
     by_tile = TILE_BYTES // (8 * min(n_terms, width))
-    return max(8, min(by_tile, ROW_BLOCK_BYTES // (8 * n_terms)))
+    return max(1, min(by_tile, ROW_BLOCK_BYTES // (8 * n_terms)))
 
 
-def partitions_for(n_samples: int, n_terms: int, pairs: bool, row_blocks: int) -> int:
+def partitions_for(n_samples: int, n_terms: int, pairs: bool, row_blocks: int, cores: int) -> int:
     work = n_samples * n_terms * (n_terms / 2 if pairs else 1.0) * 8
     need = max(work / TASK_WORK, n_samples * n_terms * 8 / TASK_BYTES)
-    return int(max(1, min(row_blocks, math.ceil(need))))
+    worth = max(cores, n_samples / (TASK_ROWS_PAIRS if pairs else TASK_ROWS))
+    return int(max(1, min(row_blocks, math.ceil(min(need, worth)))))
+
+
+def cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
 
 
 def record_batch(records: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -172,13 +181,14 @@ def _scale(var: list[float | None]) -> np.ndarray:
     return np.where(sd > 0, sd, 1.0)
 
 
-def _kept(blocks: DataFrame, n_samples: int, n_terms: int, check: bool) -> tuple[DataFrame, DurableTable | None]:
+def _kept(blocks: DataFrame, n_samples: int, n_terms: int, n_parts: int, check: bool) -> tuple[DataFrame, DurableTable | None]:
     """Row blocks that scans can read again and again. ``check`` packs them now, so that a bad table fails here."""
     written = None
     try:
         if 8.0 * n_samples * n_terms > DURABLE_BYTES:
             written = DurableTable(blocks, "tiles")
-            blocks = written.df
+            # Tasks as large as planned, by putting file splits together.
+            blocks = written.df.coalesce(n_parts)
         else:
             blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
         rows = blocks.agg(F.sum("n_rows")).first()[0] if check or written else n_samples
@@ -214,11 +224,11 @@ def from_vectors(
     block, n_blocks = _row_block(stats.n, n_terms, width)
     if row_block is not None:
         block, n_blocks = row_block, stats.n
-    n_parts = partitions_for(stats.n, n_terms, pairs, n_blocks)
+    n_parts = partitions_for(stats.n, n_terms, pairs, n_blocks, cores(df))
     keyed = rows.select(block.cast("long").alias("row_block"), "sample", "values", "ys")
     ordered = keyed.repartition(n_parts, "row_block").sortWithinPartitions("row_block", "sample")
     packed = ordered.select("row_block", "values", "ys").mapInArrow(_pack_vectors(n_terms, len(traits), width), BLOCK_SCHEMA)
-    blocks, written = _kept(packed, int(stats.n), n_terms, check=True)
+    blocks, written = _kept(packed, int(stats.n), n_terms, n_parts, check=True)
     return TileSet(
         blocks,
         int(stats.n),
@@ -270,10 +280,10 @@ def from_long(
     cells = long.select("sample", F.col("term_id").cast("long").alias("term_id"), F.col("value").cast("double").alias("value"))
     outcome = chosen.select("sample", (-1 - index).cast("long").alias("term_id"), F.col("y").cast("double").alias("value"))
     keyed = cells.unionByName(outcome).withColumn("row_block", block.cast("long"))
-    n_parts = partitions_for(n_samples, n_terms, pairs, n_blocks)
+    n_parts = partitions_for(n_samples, n_terms, pairs, n_blocks, cores(long))
     ordered = keyed.repartition(n_parts, "row_block").sortWithinPartitions("row_block", "sample", "term_id")
     packed = ordered.select("row_block", "term_id", "value").mapInArrow(_pack_cells(n_terms, len(traits), width), BLOCK_SCHEMA)
-    blocks, written = _kept(packed, n_samples, n_terms, check=False)
+    blocks, written = _kept(packed, n_samples, n_terms, n_parts, check=False)
     return TileSet(
         blocks,
         n_samples,

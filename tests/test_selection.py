@@ -242,3 +242,46 @@ def test_written_tiles_in_many_tasks(spark, monkeypatch, meet):
     ts.release()
     with pytest.raises(Exception):
         ts.blocks.count()
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_a_search_that_goes_round_reports_a_cycle(spark, seed):
+    rng = np.random.default_rng(seed)
+    x, y = rng.normal(size=(40, 6)), rng.normal(size=40)
+    models, _ = select(vector_frame(spark, x, {"pheno": y}), forward=0.9, backward=0.2)
+    assert models["pheno"].status == "cycle"
+    assert list(models["pheno"].terms) == direct_stepwise(x, y, False, 0.9, 0.2)
+
+
+def test_iteration_limit(spark):
+    x, y = _random(13)
+    models, paths = select(vector_frame(spark, x, {"pheno": y}), pairs=True, max_iterations=1)
+    assert models["pheno"].status == "iterations" and len(models["pheno"].terms) == 1
+
+
+def test_terms_whose_p_value_is_zero_rank_by_t(spark):
+    """Both p-values are below the smallest double; the larger |t| must win whatever the order."""
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=3000)
+    x = np.column_stack([y + 0.05 * rng.normal(size=3000), y + 0.01 * rng.normal(size=3000)])
+    ts = tiles.from_vectors(vector_frame(spark, x, {"y": y}), ("y",))
+    rows = {r.a: r for r in scan.with_p_values(scan.scan_table(ts, {"y": scan.ModelState()})).collect()}
+    assert rows[0].p_value == rows[1].p_value == 0.0 and rows[1].t_value > rows[0].t_value
+    assert scan.best_candidates(ts, {"y": scan.ModelState()}, {}, False)["y"].term == (1, S)
+
+
+def test_equal_terms_go_to_the_first(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 4))
+    x[:, 3] = x[:, 1]
+    y = x[:, 1] + 0.1 * rng.normal(size=50)
+    for width in (2, 512):
+        ts = tiles.from_vectors(vector_frame(spark, x, {"y": y}), ("y",), True, width)
+        assert scan.best_candidates(ts, {"y": scan.ModelState()}, {}, True)["y"].term == (1, S)
+
+
+def test_an_infinite_value_is_an_error(spark):
+    x, y = _random(14)
+    x[3, 2] = np.inf
+    with pytest.raises(BadShape, match="infinite"):
+        tiles.from_vectors(vector_frame(spark, x, {"y": y}), ("y",))
