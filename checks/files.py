@@ -93,7 +93,7 @@ def read_sample_major_long(spark, folder):
 
 @query(
     """SELECT (p_partkey - (SELECT min(p_partkey) FROM part)) AS term_id, p_name || '#' || p_partkey AS term, p_brand AS allele, p_size AS chr, p_partkey AS pos,
-CAST(NULL AS DOUBLE) AS cm, n, total FROM part, (SELECT 3::BIGINT AS n), (SELECT p_partkey AS k, 3 * p_size + 3.0::DOUBLE AS total FROM part) WHERE k = p_partkey"""
+CASE WHEN p_size > 25 THEN -1.0::DOUBLE ELSE p_size::DOUBLE END AS cm, n, total FROM part, (SELECT 3::BIGINT AS n), (SELECT p_partkey AS k, 3 * p_size + 3.0::DOUBLE AS total FROM part) WHERE k = p_partkey"""
 )
 def read_marker_table(spark, folder):
     """Parts as a marker table: five metadata columns, then one column per sample."""
@@ -106,13 +106,13 @@ def read_marker_table(spark, folder):
         F.col("p_brand").alias("allele"),
         F.col("p_size").alias("chr"),
         F.col("p_partkey").alias("pos"),
-        F.lit("NA").alias("cm"),
+        F.when(F.col("p_size") > 25, F.lit("NA")).otherwise(F.col("p_size").cast("string")).alias("cm"),
         *[(F.col("p_size") + i).cast("double").alias(f"s{i}") for i in range(3)],
     )
     sinks.write_tsv(grid.from_columns(rows, "row", [c for c in rows.columns if c != "row"]), path)
     t, markers = text.read_marker_table(spark, path)
     sums = t.values.groupBy("term_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return markers.join(sums, "term_id")
+    return markers.join(sums, "term_id").withColumn("cm", F.coalesce("cm", F.lit(-1.0)))
 
 
 @query("SELECT s_name AS \"Sample\", s_nationkey::DOUBLE AS s_nationkey, round(s_acctbal * 100)::DOUBLE + 0.0 AS cents FROM supplier")
