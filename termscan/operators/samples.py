@@ -43,3 +43,10 @@ def positional_join(left: DataFrame, right: DataFrame, position: str = "pos", na
     wrong = F.raise_error(F.concat(F.lit("row names differ at position "), F.col(position).cast("string")))
     checked = F.when(F.col(name).eqNullSafe(F.col("__name")), F.col(name)).otherwise(wrong.cast(left.schema[name].dataType))
     return joined.withColumn(name, checked).drop("__name")
+
+
+def same_order(left: DataFrame, right: DataFrame, position: str = "sample_pos", name: str = "sample") -> bool:
+    """Whether two catalogues of samples list the same names at the same positions."""
+    other = right.select(position, F.col(name).alias("__name"))
+    joined = left.select(position, name).join(other, position, "full_outer")
+    return joined.filter(~F.col(name).eqNullSafe(F.col("__name"))).isEmpty()

@@ -170,6 +170,42 @@ def _pack_cells(n_terms: int, n_traits: int, width: int):
     return pack
 
 
+def _pack_slices(n_terms: int, n_traits: int, width: int):
+    """Slices of term vectors sorted by row block and term; outcomes carry negative term ids."""
+    ids = np.arange(-n_traits, n_terms)
+
+    def finish(row_block: int, terms: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+        if not np.array_equal(np.concatenate(terms), ids):
+            raise BadShape("some term is missing or occurs twice")
+        flat = np.concatenate(values)
+        if len(flat) % len(ids):
+            raise BadShape("term vectors differ in length")
+        m = flat.reshape(len(ids), -1).T
+        return _cut(row_block, m[:, n_traits:], m[:, :n_traits][:, ::-1], width)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, terms, values = None, [], []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            blocks, t = batch.column("row_block").to_numpy(), batch.column("term_id").to_numpy()
+            column = batch.column("values")
+            at = np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
+            flat = _finite(column.flatten().to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(blocks)]):
+                if blocks[lo] != current:
+                    if terms:
+                        yield finish(current, terms, values)
+                    current, terms, values = int(blocks[lo]), [], []
+                terms.append(t[lo:hi])
+                values.append(flat[at[lo] : at[hi]])
+        if terms:
+            yield finish(current, terms, values)
+
+    return pack
+
+
 def _row_block(n_samples: int, n_terms: int, width: int) -> tuple[Column, int]:
     """Samples are unique, so their hash spreads them evenly over row blocks."""
     n = max(1, -(-n_samples // rows_per_block(n_terms, width)))
@@ -310,3 +346,54 @@ def read_row_blocks(batches: Iterator[pa.RecordBatch], which: Sequence[int]) ->
             held = {b: matrix(tiles[i].as_buffer(), n) for i, b in enumerate(which)}
             held[Y_BLOCK] = matrix(batch.column("y")[r].as_buffer(), n) if len(batch.column("y")[r].as_buffer()) else np.zeros((n, 0))
             yield row_block, held
+
+
+def from_term_vectors(
+    terms: DataFrame, outcomes: DataFrame, traits: tuple[str, ...], n_terms: int, pairs: bool = False, width: int = TILE_WIDTH
+) -> TileSet:
+    """Tiles from whole term vectors ``(term_id, values)`` and outcomes ``(trait, values)`` in the same sample order.
+
+    Vectors are cut into slices of a row block's samples, and one shuffle brings the slices of a row
+    block together: cells never become records of their own.
+    """
+    chosen = outcomes.filter(F.col("trait").isin(list(traits))).select("trait", F.col("values").cast("array<double>").alias("values"))
+    stats = {
+        r.trait: r
+        for r in chosen.select("trait", F.explode("values").alias("y"))
+        .groupBy("trait")
+        .agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
+        .collect()
+    }
+    n_samples = int(max((r.n for r in stats.values()), default=0))
+    for t in traits:
+        if t not in stats or stats[t].n != n_samples:
+            raise BadShape(f"trait {t} does not have one value for each of {n_samples} samples")
+    width = min(width, n_terms)
+    size = rows_per_block(n_terms, width)
+    n_blocks = -(-n_samples // size)
+    index = F.lit(0)
+    for i, t in enumerate(traits):
+        index = F.when(F.col("trait") == t, F.lit(i)).otherwise(index)
+    vectors = terms.select(F.col("term_id").cast("long").alias("term_id"), F.col("values").cast("array<double>").alias("values"))
+    ys = chosen.select((-1 - index).cast("long").alias("term_id"), "values")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("row_block")
+    # The last slice takes the rest, so that a vector of another length shows.
+    length = F.when(F.col("row_block") == n_blocks - 1, F.lit(2**31 - 1)).otherwise(F.lit(size))
+    slices = vectors.unionByName(ys).select("term_id", "values", blocks).select(
+        F.col("row_block").cast("long").alias("row_block"), "term_id", F.slice("values", F.col("row_block") * size + 1, length).alias("values")
+    )
+    n_parts = partitions_for(n_samples, n_terms, pairs, n_blocks, cores(terms))
+    ordered = slices.repartition(n_parts, "row_block").sortWithinPartitions("row_block", "term_id")
+    packed = ordered.mapInArrow(_pack_slices(n_terms, len(traits), width), BLOCK_SCHEMA)
+    kept, written = _kept(packed, n_samples, n_terms, n_parts, check=True)
+    return TileSet(
+        kept,
+        n_samples,
+        n_terms,
+        width,
+        tuple(traits),
+        np.array([stats[t].m for t in traits], dtype=float),
+        _scale([stats[t].v for t in traits]),
+        n_parts,
+        written,
+    )

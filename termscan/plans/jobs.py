@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termscan.operators import grid, lasso, tiles
 from termscan.operators.ols import summary_text
-from termscan.operators.samples import require_same_samples
+from termscan.operators.samples import require_same_samples, same_order
 from termscan.plans.stepwise import check_threshold, model_frame, path_frame, stepwise
 from termscan.sources import sinks, text
 
@@ -34,6 +34,18 @@ def _names(terms: DataFrame, ids: set[int]) -> dict[int, str]:
     return {r.term_id: r.term for r in terms.filter(F.col("term_id").isin(sorted(ids))).collect()} if ids else {}
 
 
+def _tiles(geno: text.TermTable, pheno: text.TermTable, traits: tuple[str, ...], pairs: bool) -> tiles.TileSet:
+    """Tiles of two term-major files. Files in the same sample order are cut as they are, others matched by name."""
+    names = pheno.terms.withColumnRenamed("term", "trait")
+    n_terms = geno.terms.count()
+    if same_order(geno.samples, pheno.samples):
+        ys = pheno.vectors.join(names, "term_id").select("trait", "values")
+        return tiles.from_term_vectors(geno.vectors, ys, traits, n_terms, pairs)
+    require_same_samples(geno.samples, pheno.samples)
+    y = pheno.long().join(names, "term_id").select("sample", "trait", F.col("value").alias("y"))
+    return tiles.from_long(geno.long(), y, traits, pairs, n_terms=n_terms)
+
+
 def run_stepwise(
     spark: SparkSession,
     genotypes: str,
@@ -53,10 +65,8 @@ def run_stepwise(
     check_threshold("backward", backward)
     started = time.perf_counter()
     geno, pheno = text.read_term_major(spark, genotypes), text.read_term_major(spark, phenotypes)
-    require_same_samples(geno.samples, pheno.samples)
     traits = tuple(r.term for r in pheno.terms.orderBy("term_id").collect())
-    y = pheno.long().join(pheno.terms.withColumnRenamed("term", "trait"), "term_id").select("sample", "trait", F.col("value").alias("y"))
-    ts = tiles.from_long(geno.long(), y, traits, pairs, n_terms=geno.terms.count())
+    ts = _tiles(geno, pheno, traits, pairs)
     models, paths = stepwise(ts, pairs, forward, backward, max_iterations=max_iterations)
     seconds = time.perf_counter() - started
     used = {i for m in models.values() for t in m.terms for i in t} | {i for p in paths.values() for s in p for i in s.term}

@@ -24,12 +24,14 @@ MARKER_COLUMNS = ("term", "allele", "chr", "pos", "cm")
 class TermTable:
     """A genotype or phenotype table in long form with its two catalogues.
 
-    ``values(sample_pos, term_id, value)``, ``samples(sample_pos, sample)``, ``terms(term_id, term)``.
+    ``values(sample_pos, term_id, value)``, ``samples(sample_pos, sample)``, ``terms(term_id, term)``,
+    and where the file has one line per term also ``vectors(term_id, values)`` in sample order.
     """
 
     values: DataFrame
     samples: DataFrame
     terms: DataFrame
+    vectors: DataFrame | None = None
 
     def long(self) -> DataFrame:
         """``(sample, term_id, value)``, the form the scans take."""
@@ -98,19 +100,27 @@ def _ragged(expected: Column) -> Column:
     return F.raise_error(F.concat(F.lit("ragged row "), F.col("row"), F.lit(", expected cells: "), expected))
 
 
-def _typed_cells(rows: DataFrame, n_cells: int, first: int) -> DataFrame:
-    """``(row, name, at, value)`` from the cells at ``first`` and after, checked and cast to double."""
+def _typed_rows(rows: DataFrame, is_data: Column, n_cells: int, first: int) -> DataFrame:
+    """``(row, name, values)`` of data rows from the cells at ``first`` and after, checked and cast to double.
+
+    The condition is part of the expression as well, since Spark may evaluate a cast before a filter.
+    """
     checked = F.when(F.size("cells") == n_cells, F.col("cells")).otherwise(
         _ragged(F.lit(n_cells).cast("string")).cast("array<string>")
     )
-    width = F.lit(n_cells - first)
-    return rows.select("row", checked.alias("cells")).select(
-        "row",
-        F.col("cells")[0].alias("name"),
-        F.posexplode(F.transform(F.slice("cells", first + 1, width), lambda c: c.cast("double"))).alias("at", "value"),
+    numbers = F.transform(F.slice("cells", first + 1, n_cells - first), lambda c: c.cast("double"))
+    return (
+        rows.filter(is_data)
+        .select("row", F.when(is_data, checked).alias("cells"))
+        .select("row", F.col("cells")[0].alias("name"), F.when(is_data, numbers).alias("values"))
     )
 
 
+def _typed_cells(rows: DataFrame, is_data: Column, n_cells: int, first: int) -> DataFrame:
+    """``(row, name, at, value)``: the same with one record per value."""
+    return _typed_rows(rows, is_data, n_cells, first).select("row", "name", F.posexplode("values").alias("at", "value"))
+
+
 def require_unique(names: DataFrame, column: str) -> DataFrame:
     """The same rows; a repeated name raises."""
     repeated = names.groupBy(column).count().filter("count > 1").limit(3).collect()
@@ -136,14 +146,16 @@ def read_term_major(spark: SparkSession, path: str, delimiter: str = "\t") -> Te
     header_row = next(s.marked + shift for s, shift in splits if s.marks)
     header = lines.filter(F.col("row") == header_row)
     n_cells = header.select(F.size(F.split("line", delimiter))).first()[0]
-    data = lines.filter(F.col("row") != header_row)
+    is_data = F.col("row") != header_row
+    data = lines.filter(is_data)
     # One cell per sample after the name; term numbers follow the file.
-    cells = _typed_cells(_cells(data, delimiter), n_cells, 1)
+    cells = _typed_cells(_cells(lines, delimiter), is_data, n_cells, 1)
     term_id = (F.col("row") - (F.col("row") > header_row).cast("long")).alias("term_id")
     terms = data.select(term_id, _name(delimiter).alias("term")).persist()
     samples = _cells(header, delimiter).select(F.posexplode(F.slice("cells", 2, n_cells - 1)).alias("sample_pos", "sample"))
     values = cells.select(F.col("at").alias("sample_pos"), term_id, "value")
-    return TermTable(values, samples.persist(), require_unique(terms, "term"))
+    vectors = _typed_rows(_cells(lines, delimiter), is_data, n_cells, 1).select(term_id, "values")
+    return TermTable(values, samples.persist(), require_unique(terms, "term"), vectors)
 
 
 def read_sample_major(
@@ -181,7 +193,7 @@ def read_sample_major_long(
     n_cells = head.select(F.size("cells")).first()[0]
     terms = head.select(F.posexplode(F.slice("cells", 2, n_cells - 1)).alias("term_id", "term"))
     data = rows.filter(F.col("row") > 0)
-    cells = _typed_cells(data, n_cells, 1)
+    cells = _typed_cells(rows, F.col("row") > 0, n_cells, 1)
     samples = data.select((F.col("row") - 1).alias("sample_pos"), F.col("cells")[0].alias("sample"))
     return TermTable(
         cells.select((F.col("row") - 1).alias("sample_pos"), F.col("at").cast("long").alias("term_id"), "value"),
@@ -211,7 +223,7 @@ def read_marker_table(spark: SparkSession, path: str, delimiter: str = "\t") ->
         known[3].cast("long").alias("pos"),
         known[4].cast("double").alias("cm"),
     )
-    cells = _typed_cells(data, n_cells, lead)
+    cells = _typed_cells(rows, F.col("row") > 0, n_cells, lead)
     values = cells.select(F.col("at").alias("sample_pos"), term_id, "value")
     markers = markers.persist()
     terms = require_unique(markers.select("term_id", "term"), "term")

@@ -285,3 +285,23 @@ def test_an_infinite_value_is_an_error(spark):
     x[3, 2] = np.inf
     with pytest.raises(BadShape, match="infinite"):
         tiles.from_vectors(vector_frame(spark, x, {"y": y}), ("y",))
+
+
+@pytest.mark.parametrize("size", [10, 35, 1000])
+def test_term_vector_tiles_agree(spark, monkeypatch, size):
+    x, y = _random(15)
+    monkeypatch.setattr(tiles, "TILE_BYTES", 8 * 4 * size)
+    z = x[:, 2] * x[:, 6] - y
+    vectors = spark.createDataFrame([(j, [float(v) for v in x[:, j]]) for j in range(x.shape[1])], "term_id long, values array<double>")
+    ys = spark.createDataFrame([("z", [float(v) for v in z]), ("y", [float(v) for v in y])], "trait string, values array<double>")
+    ts = tiles.from_term_vectors(vectors.repartition(3), ys, ("y", "z"), x.shape[1], True, 4)
+    mine, _ = sw.stepwise(ts, True, 0.01, 0.02)
+    other, _ = select(vector_frame(spark, x, {"y": y, "z": z}), ("y", "z"), True, forward=0.01, backward=0.02)
+    for trait in ("y", "z"):
+        assert mine[trait].terms == other[trait].terms
+        assert mine[trait].fit.estimate == pytest.approx(other[trait].fit.estimate)
+    short = vectors.filter("term_id <> 3").unionByName(vectors.filter("term_id = 3").selectExpr("term_id", "slice(values, 1, 69) AS values"))
+    with pytest.raises(BadShape):
+        tiles.from_term_vectors(short, ys, ("y",), x.shape[1])
+    with pytest.raises(BadShape, match="missing or occurs twice"):
+        tiles.from_term_vectors(vectors.filter("term_id <> 3"), ys, ("y",), x.shape[1])

@@ -212,3 +212,13 @@ def test_stepwise_job_checks_its_input(spark, tmp_path):
 def test_elapsed(spark):
     assert sinks.elapsed_lines(7200.0)[2] == "Calculation time (in hours): 2.0"
     assert np.isclose(sinks.elapsed(spark.createDataFrame([(90.0,)], "seconds double")).first().minutes, 1.5)
+
+
+def test_stepwise_job_with_samples_in_another_order(spark, tmp_path):
+    names = [f"i{i + 1}" for i in range(9)]
+    geno = _write(tmp_path / "g.txt", [["HeaderLine", *names], *[[k, *v] for k, v in CEMENT.items()]])
+    pheno = _write(tmp_path / "p.txt", [["HeaderLine", *names[::-1]], ["heat", *CEMENT_Y[::-1]]])
+    frame = jobs.run_stepwise(spark, geno, pheno, str(tmp_path / "out"), pairs=False)
+    rows = frame.orderBy("position").collect()
+    assert [r.term for r in rows] == ["x2", "x1", "(Intercept)"]
+    assert [r.estimate for r in rows] == pytest.approx([0.65914, 1.43143, 53.02180], abs=1e-5)
