@@ -10,7 +10,15 @@ class NoCandidates(TermscanError):
 
 
 class NoTermEntered(TermscanError):
-    """The best term of the first scan does not reach the entry threshold."""
+    """The best term of the first scan does not reach the entry threshold.
+
+    ``models`` and ``paths`` hold the results of other outcomes that were searched along with it.
+    """
+
+    def __init__(self, message: str, models: dict | None = None, paths: dict | None = None):
+        super().__init__(message)
+        self.models = models or {}
+        self.paths = paths or {}
 
 
 class NotEnoughSamples(TermscanError):

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termscan.errors import NoTermEntered
 from termscan.operators import grid, lasso, tiles
 from termscan.operators.ols import summary_text
 from termscan.operators.samples import require_same_samples, same_order
@@ -67,19 +68,28 @@ def run_stepwise(
     geno, pheno = text.read_term_major(spark, genotypes), text.read_term_major(spark, phenotypes)
     traits = tuple(r.term for r in pheno.terms.orderBy("term_id").collect())
     ts = _tiles(geno, pheno, traits, pairs)
-    models, paths = stepwise(ts, pairs, forward, backward, max_iterations=max_iterations)
+    failure = None
+    try:
+        models, paths = stepwise(ts, pairs, forward, backward, max_iterations=max_iterations)
+    except NoTermEntered as err:
+        # What was found for other traits is still written.
+        failure, models, paths = err, err.models, err.paths
+        if not models:
+            raise
     seconds = time.perf_counter() - started
     used = {i for m in models.values() for t in m.terms for i in t} | {i for p in paths.values() for s in p for i in s.term}
     names = _names(geno.terms, used - {-1})
     frame = model_frame(spark, models, names)
     inputs = {"Genotype File": genotypes, "Phenotype File": phenotypes}
-    for trait in traits:
+    for trait in models:
         lines = summary_text(frame.filter(F.col("phenotype") == trait), trait)
         sinks.write_summary(spark, out, trait, seconds, inputs, lines)
     sinks.write_model_terms(frame, out)
     path_frame(spark, paths, names).write.mode("overwrite").parquet(f"{out}/steps")
     sinks.write_total_time(spark, out, time.perf_counter() - started)
     ts.release()
+    if failure:
+        raise failure
     return frame
 
 

@@ -142,7 +142,8 @@ def stepwise(
 
     A term enters while its p-value is below ``forward``; terms at or above ``backward`` leave and
     sit out the next scan. When nothing more enters, the model of the iteration before is the
-    result, together with the terms its own removal check flagged.
+    result, together with the terms its own removal check flagged. An outcome that no term enters
+    for is an error, raised when the others are done and carrying their results.
     """
     check_threshold("forward", forward)
     check_threshold("backward", backward)
@@ -156,6 +157,7 @@ def stepwise(
         if n_all <= len(running[trait].state.terms) + len(skipped):
             raise NoCandidates(f"no term is left to try for {trait}")
     done: dict[str, _Done] = {}
+    failed: list[str] = []
     for _ in range(max_iterations):
         if not running:
             break
@@ -163,7 +165,12 @@ def stepwise(
         closed = {t: s.skipped | frozenset(s.state.terms) for t, s in running.items()}
         best = best_candidates(ts, states, closed, pairs)
         for trait, search in list(running.items()):
-            after = advance(search, best.get(trait), n, n_all, forward, backward)
+            try:
+                after = advance(search, best.get(trait), n, n_all, forward, backward)
+            except NoTermEntered:
+                failed.append(trait)
+                del running[trait]
+                continue
             if isinstance(after, _Done):
                 done[trait] = after
                 del running[trait]
@@ -171,9 +178,13 @@ def stepwise(
                 running[trait] = after
     for trait, s in running.items():
         done[trait] = _Done(s.previous, s.previous_flagged, "iterations", s.path)
-    fits = fit_models(ts, {t: d.state.terms for t, d in done.items()}, {t: d.state for t, d in done.items()})
+    states = {t: d.state for t, d in done.items()}
+    fits = fit_models(ts, {t: s.terms for t, s in states.items()}, states) if done else {}
     models = {t: Model(d.state.terms, fits[t], d.flagged, d.status) for t, d in done.items()}
-    return models, {t: d.path for t, d in done.items()}
+    paths = {t: d.path for t, d in done.items()}
+    if failed:
+        raise NoTermEntered(f"no term enters at {forward} for {', '.join(failed)}", models, paths)
+    return models, paths
 
 
 def term_name(term: Term, names: Sequence[str] | None) -> str:

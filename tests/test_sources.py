@@ -222,3 +222,16 @@ def test_stepwise_job_with_samples_in_another_order(spark, tmp_path):
     rows = frame.orderBy("position").collect()
     assert [r.term for r in rows] == ["x2", "x1", "(Intercept)"]
     assert [r.estimate for r in rows] == pytest.approx([0.65914, 1.43143, 53.02180], abs=1e-5)
+
+
+def test_one_trait_without_terms_does_not_lose_the_others(spark, tmp_path):
+    names = [f"i{i + 1}" for i in range(9)]
+    noise = [1.0, -1.0, 1.0, -1.0, 1.0, -1.0, 1.0, -1.0, 0.0]
+    geno = _write(tmp_path / "g.txt", [["HeaderLine", *names], *[[k, *v] for k, v in CEMENT.items()]])
+    pheno = _write(tmp_path / "p.txt", [["HeaderLine", *names], ["noise", *noise], ["heat", *CEMENT_Y]])
+    out = str(tmp_path / "out")
+    with pytest.raises(NoTermEntered, match="noise"):
+        jobs.run_stepwise(spark, geno, pheno, out, forward=0.01, backward=0.01, pairs=False)
+    written = spark.read.parquet(f"{out}/model_terms")
+    assert {r.phenotype for r in written.collect()} == {"heat"}
+    assert any("x2" in r.value for r in spark.read.text(f"{out}/heat.summary").collect())
