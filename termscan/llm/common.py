@@ -72,15 +72,19 @@ def link_groups(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     admissible: Callable[[str, str], F.Column] | None = None,
+    centre: F.Column | None = None,
+    bounds: DataFrame | None = None,
+    bounded: Callable[[str, str], F.Column] | None = None,
     pivot_rounds: int = 2,
 ) -> DataFrame:
     """Components of the nodes that meet under a key and pass ``verify``: ``(node, component)``.
 
     ``members`` holds ``key, node`` and what ``admissible(left, right)`` reads from the two sides of a
     pair. Expanding every group into all its pairs would grow with the square of a group, so first each
-    member is verified against one pivot of its group, in ``pivot_rounds`` rounds with other pivots; a
-    pair already in one component needs no further look. The last round takes every pair of members
-    that is still in different components: nothing is left out, and no pair is verified twice.
+    member is verified against one pivot of its group, in ``pivot_rounds`` rounds with other pivots, at
+    first the member with the least ``centre``; a pair already in one component needs no further look.
+    The last round takes every pair of members still in different components that ``bounded`` cannot
+    rule out from ``bounds`` (one row per node): nothing is left out, and no pair is verified twice.
     """
     spark = members.sparkSession
     none = spark.range(0)
@@ -88,17 +92,21 @@ def link_groups(
     label = none.select(F.col("id").alias("node"), F.col("id").alias("component"))
     for turn in range(pivot_rounds + 1):
         own = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        order = F.xxhash64("node", F.lit(turn)) if turn or centre is None else centre
         spread = own.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min_by("node", F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("pivot"),
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("node", order).alias("pivot"),
         ).where("lo < hi")
         own = own.join(spread.select("key", "pivot"), "key")
+        if turn == pivot_rounds and bounds is not None:
+            own = own.join(bounds, "node")
         left, right = own.alias("l"), own.alias("r")
         apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component"))
         if turn < pivot_rounds:
             right = own.where("node = pivot").alias("r")
         else:
             apart = apart & (F.col("l.node") < F.col("r.node"))
+            if bounded is not None:
+                apart = apart & bounded("l", "r")
         if admissible is not None:
             apart = apart & admissible("l", "r")
         pairs = (
@@ -109,9 +117,7 @@ def link_groups(
         )
         pairs = durable(pairs, "pairs")
         if pairs.isEmpty():
-            if turn < pivot_rounds:
-                continue
-            break
+            continue
         found = durable(verify(pairs).select("a", "b", "linked"), "links")
         done = done.union(found)
         label = components(done.where("linked").select("a", "b"))

@@ -4,8 +4,9 @@ A document's set holds its distinct shingles of ``SHINGLE`` words (ASCII lower c
 white space). Documents with equal sets form one class. Shingles are ordered rare first, by counts over
 all documents; two sets with Jaccard similarity ``T`` or more must then share one of their first
 ``n - ceil(T n) + 1`` shingles, so only those are joined. Length and positional filters drop pairs when
-they are formed, a suffix filter (an upper bound of the overlap, from counts in parts of the token
-space) before the sets are fetched, and each remaining pair is verified once on the whole sets.
+they are formed, a suffix filter (a lower bound of the Hamming distance of the sets, from bitmaps of
+their tokens' parities) before the sets are fetched, and each remaining pair is verified once on the
+whole sets.
 
 Shingles are known by 64-bit hashes of their words, sets by 64-bit hashes of their shingles.
 """
@@ -26,8 +27,8 @@ T_NUM, T_DEN = 4, 5
 SKETCH_BITS = 18
 #: The sketch travels in slices, added up in two steps of at most FAN_IN partial slices.
 SLICES, FAN_IN = 16, 512
-#: Parts of the token space that the suffix filter counts in.
-PARTS = 16
+#: Longs of the bitmap from which the suffix filter bounds how far two sets differ.
+WORDS = 8
 _CHUNK = 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -106,6 +107,15 @@ def _set_key(h: np.ndarray) -> int:
     return int(mix64(np.array([np.add.reduce(mix64(h ^ np.uint64(_BASE))) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
 
 
+def _parities(h: np.ndarray) -> bytes:
+    """For each of 64 * WORDS parts of the token space, whether the set has an odd number of tokens there.
+
+    A token in only one of two sets changes one bit, so two sets differ in as many tokens as bits at least.
+    """
+    odd = np.bincount((h >> np.uint64(4)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _profile(batches):
     """Rows of kind 0 for documents, of kind 1 for slices of the counts of this task's shingles."""
     names = ["kind", "id", "n", "node", "parts"]
@@ -119,7 +129,7 @@ def _profile(batches):
             ids.append(doc)
             n.append(len(h))
             node.append(_set_key(h))
-            parts.append(np.bincount((h >> np.uint64(4)).astype(np.int64) % PARTS, minlength=PARTS).astype("<i4").tobytes())
+            parts.append(_parities(h))
         rows += len(ids)
         for k, at in enumerate(_counters(np.concatenate(sets))):
             sketch[k] += np.bincount(at, minlength=1 << SKETCH_BITS)
@@ -205,15 +215,17 @@ def _admissible(left: str, right: str):
     )
 
 
-def _bounded(batches):
-    """Suffix filter: the overlap is at most the sum over parts of the smaller count."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, PARTS) for c in ("pa", "pb"))
-        most = np.minimum(pa_, pb).sum(axis=1)
-        keep = (T_NUM + T_DEN) * most >= T_NUM * (pa_.sum(axis=1) + pb.sum(axis=1))
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+def _bits(parts: str) -> list:
+    """The bitmap's longs, from its bytes."""
+    return [F.conv(F.hex(F.substring(parts, 8 * k + 1, 8)), 16, -10).cast("long").alias(f"bits{k}") for k in range(WORDS)]
+
+
+def _bounded(left: str, right: str):
+    """Suffix filter: whether the bitmaps allow a Hamming distance as small as the threshold needs."""
+    n = F.shiftright(F.col(f"{left}.meta"), 31) + F.shiftright(F.col(f"{right}.meta"), 31)
+    apart = sum((F.bit_count(F.col(f"{left}.bits{k}").bitwiseXOR(F.col(f"{right}.bits{k}"))) for k in range(1, WORDS)),
+                F.bit_count(F.col(f"{left}.bits0").bitwiseXOR(F.col(f"{right}.bits0"))))
+    return (T_NUM + T_DEN) * apart <= (T_DEN - T_NUM) * n
 
 
 def _sets(batches):
@@ -248,25 +260,31 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = durable(texts.mapInArrow(_profile, "kind int, id long, n long, node long, parts binary"), "profile")
     each = seen.where("kind = 0")
-    classes = each.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("parts").alias("parts"))
+    classes = each.where("n > 0").groupBy("node").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     shared = spark.sparkContext.broadcast(frequencies(seen.where("kind = 1")))
     keyed = texts.mapInArrow(_prefixes(shared), "key long, node long, meta long")
     span = "OVER (PARTITION BY key)"
     members = keyed.withColumns({"lo": F.expr(f"min(node) {span}"), "hi": F.expr(f"max(node) {span}")}).where("lo < hi")
     members = durable(members.select("key", "node", "meta").distinct(), "members")
 
+    bounds = classes.select("node", *_bits("parts"))
+    sides = classes.select("node", (F.col("n") * (1 << 31)).alias("meta"), *_bits("parts"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        parts = classes.select("node", "parts")
-        near = pairs.join(parts.toDF("a", "pa"), "a").join(parts.toDF("b", "pb"), "b").mapInArrow(_bounded, "a long, b long")
-        near = durable(near, "near")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        near = pairs.join(sides.toDF("a", *[f"l{c}" for c in sides.columns[1:]]), "a")
+        near = near.join(sides.toDF("b", *[f"r{c}" for c in sides.columns[1:]]), "b")
+        near = near.select("a", "b", *[F.struct(*[F.col(s + c).alias(c) for c in sides.columns[1:]]).alias(s) for s in "lr"])
+        near = durable(near.where(_bounded("l", "r")).select("a", "b"), "near")
+        wanted = near.select("a").union(near.select("b")).toDF("node").distinct()
         ids = wanted.join(classes, "node").select("node", F.col("rep").alias("id"))
         rows = texts.join(ids.select("id").distinct(), "id").select("id", "text")
         sets = durable(rows.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), "sets")
         return near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(
             _verified, "a long, b long, linked boolean")
 
-    label = link_groups(members, verify, _admissible)
+    place = F.col("meta").bitwiseAND((1 << 31) - 1)  # few rare shingles of its own: near the middle of its group
+    label = link_groups(members, verify, _admissible, place, bounds, _bounded)
     best = label.join(classes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     best = label.join(best, "component").select("node", "component_id")
     own = classes.join(best, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
