@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termscan.llm import jaccard_join, licenses
+from termscan.llm import jaccard_join, licenses, mixing
 from termscan.llm.common import read
 from termscan.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -17,3 +17,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents"))
