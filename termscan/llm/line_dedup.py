@@ -23,6 +23,9 @@ T_NUM, T_DEN = 4, 5
 WIDTH = 9
 BANDS, ROWS = 6, 2
 BINS = BANDS * ROWS
+#: Bitmaps of a line.
+MAPS = 4
+ODD = [f"odd{q}" for q in range(MAPS)]
 #: Each place that starts a shingle; a match takes no characters, so shingles overlap.
 SHINGLE = rf"(?<![0-9a-z])(?=(\S.{{0,{WIDTH - 1}}}))"
 #: Lines of one document whose marks share a long.
@@ -37,26 +40,29 @@ def shingles(line: Column) -> Column:
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``n``, the bitmaps ``odd0, odd1`` and the band hashes ``band0 ..`` of its ``line``.
+    """``rows`` with ``n``, the bitmaps ``odd0 ..`` and the band hashes ``band0 ..`` of its ``line``.
 
     A bin's value is the smallest hash in its part of the hash range; an empty bin borrows from the next
-    that is not empty. A bitmap has the parity of the number of shingles in each of 64 parts.
+    that is not empty. The bitmaps have the parity of the number of shingles in each of 64 parts of
+    each fourth of the hash range.
     """
     rows = rows.withColumn("sig", F.sort_array(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))))
     part = lambda h: F.shiftright((F.shiftright(h, 32) + (1 << 31)) * BINS, 32).cast("int")
     rows = rows.withColumn("parts", F.transform("sig", part))
-    at = [F.array_position("parts", F.lit(i)).cast("int") for i in range(BINS)]
-    rows = rows.withColumn("bins", F.array(*[F.when(p > 0, F.get("sig", p - 1)) for p in at]))
+    rows = rows.withColumn("at", F.array(*[F.nullif(F.array_position("parts", F.lit(i)).cast("int"), F.lit(0)) for i in range(BINS)]))
+    rows = rows.withColumn("bins", F.transform("at", lambda p: F.get("sig", p - 1)))
     value = [F.coalesce(*[F.get("bins", F.lit((i + k) % BINS)) for k in range(BINS)]) for i in range(BINS)]
-
-    def odd(shift: int) -> Column:
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, shift).bitwiseAND(63).cast("int"))
-        return F.aggregate("sig", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
-
+    start = [F.coalesce(*[F.get("at", F.lit(i)) for i in range(q * BINS // MAPS, BINS)], F.size("sig") + 1) for q in range(MAPS)]
+    start.append(F.size("sig") + 1)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    odd = [
+        F.aggregate(F.slice("sig", start[q], start[q + 1] - start[q]), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+        for q in range(MAPS)
+    ]
     return rows.select(
-        "*", F.size("sig").cast("long").alias("n"), odd(0).alias("odd0"), odd(6).alias("odd1"),
+        "*", F.size("sig").cast("long").alias("n"), *[o.alias(f"odd{q}") for q, o in enumerate(odd)],
         *[F.xxhash64(F.lit(b), *value[b * ROWS : (b + 1) * ROWS]).alias(f"band{b}") for b in range(BANDS)],
-    ).drop("sig", "parts", "bins")
+    ).drop("sig", "parts", "at", "bins")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +80,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def _near(left: str, right: str) -> Column:
     """Whether two sets can be similar enough: by their sizes, and by the bits in which bitmaps differ."""
     l, r = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))  # noqa: E731,E741
-    apart = F.greatest(*[F.bit_count(l(c).bitwiseXOR(r(c))) for c in ("odd0", "odd1")])
+    apart = sum((F.bit_count(l(c).bitwiseXOR(r(c))) for c in ODD[1:]), F.bit_count(l(ODD[0]).bitwiseXOR(r(ODD[0]))))
     return (T_DEN * F.least(l("n"), r("n")) >= T_NUM * F.greatest(l("n"), r("n"))) & (
         (T_NUM + T_DEN) * apart <= (T_DEN - T_NUM) * (l("n") + r("n")))
 
@@ -83,14 +89,14 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``(doc, version, line_no)`` of the lines that stay: the first of each component of similar lines."""
     place = F.struct("doc", "version", "line_no")
     each = signed(lines(docs, id_col, text_col).withColumn("node", F.xxhash64("line"))).drop("line")
-    marks = ["n", "odd0", "odd1", *[f"band{b}" for b in range(BANDS)]]
-    classes = each.groupBy("node").agg(F.min(place).alias("first"), *[F.min(c).alias(c) for c in marks])
+    marks = ["n", *ODD, *[f"band{b}" for b in range(BANDS)]]
+    classes = each.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in marks])
     classes = durable(classes, "lines")
 
     keys = F.explode(F.array(*[f"band{b}" for b in range(BANDS)]))
     span = "OVER (PARTITION BY key)"
     keyed = classes.select(keys.alias("key"), "node").withColumns({"lo": F.expr(f"min(node) {span}"), "hi": F.expr(f"max(node) {span}")})
-    members = keyed.where("lo < hi").select("key", "node").distinct().join(classes.select("node", "n", "odd0", "odd1"), "node")
+    members = keyed.where("lo < hi").select("key", "node").distinct().join(classes.select("node", "copies", "n", *ODD), "node")
     members = durable(members, "bands")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -108,7 +114,8 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select(
             "a", "b", ((T_NUM + T_DEN) * both >= T_NUM * (F.size("sa") + F.size("sb"))).alias("linked"))
 
-    label = link_groups(members, verify, _near)
+    # the line that others were made from tends to have the most copies
+    label = link_groups(members, verify, _near, centre=-F.col("copies"), pivot_rounds=3)
     own = classes.select("node", "first").join(label, "node", "left")
     return own.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.*")
 
