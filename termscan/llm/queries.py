@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termscan.llm import embedding_dedup, jaccard_join, licenses, line_dedup, mixing
+from termscan.llm import embedding_dedup, fingerprints, jaccard_join, licenses, line_dedup, mixing
 from termscan.llm.common import read
 from termscan.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -32,3 +32,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_groups(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
