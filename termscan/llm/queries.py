@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termscan.llm import embedding_dedup, fingerprints, jaccard_join, licenses, line_dedup, mixing
+from termscan.llm import embedding_dedup, fingerprints, jaccard_join, licenses, line_dedup, mixing, subwords
 from termscan.llm.common import read
 from termscan.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -37,3 +37,8 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.encode(read(spark, sf_dir, "documents"))
