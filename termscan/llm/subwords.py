@@ -27,7 +27,7 @@ from termscan.llm.common import mix64, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 20261201, 4
 #: Word types a task remembers before it starts again.
-CACHE = 400_000
+CACHE = 800_000
 #: Symbols of a word that is merged together with others; longer words are merged one by one.
 WIDE = 48
 _MARK = "▁"
@@ -91,7 +91,7 @@ class Pieces:
 
     def _merged(self, words: list[str], variants: np.ndarray) -> list[list[int]]:
         """Agenda processing of many words at once, all of one length: each step takes every word's best candidate."""
-        chars = np.array([[ord(c) for c in w] for w in words], np.int64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
         out: list[list[int]] = [[]] * len(words)
         sym, width = self.of_char[chars], chars.shape[1]
         place = np.broadcast_to(np.arange(width), sym.shape).copy()
