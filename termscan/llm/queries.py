@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termscan.llm import embedding_dedup, fingerprints, jaccard_join, licenses, line_dedup, mixing, subwords
+from termscan.llm import embedding_dedup, fingerprints, jaccard_join, licenses, line_dedup, mixing, subwords, toxicity
 from termscan.llm.common import read
 from termscan.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -42,3 +43,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.encode(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score(docs, model)
