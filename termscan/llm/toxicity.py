@@ -26,7 +26,7 @@ from termscan.llm.common import durable, small_batches
 #: Labelled documents of either label, features and counterfactual pairs that a fit uses at most.
 SAMPLE, FEATURES, PAIRS = 2000, 4096, 20_000
 #: Signed root of the log-likelihood ratio from which a feature is used.
-EVIDENCE = 4.2
+EVIDENCE = 3.6
 RIDGE, FAIRNESS, STEPS = 2e-4, 1.0, 400
 THRESHOLD = 0.3
 #: Identity terms by group: a term is swapped for the others of its line.
@@ -111,8 +111,11 @@ def _sum_rows(at: list[list[int]], weights: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(at)), size), weights[flat], len(at))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, swapped: list[tuple[list[int], list[int]]], width: int, fairness: float = FAIRNESS) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the logistic regression with the counterfactual penalty, by momentum descent."""
+def fit(rows: list[list[int]], labels: np.ndarray, swapped: list[tuple[list[int], list[int]]], width: int, share: float = 0.5, fairness: float = FAIRNESS) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression with the counterfactual penalty, by momentum descent.
+
+    ``share`` is the share of label 1 among all labelled rows, of which these are a sample by label.
+    """
     size = np.array([len(x) for x in rows])
     of = np.repeat(np.arange(len(rows)), size)
     flat = np.fromiter((i for x in rows for i in x), np.int64, int(size.sum()))
@@ -120,8 +123,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, swapped: list[tuple[list[int]
     ls, rs = (np.array([len(x) for x in side], np.int64) for side in (left, right))
     lf, rf = (np.fromiter((i for x in side for i in x), np.int64, int(s.sum())) for side, s in ((left, ls), (right, rs)))
     lo, ro = (np.repeat(np.arange(len(swapped)), s) for s in (ls, rs))
-    # both labels weigh the same, half each
-    weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
+    weight = np.where(labels == 1, share / max(1, labels.sum()), (1 - share) / max(1, (1 - labels).sum()))
     w, b = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
@@ -161,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    all_of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 0").orderBy(order).limit(SAMPLE).union(known.where("toxic = 1").orderBy(order).limit(SAMPLE))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
@@ -184,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
     chosen = list(dict.fromkeys(chosen + terms))
     got = rows.mapInArrow(_designed(chosen), "features array<int>, toxic int, swaps array<array<array<int>>>").collect()  # bounded as above
     pairs = sorted({(tuple(a), tuple(b)) for r in got for a, b in r.swaps})[:PAIRS]
-    w, b = fit([r.features for r in got], np.array([r.toxic for r in got]), pairs, len(chosen))
+    w, b = fit([r.features for r in got], np.array([r.toxic for r in got]), pairs, len(chosen), all_of[1] / (all_of[0] + all_of[1]))
     return {f: float(x) for f, x in zip(chosen, w, strict=True) if x}, float(b)
 
 
