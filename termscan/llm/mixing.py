@@ -153,10 +153,18 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     """
     sized = durable(sizes(docs), "sizes")
     cut = pieces(sized, block_words).join(slots(targets(sized, block_words), shard_slots), ["named", "block"])
-    each = docs.join(cut.select(F.col("doc").alias("__doc"), "lo", "hi", "shard", "slot"), F.col("doc_id") == F.col("__doc"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    piece = F.array_join(F.slice(words, (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
-    each = each.withColumn("text", piece)
+    places = F.collect_list(F.struct("lo", "hi", "shard", "slot")).alias("__takes")
+    takes = cut.groupBy(F.col("doc").alias("__doc")).agg(places)
+    words = F.array(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)))
+
+    def piece(all_words: Column, t: Column) -> Column:
+        own = F.slice(all_words, (t["lo"] + 1).cast("int"), (t["hi"] - t["lo"]).cast("int"))
+        return F.struct(F.array_join(own, " ").alias("text"), t["shard"].alias("shard"), t["slot"].alias("slot"))
+
+    # the words are bound once, whatever the number of pieces
+    each = docs.join(takes, F.col("doc_id") == F.col("__doc")).withColumn(
+        "__piece", F.explode(F.flatten(F.transform(words, lambda ws: F.transform("__takes", lambda t: piece(ws, t))))))
+    each = each.withColumn("text", F.col("__piece.text"))
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.length("text").cast("long"))
-    return each.select(*docs.columns, "shard", "slot")
+    return each.select(*docs.columns, F.col("__piece.shard").alias("shard"), F.col("__piece.slot").alias("slot"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.llm import embedding_dedup, fingerprints, jaccard_join, language_id, licenses, line_dedup, mixing, subwords, toxicity
+from termscan.llm import embedding_dedup, fingerprints, jaccard_join, language_id, licenses, line_dedup, mixing, pii, subwords, toxicity
 from termscan.llm.common import read
 from termscan.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -56,3 +56,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs, ~language_id.held_out(F.col("doc_id"))))
+
+
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
