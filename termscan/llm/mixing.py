@@ -131,7 +131,8 @@ def taken(docs: DataFrame) -> DataFrame:
     sized = durable(sizes(docs), "sizes")  # the texts are read once
     shares = durable(targets(sized), "shares")
     times = slots(shares).groupBy("named", "block").agg(F.count(F.lit(1)).alias("times"))
-    drawn = pieces(sized).join(times, ["named", "block"]).groupBy("named", F.coalesce("doc", F.lit(-1)).alias("id"), F.col("doc").isNull().alias("lost"), "size").agg(
+    # the planner takes the drawn slots for small, as they come from a row per source: never broadcast them
+    drawn = pieces(sized).join(times.hint("merge"), ["named", "block"]).groupBy("named", F.coalesce("doc", F.lit(-1)).alias("id"), F.col("doc").isNull().alias("lost"), "size").agg(
         F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("drawn"))
     rows = sized.withColumns({"named": _named(), "id": F.coalesce("doc", F.lit(-1)), "lost": F.col("doc").isNull()})
     copies = rows.groupBy("named", "id", "lost", "size").agg(F.count(F.lit(1)).alias("copies"))
@@ -152,7 +153,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     without words give no piece.
     """
     sized = durable(sizes(docs), "sizes")
-    cut = pieces(sized, block_words).join(slots(targets(sized, block_words), shard_slots), ["named", "block"])
+    cut = pieces(sized, block_words).join(slots(targets(sized, block_words), shard_slots).hint("merge"), ["named", "block"])
     places = F.collect_list(F.struct("lo", "hi", "shard", "slot")).alias("__takes")
     takes = cut.groupBy(F.col("doc").alias("__doc")).agg(places)
     words = F.array(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)))
@@ -162,7 +163,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
         return F.struct(F.array_join(own, " ").alias("text"), t["shard"].alias("shard"), t["slot"].alias("slot"))
 
     # the words are bound once, whatever the number of pieces
-    each = docs.join(takes, F.col("doc_id") == F.col("__doc")).withColumn(
+    each = docs.join(takes.hint("merge"), F.col("doc_id") == F.col("__doc")).withColumn(
         "__piece", F.explode(F.flatten(F.transform(words, lambda ws: F.transform("__takes", lambda t: piece(ws, t))))))
     each = each.withColumn("text", F.col("__piece.text"))
     if "n_chars" in docs.columns:
