@@ -75,7 +75,7 @@ def link_groups(
     centre: F.Column | None = None,
     bounds: DataFrame | None = None,
     bounded: Callable[[str, str], F.Column] | None = None,
-    pivot_rounds: int = 2,
+    pivot_rounds: int = 1,
 ) -> DataFrame:
     """Components of the nodes that meet under a key and pass ``verify``: ``(node, component)``.
 

@@ -26,8 +26,9 @@ BINS = BANDS * ROWS
 #: Bitmaps of a line.
 MAPS = 4
 ODD = [f"odd{q}" for q in range(MAPS)]
-#: Each place that starts a shingle; a match takes no characters, so shingles overlap.
-SHINGLE = rf"(?<![0-9a-z])(?=(\S.{{0,{WIDTH - 1}}}))"
+#: Each place that starts a shingle. A match runs over the rest of the word and the character after it,
+#: which start none, so that the next search begins behind them.
+SHINGLE = rf"(?=(\S.{{0,{WIDTH - 1}}}))(?:[0-9a-z]++\S?+|\S)"
 #: Lines of one document whose marks share a long.
 MARKS = 62
 #: Documents up to which a list of ids is broadcast (16 MB); a longer one is joined by a shuffle.
@@ -46,7 +47,8 @@ def signed(rows: DataFrame) -> DataFrame:
     that is not empty. The bitmaps have the parity of the number of shingles in each of 64 parts of
     each fourth of the hash range.
     """
-    rows = rows.withColumn("sig", F.sort_array(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))))
+    every = F.regexp_extract_all(F.lower("line"), F.lit(SHINGLE), F.lit(1))
+    rows = rows.withColumn("sig", F.sort_array(F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))))
     part = lambda h: F.shiftright((F.shiftright(h, 32) + (1 << 31)) * BINS, 32).cast("int")
     rows = rows.withColumn("parts", F.transform("sig", part))
     rows = rows.withColumn("at", F.array(*[F.nullif(F.array_position("parts", F.lit(i)).cast("int"), F.lit(0)) for i in range(BINS)]))
@@ -115,7 +117,7 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "a", "b", ((T_NUM + T_DEN) * both >= T_NUM * (F.size("sa") + F.size("sb"))).alias("linked"))
 
     # the line that others were made from tends to have the most copies
-    label = link_groups(members, verify, _near, centre=-F.col("copies"), pivot_rounds=3)
+    label = link_groups(members, verify, _near, centre=-F.col("copies"))
     own = classes.select("node", "first").join(label, "node", "left")
     return own.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.*")
 
