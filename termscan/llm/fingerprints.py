@@ -45,19 +45,27 @@ def samples(term: Column, logs: dict[str, Column], n: int = SAMPLES) -> dict[str
     return out
 
 
-def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], n: int = SAMPLES) -> DataFrame:
-    """``keys`` and one fingerprint ``fp_<text>`` per named text; ``rows`` must be spread by the first key."""
+def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], facts: dict[str, Column] | None = None, n: int = SAMPLES) -> DataFrame:
+    """``keys``, one fingerprint ``fp_<text>`` per named text, and the ``facts``, longs that each row has.
+
+    ``rows`` must be spread by the first key: then nothing is shuffled. Facts ride along as rows of a kind
+    of their own, so the texts are read once and a row without tokens still has its result.
+    """
+    facts = facts or {}
     token = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+", -1), lambda w: w != "")
-    marked = lambda c, i: F.transform(token(c), lambda w: F.struct(F.xxhash64(w).alias("term"), F.lit(i).alias("text")))
-    each = F.explode(F.flatten(F.array(*[marked(c, i) for i, c in enumerate(texts)])))
-    terms = rows.select(*keys, each.alias("t")).select(*keys, "t.*")
-    counted = terms.groupBy(*keys, "term").agg(*[
-        F.sum(F.when(F.col("text") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(texts))])
-    logs = counted.select(*keys, "term", *[F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))).alias(f"log{i}") for i in range(len(texts))])
+    marked = lambda c, i: F.transform(token(c), lambda w: F.struct(F.xxhash64(w).alias("term"), F.lit(i).alias("kind")))
+    told = F.array(*[F.struct(x.cast("long").alias("term"), F.lit(-1 - k).alias("kind")) for k, x in enumerate([F.lit(0), *facts.values()])])
+    each = F.explode(F.concat(told, *[marked(c, i) for i, c in enumerate(texts)]))
+    terms = rows.select(*keys, each.alias("t")).select(*keys, "t.*").withColumn("fact", F.least("kind", F.lit(0)))
+    counted = terms.groupBy(*keys, "fact", "term").agg(*[
+        F.sum(F.when(F.col("kind") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(texts))])
+    logs = counted.select(*keys, "fact", "term", *[F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))).alias(f"log{i}") for i in range(len(texts))])
     packed = samples(F.col("term"), {c: F.col(f"log{i}") for i, c in enumerate(texts)}, n)
-    least = logs.groupBy(*keys).agg(*[F.min(x).alias(f"{c}_{k}") for c, xs in packed.items() for k, x in enumerate(xs)])
+    least = logs.groupBy(*keys).agg(
+        *[F.min(x).alias(f"{c}_{k}") for c, xs in packed.items() for k, x in enumerate(xs)],
+        *[F.max(F.when(F.col("fact") == -2 - k, F.col("term"))).alias(f) for k, f in enumerate(facts)])
     digits = lambda x: F.lpad(F.lower(F.hex(x)), _DIGITS, "0")
-    return least.select(*keys, *[
+    return least.select(*keys, *facts, *[
         F.when(F.col(f"{c}_0").isNull(), F.lit("")).otherwise(F.concat(*[digits(F.col(f"{c}_{k}")) for k in range(n)])).alias(f"fp_{c}")
         for c in texts])
 
@@ -96,6 +104,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     head_texts = docs.join(F.broadcast(follow), F.col("doc") == F.col("head")).groupBy("range", "head").agg(F.min("text").alias("head_text"))
     order = Window.partitionBy("range").orderBy(F.col("doc").desc(), F.col("text"))
     # equal ids stand together, smallest text first: the next row with another id is what follows
+    located = located.repartition(parts, "range")  # small parts: what a task counts later must fit in memory
     rows = located.withColumns({"d1": F.lead("doc").over(order), "t1": F.lead("text").over(order)})
     repeated = ids.groupBy("doc").count().where("count > 1")
     if not repeated.isEmpty():
@@ -124,11 +133,17 @@ def edited_fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     cut = F.floor(n_chars / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, length(text) - floor(length(text) / 3))"), F.substring("next_text", F.lit(1), cut)))
     keys = ["range", "doc", "version"]
-    told = rows.select(*keys, "next_doc", F.xxhash64("next_text").alias("next_version"), n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    prints = durable(fingerprints(rows, keys, ["text", "edited"], n), "prints")
-    same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
-    whole = told.alias("a").join(prints.alias("b"), same("a", "b", keys), "left").select(
-        "a.*", F.coalesce("b.fp_text", F.lit("")).alias("fingerprint"), F.coalesce("b.fp_edited", F.lit("")).alias("edited_fingerprint"))
+    sha = F.sha2("edited", 256)
+    facts = {"n_chars": n_chars, "next_doc": F.col("next_doc"), "next_version": F.xxhash64("next_text")}
+    facts |= {f"sha{k}": F.conv(F.substring(sha, 16 * k + 1, 16), 16, -10) for k in range(4)}
+    prints = durable(fingerprints(rows, keys, ["text", "edited"], facts, n), "prints")
+    # one row per distinct id and text; rows that repeat both get it each
+    own = base.select(F.col("doc").alias("d"), F.col("version").alias("v")).groupBy("d", "v").agg(F.count(F.lit(1)).alias("copies"))
+    whole = prints.join(own, prints["doc"].eqNullSafe(F.col("d")) & (prints["version"] == F.col("v")))
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
+        "doc", "version", "n_chars", "next_doc", "next_version",
+        F.lower(F.concat(*[F.lpad(F.hex(F.col(f"sha{k}")), 16, "0") for k in range(4)])).alias("edited_sha256"),
+        F.col("fp_text").alias("fingerprint"), F.col("fp_edited").alias("edited_fingerprint"))
     next_print = prints.select("doc", "version", F.col("fp_text").alias("next_print")).dropDuplicates(["doc", "version"])
     joined = whole.alias("a").join(
         next_print.alias("b"), (F.col("a.next_doc").eqNullSafe(F.col("b.doc"))) & (F.col("a.next_version") == F.col("b.version")), "left")
