@@ -108,6 +108,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = located.withColumns({"d1": F.lead("doc").over(order), "t1": F.lead("text").over(order)})
     repeated = ids.groupBy("doc").count().where("count > 1")
     if not repeated.isEmpty():
+        located = located.dropDuplicates(["range", "doc", "version"])  # equal rows count once; spread by range already
         single = located.where("doc IS NOT NULL").groupBy("range", "doc").agg(F.min("text").alias("text"))
         lone = Window.partitionBy("range").orderBy(F.col("doc").desc())
         single = single.withColumns({"d1": F.lead("doc").over(lone), "t1": F.lead("text").over(lone)}).drop("text")

@@ -91,7 +91,7 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def _texts(batch: pa.RecordBatch):
-    ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    ids, texts = batch.column(0).to_pylist(), batch.column(1)
     for i in range(len(ids)):
         t = texts[i]
         yield ids[i], (t.as_buffer().to_pybytes() if t.is_valid else b"")
