@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -24,7 +25,7 @@ def _rows(columns, rows):
     return sorted((tuple(r[i] for i in at) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     got = _rows(df.columns, df.collect())
@@ -37,7 +38,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_but_the_convergence_log_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"lasso_convergence"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"lasso_convergence"}
 
 
 def test_convergence_log_runs(spark):
