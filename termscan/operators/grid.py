@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termscan.errors import BadShape
+from termscan.errors import BadShape, DuplicateTerms
 
 # Cells that are joined to one piece before the pieces of a line are joined.
 PIECE = 1024
@@ -66,9 +66,11 @@ def select_column(cells: DataFrame, position: int) -> DataFrame:
 
 
 def select_column_named(cells: DataFrame, name: str) -> DataFrame:
-    """``(row, cell)`` of the column whose header cell is ``name``."""
-    at = cells.filter((F.col("row") == 0) & (F.col("cell") == name)).select("col")
-    return cells.join(F.broadcast(at.limit(1)), "col").select("row", "cell")
+    """``(row, cell)`` of the column whose header cell is ``name``; raises if several columns have it."""
+    at = cells.filter((F.col("row") == 0) & (F.col("cell") == name)).select("col").limit(2)
+    if at.count() > 1:
+        raise DuplicateTerms(f"several columns are named {name!r}")
+    return cells.join(F.broadcast(at), "col").select("row", "cell")
 
 
 def head_rows(cells: DataFrame, n: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termscan.errors import DuplicateTerms
+from termscan.errors import BadShape, DuplicateTerms
 
 # Partners are spelled out in chunks of this many ids, so no array outgrows it.
 CHUNK = 4096
@@ -151,7 +151,15 @@ def redundancy_check(long: DataFrame) -> DataFrame:
 
 
 def term_subset(terms: DataFrame, forced: Sequence[str], size: int, seed: int) -> DataFrame:
-    """Forced terms plus a reproducible draw without replacement, ``size`` terms in all."""
+    """Forced terms plus a reproducible draw without replacement, ``size`` terms in all.
+
+    Raises if a forced term does not exist, or ``size`` is less than theirs or more than there are terms.
+    """
+    known, found = terms.agg(F.count(F.lit(1)), F.count_if(F.col("term").isin(list(forced)))).first()
+    if found < len(set(forced)):
+        raise BadShape(f"{len(set(forced)) - found} of the forced terms do not exist")
+    if not len(set(forced)) <= size <= known:
+        raise BadShape(f"cannot draw {size} of {known} terms with {len(set(forced))} forced")
     must = terms.filter(F.col("term").isin(list(forced))).select("term", F.lit(True).alias("forced"))
     rest = terms.filter(~F.col("term").isin(list(forced)))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("term")))
