@@ -18,24 +18,26 @@ from pyspark.sql import functions as F
 from termscan.llm.common import durable
 
 SAMPLES = 32
+#: Samples that one row of a term stands for.
+CHUNK = 4
 _DIGITS = 16
 _LOW = (1 << 29) - 1
 
 
-def _uniforms(term: Column, key: int) -> list[Column]:
+def _uniforms(term: Column, key: Column) -> list[Column]:
     """Three numbers in (0, 1), of 21 bits each, from one keyed hash."""
-    h = F.xxhash64(term, F.lit(key))
+    h = F.xxhash64(term, key)
     bits = [F.shiftrightunsigned(h, shift).bitwiseAND((1 << 21) - 1) for shift in (0, 21, 42)]
     return [(x.cast("double") + F.lit(0.5)) / F.lit(float(1 << 21)) for x in bits]
 
 
-def samples(term: Column, logs: dict[str, Column], n: int = SAMPLES) -> dict[str, list[Column]]:
-    """For each weight, of which ``logs`` has the logarithm, the packed values of a term in the ``n`` samples."""
+def samples(term: Column, logs: dict[str, Column], first: Column, n: int) -> dict[str, list[Column]]:
+    """For each weight, of which ``logs`` has the logarithm, the packed values of a term in ``n`` samples from ``first`` on."""
     out: dict[str, list[Column]] = {name: [] for name in logs}
     for k in range(n):
-        u, v, b = _uniforms(term, 2 * k)
+        u, v, b = _uniforms(term, 2 * (first + k))
         r = -F.log(u * v)
-        u, v, _ = _uniforms(term, 2 * k + 1)
+        u, v, _ = _uniforms(term, 2 * (first + k) + 1)
         ln_c = F.log(-F.log(u * v))
         for name, log_w in logs.items():
             t = F.floor(log_w / r + b)
@@ -45,29 +47,37 @@ def samples(term: Column, logs: dict[str, Column], n: int = SAMPLES) -> dict[str
     return out
 
 
-def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], facts: dict[str, Column] | None = None, n: int = SAMPLES) -> DataFrame:
+def fingerprints(
+    rows: DataFrame, keys: list[str], texts: list[str], facts: dict[str, Column] | None = None, n: int = SAMPLES, pieces: dict[str, list[str]] | None = None
+) -> DataFrame:
     """``keys``, one fingerprint ``fp_<text>`` per named text, and the ``facts``, longs that each row has.
 
     ``rows`` must be spread by the first key: then nothing is shuffled. Facts ride along as rows of a kind
-    of their own, so the texts are read once and a row without tokens still has its result.
+    of their own, so the texts are read once and a row without tokens still has its result. Texts that
+    share a piece, parted from the rest by white space, need it once: ``pieces`` tells for each column
+    of text which of ``texts`` it belongs to. ``n`` is a multiple of ``CHUNK``: each term stands for
+    that many samples per row, as code for all of them at once is too long to be compiled.
     """
-    facts = facts or {}
+    facts, pieces = facts or {}, pieces or {c: [c] for c in texts}
     token = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+", -1), lambda w: w != "")
     marked = lambda c, i: F.transform(token(c), lambda w: F.struct(F.xxhash64(w).alias("term"), F.lit(i).alias("kind")))
     told = F.array(*[F.struct(x.cast("long").alias("term"), F.lit(-1 - k).alias("kind")) for k, x in enumerate([F.lit(0), *facts.values()])])
-    each = F.explode(F.concat(told, *[marked(c, i) for i, c in enumerate(texts)]))
+    each = F.explode(F.concat(told, *[marked(c, i) for i, c in enumerate(pieces)]))
     terms = rows.select(*keys, each.alias("t")).select(*keys, "t.*").withColumn("fact", F.least("kind", F.lit(0)))
-    counted = terms.groupBy(*keys, "fact", "term").agg(*[
-        F.sum(F.when(F.col("kind") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(texts))])
+    within = lambda c: F.col("kind").isin([i for i, of in enumerate(pieces.values()) if c in of])
+    counted = terms.groupBy(*keys, "fact", "term").agg(*[F.sum(F.when(within(c), 1).otherwise(0)).alias(f"n{i}") for i, c in enumerate(texts)])
     logs = counted.select(*keys, "fact", "term", *[F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))).alias(f"log{i}") for i in range(len(texts))])
-    packed = samples(F.col("term"), {c: F.col(f"log{i}") for i, c in enumerate(texts)}, n)
-    least = logs.groupBy(*keys).agg(
+    chunks = logs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n // CHUNK - 1))))
+    packed = samples(F.col("term"), {c: F.col(f"log{i}") for i, c in enumerate(texts)}, F.col("chunk") * CHUNK, CHUNK)
+    least = chunks.groupBy(*keys, "chunk").agg(
         *[F.min(x).alias(f"{c}_{k}") for c, xs in packed.items() for k, x in enumerate(xs)],
         *[F.max(F.when(F.col("fact") == -2 - k, F.col("term"))).alias(f) for k, f in enumerate(facts)])
     digits = lambda x: F.lpad(F.lower(F.hex(x)), _DIGITS, "0")
-    return least.select(*keys, *facts, *[
-        F.when(F.col(f"{c}_0").isNull(), F.lit("")).otherwise(F.concat(*[digits(F.col(f"{c}_{k}")) for k in range(n)])).alias(f"fp_{c}")
+    parts = least.select(*keys, "chunk", *facts, *[
+        F.when(F.col(f"{c}_0").isNull(), F.lit("")).otherwise(F.concat(*[digits(F.col(f"{c}_{k}")) for k in range(CHUNK)])).alias(f"fp_{c}")
         for c in texts])
+    return parts.groupBy(*keys).agg(*[F.max(f).alias(f) for f in facts], *[
+        F.concat(*[F.max(F.when(F.col("chunk") == k, F.col(f"fp_{c}"))) for k in range(n // CHUNK)]).alias(f"fp_{c}") for c in texts])
 
 
 def likeness(a: Column, b: Column, n: int = SAMPLES) -> Column:
@@ -137,7 +147,12 @@ def edited_fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     sha = F.sha2("edited", 256)
     facts = {"n_chars": n_chars, "next_doc": F.col("next_doc"), "next_version": F.xxhash64("next_text")}
     facts |= {f"sha{k}": F.conv(F.substring(sha, 16 * k + 1, 16), 16, -10) for k in range(4)}
-    prints = durable(fingerprints(rows, keys, ["text", "edited"], facts, n), "prints")
+    # both texts have the first words in common: those are read and counted once
+    rows = rows.withColumn("common", F.regexp_extract(F.expr("left(text, length(text) - floor(length(text) / 3))"), r"(?s)^.*\s", 0))
+    rest = lambda c: F.substring(c, F.length("common") + 1, F.length(c))
+    rows = rows.withColumns({"own": rest("text"), "new": rest("edited")})
+    pieces = {"common": ["text", "edited"], "own": ["text"], "new": ["edited"]}
+    prints = durable(fingerprints(rows, keys, ["text", "edited"], facts, n, pieces), "prints")
     # one row per distinct id and text; rows that repeat both get it each
     own = base.select(F.col("doc").alias("d"), F.col("version").alias("v")).groupBy("d", "v").agg(F.count(F.lit(1)).alias("copies"))
     whole = prints.join(own, prints["doc"].eqNullSafe(F.col("d")) & (prints["version"] == F.col("v")))
