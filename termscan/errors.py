@@ -21,6 +21,10 @@ class NoTermEntered(TermscanError):
         self.paths = paths or {}
 
 
+class IterationLimit(NoTermEntered):
+    """A search did not end within the caller's limit; carries what the others found, and this one's state."""
+
+
 class NotEnoughSamples(TermscanError):
     """The model has at least as many coefficients as there are samples."""
 

@@ -11,6 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termscan.errors import BadShape
 from termscan.functions.solve import Coefficients, check_samples, coefficients, coefficients_by_group
 
 INTERCEPT = "(Intercept)"
@@ -21,7 +22,8 @@ def _moments(x: Sequence[str], y: str) -> list[Column]:
     """Stable one-pass moments: Spark's covariance keeps running means."""
     cols = [*x, y]
     c = lambda n: F.col(f"`{n}`").cast("double")
-    out = [F.count("*").alias("n"), *[F.avg(c(v)).alias(f"m{i}") for i, v in enumerate(cols)]]
+    missing = F.greatest(*[(F.coalesce(c(v) * 0.0, F.lit(float("nan"))) != 0.0).cast("int") for v in cols], F.lit(0))
+    out = [F.count("*").alias("n"), F.sum(missing).alias("missing"), *[F.avg(c(v)).alias(f"m{i}") for i, v in enumerate(cols)]]
     for i in range(len(cols)):
         for j in range(i, len(cols)):
             cov = F.var_pop(c(cols[i])) if i == j else F.covar_pop(c(cols[i]), c(cols[j]))
@@ -31,6 +33,8 @@ def _moments(x: Sequence[str], y: str) -> list[Column]:
 
 def _solve(row, k: int, rss: float | None = None) -> Coefficients:
     n = int(row["n"])
+    if row["missing"]:
+        raise BadShape(f"{row['missing']} rows lack a value or have an infinite one")
     check_samples(n, k + 1)
     cov = np.zeros((k + 1, k + 1))
     for i in range(k + 1):
@@ -81,6 +85,8 @@ def ols_by_group(df: DataFrame, group: str, x: Sequence[str], y: str) -> DataFra
         for pdf in batches:
             if pdf.empty:
                 continue
+            if pdf["missing"].any():
+                raise BadShape(f"{pdf['missing'].sum()} rows lack a value or have an infinite one")
             mean = pdf[[f"m{i}" for i in range(k + 1)]].to_numpy(dtype=float)
             cov = np.stack(
                 [pdf[[f"c{min(i, j)}_{max(i, j)}" for j in range(k + 1)]].to_numpy(dtype=float) for i in range(k + 1)], axis=1
@@ -102,6 +108,7 @@ def ols_by_group(df: DataFrame, group: str, x: Sequence[str], y: str) -> DataFra
 def ols_ml(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
     """The same model by Spark ML's normal-equation solver."""
     wide = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in (*x, y)])
+    _solve(wide.agg(*_moments(x, y)).first(), len(x))  # raises what a fit here raises
     assembled = VectorAssembler(inputCols=list(x), outputCol="features").transform(wide).select("features", y)
     model = LinearRegression(featuresCol="features", labelCol=y, solver="normal").fit(assembled)
     s = model.summary

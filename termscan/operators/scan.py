@@ -5,6 +5,11 @@ squares, sum, and products with the model's columns and the outcome. Tasks add t
 matrix products over their own row blocks; pair terms a*b come out of X' diag(v) X and are never
 written down. Partial moments meet by term, get summed and scored there, and only the best row of
 a task goes on.
+
+Every task takes its columns relative to their means in its first row block, so that a mean far from
+zero costs no digits. With a = r + a' and b = s + b' the product is rs + rb' + sa' + a'b': its moments
+about rs follow from those of a', b' and a'b'. Partial moments about different values are moved to
+a common one when they meet.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from termscan.operators.tiles import TASK_BYTES, Y_BLOCK, TileSet, cores, matrix
 Term = tuple[int, int]
 SINGLE = -1
 
-# A term whose variance is below this share of its mean square is constant.
-CONSTANT = 1e-12
+# A sum of squares below this share of what was added up to get it is zero but for rounding.
+ROUNDING = 1e-14
 # Pair moments up to this size are added up inside each task.
 LOCAL_PAIR_BYTES = 256e6
 # Correlations of a model with a condition number below this lose no digits that matter.
@@ -58,14 +63,13 @@ class Candidate:
     term: Term
     t_value: float
     df: int
-    total: float
-    squares: float
+    mean: float
+    squares: float  # about the mean
     with_model: np.ndarray
     with_y: float
 
     def extend(self, state: ModelState, n: int) -> ModelState:
-        mean = self.total / n
-        sd = float(np.sqrt((self.squares - self.total * mean) / n))
+        sd = float(np.sqrt(self.squares / n))
         k = len(state.terms)
         gram = np.zeros((k + 1, k + 1))
         gram[:k, :k] = state.gram
@@ -73,7 +77,7 @@ class Candidate:
         gram[k, k] = n
         return ModelState(
             (*state.terms, self.term),
-            np.append(state.centre, mean),
+            np.append(state.centre, self.mean),
             np.append(state.scale, sd),
             gram,
             np.append(state.xy, self.with_y / sd),
@@ -130,48 +134,83 @@ class _Columns:
         return np.concatenate([(np.stack(cols, 1) - self.centre) / self.scale, y], axis=1)
 
 
-_PARTIAL = pa.schema([("a", pa.int32()), ("j", pa.int32()), ("m", pa.binary())])
-PARTIAL_SCHEMA = "a int, j int, m binary"
+# Moments of a key's terms, one column per term, and what they share: rows and sums of v.
+_PARTIAL = pa.schema([("a", pa.int32()), ("j", pa.int32()), ("m", pa.binary()), ("shared", pa.binary())])
+PARTIAL_SCHEMA = "a int, j int, m binary, shared binary"
+# Rows of a partial: reference value, sizes added up, squares and sum about it, then products with v.
+HEAD = 4
+
+
+def _reference(x: np.ndarray) -> np.ndarray:
+    """Column means, exact where a column is constant."""
+    return x[0] + (x - x[0]).mean(0)
+
+
+def _shared(v: np.ndarray) -> np.ndarray:
+    return np.append(float(len(v)), v.sum(0))
 
 
-def _single_moments(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+def _single_sums(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Squares, sums and products with v of columns that are relative to their references."""
     return np.concatenate([np.square(x).sum(0)[None], x.sum(0)[None], v.T @ x])
 
 
-def _pair_moments(left: np.ndarray, right: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Moments of all products of a left and a right column, shape (2 + columns of v, left, right)."""
-    n, p = left.shape
+def _single_moments(ref: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    return np.concatenate([ref[None], sums[:1], sums])
+
+
+def _pair_sums(left: np.ndarray, right: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Sums of a²b², a²b, ab², ab and vab over relative columns, shape (4 + columns of v, left, right)."""
+    p, q, left2, right2 = left.shape[1], right.shape[1], np.square(left), np.square(right)
     stacked = np.concatenate([left] + [left * v[:, [c]] for c in range(v.shape[1])], axis=1)
-    rest = (stacked.T @ right).reshape(v.shape[1] + 1, p, right.shape[1])
-    return np.concatenate([(np.square(left).T @ np.square(right))[None], rest])
+    rest = (stacked.T @ right).reshape(v.shape[1] + 1, p, q)
+    return np.concatenate([(left2.T @ right2)[None], (left2.T @ right)[None], (left.T @ right2)[None], rest])
+
+
+def _pair_moments(r: np.ndarray, s: np.ndarray, left: np.ndarray, right: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Moments of all products about the products of their references, from the sums of single columns and of pairs."""
+    r, s, left, right = r[:, None], s[None, :], left[:, :, None], right[:, None, :]
+    aabb, aab, abb, ab = sums[:4]
+    parts = [np.square(r) * right[0], np.square(s) * left[0], aabb, 2 * r * s * ab, 2 * r * abb, 2 * s * aab]
+    squares, size = sum(parts), sum(np.abs(x) for x in parts)
+    total = r * right[1] + s * left[1] + ab
+    return np.concatenate([(r * s)[None], size[None], squares[None], total[None], r * right[2:] + s * left[2:] + sums[4:]])
 
 
-def _pair_records(i: int, j: int, acc: np.ndarray, width: int) -> list[tuple]:
+def _pair_records(i: int, j: int, moments: np.ndarray, shared: np.ndarray, width: int) -> list[tuple]:
     """One record per left term, so that summing up is spread over many keys."""
     first = i * width
-    last = acc.shape[1] - 1 if i == j else acc.shape[1]
-    return [(first + a, j, np.ascontiguousarray(acc[:, a, :]).tobytes()) for a in range(last)]
+    last = moments.shape[1] - 1 if i == j else moments.shape[1]
+    return [(first + a, j, np.ascontiguousarray(moments[:, a, :]).tobytes(), shared.tobytes()) for a in range(last)]
 
 
 def _local_kernel(cols: _Columns, n_blocks: int, pairs: bool):
     blocks = range(n_blocks)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref: dict[int, np.ndarray] = {}
         single: dict[int, np.ndarray] = {}
         pair: dict[tuple[int, int], np.ndarray] = {}
+        shared = 0.0
         for _, tiles in read_row_blocks(batches, blocks):
             v = cols.values(tiles)
+            shared = shared + _shared(v)
+            if not ref:
+                ref = {i: _reference(tiles[i]) for i in blocks}
+            # With pairs all columns are needed at once; else one tile at a time.
+            x = {i: tiles[i] - ref[i] for i in blocks} if pairs else {}
             for i in blocks:
-                m = _single_moments(tiles[i], v)
+                own = x[i] if pairs else tiles[i] - ref[i]
+                m = _single_sums(own, v)
                 single[i] = single[i] + m if i in single else m
-                for j in blocks if pairs else ():
-                    if j >= i:
-                        m = _pair_moments(tiles[i], tiles[j], v)
-                        pair[i, j] = pair[i, j] + m if (i, j) in pair else m
+                for j in range(i, n_blocks) if pairs else ():
+                    m = _pair_sums(own, x[j], v)
+                    pair[i, j] = pair[i, j] + m if (i, j) in pair else m
         for i, m in single.items():
-            yield record_batch([(SINGLE, i, m.tobytes())], _PARTIAL)
+            yield record_batch([(SINGLE, i, _single_moments(ref[i], m).tobytes(), shared.tobytes())], _PARTIAL)
         for (i, j), m in pair.items():
-            yield record_batch(_pair_records(i, j, m, cols.width), _PARTIAL)
+            moments = _pair_moments(ref[i], ref[j], single[i], single[j], m)
+            yield record_batch(_pair_records(i, j, moments, shared, cols.width), _PARTIAL)
 
     return kernel
 
@@ -189,20 +228,42 @@ def _frame_kernel(cols: _Columns):
     return kernel
 
 
+class _Meeting:
+    """Sums over the row blocks of two term blocks that meet in a task."""
+
+    def __init__(self, i: int, j: int):
+        self.i, self.j = i, j
+        self.refs: tuple[np.ndarray, np.ndarray] | None = None
+        self.shared = self.left = self.right = self.pair = 0.0
+
+    def add(self, left: np.ndarray, right: np.ndarray, v: np.ndarray) -> None:
+        if self.refs is None:
+            self.refs = (_reference(left), _reference(right))
+        a, b = left - self.refs[0], right - self.refs[1]
+        self.shared = self.shared + _shared(v)
+        self.left = self.left + _single_sums(a, v)
+        self.right = self.right + _single_sums(b, v)
+        self.pair = self.pair + _pair_sums(a, b, v)
+
+    def records(self, width: int) -> pa.RecordBatch:
+        moments = _pair_moments(*self.refs, self.left, self.right, self.pair)
+        return record_batch(_pair_records(self.i, self.j, moments, self.shared, width), _PARTIAL)
+
+
 def _meet_kernel(width: int):
     """Pair moments of two term blocks from a stream sorted by key, row block and role."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, acc, v, left = None, None, None, None
+        key, met, v, left = None, None, None, None
         for batch in batches:
             ii, jj = batch.column("i").to_pylist(), batch.column("j").to_pylist()
             seg, role = batch.column("segment").to_pylist(), batch.column("role").to_pylist()
             rows, data = batch.column("n_rows").to_pylist(), batch.column("x")
             for r in range(batch.num_rows):
                 if (ii[r], jj[r], seg[r]) != key:
-                    if acc is not None:
-                        yield record_batch(_pair_records(key[0], key[1], acc, width), _PARTIAL)
-                    key, acc = (ii[r], jj[r], seg[r]), None
+                    if met is not None:
+                        yield met.records(width)
+                    key, met = (ii[r], jj[r], seg[r]), _Meeting(ii[r], jj[r])
                 x = matrix(data[r].as_buffer(), rows[r])
                 if role[r] == 0:
                     v = x
@@ -211,10 +272,9 @@ def _meet_kernel(width: int):
                     left = x
                     if key[0] != key[1]:
                         continue
-                m = _pair_moments(left, x, v)
-                acc = m if acc is None else acc + m
-        if acc is not None:
-            yield record_batch(_pair_records(key[0], key[1], acc, width), _PARTIAL)
+                met.add(left, x, v)
+        if met is not None:
+            yield met.records(width)
 
     return kernel
 
@@ -280,14 +340,13 @@ def _specs(ts: TileSet, cols: _Columns, states: Mapping[str, ModelState], closed
 
 
 def _score(m: np.ndarray, n: int, spec: _TraitSpec, y_scale: float) -> dict[str, np.ndarray]:
-    squares, total = m[0], m[1]
-    xx = squares - total * total / n
-    g = m[2:][list(spec.at)]
-    gy = m[2 + spec.y_at]
+    size, xx = m[1], m[2]
+    g = m[3:][list(spec.at)]
+    gy = m[3 + spec.y_at]
     w = np.linalg.solve(spec.low, g) if len(spec.at) else g
     rest = xx - np.square(w).sum(0)
     xy = gy - (w.T @ spec.low_xy if len(spec.at) else 0.0)
-    ok = (xx > CONSTANT * squares) & (rest > COLLINEAR * xx)
+    ok = (xx > ROUNDING * size) & (rest > COLLINEAR * xx)
     with np.errstate(divide="ignore", invalid="ignore"):
         beta = xy / rest
         sse = np.maximum(spec.rest_y - xy * beta, 1e-15 * n)
@@ -310,21 +369,37 @@ def _closed_mask(a: int, first_b: int, count: int, closed: frozenset[Term]) -> n
     return mask
 
 
+def _moved(m: np.ndarray, shared: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """The same moments about another reference value."""
+    d = m[0] - ref
+    more = 2 * d * m[3] + shared[0] * np.square(d)
+    size = m[1] + 2 * np.abs(d * m[3]) + shared[0] * np.square(d)
+    return np.concatenate([ref[None], size[None], (m[2] + more)[None], (m[3] + shared[0] * d)[None], m[HEAD:] + np.outer(shared[1:], d)])
+
+
+def _centred(m: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Mean, sizes added up, squares about the mean, products with v about the mean."""
+    d = m[3] / shared[0]
+    return np.concatenate([(m[0] + d)[None], m[1][None], (m[2] - m[3] * d)[None], m[HEAD:] - np.outer(shared[1:], d)])
+
+
 def _summed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Moments summed per key of a sorted stream."""
-    key, acc = None, None
+    """Moments about the mean, summed per key of a sorted stream."""
+    key, acc, shared = None, None, None
     for batch in batches:
-        a, j, m = batch.column("a").to_pylist(), batch.column("j").to_pylist(), batch.column("m")
+        a, j, m, c = batch.column("a").to_pylist(), batch.column("j").to_pylist(), batch.column("m"), batch.column("shared")
         for r in range(batch.num_rows):
             part = np.frombuffer(m[r].as_buffer(), dtype=np.float64).reshape(depth, -1)
+            own = np.frombuffer(c[r].as_buffer(), dtype=np.float64)
             if (a[r], j[r]) == key:
-                acc = acc + part
+                moved = _moved(part, own, acc[0])
+                acc, shared = np.concatenate([acc[:1], acc[1:] + moved[1:]]), shared + own
             else:
                 if key is not None:
-                    yield *key, acc
-                key, acc = (a[r], j[r]), part
+                    yield *key, _centred(acc, shared)
+                key, acc, shared = (a[r], j[r]), part, own
     if key is not None:
-        yield *key, acc
+        yield *key, _centred(acc, shared)
 
 
 _BEST = pa.schema(
@@ -410,7 +485,7 @@ def _scored(ts: TileSet, cols: _Columns, pairs: bool, score, schema: str) -> tup
     moments that are too many for a task come from tasks of their own.
     """
     local = _local_kernel(cols, ts.n_blocks, pairs)
-    depth = 2 + len(cols.terms) + len(cols.traits)
+    depth = HEAD + len(cols.terms) + len(cols.traits)
     n_wide = ts.n_blocks * ts.width
     set_bytes = depth * 8.0 * (n_wide * n_wide / 2 if pairs else n_wide)
     fits = not pairs or set_bytes <= LOCAL_PAIR_BYTES
@@ -433,7 +508,7 @@ def best_candidates(
     """The open candidate with the largest |t| for each trait, all traits in one pass over the tiles."""
     cols = _Columns.of(ts, states)
     specs = _specs(ts, cols, states, closed)
-    depth = 2 + len(cols.terms) + len(cols.traits)
+    depth = HEAD + len(cols.terms) + len(cols.traits)
     scored, at_once = _scored(ts, cols, pairs, _best_kernel(specs, depth, ts.n_samples, ts.width), BEST_SCHEMA)
     if not at_once:
         rank = F.struct(-F.col("abs_t"), F.col("b") != SINGLE, F.col("a"), F.col("b"))
@@ -442,7 +517,7 @@ def best_candidates(
     out = {}
     for row in scored.collect():  # one row per trait
         spec, m = specs[row.trait], np.frombuffer(bytes(row.m), dtype=np.float64)
-        out[names[row.trait]] = Candidate((row.a, row.b), row.t, spec.df, m[1], m[0], m[2:][list(spec.at)], m[2 + spec.y_at])
+        out[names[row.trait]] = Candidate((row.a, row.b), row.t, spec.df, m[0], m[2], m[3:][list(spec.at)], m[3 + spec.y_at])
     return out
 
 
@@ -453,7 +528,7 @@ def scan_table(
     taken = {t: frozenset(s.terms) | (closed or {}).get(t, frozenset()) for t, s in states.items()}
     cols = _Columns.of(ts, states)
     specs = _specs(ts, cols, states, taken)
-    depth = 2 + len(cols.terms) + len(cols.traits)
+    depth = HEAD + len(cols.terms) + len(cols.traits)
     kernel = _all_kernel(specs, depth, ts.n_samples, ts.width, cols.y_scale)
     rows, _ = _scored(ts, cols, pairs, kernel, ALL_SCHEMA)
     names = F.array(*[F.lit(t) for t in states])

@@ -55,7 +55,7 @@ def run_stepwise(
     forward: float = 0.05,
     backward: float = 0.05,
     pairs: bool = True,
-    max_iterations: int = 500,
+    max_iterations: int | None = None,
 ) -> DataFrame:
     """Select single and pair terms for every trait of two term-major files and write the models.
 
@@ -75,7 +75,11 @@ def run_stepwise(
         # What was found for other traits is still written.
         failure, models, paths = err, err.models, err.paths
         if not models:
+            ts.release()
             raise
+    except BaseException:
+        ts.release()
+        raise
     seconds = time.perf_counter() - started
     used = {i for m in models.values() for t in m.terms for i in t} | {i for p in paths.values() for s in p for i in s.term}
     names = _names(geno.terms, used - {-1})

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from termscan.errors import NoCandidates, NoTermEntered
+from termscan.errors import IterationLimit, NoCandidates, NoTermEntered
 from termscan.functions.solve import Coefficients, check_samples, coefficients
 from termscan.functions.tdist import two_sided_p
 from termscan.operators.scan import SINGLE, Candidate, ModelState, Term, best_candidates, measure, residual_squares
@@ -20,7 +21,7 @@ from termscan.operators.tiles import TileSet
 
 MODEL_SCHEMA = (
     "phenotype string, position int, term_a long, term_b long, term string, estimate double, "
-    "std_error double, t_value double, p_value double, flagged boolean, newest boolean"
+    "std_error double, t_value double, p_value double, flagged boolean, newest boolean, status string"
 )
 PATH_SCHEMA = "phenotype string, iteration int, term_a long, term_b long, term string, t_value double, p_value double, event string"
 
@@ -136,14 +137,15 @@ def stepwise(
     traits: Sequence[str] | None = None,
     initial_included: Mapping[str, Sequence[Term]] | None = None,
     initial_skipped: Mapping[str, Sequence[Term]] | None = None,
-    max_iterations: int = 500,
+    max_iterations: int | None = None,
 ) -> tuple[dict[str, Model], dict[str, tuple[Step, ...]]]:
     """Select terms for every trait; each starts from its own fresh state.
 
     A term enters while its p-value is below ``forward``; terms at or above ``backward`` leave and
     sit out the next scan. When nothing more enters, the model of the iteration before is the
     result, together with the terms its own removal check flagged. An outcome that no term enters
-    for is an error, raised when the others are done and carrying their results.
+    for is an error, raised when the others are done and carrying their results. Searches that go
+    round are found, so every search ends by itself; reaching ``max_iterations`` is an error too.
     """
     check_threshold("forward", forward)
     check_threshold("backward", backward)
@@ -158,8 +160,8 @@ def stepwise(
             raise NoCandidates(f"no term is left to try for {trait}")
     done: dict[str, _Done] = {}
     failed: list[str] = []
-    for _ in range(max_iterations):
-        if not running:
+    for iteration in count():
+        if not running or iteration == max_iterations:
             break
         states = {t: s.state for t, s in running.items()}
         closed = {t: s.skipped | frozenset(s.state.terms) for t, s in running.items()}
@@ -177,11 +179,14 @@ def stepwise(
             else:
                 running[trait] = after
     for trait, s in running.items():
-        done[trait] = _Done(s.previous, s.previous_flagged, "iterations", s.path)
+        if s.previous is not None:
+            done[trait] = _Done(s.previous, s.previous_flagged, "iterations", s.path)
     states = {t: d.state for t, d in done.items()}
     fits = fit_models(ts, {t: s.terms for t, s in states.items()}, states) if done else {}
     models = {t: Model(d.state.terms, fits[t], d.flagged, d.status) for t, d in done.items()}
     paths = {t: d.path for t, d in done.items()}
+    if running:
+        raise IterationLimit(f"{', '.join(running)} did not end within {max_iterations} iterations", models, paths)
     if failed:
         raise NoTermEntered(f"no term enters at {forward} for {', '.join(failed)}", models, paths)
     return models, paths
@@ -205,7 +210,7 @@ def model_frame(spark: SparkSession, models: Mapping[str, Model], names: Mapping
             ids = _ids(term) if term else (None, None)
             label = term_name(term, names) if term else "(Intercept)"
             stats = (float(f.estimate[i]), float(f.std_error[i]), float(f.t_value[i]), float(f.p_value[i]))
-            rows.append((trait, i + 1, *ids, label, *stats, term in m.flagged, i == len(m.terms) - 1))
+            rows.append((trait, i + 1, *ids, label, *stats, term in m.flagged, i == len(m.terms) - 1, m.status))
     return spark.createDataFrame(rows, MODEL_SCHEMA)
 
 

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PythonException
 
 from tests.helpers import direct_ols
-from termscan.errors import NotEnoughSamples, SingularModel
+from termscan.errors import BadShape, NotEnoughSamples, SingularModel
 from termscan.functions.solve import coefficients
 from termscan.functions.tdist import two_sided_p
 from termscan.operators import ols
@@ -146,3 +147,14 @@ def test_orthogonal_column_leaves_other_slopes():
     z = rng.normal(size=50)
     z -= base @ np.linalg.lstsq(base, z, rcond=None)[0]
     assert direct_ols(np.column_stack([x, z]), y)[0][:2] == pytest.approx(direct_ols(x, y)[0][:2])
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_missing_values_are_an_error(spark, bad):
+    rows = [(float(i), float(i % 3), float(i % 7), "g") for i in range(20)] + [(bad, 1.0, 2.0, "g")]
+    df = spark.createDataFrame(rows, "x1 double, x2 double, y double, g string")
+    for fit in (ols.ols, ols.ols_ml):
+        with pytest.raises(BadShape, match="1 rows lack"):
+            fit(df, ["x1", "x2"], "y")
+    with pytest.raises(PythonException, match="1 rows lack"):
+        ols.ols_by_group(df, "g", ["x1", "x2"], "y").collect()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tests.helpers import cement, direct_ols, direct_stepwise, term_matrix, vector_frame
-from termscan.errors import BadShape, NoCandidates, NoTermEntered, NotEnoughSamples
+from termscan.errors import BadShape, IterationLimit, NoCandidates, NoTermEntered, NotEnoughSamples
 from termscan.operators import scan, tiles
 from termscan.operators.reshape import vectors_to_long
 from termscan.plans import stepwise as sw
@@ -102,6 +102,37 @@ def test_repeated_and_constant_columns_never_enter_twice(spark):
     assert flags[3, S] and flags[4, S] and flags[0, 4] and not flags[1, S]
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_large_means_cost_no_digits(spark, monkeypatch, small):
+    """Means of up to 1.7 million standard deviations, in one task and where blocks of terms meet."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(400, 5))
+    y = 3 * base[:, 0] + rng.normal(size=400)
+    x = base.copy()
+    x[:, 1:4] = base[:, [0]] + 0.01 * base[:, 1:4]
+    x = x * [1, 1, 1, 1000, 1] + [0, 1e5, 1e6, 1.7e9, -1e6]
+    if small:
+        monkeypatch.setattr(scan, "LOCAL_PAIR_BYTES", 0)
+        monkeypatch.setattr(tiles, "TILE_BYTES", 2000)
+        monkeypatch.setattr(tiles, "TASK_WORK", 1e3)
+        monkeypatch.setattr(tiles, "TASK_ROWS_PAIRS", 50)
+    ts = tiles.from_vectors(vector_frame(spark, x, {"y": y}).repartition(5), ("y",), True, 2 if small else tiles.TILE_WIDTH)
+    r = y - y.mean()
+
+    def direct(a, b):
+        c = np.asarray(x[:, a], dtype=np.longdouble) * (1 if b == S else x[:, b])
+        c = np.asarray(c - c.mean(), dtype=float)
+        slope = c @ r / (c @ c)
+        return slope / np.sqrt(np.square(r - slope * c).sum() / 398 / (c @ c))
+
+    rows = scan.scan_table(ts, {"y": scan.ModelState()}, pairs=True).collect()
+    assert len(rows) == 15
+    for row in rows:
+        assert row.t_value == pytest.approx(direct(row.a, row.b), rel=1e-8, abs=1e-8)
+    best = scan.best_candidates(ts, {"y": scan.ModelState()}, {}, True)["y"]
+    assert best.t_value == pytest.approx(max((t for t in (direct(r.a, r.b) for r in rows)), key=abs), rel=1e-8)
+
+
 def test_unequal_thresholds_stop(spark):
     """A term that enters and leaves in turn must not run forever."""
     rng = np.random.default_rng(2)
@@ -255,8 +286,13 @@ def test_a_search_that_goes_round_reports_a_cycle(spark, seed):
 
 def test_iteration_limit(spark):
     x, y = _random(13)
-    models, paths = select(vector_frame(spark, x, {"pheno": y}), pairs=True, max_iterations=1)
+    with pytest.raises(IterationLimit) as reached:
+        select(vector_frame(spark, x, {"pheno": y}), pairs=True, max_iterations=1)
+    models = reached.value.models
     assert models["pheno"].status == "iterations" and len(models["pheno"].terms) == 1
+    assert {r.status for r in sw.model_frame(spark, models).collect()} == {"iterations"}
+    with pytest.raises(IterationLimit):
+        select(vector_frame(spark, x, {"pheno": y}), pairs=True, max_iterations=0)
 
 
 def test_terms_whose_p_value_is_zero_rank_by_t(spark):
