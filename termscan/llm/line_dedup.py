@@ -1,10 +1,9 @@
 """Line dedup: of lines that are nearly the same, anywhere in the table, the first one stays.
 
-A line's set holds the ``WIDTH`` characters that follow each word start (a place whose predecessor is no
-ASCII letter or digit counts as one, so scripts without blanks are covered too), of its lower-case form.
+A line's set holds every run of ``WIDTH`` characters of its lower-case form, or all of it if it is shorter.
 MinHash by one permutation in ``BINS`` bins gives a signature, built row by row without a shuffle; bands
 of two bins find pairs with high recall; bitmaps of the sets drop pairs that differ too much when they
-are formed; the exact Jaccard similarity of the two sets decides, and distributed union-find keeps one
+are formed; the exact Jaccard similarity of the two whole sets decides, and distributed union-find keeps one
 line per component. All of it is built-in functions.
 
 Lines are parted by line feeds. Lines of white space alone are left as they are. Equal lines are known
@@ -26,9 +25,10 @@ BINS = BANDS * ROWS
 #: Bitmaps of a line.
 MAPS = 4
 ODD = [f"odd{q}" for q in range(MAPS)]
-#: Each place that starts a shingle. A match runs over the rest of the word and the character after it,
-#: which start none, so that the next search begins behind them.
-SHINGLE = rf"(?=(\S.{{0,{WIDTH - 1}}}))(?:[0-9a-z]++\S?+|\S)"
+#: Shingle starts in one part of a line: finding a character counts from the start of its string, so
+#: long lines are read in parts that overlap by ``WIDTH - 1`` characters.
+PART = 64
+PARTS = rf"(?s)(?=(.{{{WIDTH},{PART + WIDTH - 1}}})).{{1,{PART}}}"
 #: Lines of one document whose marks share a long.
 MARKS = 62
 #: Documents up to which a list of ids is broadcast (16 MB); a longer one is joined by a shuffle.
@@ -36,8 +36,12 @@ SMALL = 1_000_000
 
 
 def shingles(line: Column) -> Column:
-    """The distinct shingles of a line; a line that is not blank has one at least."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1)))
+    """The hashes of the distinct shingles of a line, one at least."""
+    low = F.lower(line)
+    parts = F.when(F.length(low) < PART + WIDTH, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(PARTS), F.lit(1)))
+    starts = lambda part: F.sequence(F.lit(1), F.greatest(F.length(part) - (WIDTH - 1), F.lit(1)))
+    each = F.transform(parts, lambda part: F.transform(starts(part), lambda i: F.xxhash64(F.substring(part, i, WIDTH))))
+    return F.array_distinct(F.flatten(each))
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -47,8 +51,7 @@ def signed(rows: DataFrame) -> DataFrame:
     that is not empty. The bitmaps have the parity of the number of shingles in each of 64 parts of
     each fourth of the hash range.
     """
-    every = F.regexp_extract_all(F.lower("line"), F.lit(SHINGLE), F.lit(1))
-    rows = rows.withColumn("sig", F.sort_array(F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))))
+    rows = rows.withColumn("sig", F.sort_array(shingles(F.col("line"))))
     part = lambda h: F.shiftright((F.shiftright(h, 32) + (1 << 31)) * BINS, 32).cast("int")
     rows = rows.withColumn("parts", F.transform("sig", part))
     rows = rows.withColumn("at", F.array(*[F.nullif(F.array_position("parts", F.lit(i)).cast("int"), F.lit(0)) for i in range(BINS)]))
@@ -111,9 +114,10 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).join(ids, ["doc", "version"])
         found = rows.select("doc", "version", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         found = found.join(wanted, ["doc", "version", "line_no"]).dropDuplicates(["node"])
-        sets = durable(found.select("node", shingles(F.col("line")).alias("set")), "shingles")
+        found = durable(found.select("node", "line"), "compared")  # a set takes eight times the room of its line
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select(
+        texts = pairs.join(found.toDF("a", "la"), "a").join(found.toDF("b", "lb"), "b")
+        return texts.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb")).select(
             "a", "b", ((T_NUM + T_DEN) * both >= T_NUM * (F.size("sa") + F.size("sb"))).alias("linked"))
 
     # the line that others were made from tends to have the most copies

@@ -268,6 +268,30 @@ def test_lines(spark, odd, none):
     assert by[3].text == " \t\n " and by[4].node == "x" and line_dedup.dedup(none).count() == 0
 
 
+def test_lines_compare_all_characters(spark):
+    lines = [
+        "Transaction 20240115123456", "Transaction 20240115199999", "Order 100000000123 shipped to customer 900000000001",
+        "Order 100000000456 shipped to customer 900000000777", "SomeVeryLongIdentifierA" + "x" * 9, "SomeVeryLongIdentifierB" + "y" * 9,
+        "Andththwhes.", "Andththwhwh.", "short", "shorn", "\u65e5\u672c\u8a9e" * 30, "\u65e5\u672c\u8a9e" * 29 + "\u30c6\u30ad\u30b9\u30c8", "\U0001f600 " * 40 + "end",
+    ]
+    rng = np.random.default_rng(8)
+    for size in (60, 70, 72, 73, 80, 81, 128, 137, 200, 700):  # around the borders of parts
+        long = "".join(rng.choice(list("abcdefghij0123456789 \u00e9"), size - 1)) + "z"
+        lines += [long, long[: size // 2] + "#" + long[size // 2 + 1 :], "".join(rng.permutation(list(long)))]
+    sets = [{x.lower()[k : k + 9] for k in range(max(1, len(x) - 8))} for x in lines]
+    frame = spark.createDataFrame([*enumerate(lines)], "k long, line string")
+    sizes = {r.k: r.n for r in frame.select("k", line_dedup.F.size(line_dedup.shingles(frame.line)).alias("n")).collect()}
+    assert sizes == {k: len(s) for k, s in enumerate(sets)}
+    union = Union()
+    for b in range(len(lines)):
+        for a in range(b):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                union.join(a, b)
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup(spark.createDataFrame([*enumerate(lines)], "doc_id long, text string")).collect()}
+    assert got == {k: int(union.find(k) == k) for k in range(len(lines))}
+    assert sum(got[k] for k in range(8)) == 8 and sum(got.values()) < len(lines)
+
+
 # ---- fingerprints
 
 
