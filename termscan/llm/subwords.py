@@ -2,10 +2,12 @@
 
 Words (runs of ``▁`` and what follows) are segmented by merges: the agenda holds every pair of neighbouring
 symbols whose concatenation is a piece, best score first, then leftmost. Each candidate that comes up
-is skipped with probability ``dropout``, decided by a keyed hash of (seed, variant, place, piece): the
-same seed always gives the same segmentation. The variant of an occurrence is a keyed hash of document
-and place in it, one of ``variants``, so one word type is cut in several ways over a corpus while each
-way is worked out once per task. Without dropout the result is that of the library itself.
+is skipped with probability ``dropout``, decided by a keyed hash of (seed, document, place of the word,
+place in the word, piece): every occurrence is cut by draws of its own, and the same seed always gives
+the same segmentation. A task remembers for each word the candidates that come up when given ones are
+skipped, and the outcome: an occurrence follows its draws through what is known, and only where they
+lead to skips not met twice before it is merged by itself. Long words are merged at every occurrence.
+Without dropout the result is that of the library itself.
 
 Characters that are no piece become byte pieces, and so does a literal ``▁``, which else would read as a
 blank: decoding gives back every text exactly.
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from termscan.llm.common import mix64, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 20261201, 4
-#: Word types a task remembers before it starts again.
-CACHE = 800_000
+DROPOUT, SEED = 0.1, 20261201
+#: Segmentations a task remembers before it starts again.
+CACHE = 1_500_000
+#: Symbols up to which a word's segmentations are remembered, and occurrences looked at together.
+SHORT, TOGETHER = 24, 1 << 18
 #: Symbols of a word that is merged together with others; longer words are merged one by one.
 WIDE = 48
 _MARK = "▁"
@@ -39,7 +43,7 @@ _FAR = np.int64(1) << np.int64(40)
 class Pieces:
     """A merge vocabulary, read from a model's bytes, and the segmentations worked out with it so far."""
 
-    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED):
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = lib.get_piece_size()
         own = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
@@ -65,16 +69,24 @@ class Pieces:
         self.pair = np.array(sorted(pairs), np.int64)
         self.pair_rank, self.pair_piece = (np.array([pairs[k][x] for k in self.pair.tolist()], np.int64) for x in (0, 1))
         self.limit = np.uint64(min(int(dropout * (1 << 64)), _MASK))
-        self.variants = variants if dropout > 0 else 1
-        self.keys = mix64(np.array([(seed * 1_000_003 + v) & _MASK for v in range(self.variants)], np.uint64))
-        self.seed = np.uint64(seed & _MASK)
+        self.seed = mix64(np.array([(seed * 2 + 1) & _MASK], np.uint64))[0]
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.words: list[str] = []
-        self.start, self.count = np.full(1024 * self.variants, -1, np.int64), np.zeros(1024 * self.variants, np.int64)
+        self.root, self.size = np.full(1024, -1, np.int64), np.empty(0, np.int64)
+        # nodes: a word, the skips that lead there (by the slot above), its pieces, its accepted candidates
+        self.nodes = 0
+        self.word, self.above, self.start, self.count, self.first, self.choices = np.zeros((6, 1024), np.int64)
         self.pool, self.used = np.empty(1 << 16, np.int32), 0
+        # slots: one per node and accepted candidate; the node that skipping it leads to
+        self.slots = 0
+        self.candidate, self.owner, self.child = np.zeros((3, 1024), np.int64)
+
+    @staticmethod
+    def _room(table: np.ndarray, size: int) -> np.ndarray:
+        return table if size <= len(table) else np.concatenate([table, np.empty(max(size - len(table), len(table)), table.dtype)])
 
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place of the piece that two neighbours make in the agenda, above ``_FAR`` if there is none."""
@@ -82,22 +94,24 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, at + (self.pair_rank[at] << 20), _FAR)
 
-    def _skipped(self, key: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether a candidate that has come up is dropped."""
-        if not self.limit:
-            return np.zeros(len(key), bool)
-        h = mix64(key ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + piece.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)))
-        return h < self.limit
+    def _skipped(self, key: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+        """Whether a candidate that comes up at an occurrence is dropped."""
+        return mix64(key ^ (candidate.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) < self.limit
+
+    def _merged(self, words: list[str], key: np.ndarray | None, skips: np.ndarray) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Agenda processing of many words at once, all of one length: each step takes every word's best candidate.
 
-    def _merged(self, words: list[str], variants: np.ndarray) -> list[list[int]]:
-        """Agenda processing of many words at once, all of one length: each step takes every word's best candidate."""
+        Skipped is what the occurrences' keys drop, or without keys the candidates in each row of
+        ``skips``. Returned are the ids, and without keys the accepted candidates with their words' numbers, by word.
+        """
+        taken: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
         out: list[list[int]] = [[]] * len(words)
         sym, width = self.of_char[chars], chars.shape[1]
         place = np.broadcast_to(np.arange(width), sym.shape).copy()
         rank = np.full(sym.shape, _FAR)
         rank[:, :-1] = self._ranked(sym[:, :-1], sym[:, 1:])
-        size, row, key = np.full(len(words), width), np.arange(len(words)), self.keys[variants]
+        size, row = np.full(len(words), width), np.arange(len(words))
         column = np.arange(width)
         while len(row):
             best = rank.argmin(axis=1)
@@ -112,13 +126,16 @@ class Pieces:
                             [y] if 0 <= y < self.n_pieces else [self.bytes[b] for b in words[k][i].encode()])]
                     out[k] = symbols
                 go = ~over
-                sym, place, rank, size, row, key = sym[go], place[go], rank[go], size[go], row[go], key[go]
+                sym, place, rank, size, row = sym[go], place[go], rank[go], size[go], row[go]
                 best, found = best[go], found[go]
                 each = np.arange(len(row))
                 if not len(row):
                     break
             piece = self.pair_piece[found & ((1 << 20) - 1)]
-            skip = self._skipped(key, place[each, best], piece)
+            candidate = (place[each, best] << 20) + piece
+            skip = self._skipped(key[row], candidate) if key is not None else (skips[row] == candidate[:, None]).any(axis=1)
+            if key is None:
+                taken.append((row[~skip], candidate[~skip]))
             rank[each[skip], best[skip]] = _FAR
             go = np.flatnonzero(~skip)
             if not len(go):
@@ -138,30 +155,87 @@ class Pieces:
             last = go[~inner]
             rank[last[:, None], np.minimum(np.maximum(column[None, :], (size[last] - 1)[:, None]), width - 1)] = _FAR
             rank[go, size[go] - 1] = _FAR
-        return out
+        rows, candidates = (np.concatenate(x) for x in zip(*taken, strict=True))
+        order = np.argsort(rows, kind="stable")
+        return out, rows[order], candidates[order]
 
-    def _learn(self, wanted: np.ndarray) -> None:
-        """Works out the segmentations of (word, variant) numbers not yet known."""
-        names = [self.words[k] for k in (wanted // self.variants).tolist()]
+    def _add(self, words: np.ndarray, above: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
+        """New nodes: of words, under the skips that the slots ``above`` (-1: none) stand for, or that the keys drop."""
+        node = self.nodes + np.arange(len(words))
+        self.nodes += len(words)
+        for name in ("word", "above", "start", "count", "first", "choices"):
+            setattr(self, name, self._room(getattr(self, name), self.nodes))
+        self.word[node], self.above[node], self.choices[node] = words, above, 0
+        names = [self.words[k] for k in words.tolist()]
+        skips = {}  # of the nodes that have any
+        for k in np.flatnonzero(above >= 0).tolist():
+            slot, own = int(above[k]), skips.setdefault(k, [])
+            while slot >= 0:
+                own.append(int(self.candidate[slot]))
+                slot = int(self.above[self.owner[slot]])
+        deep = max(map(len, skips.values()), default=1)
         length = np.array([len(w) for w in names])
         for n in np.unique(length).tolist():
             same = np.flatnonzero(length == n)
-            step = max(1, (1 << 16) // n) if n <= WIDE else 1
+            step = max(1, (1 << 16) // max(1, n)) if n <= WIDE else 1
             for at in range(0, len(same), step):
                 some = same[at : at + step]
-                found = self._merged([names[k] for k in some.tolist()], wanted[some] % self.variants)
+                if n:
+                    table = np.full((len(some), deep), -1, np.int64)
+                    for k, which in enumerate(some.tolist() if skips else ()):
+                        own = skips.get(which, ())
+                        table[k, : len(own)] = own
+                    found, rows, candidates = self._merged([names[k] for k in some.tolist()], None if key is None else key[some], table)
+                else:  # a literal mark
+                    found, rows, candidates = [[self.bytes[b] for b in _MARK.encode()]] * len(some), *(np.empty(0, np.int64),) * 2
                 counts = np.array([len(x) for x in found])
                 flat = np.array([x for y in found for x in y], np.int32)
-                while self.used + len(flat) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+                self.pool = self._room(self.pool, self.used + len(flat))
                 self.pool[self.used : self.used + len(flat)] = flat
-                self.start[wanted[some]] = self.used + np.cumsum(counts) - counts
-                self.count[wanted[some]] = counts
+                self.start[node[some]] = self.used + np.cumsum(counts) - counts
+                self.count[node[some]] = counts
                 self.used += len(flat)
+                if key is None and self.limit:
+                    slot = self.slots + np.arange(len(rows))
+                    self.slots += len(rows)
+                    for name in ("candidate", "owner", "child"):
+                        setattr(self, name, self._room(getattr(self, name), self.slots))
+                    self.candidate[slot], self.owner[slot], self.child[slot] = candidates, node[some][rows], -1
+                    choices = np.bincount(rows, minlength=len(some))
+                    self.first[node[some]], self.choices[node[some]] = slot[0] + np.cumsum(choices) - choices if len(slot) else 0, choices
+        return node
+
+    def _followed(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The node that each occurrence's draws lead to from its word's first node."""
+        active = np.arange(len(node))
+        while len(active):
+            n = self.choices[node[active]]
+            total = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+            slot = np.repeat(self.first[node[active]] - total[:-1], n) + np.arange(total[-1])
+            who = np.repeat(np.arange(len(active)), n)
+            at = np.flatnonzero(self._skipped(key[active][who], self.candidate[slot]))
+            # the first accepted candidate that the draws drop
+            at = at[np.concatenate([[True], who[at][1:] != who[at][:-1]])] if len(at) else at
+            active, slot = active[who[at]], slot[at]
+            new = self._again(self.child, slot)
+            if len(new):
+                made = self._add(self.word[self.owner[new]], new)
+                self.child[new] = made
+            node[active] = self.child[slot]
+            active = active[node[active] >= 0]
+        return node
+
+    @staticmethod
+    def _again(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the places that lead to no node yet, those met a second time; the others are marked by -2."""
+        new, times = np.unique(at[table[at] < 0], return_counts=True)
+        more = (times > 1) | (table[new] == -2)
+        table[new[~more]] = -2
+        return new[more]
 
     def encode_all(self, texts: list[str], names: list[int]) -> list[np.ndarray]:
-        """The ids of each text; a name stands for the document in the choice of variants."""
-        if len(self.index) > CACHE:
+        """The ids of each text; a name stands for the document in the draws."""
+        if max(len(self.index), self.nodes) > CACHE:
             self._forget()
         index, known, codes, ends = self.index, self.words, [], []
         get = index.get
@@ -185,23 +259,27 @@ class Pieces:
         begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         number = np.repeat(np.array([n & _MASK for n in names], np.uint64), ends - begin)
         place = (np.arange(len(code)) - np.repeat(begin, ends - begin)).astype(np.uint64)
-        variant = mix64(place + mix64(number ^ self.seed)) % np.uint64(self.variants)
-        code = code * self.variants + variant.astype(np.int64)
-        while len(known) * self.variants > len(self.start):
-            self.start = np.concatenate([self.start, np.full_like(self.start, -1)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        new = np.unique(code[self.start[code] < 0])
-        if "" in index:  # a literal mark
-            mark = index[""] * self.variants
-            new = new[new // self.variants != index[""]]
-            if self.start[mark] < 0:
-                self.pool = np.concatenate([self.pool[: self.used], np.array([self.bytes[b] for b in _MARK.encode()], np.int32), np.empty(1 << 16, np.int32)])
-                self.start[mark : mark + self.variants], self.count[mark : mark + self.variants] = self.used, 3
-                self.used += 3
-        self._learn(new)
-        count = self.count[code]
+        key = mix64(place + mix64(number ^ self.seed))
+        if len(known) > len(self.root):
+            self.root = np.concatenate([self.root, np.full(len(known), -1, np.int64)])
+        self.size = np.concatenate([self.size, np.array([len(word) for word in known[len(self.size) :]], np.int64)])
+        short = self.size[code] <= SHORT if self.limit else np.ones(len(code), bool)
+        new = self._again(self.root, code[short]) if self.limit else np.unique(code[self.root[code] < 0])
+        if len(new):
+            made = self._add(new, np.full(len(new), -1))
+            self.root[new] = made
+        node = self.root[code]
+        for at in range(0, len(code) if self.limit else 0, TOGETHER):
+            some = at + np.flatnonzero(short[at : at + TOGETHER] & (node[at : at + TOGETHER] >= 0))
+            node[some] = self._followed(node[some], key[some])
+        nodes, used = self.nodes, self.used
+        rest = np.flatnonzero(~short | (node < 0))
+        if len(rest):
+            node[rest] = self._add(code[rest], np.full(len(rest), -1), key[rest])
+        count = self.count[node]
         total = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        flat = self.pool[np.repeat(self.start[code] - total[:-1], count) + np.arange(total[-1])]
+        flat = self.pool[np.repeat(self.start[node] - total[:-1], count) + np.arange(total[-1])]
+        self.nodes, self.used = nodes, used  # what was merged for one occurrence is not remembered
         return np.split(flat, total[ends[:-1]]) if len(ends) else []
 
     def decode(self, ids) -> str:
@@ -239,7 +317,7 @@ def _decoded(shared):
 
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL,
-    dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+    dropout: float = DROPOUT, seed: int = SEED,
 ) -> DataFrame:
     """``doc_id, n_tokens, ids, lossless`` for each row: the ids, and whether they decode to the text.
 
@@ -251,7 +329,7 @@ def encode(
     small_batches(spark)
     shared = spark.sparkContext.broadcast(Path(model).read_bytes())
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias(id_col))
-    rows = own.mapInArrow(_encoded(shared, (dropout, seed, variants)), f"`{id_col}` long, ids array<int>, lossless boolean")
+    rows = own.mapInArrow(_encoded(shared, (dropout, seed)), f"`{id_col}` long, ids array<int>, lossless boolean")
     return rows.select(id_col, F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 

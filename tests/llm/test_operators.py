@@ -224,6 +224,29 @@ def test_subwords(spark, model, odd, none):
     assert subwords.encode(none).count() == 0
 
 
+def test_dropout_draws_anew_at_every_occurrence(model):
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    some = subwords.Pieces(model, 0.1, 7)
+    # a word of few merges varies, and each of its first candidates is skipped in a tenth of the occurrences
+    for word in ("the", "and", "is", "international"):
+        got = Counter(tuple(x.tolist()) for x in some.encode_all([word] * 4000, list(range(4000))))
+        whole = got[tuple(lib.encode(word))]
+        merges = len(word) + 1 - len(lib.encode(word))
+        assert len(got) > 1 and 0.9**merges - 0.03 < whole / 4000 < 0.95
+    assert len(got) > 20
+    # what is remembered does not matter: each occurrence is cut as if it were merged by itself
+    texts = near_texts()[:20] + [LONG, "x" * 30 + " internationalisation " * 30]
+    names = [3 * k - 5 for k in range(len(texts))]
+    for rate in (0.1, 0.5, 1.0):
+        tree, direct = subwords.Pieces(model, rate, 7), subwords.Pieces(model, rate, 7)
+        one = tree.encode_all(texts, names)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(subwords, "SHORT", -1)
+            two = direct.encode_all(texts, names)
+        assert all(x.tolist() == y.tolist() for x, y in zip(one, two, strict=True))
+        assert [tree.decode(x.tolist()) for x in one] == texts
+
+
 # ---- lines
 
 
