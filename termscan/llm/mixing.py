@@ -1,13 +1,12 @@
 """Mixing sources to target weights, all in built-in functions.
 
 Each source's documents are laid end to end and cut into blocks of ``block_words`` words. The mix is a row
-of slots, cut into output shards. How many slots of a shard each source gets follows the multinomial
-law, given the totals that the targets fix: slots are dealt by a pseudorandom permutation of all slots,
-whose consecutive ranges belong to the sources. A source's n-th slot takes block ``n mod size`` of a
-permutation of its blocks, a new permutation for every round through them, so that no block is taken
-twice before all are taken once. Slots and blocks are joined by (source, block).
+of slots, cut into output shards. A source gives each block once per round, and in its last round a
+pseudorandom choice of blocks, so that no block is taken twice before all are taken once. All these are
+put into the pseudorandom order of keyed hashes: how many slots of a shard each source gets follows the
+multinomial law, given the totals that the targets fix. Slots and blocks are joined by (source, block).
 
-All permutations are affine maps, so any engine with 64-bit numbers and modulo can repeat them.
+Places in the order of hashes are found in buckets of the hash range, so no task orders a whole source.
 """
 
 from __future__ import annotations
@@ -27,22 +26,21 @@ RUNS = 1024
 #: Rows of the table of sources up to which it is broadcast.
 SMALL = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
-#: Fixed values of the permutations: factors are primes below 2^31.
-_STEP, _SHIFT, _ROUND = 1_500_450_271, 982_451_653, 715_225_739
+#: Key of the hashes, and rows of one bucket of the hash range.
+SEED, BUCKET = 20261201, 4096
 
 
-def _coprime(n: Column) -> Column:
-    """One of three primes that does not divide ``n``, or 1; ``n`` below 2^31 has at most three such factors."""
-    step = F.lit(1)
-    for prime in (_SHIFT, _ROUND, _STEP):
-        step = F.when(n % prime != 0, F.lit(prime)).otherwise(step)
-    return step.cast("long")
-
-
-def _permuted(i: Column, n: Column, turn: Column) -> Column:
-    """The place of ``i`` in a pseudorandom permutation of ``0 .. n - 1``; ``turn`` chooses which."""
-    step = F.pmod(_coprime(n), n)
-    return F.pmod(F.pmod(i * step, n) + F.pmod((turn + 1) * F.lit(_ROUND), n), n)
+def _placed(rows: DataFrame, group: list[str], what: int, size: Column) -> DataFrame:
+    """``rows`` with ``place``, from 0, in the order of keyed hashes of (named, turn, block) within a group of ``size`` rows."""
+    h = F.xxhash64(F.lit(SEED), F.lit(what), "named", "turn", "block")
+    rows = rows.withColumn("h", h).withColumn("u", F.shiftrightunsigned("h", 32))
+    rows = rows.withColumn("bucket", F.shiftright(F.col("u") * F.ceil(size / BUCKET), 32))
+    inside = Window.partitionBy(*group, "bucket").orderBy("u", "h", "named", "turn", "block")
+    ahead = Window.partitionBy(*(group or [F.lit(0)])).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*group, "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    found = rows.withColumn("inside", F.row_number().over(inside)).join(counts.hint("merge"), [*group, "bucket"])
+    return found.withColumn("place", F.col("inside") - 1 + F.col("ahead")).drop("h", "u", "bucket", "inside", "ahead")
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -108,17 +106,18 @@ def pieces(sized: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def slots(shares: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``(named, block, shard, slot)``: which block each slot of the mix takes."""
-    n = F.col("n_slots")
+    n, size = F.col("n_slots"), F.col("n_blocks")
     each = shares.where(n > 0).select(
-        "named", "n_blocks", "first_slot", "all_slots", "n_slots",
-        F.explode(F.sequence(F.lit(0), F.floor((n - 1) / shard_slots))).alias("lot"),
-    ).repartition("named", "lot")
-    draw = F.explode(F.sequence(F.col("lot") * shard_slots, F.least((F.col("lot") + 1) * shard_slots, n) - 1))
-    each = each.withColumn("draw", draw)
-    place = _permuted(F.col("first_slot") + F.col("draw"), F.col("all_slots"), F.lit(0))
-    turn = F.floor(F.col("draw") / F.col("n_blocks"))
-    block = _permuted(F.pmod(F.col("draw"), F.col("n_blocks")), F.col("n_blocks"), turn + F.length("named.name"))
-    return each.select("named", block.alias("block"), F.floor(place / shard_slots).alias("shard"), F.pmod(place, F.lit(shard_slots)).alias("slot"))
+        "named", "n_blocks", "n_slots", "all_slots",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size))).alias("turn"))
+    each = each.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / shard_slots)))).repartition("named", "turn", "lot")
+    block = F.explode(F.sequence(F.col("lot") * shard_slots, F.least((F.col("lot") + 1) * shard_slots, size) - 1))
+    each = each.withColumn("block", block).drop("lot")
+    left = n - F.col("turn") * size  # slots for this round and those after it
+    last = _placed(each.where(left < size), ["named"], 0, size).where(F.col("place") < left).drop("place")
+    every = _placed(each.where(left >= size).unionByName(last), [], 1, F.col("all_slots"))
+    place = F.col("place")
+    return every.select("named", "block", F.floor(place / shard_slots).alias("shard"), F.pmod(place, F.lit(shard_slots)).cast("long").alias("slot"))
 
 
 def taken(docs: DataFrame) -> DataFrame:

@@ -380,6 +380,27 @@ def test_mixing(spark, odd, none):
     assert len(mixing.taken(odd).collect()) == len(ODD) and mixing.taken(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_slots_follow_the_law(spark):
+    shares = [("a", 2035, 40000), ("b", 6105, 2035), ("c", 4070, 78000 // 6 * 3), ("d", 40000, 40000)]
+    rows, first, total = [], 0, sum(s[2] for s in shares)
+    for name, blocks, n in shares:
+        rows.append(((False, name), blocks, n, first, total))
+        first += n
+    frame = spark.createDataFrame(rows, "named struct<none: boolean, name: string>, n_blocks long, n_slots long, first_slot long, all_slots long")
+    got = [(r.named.name, r.block, r.shard, r.slot) for r in mixing.slots(frame).collect()]
+    assert sorted(1024 * r[2] + r[3] for r in got) == list(range(total))
+    for name, blocks, n in shares:
+        times = Counter(b for s, b, *_ in got if s == name)
+        assert sum(times.values()) == n and set(times) <= set(range(blocks)) and max(times.values()) <= -(-n // blocks)
+        assert n < blocks or len(times) == blocks and min(times.values()) >= n // blocks
+        if n > 30000:  # whole shards vary as independent draws do
+            per = Counter(k for s, _, k, _ in got if s == name)
+            spread = np.std([per[k] for k in range(total // 1024)]) / np.sqrt(1024 * n / total * (1 - n / total))
+            assert 0.75 < spread < 1.25
+    chosen = {b for s, b, *_ in got if s == "b"}
+    assert 1000 < sum(b + 1 not in chosen for b in chosen) < 1700  # a third of the blocks, not one run of them
+
+
 # ---- toxicity and language
 
 
