@@ -4,7 +4,7 @@ Features are the counts of hashed sequences of one to three characters (lower-ca
 letter counts as one blank), as shares of a text's sequences. A one-versus-rest linear classifier chooses
 the family; in it, linear support vector machines, one for each pair of languages, vote, and the sum of
 margins breaks ties. All are fitted on a bounded sample: at most ``SAMPLE`` documents, shared evenly by
-the languages; every whole text is scored.
+the languages, or ``LEAST`` of each if that is more; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -13,15 +13,13 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termscan.llm.common import durable, mix64, small_batches
 
-#: Documents that a fit uses at most, and most of one language.
-SAMPLE, PER_LANGUAGE = 2400, 600
-#: Languages that can be learnt: those with the most documents.
-LANGUAGES = 64
+#: Documents that a fit shares among the languages, and most of one language; every language gets ``LEAST`` if it has them.
+SAMPLE, PER_LANGUAGE, LEAST = 2400, 600, 20
 BITS = 13
 COST, STEPS = 1e-5, 150
 UNKNOWN = "und"
@@ -150,19 +148,18 @@ def train(docs: DataFrame, learn: Column | None = None) -> Model:
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
         known = known.where(learn)
-    heads = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    each = min(PER_LANGUAGE, SAMPLE // max(1, len(heads)))
-    # a hash below a share of its range thins the rows before they are ordered
-    ids = None
-    for head in heads:
-        share = min(1.0, 4.0 * each / head.n)
-        own = known.where((F.col("lang") == head.lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("doc_id", "lang")
-        own = own.orderBy(F.xxhash64("doc_id", F.lit(1))).limit(each)
-        ids = own if ids is None else ids.union(own)
-    if ids is None:
+    heads = durable(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    n_languages = heads.count()
+    if not n_languages:
         return Model(np.zeros((0, 1 << BITS)), [])
+    each = max(LEAST, min(PER_LANGUAGE, SAMPLE // n_languages))
+    # a hash below a share of its range thins the rows before they are ordered
+    share = F.least(F.lit(1.0), 4.0 * each / F.col("n"))
+    own = known.select("doc_id", "lang").join(heads, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.floor(share * (1 << 30)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)))
+    ids = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("doc_id", "lang")
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
-    rows = durable(texts.mapInArrow(_sparse, "lang string, at array<int>, value array<float>"), "sequences").collect()  # SAMPLE rows
+    rows = durable(texts.mapInArrow(_sparse, "lang string, at array<int>, value array<float>"), "sequences").collect()  # SAMPLE rows, or LEAST of each language
     rows = sorted(rows, key=lambda r: (r.lang, r.at))
     x = np.zeros((len(rows), 1 << BITS), np.float32)
     for k, r in enumerate(rows):

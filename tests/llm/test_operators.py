@@ -450,3 +450,15 @@ def test_language(spark, odd, none):
     assert rows[900].lang_pred == rows[901].lang_pred == "und" and rows[902].lang_pred == "en"
     assert language_id.predict(odd, model).count() == len(ODD)
     assert {r.lang_pred for r in language_id.predict(odd, language_id.train(none)).collect()} == {"und"}
+
+
+def test_every_language_is_learnt(spark):
+    known = [code for codes in language_id.FAMILIES.values() for code in codes]
+    langs = [*known, *(f"q{k}" for k in range(75 - len(known)))]
+    word = lambda k: chr(0x4E00 + 40 * k) + chr(0x4E01 + 40 * k)
+    docs = [(100 * k + j, " ".join([word(k)] * (3 + j)), lang) for k, lang in enumerate(langs) for j in range(2 if k % 7 else 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(frame)
+    assert sorted(x for own in model.languages.values() for x in own) == sorted(langs)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(frame, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in docs]) > 0.9
