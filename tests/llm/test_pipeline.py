@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_queries_are_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in entry.queries()) == 1 for n in names) and "pipeline" in entry.queries()
 
 
