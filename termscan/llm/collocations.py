@@ -13,11 +13,11 @@ before tells: its size is bounded, and a collision lets a phrase in for counting
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +28,16 @@ LEAST = 100
 WORDS = 5
 TOP = 2000
 #: Phrases in a container before it bursts, phrases in a task before subtrees are spilled, words a task remembers.
-BURST, HELD, KNOWN = 4096, 300_000, 500_000
+BURST, HELD, KNOWN = 4096, 600_000, 700_000
 #: Levels of the trie above the containers.
 DEPTH = 2
 #: Bytes of text that are cut into words at a time.
-PIECE = 1 << 20
+PIECE = 4 << 20
 #: Bits of a bitmap: 16 a phrase, between these bounds (8 KB and 128 MB).
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 30, 16
 SLICES = 64
+#: Rows of a run that go on at a time.
+RUN_ROWS = 50_000
 
 #: Upper case becomes lower case; everything that ends a piece becomes a full stop, which is in no word.
 _FOLD = bytes(
@@ -50,31 +52,28 @@ _SLICE = pa.schema([("slice", pa.int32()), ("at", pa.int64())])
 
 
 class _Words(dict):
-    """Numbers of the words of one language in a task; -1 for what is in no phrase of this pass."""
+    """Numbers of the words of one language in a task; 0 is the end of a piece."""
 
     def __init__(self, lang: str, bitmap: np.ndarray | None):
-        super().__init__({_STOP: -1})
+        super().__init__({_STOP: 0})
         self.seed = xxhash.xxh64_intdigest(lang.encode())
         self.bitmap = bitmap
-        self.words: list[bytes] = []
-        self.fresh: list[int] = []
-        self._hashes = np.zeros(0, dtype=np.uint64)
+        self.words: list[bytes] = [_STOP]
+        self.hashes, self.frequent = np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=bool)
 
     def __missing__(self, word: bytes) -> int:
-        own = xxhash.xxh64_intdigest(word, self.seed)
-        if self.bitmap is not None and not _among(_phrase_hash(np.array([[own]], dtype=np.uint64)), self.bitmap)[0]:
-            self[word] = -1
-            return -1
         self[word] = at = len(self.words)
         self.words.append(word)
-        self.fresh.append(own)
         return at
 
-    def hashes(self) -> np.ndarray:
-        if self.fresh:
-            self._hashes = np.concatenate([self._hashes, np.array(self.fresh, dtype=np.uint64)])
-            self.fresh = []
-        return self._hashes
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        fresh = self.words[len(self.hashes) :]
+        if fresh:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in fresh), np.uint64, len(fresh))
+            marked = np.ones(len(fresh), dtype=bool) if self.bitmap is None else _among(_phrase_hash(hashes[:, None]), self.bitmap)
+            self.hashes, self.frequent = np.concatenate([self.hashes, hashes]), np.concatenate([self.frequent, marked])
+        return ids
 
 
 def _phrase_hash(hashes: np.ndarray) -> np.ndarray:
@@ -90,11 +89,16 @@ def _among(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _keys(grams: np.ndarray) -> list[bytes]:
+    """Each row of word numbers as bytes, four a word."""
+    return np.ascontiguousarray(grams.astype(">u4")).view(f"V{4 * grams.shape[1]}").ravel().tolist()
+
+
 class BurstTrie:
-    """Counts of phrases given as word numbers of four bytes each, most significant byte first.
+    """Counts of phrases of word numbers.
 
-    A node is a container, a dict from the rest of a phrase to its count, or a branch: a dict from
-    the next word to a node, marked by standing in ``branches``.
+    A node is a container, a dict from the rest of a phrase (four bytes a word) to its count, or a branch:
+    a dict from the next word to a node, marked by standing in ``branches``.
     """
 
     def __init__(self, burst: int = BURST, depth: int = DEPTH):
@@ -103,20 +107,25 @@ class BurstTrie:
         self.branches: set[int] = set()
         self.size = 0
 
-    def add(self, phrase: bytes, count: int) -> None:
-        node, owner, word, level = self.root, None, b"", 0
-        while id(node) in self.branches:
-            owner, word, phrase, level = node, phrase[:4], phrase[4:], level + 1
-            node = owner.get(word)
-            if node is None:
-                node = owner[word] = {}
-        had = node.get(phrase)
-        if had is not None:
-            node[phrase] = had + count
+    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Rows of ``grams`` are distinct and in order."""
+        self._add(self.root, 0, grams, counts)
+
+    def _add(self, node: dict, level: int, grams: np.ndarray, counts: np.ndarray) -> None:
+        if id(node) in self.branches:
+            first = np.concatenate([[0], np.flatnonzero(np.diff(grams[:, 0])) + 1, [len(grams)]])
+            words = _keys(grams[first[:-1], :1])
+            for word, lo, hi in zip(words, first[:-1].tolist(), first[1:].tolist()):
+                child = node.get(word)
+                if child is None:
+                    child = node[word] = {}
+                self._add(child, level + 1, grams[lo:hi, 1:], counts[lo:hi])
             return
-        node[phrase] = count
-        self.size += 1
-        if len(node) > self.burst and level < self.depth and len(phrase) > 4:
+        had, get = len(node), node.get
+        for key, count in zip(_keys(grams), counts.tolist()):
+            node[key] = get(key, 0) + count
+        self.size += len(node) - had
+        if len(node) > self.burst and level < self.depth and grams.shape[1] > 1:
             self._split(node)
 
     def _split(self, node: dict) -> None:
@@ -127,13 +136,12 @@ class BurstTrie:
         node.update(children)
         self.branches.add(id(node))
 
-    def _entries(self, node: dict, before: bytes) -> Iterator[tuple[bytes, int]]:
+    def _containers(self, node: dict, before: bytes) -> Iterator[tuple[bytes, dict]]:
         if id(node) not in self.branches:
-            for phrase, count in node.items():
-                yield before + phrase, count
+            yield before, node
             return
         for word, child in node.items():
-            yield from self._entries(child, before + word)
+            yield from self._containers(child, before + word)
 
     def _weigh(self, node: dict) -> int:
         return sum(map(self._weigh, node.values())) if id(node) in self.branches else len(node)
@@ -144,20 +152,33 @@ class BurstTrie:
             for child in node.values():
                 self._forget(child)
 
-    def spill(self, keep: int) -> Iterator[list[tuple[bytes, int]]]:
-        """Takes the largest subtrees out, whole, until at most ``keep`` phrases are left."""
+    @staticmethod
+    def _entries(containers: list[tuple[bytes, dict]]) -> tuple[np.ndarray, np.ndarray]:
+        words, counts = [], []
+        for before, phrases in containers:
+            rest = np.frombuffer(b"".join(phrases), dtype=">u4").reshape(len(phrases), -1)
+            ahead = np.broadcast_to(np.frombuffer(before, dtype=">u4"), (len(phrases), len(before) // 4))
+            words.append(np.concatenate([ahead, rest], axis=1))
+            counts.append(np.fromiter(phrases.values(), np.int64, len(phrases)))
+        return np.concatenate(words).astype(np.int64), np.concatenate(counts)
+
+    def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Takes the largest subtrees out, whole, until at most ``keep`` phrases are left: their phrases and counts."""
+        if self.size <= keep or not self.size:
+            return None
         if id(self.root) not in self.branches:
-            if self.size > keep:
-                yield list(self.root.items())
-                self.root, self.size = {}, 0
-            return
+            out = self._entries([(b"", self.root)])
+            self.root, self.size = {}, 0
+            return out
+        gone = []
         for weight, word in sorted(((self._weigh(c), w) for w, c in self.root.items()), reverse=True):
             if self.size <= keep:
-                return
+                break
             child = self.root.pop(word)
-            yield list(self._entries(child, word))
+            gone += self._containers(child, word)
             self._forget(child)
             self.size -= weight
+        return self._entries(gone)
 
 
 class _Counter:
@@ -198,54 +219,79 @@ class _Counter:
             self.waiting, self.waiting_bytes = [], 0
 
     def _count(self, tokens: list[bytes]) -> None:
-        k = self.k
-        ids = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+        k, words = self.k, self.words
+        ids = words.numbers(tokens)
         if k == 1:
-            self.total += int((ids >= 0).sum())
+            self.total += int((ids > 0).sum())
         if len(ids) < k:
             return
         last = len(ids) - k + 1
-        ok = ids[:last] >= 0
+        may = words.frequent[ids]
+        ok = may[:last].copy()
         for i in range(1, k):
-            ok = ok & (ids[i : last + i] >= 0)
+            ok &= may[i : last + i]
         if self.parts is not None:
             ok = self._frequent_parts(ids, ok)
         start = np.flatnonzero(ok)
         if len(start):
-            grams = ids[start[:, None] + np.arange(k)].astype(">u4").tobytes()
-            size = 4 * k
-            for phrase, count in Counter(grams[i : i + size] for i in range(0, len(grams), size)).items():
-                self.trie.add(phrase, count)
+            self.trie.add(*_distinct(ids[start[:, None] + np.arange(k)]))
 
     def _frequent_parts(self, ids: np.ndarray, ok: np.ndarray) -> np.ndarray:
         """Where the first and the last k - 1 words of the phrase may be frequent."""
         start = np.flatnonzero(ok)
-        places = np.unique(np.concatenate([start, start + 1]))
+        places = np.zeros(len(ids) + 1, dtype=bool)
+        places[start] = places[start + 1] = True
+        places = np.flatnonzero(places)
         good = np.zeros(len(ids) + 1, dtype=bool)
-        good[places] = _among(_phrase_hash(self.words.hashes()[ids[places[:, None] + np.arange(self.k - 1)]]), self.parts)
+        good[places] = _among(_phrase_hash(self.words.hashes[ids[places[:, None] + np.arange(self.k - 1)]]), self.parts)
         return ok & good[: len(ok)] & good[1 : len(ok) + 1]
 
     def _runs(self, keep: int) -> Iterator[pa.RecordBatch]:
         if len(self.words) > KNOWN:
             yield from self.finish()
-        elif self.trie.size > keep:
-            for entries in self.trie.spill(keep // 2):
-                yield self._run(entries)
+        else:
+            yield from self._run(self.trie.spill(keep // 2 if self.trie.size > keep else keep))
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         self._count_waiting()
-        for entries in self.trie.spill(0):
-            yield self._run(entries)
+        yield from self._run(self.trie.spill(0))
         self.words = _Words(self.lang, self.marks)
         if self.total:
-            yield _batch([(self.lang, "", "", self.total)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (self.lang, "", "", self.total)], schema=_RUN)
             self.total = 0
 
-    def _run(self, entries: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        words = self.words.words
-        run = sorted(([words[i] for i in np.frombuffer(phrase, dtype=">u4").tolist()], count) for phrase, count in entries)
-        text = lambda part: _BLANK.join(part).decode("utf-8", "replace")
-        return _batch([(self.lang, text(p[:2]), text(p), count) for p, count in run])
+    def _run(self, entries: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        """The phrases of spilled subtrees in the order of their words."""
+        if entries is None:
+            return
+        grams, counts = entries
+        used, at = np.unique(grams, return_inverse=True)
+        text = pa.array([self.words.words[i] for i in used.tolist()], pa.binary())
+        order = pc.sort_indices(text).to_numpy()
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        at = at.reshape(grams.shape)
+        ranks = place[at]
+        rows = np.lexsort(ranks.T[::-1])
+        text = text.cast(pa.string())
+        for lo in range(0, len(rows), RUN_ROWS):
+            some = rows[lo : lo + RUN_ROWS]
+            columns = [text.take(pa.array(at[some, c])) for c in range(self.k)]
+            whole = pc.binary_join_element_wise(*columns, " ")
+            prefix = whole if self.k < 3 else pc.binary_join_element_wise(*columns[:2], " ")
+            lang = pa.array([self.lang]).take(pa.array(np.zeros(len(some), dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([lang, prefix, whole, pa.array(counts[some])], schema=_RUN)
+
+
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and how often each is there."""
+    if grams.shape[1] < 3:
+        packed = grams[:, 0] if grams.shape[1] == 1 else (grams[:, 0] << 32) + grams[:, 1]
+        found, counts = np.unique(packed, return_counts=True)
+        return (found[:, None] if grams.shape[1] == 1 else np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)), counts
+    grams = grams[np.lexsort(grams.T[::-1])]
+    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)]))
+    return grams[first], np.diff(np.append(first, len(grams)))
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -264,10 +310,6 @@ def _cut(text: bytes, at: int) -> int:
     return min(ahead, default=len(text))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _RUN)], schema=_RUN)
-
-
 def _count_kernel(k: int, words, parts):
     """``words`` and ``parts`` are broadcast bitmaps or None."""
 

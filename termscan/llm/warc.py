@@ -266,9 +266,11 @@ def read(files: DataFrame, range_bytes: int | None = RANGE_BYTES, spans: bool =
     """
     small_batches(files.sparkSession)
     size = (F.lit(range_bytes) if range_bytes else F.greatest(F.col("bytes"), F.lit(1))).cast("long")
+    # a task per range, as Spark would put the short rows that name them into one
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / size))).first()[0] or 1
     starts = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, size)).alias("start"))
     ranges = starts.select("path", "start", F.least("bytes", F.col("start") + size).alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(_read_kernel(spans), RECORDS_SCHEMA)
+    return ranges.repartition(int(n)).mapInArrow(_read_kernel(spans), RECORDS_SCHEMA)
 
 
 def read_whole(files: DataFrame, columns: list, range_bytes: int = RANGE_BYTES) -> DataFrame:

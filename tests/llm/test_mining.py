@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from termscan.llm import collocations, prefix_trie, queries, warc
@@ -77,21 +78,23 @@ def test_collocations_of_nothing(spark):
 
 
 def test_burst_trie():
-    draw = random.Random(1)
+    draw = np.random.default_rng(1)
     trie, want, spilled = collocations.BurstTrie(burst=8), Counter(), Counter()
-    pack = lambda *w: b"".join(x.to_bytes(4, "big") for x in w)
-    for _ in range(5000):
-        p = pack(*(draw.randrange(12) for _ in range(3)))
-        trie.add(p, 2)
-        want[p] += 2
+
+    def take(run):
+        for phrase, count in zip(run[0].tolist(), run[1].tolist()):
+            spilled[tuple(phrase)] += count
+
+    for _ in range(200):
+        grams, counts = collocations._distinct(draw.integers(0, 12, (40, 3)))
+        trie.add(grams, counts)
+        want.update({tuple(p): c for p, c in zip(grams.tolist(), counts.tolist())})
         if trie.size > 300:
-            for run in trie.spill(150):
-                spilled.update(dict(run))
+            take(trie.spill(150))
             assert trie.size <= 150
     assert trie.branches
-    for run in trie.spill(0):
-        spilled.update(dict(run))
-    assert spilled == want and trie.size == 0
+    take(trie.spill(0))
+    assert spilled == want and trie.size == 0 and trie.spill(0) is None
 
 
 # ---- archives
@@ -237,8 +240,6 @@ def test_trie_of_odd_tables(spark):
 
 
 def test_centroids_of_any_forest():
-    import numpy as np
-
     draw = random.Random(2)
     for _ in range(50):
         n = draw.randrange(1, 60)
