@@ -68,6 +68,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: Pivot rounds go on until a member has so few pairs left to look at, or so many rounds are over.
+FEW_PAIRS, PIVOT_ROUNDS = 2, 5
+
+
 def link_groups(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -75,33 +79,43 @@ def link_groups(
     centre: F.Column | None = None,
     bounds: DataFrame | None = None,
     bounded: Callable[[str, str], F.Column] | None = None,
-    pivot_rounds: int = 1,
 ) -> DataFrame:
     """Components of the nodes that meet under a key and pass ``verify``: ``(node, component)``.
 
     ``members`` holds ``key, node`` and what ``admissible(left, right)`` reads from the two sides of a
     pair. Expanding every group into all its pairs would grow with the square of a group, so first each
-    member is verified against one pivot of its group, in ``pivot_rounds`` rounds with other pivots, at
-    first the member with the least ``centre``; a pair already in one component needs no further look.
-    The last round takes every pair of members still in different components that ``bounded`` cannot
+    member is verified against one pivot of its group, in rounds with other pivots, at first the member
+    with the least ``centre``, then one from any of the group's components; a pair already in one
+    component needs no further look. Rounds go on while many pairs lie in different components. The
+    last round takes every pair of members still in different components that ``bounded`` cannot
     rule out from ``bounds`` (one row per node): nothing is left out, and no pair is verified twice.
     """
     spark = members.sparkSession
     none = spark.range(0)
     done = none.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("linked"))
     label = none.select(F.col("id").alias("node"), F.col("id").alias("component"))
-    for turn in range(pivot_rounds + 1):
+    size = members.count()
+    last = None
+    for turn in range(PIVOT_ROUNDS + 1):
         own = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        order = F.xxhash64("node", F.lit(turn)) if turn or centre is None else centre
-        spread = own.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("node", order).alias("pivot"),
-        ).where("lo < hi")
+        order = F.xxhash64("component", F.lit(turn)) if turn or centre is None else centre
+        parts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", order).alias("pivot"), F.min(order).alias("order"))
+        spread = parts.groupBy("key").agg(
+            F.min_by("pivot", "order").alias("pivot"), F.count(F.lit(1)).alias("parts"),
+            ((F.sum("c").cast("double") * F.sum("c") - F.sum(F.col("c").cast("double") * F.col("c"))) / 2).alias("open"),
+        ).where("parts > 1")
+        spread = durable(spread, "groups")
+        left_open = spread.agg(F.sum("open")).first()[0] or 0
+        if not left_open:
+            break
+        final = turn == PIVOT_ROUNDS or left_open <= FEW_PAIRS * size or (last is not None and left_open > 0.9 * last)
+        last = left_open
         own = own.join(spread.select("key", "pivot"), "key")
-        if turn == pivot_rounds and bounds is not None:
+        if final and bounds is not None:
             own = own.join(bounds, "node")
         left, right = own.alias("l"), own.alias("r")
         apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component"))
-        if turn < pivot_rounds:
+        if not final:
             right = own.where("node = pivot").alias("r")
         else:
             apart = apart & (F.col("l.node") < F.col("r.node"))
@@ -116,9 +130,10 @@ def link_groups(
             .join(done.select("a", "b"), ["a", "b"], "left_anti")
         )
         pairs = durable(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = durable(verify(pairs).select("a", "b", "linked"), "links")
-        done = done.union(found)
-        label = components(done.where("linked").select("a", "b"))
+        if not pairs.isEmpty():
+            found = durable(verify(pairs).select("a", "b", "linked"), "links")
+            done = done.union(found)
+            label = components(done.where("linked").select("a", "b"))
+        if final:
+            break
     return label

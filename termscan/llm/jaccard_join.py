@@ -264,9 +264,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     shared = spark.sparkContext.broadcast(frequencies(seen.where("kind = 1")))
     keyed = texts.mapInArrow(_prefixes(shared), "key long, node long, meta long")
-    span = "OVER (PARTITION BY key)"
-    members = keyed.withColumns({"lo": F.expr(f"min(node) {span}"), "hi": F.expr(f"max(node) {span}")}).where("lo < hi")
-    members = durable(members.select("key", "node", "meta").distinct(), "members")
+    keyed = durable(keyed.distinct(), "prefixes")
+    # counted before the shuffle, so that a shingle that very many documents share is no burden
+    shared_keys = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    members = durable(keyed.join(shared_keys, "key"), "members")
 
     bounds = classes.select("node", *_bits("parts"))
     sides = classes.select("node", (F.col("n") * (1 << 31)).alias("meta"), *_bits("parts"))

@@ -1,10 +1,15 @@
 """Line dedup: of lines that are nearly the same, anywhere in the table, the first one stays.
 
 A line's set holds every run of ``WIDTH`` characters of its lower-case form, or all of it if it is shorter.
-MinHash by one permutation in ``BINS`` bins gives a signature, built row by row without a shuffle; bands
-of two bins find pairs with high recall; bitmaps of the sets drop pairs that differ too much when they
-are formed; the exact Jaccard similarity of the two whole sets decides, and distributed union-find keeps one
-line per component. All of it is built-in functions.
+MinHash by one permutation in ``BINS`` bins gives a signature; bands of two bins find pairs with high
+recall; bitmaps of the sets drop pairs that differ too much when they are formed; the exact Jaccard
+similarity of the two whole sets decides, and distributed union-find keeps one line per component. All of
+it is built-in functions.
+
+Shingles are rows, signatures and bitmaps plain aggregates over them, so the per-character work is
+compiled code. A bitmap has a bit for every shingle that is there, however often: two bitmaps differ in no
+more bits than the sets do in shingles. The number of runs bounds a set's size from above, the bits that
+are set from below.
 
 Lines are parted by line feeds. Lines of white space alone are left as they are. Equal lines are known
 by 64-bit hashes, and their copies go without a comparison.
@@ -22,9 +27,9 @@ T_NUM, T_DEN = 4, 5
 WIDTH = 9
 BANDS, ROWS = 6, 2
 BINS = BANDS * ROWS
-#: Bitmaps of a line.
-MAPS = 4
-ODD = [f"odd{q}" for q in range(MAPS)]
+#: Longs of a line's bitmap.
+MAPS = 16
+BITS = [f"bits{q}" for q in range(MAPS)]
 #: Shingle starts in one part of a line: finding a character counts from the start of its string, so
 #: long lines are read in parts that overlap by ``WIDTH - 1`` characters.
 PART = 64
@@ -35,39 +40,43 @@ MARKS = 62
 SMALL = 1_000_000
 
 
+def _parts(line: Column) -> Column:
+    low = F.lower(line)
+    return F.when(F.length(low) < PART + WIDTH, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(PARTS), F.lit(1)))
+
+
+def _starts(part: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(part) - (WIDTH - 1), F.lit(1)))
+
+
 def shingles(line: Column) -> Column:
     """The hashes of the distinct shingles of a line, one at least."""
-    low = F.lower(line)
-    parts = F.when(F.length(low) < PART + WIDTH, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(PARTS), F.lit(1)))
-    starts = lambda part: F.sequence(F.lit(1), F.greatest(F.length(part) - (WIDTH - 1), F.lit(1)))
-    each = F.transform(parts, lambda part: F.transform(starts(part), lambda i: F.xxhash64(F.substring(part, i, WIDTH))))
+    each = F.transform(_parts(line), lambda part: F.transform(_starts(part), lambda i: F.xxhash64(F.substring(part, i, WIDTH))))
     return F.array_distinct(F.flatten(each))
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``n``, the bitmaps ``odd0 ..`` and the band hashes ``band0 ..`` of its ``line``.
+    """By ``node`` of ``rows``: ``n``, an upper bound of the size of the set of its ``line``, ``low``, a lower one, the
+    bitmap and the band hashes ``band0 ..``.
 
     A bin's value is the smallest hash in its part of the hash range; an empty bin borrows from the next
-    that is not empty. The bitmaps have the parity of the number of shingles in each of 64 parts of
-    each fourth of the hash range.
+    that is not empty.
     """
-    rows = rows.withColumn("sig", F.sort_array(shingles(F.col("line"))))
-    part = lambda h: F.shiftright((F.shiftright(h, 32) + (1 << 31)) * BINS, 32).cast("int")
-    rows = rows.withColumn("parts", F.transform("sig", part))
-    rows = rows.withColumn("at", F.array(*[F.nullif(F.array_position("parts", F.lit(i)).cast("int"), F.lit(0)) for i in range(BINS)]))
-    rows = rows.withColumn("bins", F.transform("at", lambda p: F.get("sig", p - 1)))
-    value = [F.coalesce(*[F.get("bins", F.lit((i + k) % BINS)) for k in range(BINS)]) for i in range(BINS)]
-    start = [F.coalesce(*[F.get("at", F.lit(i)) for i in range(q * BINS // MAPS, BINS)], F.size("sig") + 1) for q in range(MAPS)]
-    start.append(F.size("sig") + 1)
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    odd = [
-        F.aggregate(F.slice("sig", start[q], start[q + 1] - start[q]), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
-        for q in range(MAPS)
-    ]
-    return rows.select(
-        "*", F.size("sig").cast("long").alias("n"), *[o.alias(f"odd{q}") for q, o in enumerate(odd)],
-        *[F.xxhash64(F.lit(b), *value[b * ROWS : (b + 1) * ROWS]).alias(f"band{b}") for b in range(BANDS)],
-    ).drop("sig", "parts", "at", "bins")
+    most = F.greatest(F.length(F.lower("line")) - (WIDTH - 1), F.lit(1)).cast("long")
+    each = rows.select("node", most.alias("most"), F.explode(_parts(F.col("line"))).alias("part"))
+    each = each.select("node", "most", "part", F.explode(_starts(F.col("part"))).alias("i"))
+    each = each.select("node", "most", F.xxhash64(F.substring("part", F.col("i"), F.lit(WIDTH))).alias("h"))
+    each = each.withColumns({
+        "bin": F.shiftright((F.shiftright("h", 32) + (1 << 31)) * BINS, 32), "word": F.shiftright("h", 6).bitwiseAND(MAPS - 1),
+        "bit": F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")),
+    })
+    out = each.groupBy("node").agg(
+        F.max("most").alias("n"), *[F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"bin{i}") for i in range(BINS)],
+        *[F.coalesce(F.bit_or(F.when(F.col("word") == q, F.col("bit"))), F.lit(0).cast("long")).alias(BITS[q]) for q in range(MAPS)])
+    value = [F.coalesce(*[F.col(f"bin{(i + k) % BINS}") for k in range(BINS)]) for i in range(BINS)]
+    bands = [F.xxhash64(F.lit(b), *value[b * ROWS : (b + 1) * ROWS]).alias(f"band{b}") for b in range(BANDS)]
+    low = sum((F.bit_count(c) for c in BITS[1:]), F.bit_count(BITS[0])).cast("long").alias("low")
+    return out.select("*", low, *bands).drop(*[f"bin{i}" for i in range(BINS)])
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,25 +92,24 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _near(left: str, right: str) -> Column:
-    """Whether two sets can be similar enough: by their sizes, and by the bits in which bitmaps differ."""
+    """Whether two sets can be similar enough: by bounds of their sizes, and by the bits in which bitmaps differ."""
     l, r = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))  # noqa: E731,E741
-    apart = sum((F.bit_count(l(c).bitwiseXOR(r(c))) for c in ODD[1:]), F.bit_count(l(ODD[0]).bitwiseXOR(r(ODD[0]))))
-    return (T_DEN * F.least(l("n"), r("n")) >= T_NUM * F.greatest(l("n"), r("n"))) & (
+    apart = sum((F.bit_count(l(c).bitwiseXOR(r(c))) for c in BITS[1:]), F.bit_count(l(BITS[0]).bitwiseXOR(r(BITS[0]))))
+    return (T_DEN * l("n") >= T_NUM * r("low")) & (T_DEN * r("n") >= T_NUM * l("low")) & (
         (T_NUM + T_DEN) * apart <= (T_DEN - T_NUM) * (l("n") + r("n")))
 
 
 def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, version, line_no)`` of the lines that stay: the first of each component of similar lines."""
+    each = lines(docs, id_col, text_col).withColumn("node", F.xxhash64("line"))
     place = F.struct("doc", "version", "line_no")
-    each = signed(lines(docs, id_col, text_col).withColumn("node", F.xxhash64("line"))).drop("line")
-    marks = ["n", *ODD, *[f"band{b}" for b in range(BANDS)]]
-    classes = each.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in marks])
-    classes = durable(classes, "lines")
-
-    keys = F.explode(F.array(*[f"band{b}" for b in range(BANDS)]))
-    span = "OVER (PARTITION BY key)"
-    keyed = classes.select(keys.alias("key"), "node").withColumns({"lo": F.expr(f"min(node) {span}"), "hi": F.expr(f"max(node) {span}")})
-    members = keyed.where("lo < hi").select("key", "node").distinct().join(classes.select("node", "copies", "n", *ODD), "node")
+    first = each.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = durable(signed(each.select("node", "line")).join(first, "node"), "lines")
+
+    keyed = classes.select(F.explode(F.array(*[f"band{b}" for b in range(BANDS)])).alias("key"), "node").distinct()
+    # counted before the shuffle, so that a key that very many lines share is no burden
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    members = keyed.join(shared, "key").join(classes.select("node", "copies", "n", "low", *BITS), "node")
     members = durable(members, "bands")
 
     def verify(pairs: DataFrame) -> DataFrame:
