@@ -268,7 +268,7 @@ def test_lines(spark, odd, none):
         for n, line in enumerate(t.split("\n")):
             if line.strip():
                 first.setdefault(line, (i, n))
-    sets = {line: set(re.findall(r"(?=(\S.{0,8}))(?:[0-9a-z]+\S?|\S)", line.lower())) for line in first}
+    sets = {line: {line.lower()[k : k + 9] for k in range(max(1, len(line) - 8))} for line in first}
     union, names = Union(), list(first)
     for a in range(len(names)):
         for b in range(a):
@@ -371,15 +371,39 @@ def test_mixing(spark, odd, none):
         got[s] += r.taken
     assert all(abs(got[s] - target[s]) <= max(2 * mixing.BLOCK_WORDS, 0.02 * target[s]) for s in size)
     assert {r.doc_id: r.taken for r in mixing.taken(frame.repartition(5)).collect()} == {i: r.taken for i, r in rows.items()}
-    words, places = Counter(), set()
+    words, places, text = Counter(), set(), {i: t for i, t, _ in docs}
     for r in mixing.mix(frame).collect():
         words[r.doc_id] += len(r.text.split())
+        assert r.text in text[r.doc_id]
         places.add((r.shard, r.slot))
         assert set(r.text.split()) <= {f"d{r.doc_id}w{j}" for j in range(900)}
     assert words == Counter({i: r.taken for i, r in rows.items() if r.taken})
     assert len(mixing.taken(odd).collect()) == len(ODD) and mixing.taken(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mix_of_odd_rows(spark, odd):
+    """Every row by itself: null and repeated ids, repeated rows, white space as it was, clashing columns."""
+    rows = [(None, "no id  here\n\tand more", "s", 1), (1, "  one\n\n" + "a b\tc\n" * 40, "s", 2), (1, "other text " * 30, "s", 3), (2, "twice " * 50, "s", 4), (2, "twice " * 50, "s", 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
+    took = sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.taken(frame).collect())
+    assert [(i, n, n) for i, n, _ in took] == took  # one source: everything once
+    got = mixing.mix(frame, 7).collect()
+    assert mixing.mix(frame, 7).columns == ["doc_id", "text", "source", "shard", "slot"]
+    for doc, text, *_ in rows:
+        assert all(any(r.text in t for i, t, *_ in rows if i == r.doc_id) for r in got)
+        assert sum(len(r.text) for r in got if r.doc_id == doc) == sum(len(t) for i, t, *_ in rows if i == doc)
+    assert sum(len(r.text.split()) for r in mixing.mix(odd).collect()) == sum(r.taken for r in mixing.taken(odd).collect())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 144, 145, 1000, 40_001])
+def test_permutations(spark, n):
+    from pyspark.sql import functions as F
+
+    both = spark.range(n).select(*[mixing.permuted(F.col("id"), F.lit(n), F.lit(k)).alias(f"p{k}") for k in range(2)]).collect()
+    assert all(sorted(r[k] for r in both) == list(range(n)) for k in range(2))
+    assert n < 17 or [r.p0 for r in both] != [r.p1 for r in both] != list(range(n))
+
+
 def test_slots_follow_the_law(spark):
     shares = [("a", 2035, 40000), ("b", 6105, 2035), ("c", 4070, 78000 // 6 * 3), ("d", 40000, 40000)]
     rows, first, total = [], 0, sum(s[2] for s in shares)
