@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: each stage's rows are written as Parquet and read by the next.
 
-Toxic documents go; lines that repeat anywhere go but for their first place; of near-duplicate documents
-the one with the smallest id stays; the sources are mixed to their target weights, in pieces of
+Toxic documents go; lines that repeat anywhere go but for their first place, and documents that are left
+without any; of near-duplicate documents the one with the smallest id stays; the sources are mixed to their target weights, in pieces of
 documents; the mix is encoded into subword ids.
 """
 
@@ -26,8 +26,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the lines of its text that stand here first."""
-    rows = line_dedup.dedup(docs)
+    """Every document, with the lines of its text that stand here first; one that had words and keeps none goes."""
+    written = lambda: F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\S"))
+    rows = line_dedup.dedup(docs.withColumn("__written", written()))
+    rows = rows.where(~F.col("__written") | written())
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
