@@ -67,8 +67,11 @@ class Candidate:
     squares: float  # about the mean
     with_model: np.ndarray
     with_y: float
+    extended: ModelState | None = None  # the model with the term, where it is known already
 
     def extend(self, state: ModelState, n: int) -> ModelState:
+        if self.extended is not None:
+            return self.extended
         sd = float(np.sqrt(self.squares / n))
         k = len(state.terms)
         gram = np.zeros((k + 1, k + 1))
@@ -280,15 +283,20 @@ def _meet_kernel(width: int):
 
 
 def _meeting_pairs(ts: TileSet, cols: _Columns) -> DataFrame:
-    """Partial pair moments when they do not fit into one task: each two term blocks meet in a task.
+    """Partial pair moments when they do not fit into one task: each two term blocks meet in a task."""
+    frame = ts.columns(cols.blocks).mapInArrow(_frame_kernel(cols), _FRAME_SCHEMA)
+    return _meeting_rows(ts, frame).mapInArrow(_meet_kernel(ts.width), PARTIAL_SCHEMA)
+
+
+def _meeting_rows(ts: TileSet, frame: DataFrame, wanted: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """The tiles of each two term blocks (or of the ``wanted`` pairs of blocks) side by side, each after its rows of ``frame``.
 
-    Tiles are copied to the pairs of blocks they belong to, model columns to every pair, and one
+    Tiles are copied to the pairs of blocks they belong to, the frame's columns to every pair, and one
     shuffle brings them together. Tasks stream over row blocks, so a task holds two tiles and one
     block of moments; long tables are split into segments of rows.
     """
     last = ts.n_blocks - 1
     segments = max(1, -(-ts.n_samples // SEGMENT_ROWS))
-    frame = ts.columns(cols.blocks).mapInArrow(_frame_kernel(cols), _FRAME_SCHEMA)
     segment = F.pmod(F.hash("row_block"), F.lit(segments)).alias("segment")
     model = (
         frame.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("i"))
@@ -305,10 +313,14 @@ def _meeting_pairs(ts: TileSet, cols: _Columns) -> DataFrame:
         .select("i", F.col("block").alias("j"), segment, "row_block", F.lit(2).alias("role"), "n_rows", "x")
     )
     met = model.unionByName(left).unionByName(right)
-    keys = ts.n_blocks * (ts.n_blocks + 1) // 2 * segments
-    tasks = min(keys, max(cores(met), _tasks(8.0 * ts.n_samples * ts.n_terms * ts.n_blocks)))
-    ordered = met.repartition(tasks, "i", "j", "segment").sortWithinPartitions("i", "j", "segment", "row_block", "role")
-    return ordered.mapInArrow(_meet_kernel(ts.width), PARTIAL_SCHEMA)
+    pairs = ts.n_blocks * (ts.n_blocks + 1) // 2
+    if wanted is not None and len(wanted) < pairs:
+        # a bit per pair of blocks: 256 KB at most, as the numbers of tile pairs are kept on the driver only up to two millions
+        some = met.sparkSession.createDataFrame([(int(i), int(j)) for i, j in wanted], "i int, j int")
+        met = met.join(F.broadcast(some), ["i", "j"], "left_semi").select(*met.columns)
+        pairs = max(1, len(wanted))
+    tasks = min(pairs * segments, max(cores(met), _tasks(8.0 * ts.n_samples * ts.width * 2 * pairs)))
+    return met.repartition(tasks, "i", "j", "segment").sortWithinPartitions("i", "j", "segment", "row_block", "role")
 
 
 @dataclass(frozen=True)
@@ -539,11 +551,11 @@ _CROSS_SCHEMA = "i int, j int, v double"
 _CROSS = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())])
 
 
-def _cross_kernel(cols: _Columns):
+def _cross_kernel(source, blocks: Sequence[int]):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = 0.0
-        for _, tiles in read_row_blocks(batches, cols.blocks):
-            v = cols.values(tiles)
+        for _, tiles in read_row_blocks(batches, blocks):
+            v = source.values(tiles)
             v = np.concatenate([np.ones((len(v), 1)), v], axis=1)
             acc = acc + v.T @ v
         if not np.isscalar(acc):
@@ -558,14 +570,22 @@ def _cross_kernel(cols: _Columns):
 
 def _cross_products(ts: TileSet, cols: _Columns) -> np.ndarray:
     """Sums of products of [1, model columns, outcomes]: k x k numbers, added up in Spark."""
-    k = 1 + len(cols.terms) + len(cols.traits)
-    summed = ts.columns(cols.blocks).mapInArrow(_cross_kernel(cols), _CROSS_SCHEMA).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return _added_up(ts.columns(cols.blocks).mapInArrow(_cross_kernel(cols, cols.blocks), _CROSS_SCHEMA), 1 + len(cols.terms) + len(cols.traits))
+
+
+def _added_up(products: DataFrame, k: int) -> np.ndarray:
     out = np.zeros((k, k))
-    for r in summed.collect():
+    for r in products.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
         out[r.i, r.j] = r.v
     return out
 
 
+def _cross_of(ts: TileSet, vectors) -> np.ndarray:
+    """Sums of products of 1 and vectors that are made from columns row by row."""
+    blocks = vectors.cols.blocks
+    return _added_up(ts.columns(blocks).mapInArrow(_cross_kernel(vectors, blocks), _CROSS_SCHEMA), 1 + vectors.weights.shape[1])
+
+
 def _rss_kernel(cols: _Columns, beta: np.ndarray, shift: np.ndarray):
     k = len(cols.terms)
 

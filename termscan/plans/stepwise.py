@@ -1,7 +1,8 @@
 """Bidirectional stepwise selection by p-value.
 
 The driver keeps the state of the search, a few terms and their k x k cross products per trait;
-each iteration is one pass over the tiles for all traits that are still running.
+each iteration is one pass over the tiles for all traits that are still running, by running moments:
+only the direction that the newest column adds is multiplied with the terms.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from termscan.errors import IterationLimit, NoCandidates, NoTermEntered
 from termscan.functions.solve import Coefficients, check_samples, coefficients
 from termscan.functions.tdist import two_sided_p
-from termscan.operators.scan import SINGLE, Candidate, ModelState, Term, best_candidates, measure, residual_squares
+from termscan.operators.running import RunningScan
+from termscan.operators.scan import SINGLE, Candidate, ModelState, Term, measure, residual_squares
 from termscan.operators.tiles import TileSet
 
 MODEL_SCHEMA = (
@@ -138,6 +140,7 @@ def stepwise(
     initial_included: Mapping[str, Sequence[Term]] | None = None,
     initial_skipped: Mapping[str, Sequence[Term]] | None = None,
     max_iterations: int | None = None,
+    prune: bool | None = None,
 ) -> tuple[dict[str, Model], dict[str, tuple[Step, ...]]]:
     """Select terms for every trait; each starts from its own fresh state.
 
@@ -160,12 +163,13 @@ def stepwise(
             raise NoCandidates(f"no term is left to try for {trait}")
     done: dict[str, _Done] = {}
     failed: list[str] = []
+    scan = RunningScan(ts, tuple(running), pairs, prune)
     for iteration in count():
         if not running or iteration == max_iterations:
             break
         states = {t: s.state for t, s in running.items()}
         closed = {t: s.skipped | frozenset(s.state.terms) for t, s in running.items()}
-        best = best_candidates(ts, states, closed, pairs)
+        best = scan.best(states, closed, {t: s.previous or s.state for t, s in running.items()})
         for trait, search in list(running.items()):
             try:
                 after = advance(search, best.get(trait), n, n_all, forward, backward)
@@ -178,6 +182,7 @@ def stepwise(
                 del running[trait]
             else:
                 running[trait] = after
+    scan.close()
     for trait, s in running.items():
         if s.previous is not None:
             done[trait] = _Done(s.previous, s.previous_flagged, "iterations", s.path)
