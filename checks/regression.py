@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlgen
 from checks.registry import query, rounded, table
-from termscan.operators import lasso, ols
+from termscan.operators import lasso, ols, path
 
 X, Y = ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
 _LINES = f"SELECT {', '.join(X)}, {Y} FROM lineitem"
@@ -180,7 +180,7 @@ REGS = [0.0, 10.0, 30.0, 100.0]
 def lasso_path(spark, folder):
     """Several penalties from one pass over the data."""
     df, names = _segments(spark, folder)
-    return _estimates(lasso.lasso_path(df, names, REGS, intercept=False, standardize=False), "reg")
+    return _estimates(path.lasso_path(df, names, REGS, intercept=False, standardize=False), "reg")
 
 
 @query("SELECT c_custkey, round(sign(c_acctbal) * greatest(abs(c_acctbal) - 2500, 0), 2) + 0.0 AS v FROM customer")

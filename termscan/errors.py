@@ -43,3 +43,11 @@ class BadShape(TermscanError):
 
 class SingularModel(TermscanError):
     """The regressors of a model are linearly dependent."""
+
+
+class TooManyColumns(TermscanError):
+    """More columns than the driver may solve for at a time."""
+
+
+class NotConverged(TermscanError):
+    """An iteration stopped at its limit before it converged."""

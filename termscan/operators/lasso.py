@@ -14,7 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.errors import BadShape
+from termscan.errors import BadShape, NotConverged
 from termscan.operators.blocks import with_pairs
 from termscan.operators.tiles import TASK_BYTES, record_batch
 from termscan.session import DurableTable
@@ -64,6 +64,8 @@ def lasso_ml(
     model = LinearRegression(
         elasticNetParam=1.0, regParam=reg, fitIntercept=intercept, standardization=standardize, tol=tol, maxIter=max_iter
     ).fit(data)
+    if model.summary.totalIterations >= max_iter:
+        raise NotConverged(f"the optimiser did not end within {max_iter} iterations")
     return coefficient_table(df.sparkSession, names, model.coefficients.toArray(), model.intercept if intercept else None)
 
 
@@ -191,8 +193,8 @@ def coordinate_descent(
                 beta[j] = new
                 largest = max(largest, abs(step) * np.sqrt(diag[j]))
         if largest <= tol * max(1.0, float(np.sqrt(np.abs(xy).max(initial=0.0)))):
-            break
-    return beta
+            return beta
+    raise NotConverged(f"coordinate descent did not end within {max_iter} sweeps")
 
 
 def lasso_cd(
@@ -203,33 +205,6 @@ def lasso_cd(
     return coefficient_table(df.sparkSession, names, coordinate_descent(m.gram, m.xy, lam, tol, max_iter))
 
 
-def lasso_path(
-    df: DataFrame, names: Sequence[str], regs: Sequence[float], values: str = "values", y: str = "y",
-    intercept: bool = True, standardize: bool = True, tol: float = 1e-12,
-) -> DataFrame:
-    """(1 / 2n) RSS + reg |b| for several values of reg from the moments of one pass.
-
-    ``standardize`` weighs each coefficient by the population deviation of its column, as Spark ML does.
-    """
-    m = array_moments(df, values, y, centred=intercept)
-    sd = np.ones(len(names))
-    if standardize:
-        about = m.gram if intercept else array_moments(df, values, y, centred=True).gram
-        sd = np.sqrt(np.diag(about) / m.n)
-        sd = np.where(sd > 0, sd, 1.0)
-    # The deviation of the outcome is scaled out, so that tolerances mean the same for any unit.
-    unit = float(np.sqrt(m.yy / m.n)) or 1.0
-    g, xy = m.gram / np.outer(sd, sd) / m.n, m.xy / sd / unit / m.n
-    spark, parts, beta = df.sparkSession, None, None
-    for reg in sorted(regs, reverse=True):
-        beta = coordinate_descent(g, xy, reg / unit, tol, start=beta)
-        b = beta * unit / sd
-        part = coefficient_table(spark, names, b, m.y_mean - float(m.mean @ b) if intercept else None)
-        part = part.select(F.lit(float(reg)).alias("reg"), "*")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
 def lasso_objective(df: DataFrame, beta: Sequence[float], lam: float, values: str = "values", y: str = "y") -> DataFrame:
     """RSS / 2 + lam |b| as one row."""
     coef = F.array(*[F.lit(float(b)) for b in beta])
@@ -388,6 +363,7 @@ class AdmmResult:
 
 
 LOG_SCHEMA = "iteration int, primal double, eps_primal double, dual double, eps_dual double, objective double"
+CONVERGENCE_SCHEMA = LOG_SCHEMA + ", converged boolean"
 
 
 def row_blocks(
@@ -461,9 +437,17 @@ def admm(
 
 
 def lasso_admm(df: DataFrame, names: Sequence[str], lam: float = 0.5, **options) -> DataFrame:
-    return coefficient_table(df.sparkSession, names, admm(df, lam, **options).beta)
+    """Coefficients by consensus, with how many iterations there were and whether they reached the tolerances."""
+    result = admm(df, lam, **options)
+    table = coefficient_table(df.sparkSession, names, result.beta)
+    return table.select("*", F.lit(len(result.log)).alias("iterations"), F.lit(result.converged).alias("converged"))
+
+
+def convergence_table(spark: SparkSession, result: AdmmResult) -> DataFrame:
+    """Per iteration: residual norms, their limits, the objective of the coefficients it began with, and whether it was the last that was needed."""
+    rows = [(*r, result.converged and r[0] == len(result.log)) for r in result.log]
+    return spark.createDataFrame(rows, CONVERGENCE_SCHEMA)
 
 
 def lasso_convergence(df: DataFrame, lam: float = 0.5, **options) -> DataFrame:
-    """Per iteration: residual norms, their limits, and the objective of the coefficients it began with."""
-    return df.sparkSession.createDataFrame(admm(df, lam, **options).log, LOG_SCHEMA)
+    return convergence_table(df.sparkSession, admm(df, lam, **options))

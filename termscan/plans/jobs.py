@@ -134,6 +134,6 @@ def run_lasso(
     labels = names + [f"{a}_{b}" for i, a in enumerate(names) for b in names[i + 1 :]]
     frame = lasso.coefficient_table(spark, labels, result.beta)
     frame.write.mode("overwrite").parquet(f"{out}/coefficients")
-    spark.createDataFrame(result.log, lasso.LOG_SCHEMA).write.mode("overwrite").parquet(f"{out}/convergence")
+    lasso.convergence_table(spark, result).write.mode("overwrite").parquet(f"{out}/convergence")
     sinks.write_total_time(spark, out, time.perf_counter() - started)
     return frame

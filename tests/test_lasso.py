@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from tests.helpers import vector_frame
-from termscan.operators import lasso
+from termscan.errors import NotConverged, TooManyColumns
+from termscan.operators import lasso, path, tiles
 
 
 def _data(spark, n=60, d=5, seed=0):
@@ -72,13 +73,68 @@ def test_path_with_intercept_and_standardisation(spark):
     x, y, df, names = _data(spark, n=80, d=4, seed=3)
     y = y + 7
     df = vector_frame(spark, x * [1, 10, 0.1, 1], {"y": y})
-    path = lasso.lasso_path(df, names, [0.0, 0.2]).collect()
+    rows = path.lasso_path(df, names, [0.0, 0.2]).collect()
+    assert all(r.converged for r in rows)
     for reg in (0.0, 0.2):
-        mine = [r.estimate for r in sorted((r for r in path if r.reg == reg), key=lambda r: r.position)]
+        mine = [r.estimate for r in sorted((r for r in rows if r.reg == reg), key=lambda r: r.position)]
         ml = _beta(lasso.lasso_ml(df, names, reg, tol=1e-13, max_iter=1000))
         assert mine == pytest.approx(ml, rel=1e-4, abs=1e-4)
 
 
+def _scaled(x, y, b, sd):
+    n = len(y)
+    r = y - y.mean() - (x - x.mean(0)) @ b
+    return (x - x.mean(0)).T @ r / n / sd
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_path_on_a_wide_table(spark, monkeypatch, small):
+    """More columns than samples and than a Gram matrix may have: optimal for every column, with a certificate."""
+    rng = np.random.default_rng(12)
+    n, d = 120, 500
+    x = rng.normal(size=(n, d)) * rng.uniform(0.1, 10, d) + rng.normal(size=d) * 50
+    x[:, 7] = 3.0
+    y = 2 * (x[:, 3] - x[:, 3].mean()) - 0.5 * x[:, 200] + rng.normal(size=n) + 100
+    monkeypatch.setattr(lasso, "GRAM_COLUMNS", 50)
+    if small:
+        monkeypatch.setattr(tiles, "TILE_BYTES", 30_000)
+        monkeypatch.setattr(tiles, "TASK_WORK", 1e4)
+        monkeypatch.setattr(tiles, "TASK_ROWS", 20)
+    df, sd = vector_frame(spark, x, {"y": y}), x.std(0)
+    sd[7] = 1.0
+    ts = tiles.from_vectors(df, ("y",), False, 64 if small else tiles.TILE_WIDTH)
+    assert not small or ts.n_parts > 1
+    top = np.abs(_scaled(x, y, np.zeros(d), sd)).max()
+    steps = path.fit_path(ts, "y", [top * 1.01, top / 2, top / 5, top / 20])
+    assert steps[0].terms == () and steps[0].intercept == pytest.approx(y.mean()) and [len(s.terms) for s in steps] == sorted(len(s.terms) for s in steps)
+    for s in steps:
+        b = np.zeros(d)
+        b[list(s.terms)] = s.estimates
+        g = _scaled(x, y, b, sd)
+        assert np.abs(g).max() <= s.reg * (1 + 1e-6) and s.converged and 0 <= s.gap <= 1e-6 * y.var()
+        assert g[list(s.terms)] == pytest.approx(s.reg * np.sign(s.estimates), rel=1e-5)
+        assert s.strong < d / 2  # the others were only checked
+    rows = path.lasso_path(df, [f"b{i}" for i in range(d)], [top / 5]).collect()
+    ml = _beta(lasso.lasso_ml(df, [f"b{i}" for i in range(d)], top / 5, tol=1e-12, max_iter=2000))
+    assert len(rows) == d + 1 and [r.estimate for r in sorted(rows, key=lambda r: r.position)] == pytest.approx(ml, abs=2e-4)
+    fits = path.path_fits(spark, steps).collect()
+    assert [r.active for r in fits] == [len(s.terms) for s in steps] and all(r.converged for r in fits)
+    with pytest.raises(TooManyColumns):
+        monkeypatch.setattr(path, "ACTIVE_COLUMNS", 5)
+        path.fit_path(ts, "y", [top / 20])
+    ts.release()
+
+
+def test_unfinished_iterations_show(spark):
+    x, y, df, names = _data(spark, seed=4)
+    assert not any(r.converged for r in lasso.lasso_admm(df, names, 0.5, rho=1000.0, blocks=2, max_iter=2).collect())
+    assert [r.converged for r in lasso.lasso_convergence(df, 0.5, rho=10.0, blocks=3).orderBy("iteration").collect()][-1]
+    with pytest.raises(NotConverged):
+        lasso.coordinate_descent(x.T @ x, x.T @ y, 0.1, max_iter=1)
+    with pytest.raises(NotConverged):
+        lasso.lasso_ml(df, names, 0.1, max_iter=1)
+
+
 def test_objective(spark):
     x, y, df, _ = _data(spark)
     beta = [0.5, 0.0, -1.0, 2.0, 0.1]
