@@ -3,8 +3,8 @@
 Phrases are counted level by level, those of k words in pass k. Each task counts in a burst trie: hash
 containers of phrases hang below a shallow trie of word ids; a container that grows too large bursts into
 one container per next word. When a task holds too many phrases, its largest subtrees are spilled whole, as
-runs sorted by phrase; runs are dealt out by language and prefix, so that those of a prefix meet in one
-partition, are merged there and added up. Every count is exact.
+sorted runs, cut by bucket of the first two words; the pieces of a bucket meet in one partition, are merged
+there and added up. Every count is exact.
 
 A phrase can be frequent only if its parts are. Pass k leaves out occurrences whose first or last k - 1
 words are surely not frequent, which a bitmap of the hashes of the frequent phrases of the pass
@@ -36,8 +36,8 @@ PIECE = 4 << 20
 #: Bits of a bitmap: 16 a phrase, between these bounds (8 KB and 128 MB).
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 30, 16
 SLICES = 64
-#: Rows of a run that go on at a time.
-RUN_ROWS = 50_000
+#: Buckets of prefixes per shuffle partition, and phrases of a bucket that are added up together.
+BUCKETS, MERGED = 4, 2_000_000
 
 #: Upper case becomes lower case; everything that ends a piece becomes a full stop, which is in no word.
 _FOLD = bytes(
@@ -46,8 +46,13 @@ _FOLD = bytes(
 _STOP = b"."
 _BLANK = b" "
 
-_RUN = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-RUN_SCHEMA = "lang string, prefix string, phrase string, f long"
+# A piece of a sorted run: the phrases of one bucket of prefixes, parted by line feeds, and their counts, both compressed.
+_RUN = pa.schema([
+    ("bucket", pa.int32()), ("lang", pa.string()), ("text_size", pa.int64()), ("text", pa.binary()), ("n", pa.int64()), ("counts", pa.binary()),
+])
+RUN_SCHEMA = "bucket int, lang string, text_size long, text binary, n long, counts binary"
+_COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+COUNT_SCHEMA = "lang string, phrase string, f long"
 _SLICE = pa.schema([("slice", pa.int32()), ("at", pa.int64())])
 
 
@@ -187,8 +192,8 @@ class _Counter:
     ``words`` marks the hashes of frequent words, ``parts`` those of frequent phrases of ``k - 1`` words.
     """
 
-    def __init__(self, lang: str, k: int, words: np.ndarray | None, parts: np.ndarray | None):
-        self.lang, self.k, self.marks, self.parts = lang, k, words, parts
+    def __init__(self, lang: str, k: int, buckets: int, words: np.ndarray | None, parts: np.ndarray | None):
+        self.lang, self.k, self.buckets, self.marks, self.parts = lang, k, buckets, words, parts
         self.trie = BurstTrie()
         self.words = _Words(lang, words)
         self.total = 0
@@ -257,11 +262,16 @@ class _Counter:
         yield from self._run(self.trie.spill(0))
         self.words = _Words(self.lang, self.marks)
         if self.total:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (self.lang, "", "", self.total)], schema=_RUN)
+            yield self._piece(0, "", np.array([self.total]))
             self.total = 0
 
+    def _piece(self, bucket: int, text: str, counts: np.ndarray) -> pa.RecordBatch:
+        data, numbers = text.encode(), counts.astype("<i8").tobytes()
+        row = (bucket, self.lang, len(data), pa.compress(data, "zstd", asbytes=True), len(counts), pa.compress(numbers, "zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _RUN)], schema=_RUN)
+
     def _run(self, entries: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-        """The phrases of spilled subtrees in the order of their words."""
+        """The phrases of spilled subtrees, by bucket of their first two words, in the order of their words."""
         if entries is None:
             return
         grams, counts = entries
@@ -271,16 +281,51 @@ class _Counter:
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         at = at.reshape(grams.shape)
-        ranks = place[at]
-        rows = np.lexsort(ranks.T[::-1])
-        text = text.cast(pa.string())
-        for lo in range(0, len(rows), RUN_ROWS):
-            some = rows[lo : lo + RUN_ROWS]
-            columns = [text.take(pa.array(at[some, c])) for c in range(self.k)]
-            whole = pc.binary_join_element_wise(*columns, " ")
-            prefix = whole if self.k < 3 else pc.binary_join_element_wise(*columns[:2], " ")
-            lang = pa.array([self.lang]).take(pa.array(np.zeros(len(some), dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([lang, prefix, whole, pa.array(counts[some])], schema=_RUN)
+        bucket = (_phrase_hash(self.words.hashes[grams[:, :2]]) % np.uint64(self.buckets)).astype(np.int64)
+        rows = np.lexsort([*place[at].T[::-1], bucket])
+        text, bucket, at, counts = text.cast(pa.string()), bucket[rows], at[rows], counts[rows]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)]]).tolist()
+        for lo, hi in zip(first[:-1], first[1:]):
+            phrases = pc.binary_join_element_wise(*[text.take(pa.array(at[lo:hi, c])) for c in range(self.k)], " ")
+            yield self._piece(int(bucket[lo]), "\n".join(phrases.to_pylist()), counts[lo:hi])
+
+
+def _unpacked(size: int, text: bytes, n: int, counts: bytes) -> pa.Table:
+    phrases = pc.split_pattern(pa.array([pa.decompress(text, size, "zstd", asbytes=True)], pa.binary()), b"\n").values.cast(pa.string())
+    numbers = np.frombuffer(pa.decompress(counts, 8 * n, "zstd", asbytes=True), dtype="<i8")
+    return pa.table([phrases, pa.array(numbers)], names=["phrase", "f"])
+
+
+def _merge_kernel(least: int):
+    """Counts of phrases from the pieces of runs, in a stream sorted by bucket and language; the empty phrase holds the words of a language."""
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("phrase").aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(["phrase", "f"])
+
+    def finish(lang: str, parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = added(parts)
+        table = table.filter(pc.or_(pc.greater_equal(table["f"], least), pc.equal(table["phrase"], "")))
+        for batch in table.to_batches():
+            names = pa.array([lang]).take(pa.array(np.zeros(batch.num_rows, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([names, batch["phrase"], batch["f"]], schema=_COUNT)
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], 0
+        for batch in batches:
+            for bucket, lang, *piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, lang) != now:
+                    if now is not None:
+                        yield from finish(now[1], parts)
+                    now, parts, held = (bucket, lang), [], 0
+                parts.append(_unpacked(*piece))
+                held += len(parts[-1])
+                if held > MERGED:
+                    parts = [added(parts)]
+                    held = len(parts[0]) // 2  # at least as many new ones before it is done again
+        if now is not None:
+            yield from finish(now[1], parts)
+
+    return kernel
 
 
 def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +355,7 @@ def _cut(text: bytes, at: int) -> int:
     return min(ahead, default=len(text))
 
 
-def _count_kernel(k: int, words, parts):
+def _count_kernel(k: int, buckets: int, words, parts):
     """``words`` and ``parts`` are broadcast bitmaps or None."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +363,7 @@ def _count_kernel(k: int, words, parts):
         counters: dict[str, _Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-                own = counters.get(lang) or counters.setdefault(lang, _Counter(lang, k, marks, bits))
+                own = counters.get(lang) or counters.setdefault(lang, _Counter(lang, k, buckets, marks, bits))
                 yield from own.add(text.as_py(), HELD // len(counters))
         for own in counters.values():
             yield from own.finish()
@@ -394,11 +439,11 @@ def frequent_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, la
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.col(text_col).cast("string").alias("text"),
     ).where(F.length("text") > 0)
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found, totals, marks, parts = [], None, None, None
     for k in range(1, words + 1):
-        runs = rows.mapInArrow(_count_kernel(k, marks, parts), RUN_SCHEMA)
-        merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
-        merged = merged.where((F.col("f") >= least) | (F.col("prefix") == ""))
+        runs = rows.mapInArrow(_count_kernel(k, buckets, marks, parts), RUN_SCHEMA)
+        merged = runs.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_merge_kernel(least), COUNT_SCHEMA)
         level = durable(merged.select("lang", "phrase", F.lit(k).alias("size"), "f"), f"phrases{k}")
         if k == 1:
             totals = level.where("phrase = ''").select("lang", F.col("f").alias("n"))
@@ -451,5 +496,5 @@ def collocations(
     kept = best.join(covered, ["lang", "phrase"], "left").where("longer IS NULL OR longer < a")
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     order = "row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)"
-    ranked = kept.withColumn("rank", F.expr(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = kept.withColumn("place", F.expr(order)).where(F.col("place") <= top)  # each task keeps its own first ones
+    return ranked.select("lang", F.col("place").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
