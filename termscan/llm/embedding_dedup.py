@@ -142,9 +142,9 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors``.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, and
-    so do vectors of different lengths. Equal vectors are linked; a repeated id counts as another
-    vector each time it stands, but is one node of a component. Rows with a null id get null results
-    and count as no link. Only the two named columns are read. An empty table gives no rows.
+    so do vectors of different lengths. Equal vectors are linked; a repeated id is another vector each
+    time it stands, with a row and a component of its own. Rows with a null id get null results and count
+    as no link. Only the two named columns are read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -155,8 +155,9 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     # adding zero turns -0.0 into 0.0, so that equal vectors are equal keys
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine & F.col(id_col).isNotNull(), F.transform(value, lambda v: v + 0.0)).alias("vector"))
     usable = rows.where("vector IS NOT NULL")
-    classes = usable.groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = durable(classes, "vectors")
+    classes = usable.groupBy("vector").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # classes have numbers of their own, as an id may stand for several vectors
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     tiled = []
     for (width,) in classes.select(F.size("vector")).distinct().collect():
         tiled.append(_blocks(classes.where(F.size("vector") == width)))
@@ -167,8 +168,10 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     found = durable(found, "links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     label = components(found.where("kind = 1").select("a", "b"))
-    per_class = classes.select("node", "copies").join(counts, "node", "left").join(label, "node", "left").select(
-        "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    per_class = classes.select("node", "first", "copies").join(counts, "node", "left").join(label, "node", "left").select(
+        "node", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    named = per_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    per_class = per_class.join(named, "component").select("node", "n_links", "component_id")
     member = usable.join(classes.select(F.col("vector").alias("v"), "node"), F.col("vector") == F.col("v")).select("id", "node")
     result = member.join(per_class, "node").select("id", "n_links", "component_id")
     alone = rows.where("vector IS NULL").select("id", F.when(F.col("id").isNotNull(), F.lit(0)).cast("long").alias("n_links"), F.col("id").alias("component_id"))

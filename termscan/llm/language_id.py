@@ -23,7 +23,7 @@ SAMPLE, PER_LANGUAGE, LEAST = 2400, 600, 20
 BITS = 13
 COST, STEPS = 1e-5, 150
 UNKNOWN = "und"
-#: Families of language codes; any other code is in a family of its own kind.
+#: Families of language codes; all other codes are in one family together.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "yi"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc"),
@@ -175,10 +175,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    # plain values: what is broadcast is read back without this package, which executors may lack
+    shared = spark.sparkContext.broadcast(vars(model))
 
     def run(batches):
-        own = shared.value
+        own = Model.__new__(Model)
+        vars(own).update(shared.value)
         for batch in batches:
             found = [own.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
