@@ -4,7 +4,7 @@ Words (runs of ``▁`` and what follows) are segmented by merges: the agenda hol
 symbols whose concatenation is a piece, best score first, then leftmost. Each candidate that comes up
 is skipped with probability ``dropout``, decided by a keyed hash of (seed, document, place of the word,
 place in the word, piece): every occurrence is cut by draws of its own, and the same seed always gives
-the same segmentation. A task remembers for each word the candidates that come up when given ones are
+the same segmentation. A worker remembers, from task to task, for each word the candidates that come up when given ones are
 skipped, and the outcome: an occurrence follows its draws through what is known, and only where they
 lead to skips not met twice before it is merged by itself. Long words are merged at every occurrence.
 Without dropout the result is that of the library itself.
@@ -15,7 +15,10 @@ blank: decoding gives back every text exactly.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
+import types
 from pathlib import Path
 
 import numpy as np
@@ -29,7 +32,9 @@ from termscan.llm.common import mix64, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20261201
 #: Segmentations a task remembers before it starts again.
-CACHE = 1_500_000
+CACHE = 1_000_000
+#: Name under which a worker process keeps them between its tasks.
+MEMORY = "_subword_segmentations"
 #: Symbols up to which a word's segmentations are remembered, and occurrences looked at together.
 SHORT, TOGETHER = 24, 1 << 18
 #: Symbols of a word that is merged together with others; longer words are merged one by one.
@@ -287,9 +292,21 @@ class Pieces:
         return b"".join([raw[i] for i in ids])[1:].decode()
 
 
+def _remembered(model: bytes, settings: tuple) -> tuple[tuple, Pieces]:
+    """What this worker process worked out in earlier tasks with the same model and settings, if anything.
+
+    It is taken out meanwhile, so that a task that breaks off leaves nothing half done behind. Draws are keyed by
+    occurrence, so what is remembered changes no result.
+    """
+    key = (hashlib.sha256(model).digest(), *settings)
+    memory = sys.modules.setdefault(MEMORY, types.ModuleType(MEMORY))
+    kept = vars(memory).pop("kept", None)
+    return key, kept[1] if kept and kept[0] == key else Pieces(model, *settings)
+
+
 def _encoded(shared, settings):
     def run(batches):
-        pieces = Pieces(shared.value, *settings)
+        key, pieces = _remembered(shared.value, settings)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = pieces.encode_all(texts, [n or 0 for n in batch.column(0).to_pylist()])
@@ -300,6 +317,7 @@ def _encoded(shared, settings):
                 *(batch.column(k) for k in range(2, batch.num_columns)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(exact, pa.bool_()),
             ], [*(batch.schema.names[2:]), "ids", "lossless"])
+        vars(sys.modules[MEMORY])["kept"] = key, pieces
 
     return run
 

@@ -11,7 +11,8 @@ import pytest
 import sentencepiece
 
 from termscan.llm import (
-    common, embedding_dedup, fingerprints, jaccard_join, language_id, licenses, line_dedup, mixing, pii, subwords, toxicity,
+    collocations, common, embedding_dedup, fingerprints, jaccard_join, language_id, licenses, line_dedup, mixing, pii, prefix_trie, subwords,
+    toxicity, warc,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, `key` int"
@@ -88,6 +89,14 @@ def test_embeddings(spark, monkeypatch, block):
     assert embedding_dedup.near_groups(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    """A row per row, whatever the ids."""
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 0.0])]
+    got = embedding_dedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got if r.vec_id) == [(5, 0, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 7, True), (7, 1, 7, True)]
+    assert len(got) == len(rows)
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(2)
     x, y = embedding_dedup.unit_rows(rng.normal(size=(50, 32)) ** 3), embedding_dedup.unit_rows(rng.normal(size=(50, 32)))
@@ -96,6 +105,27 @@ def test_quantisation_bound():
     assert (np.abs(x @ y.T - about) <= ex[:, None] * (1 + ey) + ey).all()
 
 
+def test_workers_without_the_package(spark, tmp_path):
+    """What tasks get can be read back where this repository cannot be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    train = [(k, f"the cat and the dog {k}" if k % 2 else f"le chat et le chien {k}", "en" if k % 2 else "fr") for k in range(40)]
+    model = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    (tmp_path / "plain").write_bytes(__import__("pickle").dumps(vars(model)))
+    (tmp_path / "fn").write_bytes(cloudpickle.dumps((language_id.Model, subwords._encoded, collocations._count_kernel, warc._read_kernel, prefix_trie._within_kernel)))
+    code = (
+        "import pickle, sys\nfrom pyspark import cloudpickle\n"
+        "try:\n    import termscan\n    sys.exit('the package is there')\nexcept ImportError:\n    pass\n"
+        "Model, *_ = cloudpickle.loads(open('fn', 'rb').read())\nm = Model.__new__(Model)\nvars(m).update(pickle.load(open('plain', 'rb')))\n"
+        "print(m.predict('the dog and the cat')[0])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "en", done.stderr
+
+
 # ---- licenses
 
 
