@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termscan.errors import NoTermEntered
-from termscan.operators import grid, lasso, tiles
+from termscan.operators import grid, lasso, lasso_grid, tiles
 from termscan.operators.ols import summary_text
 from termscan.operators.samples import require_same_samples, same_order
 from termscan.plans.stepwise import check_threshold, model_frame, path_frame, stepwise
 from termscan.sources import sinks, text
 
+#: Markers and pairs up to which the coefficients of a lasso may be one vector on the driver, which iterates faster.
+DRIVER_COLUMNS = 4096
+
 
 def convert_cells(cells: DataFrame, drop: Sequence[int] = (), transpose: bool = False) -> DataFrame:
     """A grid made ready to be read back term by term: columns dropped, turned if asked, corner marked."""
@@ -118,8 +121,9 @@ def run_lasso(
 ) -> DataFrame:
     """Consensus lasso over all markers and their pairs, from a marker table and a sample-major file.
 
-    ``trait`` defaults to the first. Writes the coefficients and the convergence log, and returns
-    the coefficients.
+    ``trait`` defaults to the first, ``blocks`` is how many row blocks have to agree. Writes the coefficients,
+    with ``converged``, and the convergence log, and returns the coefficients. Beyond ``DRIVER_COLUMNS`` markers
+    and pairs neither names nor coefficients pass through the driver; the iterates are the same.
     """
     started = time.perf_counter()
     table, _ = text.read_marker_table(spark, markers)
@@ -127,13 +131,21 @@ def run_lasso(
     key, column = pheno.columns[0], trait or pheno.columns[1]
     outcome = pheno.select(F.col(f"`{key}`").alias("sample"), F.col(f"`{column}`").alias("y"))
     require_same_samples(table.samples, outcome)
-    names = [r.term for r in table.terms.orderBy("term_id").collect()]
     vectors = _sample_vectors(table.values)
     df = vectors.join(table.samples, "sample_pos").join(outcome, "sample").select("sample", "values", "y")
-    result = lasso.admm(df, lam, rho, max_iter, abs_tol, rel_tol, blocks=blocks, pairs=True)
-    labels = names + [f"{a}_{b}" for i, a in enumerate(names) for b in names[i + 1 :]]
-    frame = lasso.coefficient_table(spark, labels, result.beta)
+    n_terms = table.terms.count()
+    if n_terms * (n_terms + 1) // 2 <= DRIVER_COLUMNS:
+        found = lasso.admm(df, lam, rho, max_iter, abs_tol, rel_tol, blocks=blocks, pairs=True)
+        result = lasso_grid.from_vector(spark, found, n_terms)
+    else:
+        row_block = F.pmod(F.xxhash64("sample"), F.lit(blocks)) if blocks else None
+        ts = tiles.from_vectors(df, ("y",), True, row_block=row_block)
+        try:
+            result = lasso_grid.admm_grid(ts, "y", lam, rho, max_iter, abs_tol, rel_tol, pairs=True)
+        finally:
+            ts.release()
+    frame = lasso_grid.named(result, table.terms)
     frame.write.mode("overwrite").parquet(f"{out}/coefficients")
-    lasso.convergence_table(spark, result).write.mode("overwrite").parquet(f"{out}/convergence")
+    spark.createDataFrame(result.log, lasso_grid.LOG_SCHEMA).write.mode("overwrite").parquet(f"{out}/convergence")
     sinks.write_total_time(spark, out, time.perf_counter() - started)
-    return frame
+    return spark.read.schema(frame.schema).parquet(f"{out}/coefficients")

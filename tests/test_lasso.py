@@ -3,7 +3,7 @@ import pytest
 
 from tests.helpers import vector_frame
 from termscan.errors import NotConverged, TooManyColumns
-from termscan.operators import lasso, path, tiles
+from termscan.operators import lasso, lasso_grid, path, tiles
 
 
 def _data(spark, n=60, d=5, seed=0):
@@ -157,7 +157,26 @@ def test_pairs_are_made_inside_the_blocks(spark):
     assert result.beta == pytest.approx(lasso.coordinate_descent(full.T @ full, full.T @ y, 2.0), abs=1e-5)
 
 
-def test_lasso_job(spark, tmp_path):
+@pytest.mark.parametrize("pairs", [False, True])
+def test_grid_of_cells_walks_as_row_blocks_do(spark, monkeypatch, pairs):
+    """The same iterates as with whole vectors: slices of columns and of pairs, several row blocks."""
+    x, y, df, names = _data(spark, n=40, d=11 if pairs else 20, seed=1)
+    monkeypatch.setattr(tiles, "TILE_BYTES", 8 * 4 * 14)
+    ts = tiles.from_vectors(df, ("y",), pairs, 4)
+    options = {"rho": 5.0, "abs_tol": 1e-3, "rel_tol": 1e-3, "max_iter": 6}
+    got = lasso_grid.admm_grid(ts, "y", 3.0, pairs=pairs, **options)
+    want = lasso.admm(df, 3.0, blocks=3, pairs=pairs, **options)
+    assert ts.blocks.count() == 3 and got.converged == want.converged
+    assert [r[:6] for r in got.log] == [pytest.approx(r, rel=1e-9) for r in want.log]
+    labels = spark.createDataFrame(list(enumerate(names)), "term_id long, term string")
+    rows = lasso_grid.named(got, labels).orderBy("position").collect()
+    a, b = np.triu_indices(x.shape[1], 1)
+    assert [r.term for r in rows] == names + ([f"{names[i]}_{names[j]}" for i, j in zip(a, b)] if pairs else [])
+    assert [r.estimate for r in rows] == pytest.approx(want.beta, abs=1e-9) and not any(r.converged for r in rows)
+    ts.release()
+
+
+def test_lasso_job(spark, tmp_path, monkeypatch):
     from termscan.plans import jobs
 
     rng = np.random.default_rng(6)
@@ -175,5 +194,11 @@ def test_lasso_job(spark, tmp_path):
     assert [r.term for r in rows] == ["m0", "m1", "m2", "m0_m1", "m0_m2", "m1_m2"]
     full = np.column_stack([x, x[:, 0] * x[:, 1], x[:, 0] * x[:, 2], x[:, 1] * x[:, 2]])
     want = lasso.coordinate_descent(full.T @ full, full.T @ y, 0.1)
-    assert [r.estimate for r in rows] == pytest.approx(want, abs=1e-4)
+    assert [r.estimate for r in rows] == pytest.approx(want, abs=1e-4) and all(r.converged for r in rows)
     assert spark.read.parquet(f"{out}/coefficients").count() == 6 and spark.read.parquet(f"{out}/convergence").count() > 1
+    # the same without a vector on the driver, as far as four iterations go
+    options = {"lam": 0.1, "rho": 5.0, "max_iter": 4, "blocks": 2}
+    short = jobs.run_lasso(spark, str(tmp_path / "m.txt"), str(tmp_path / "p.txt"), str(tmp_path / "short"), **options).orderBy("position").collect()
+    monkeypatch.setattr(jobs, "DRIVER_COLUMNS", 0)
+    wide = jobs.run_lasso(spark, str(tmp_path / "m.txt"), str(tmp_path / "p.txt"), str(tmp_path / "wide"), **options).orderBy("position").collect()
+    assert [r.term for r in wide] == [r.term for r in short] and [r.estimate for r in wide] == pytest.approx([r.estimate for r in short], abs=1e-9)
