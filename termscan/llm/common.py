@@ -69,7 +69,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 #: Pivot rounds go on until a member has so few pairs left to look at, or so many rounds are over.
-FEW_PAIRS, PIVOT_ROUNDS = 2, 5
+FEW_PAIRS, PIVOT_ROUNDS = 4, 5
 
 
 def link_groups(

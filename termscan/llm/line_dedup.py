@@ -6,11 +6,12 @@ union-find keeps one line per component. All of it is built-in functions.
 
 Candidates come from MinHash signatures, by one permutation in ``BINS`` bins, in bands of two bins; of
 the pairs that meet, those that agree in less than ``AGREE`` bins are not looked at. Up to ``FULL``
-characters a signature is one of the whole set. Longer lines are signed by their anchored shingles: those that
-start where a word does, and every eight characters within long words; a change of some characters
-changes as large a share of these as of all. Lines of ``ANCHORED`` to ``FULL`` characters have both, so
-that any two similar lines have one kind in common. At similarity 4/5 the bands miss one pair in 300, at
-9/10 fewer than one in 10,000.
+characters, and where words are long, a signature is one of the whole set. Other lines are signed by their
+anchored shingles, those that start behind a blank: a change of some characters changes as large a share of
+these as of all. Lines near the borders (``ANCHORED`` to ``FULL``
+characters, ``DENSE`` to ``SPARSE`` characters a word) have signatures of both sides, so that any two similar
+lines have one kind in common. At similarity 4/5 the bands miss one pair in 300, at 9/10 fewer than
+one in 10,000.
 
 Lines are parted by line feeds. Lines of white space alone are left as they are. Equal lines are known
 by 64-bit hashes, and their copies go without a comparison.
@@ -32,8 +33,9 @@ BINS = BANDS * ROWS
 AGREE = 6
 #: Lines from so many characters on are signed by anchored shingles, up to so many by all; two similar lines
 #: of which one is shorter than ``ANCHORED`` are both at most ``FULL`` long.
-ANCHORED, FULL = 128, 160
-ANCHORS = rf"(?=(\S.{{0,{WIDTH - 1}}}))(?:[0-9a-z]{{1,8}}|\S)"
+ANCHORED, FULL = 64, 96
+#: Characters a word up to which lines are signed by anchored shingles, and from which on by all.
+SPARSE, DENSE = 20, 12
 VALUES = [f"bin{i}" for i in range(BINS)]
 #: Shingle starts in one part of a line: finding a character counts from the start of its string, so
 #: long lines are read in parts that overlap by ``WIDTH - 1`` characters.
@@ -54,9 +56,11 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
-def anchored(line: Column) -> Column:
-    """The hashes of a line's anchored shingles."""
-    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(ANCHORS), F.lit(1)), lambda s: F.xxhash64(s))
+def anchored(words: Column) -> Column:
+    """The hashes of the shingles that start at each of a line's words: a word and the two behind it hold the most of them."""
+    nothing = F.lit("")
+    return F.transform(words, lambda w, i: F.xxhash64(F.substring(
+        F.concat(w, F.lit(" "), F.coalesce(F.get(words, i + 1), nothing), F.lit(" "), F.coalesce(F.get(words, i + 2), nothing)), 1, WIDTH)))
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -66,9 +70,13 @@ def signed(rows: DataFrame) -> DataFrame:
     that is not empty.
     """
     size = F.length("line")
-    kinds = F.when(size < ANCHORED, F.array(F.lit(0))).when(size <= FULL, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    rows = rows.withColumn("kind", F.explode(kinds))
-    rows = rows.withColumn("sig", F.sort_array(F.when(F.col("kind") == 0, shingles(F.col("line"))).otherwise(anchored(F.col("line")))))
+    rows = rows.withColumn("words", F.split(F.lower("line"), " ", -1))
+    spread = size / F.size("words")
+    whole, some = (size <= FULL) | (spread >= DENSE), (size >= ANCHORED) & (spread <= SPARSE)
+    both = F.array(F.lit(0), F.lit(1))
+    rows = rows.withColumn("kind", F.explode(F.when(whole & some, both).when(some, F.slice(both, 2, 1)).otherwise(F.slice(both, 1, 1))))
+    hashes = F.when(F.col("kind") == 0, shingles(F.col("line"))).otherwise(anchored(F.col("words")))
+    rows = rows.withColumn("sig", F.sort_array(hashes)).drop("words")
     part = lambda h: F.shiftright((F.shiftright(h, 32) + (1 << 31)) * BINS, 32).cast("int")
     rows = rows.withColumn("parts", F.transform("sig", part))
     rows = rows.withColumn("at", F.array(*[F.nullif(F.array_position("parts", F.lit(i)).cast("int"), F.lit(0)) for i in range(BINS)]))

@@ -321,6 +321,34 @@ def test_lines(spark, odd, none):
     assert by[3].text == " \t\n " and by[4].node == "x" and line_dedup.dedup(none).count() == 0
 
 
+def test_lines_of_all_kinds_meet(spark):
+    """Pairs at similarity 4/5 or more around the borders of the kinds of signature: nearly all are found."""
+    rng = np.random.default_rng(14)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    lines, near = [], []
+    for size in (30, 60, 64, 80, 97, 130, 300, 900):
+        for word in (3, 7, 11, 13, 19, 22, 60):
+            for _ in range(4):
+                line = ""
+                while len(line) < size:
+                    line += "".join(rng.choice(letters, max(1, int(rng.normal(word, 1))))) + " "
+                line = line[:size].strip() + "x"
+                other = list(line)
+                for _ in range(max(1, int(rng.uniform(0, len(line) / 80)))):
+                    at = int(rng.integers(len(other)))
+                    other[at : at + 1] = [["q"], ["q", "z"], []][int(rng.integers(3))]
+                if rng.random() < 0.4:
+                    other += list(" tail"[: 1 + len(line) // 50])
+                other = "".join(other)
+                x, y = ({s.lower()[k : k + 9] for k in range(max(1, len(s) - 8))} for s in (line, other))
+                if line != other and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                    near.append(len(lines))
+                lines += [line, other]
+    kept = {(r.doc, r.line_no) for r in line_dedup.first_lines(spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")).collect()}
+    missed = [k for k in near if (k, 0) in kept and (k + 1, 0) in kept]
+    assert len(near) > 80 and len(missed) <= 0.02 * len(near)
+
+
 def test_lines_compare_all_characters(spark):
     lines = [
         "Transaction 20240115123456", "Transaction 20240115199999", "Order 100000000123 shipped to customer 900000000001",
