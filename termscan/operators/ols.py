@@ -143,5 +143,15 @@ def model_summary(terms: DataFrame, response: str) -> DataFrame:
     return terms.sparkSession.createDataFrame(first, body.schema).unionByName(body)
 
 
+def summary_lines(terms: Sequence, response: str) -> list[str]:
+    """The lines of ``model_summary`` from rows that are here already, as those of a finished search are."""
+    ordered = sorted(terms, key=lambda r: r.position)
+    text = [("Name", "Estimate", "Std. Error", "t value", "Pr(>|t|)")]
+    text += [(r.term, f"{r.estimate:.6f}", f"{r.std_error:.6f}", f"{r.t_value:.3f}", f"{r.p_value:.6f}") for r in ordered]
+    width = [max(len(row[i]) for row in text) for i in range(5)]
+    body = [row[0].ljust(width[0]) + "".join(cell.rjust(w + 3) for cell, w in zip(row[1:], width[1:])) for row in text]
+    return [f"The Response variable: {response}", "", *body]
+
+
 def summary_text(terms: DataFrame, response: str) -> str:
     return "\n".join(r.line for r in model_summary(terms, response).orderBy("line_no").collect()) + "\n"

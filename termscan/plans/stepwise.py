@@ -7,6 +7,7 @@ only the direction that the newest column adds is multiplied with the terms.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import count
@@ -41,12 +42,13 @@ class Step:
 
 @dataclass(frozen=True)
 class Model:
-    """A fitted model in entry order; ``flagged`` terms missed the removal threshold."""
+    """A fitted model in entry order; ``flagged`` terms missed the removal threshold, its search took ``seconds``."""
 
     terms: tuple[Term, ...]
     fit: Coefficients
     flagged: frozenset[Term]
     status: str
+    seconds: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -163,6 +165,7 @@ def stepwise(
             raise NoCandidates(f"no term is left to try for {trait}")
     done: dict[str, _Done] = {}
     failed: list[str] = []
+    started, seconds = time.perf_counter(), {}
     scan = RunningScan(ts, tuple(running), pairs, prune)
     for iteration in count():
         if not running or iteration == max_iterations:
@@ -178,17 +181,17 @@ def stepwise(
                 del running[trait]
                 continue
             if isinstance(after, _Done):
-                done[trait] = after
+                done[trait], seconds[trait] = after, time.perf_counter() - started
                 del running[trait]
             else:
                 running[trait] = after
     scan.close()
     for trait, s in running.items():
         if s.previous is not None:
-            done[trait] = _Done(s.previous, s.previous_flagged, "iterations", s.path)
+            done[trait], seconds[trait] = _Done(s.previous, s.previous_flagged, "iterations", s.path), time.perf_counter() - started
     states = {t: d.state for t, d in done.items()}
     fits = fit_models(ts, {t: s.terms for t, s in states.items()}, states) if done else {}
-    models = {t: Model(d.state.terms, fits[t], d.flagged, d.status) for t, d in done.items()}
+    models = {t: Model(d.state.terms, fits[t], d.flagged, d.status, seconds[t]) for t, d in done.items()}
     paths = {t: d.path for t, d in done.items()}
     if running:
         raise IterationLimit(f"{', '.join(running)} did not end within {max_iterations} iterations", models, paths)

@@ -202,6 +202,32 @@ def read_sample_major_long(
     )
 
 
+@dataclass(frozen=True)
+class SampleRows:
+    """A sample-major file as one vector per sample, ``rows(sample, values)``, and ``terms(term_id, term)``."""
+
+    rows: DataFrame
+    terms: DataFrame
+
+
+def read_sample_rows(spark: SparkSession, path: str, drop: Sequence[int] = (), delimiter: str = "\t") -> SampleRows:
+    """A sample-major file for any number of terms, a record per sample; cells never become records of their own.
+
+    Columns are dropped by position, counted from the sample column at 0.
+    """
+    rows = read_delimited(spark, path, delimiter)
+    if 0 in drop:
+        raise BadShape("the column of samples cannot be dropped")
+    if drop:
+        dropped = F.array(*[F.lit(i) for i in drop])
+        rows = rows.select("row", F.filter("cells", lambda c, i: ~F.array_contains(dropped, i)).alias("cells"))
+    head = rows.filter(F.col("row") == 0)
+    n_cells = head.select(F.size("cells")).first()[0]
+    terms = head.select(F.posexplode(F.slice("cells", 2, n_cells - 1)).alias("term_id", "term"))
+    data = _typed_rows(rows, F.col("row") > 0, n_cells, 1).select(F.col("name").alias("sample"), "values")
+    return SampleRows(data, require_unique(terms.withColumn("term_id", F.col("term_id").cast("long")).persist(), "term"))
+
+
 def read_marker_table(spark: SparkSession, path: str, delimiter: str = "\t") -> tuple[TermTable, DataFrame]:
     """A marker-major file with five leading metadata columns: the long table and the metadata.
 

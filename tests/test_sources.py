@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import CEMENT, CEMENT_Y
+from tests.helpers import CEMENT, CEMENT_Y, vector_frame
 from termscan.errors import BadShape, DuplicateTerms, NoTermEntered, SampleMismatch
-from termscan.operators import grid, reshape, samples
+from termscan.operators import grid, ols, reshape, samples
 from termscan.plans import jobs
 from termscan.sources import sinks, text
 
@@ -235,3 +235,57 @@ def test_one_trait_without_terms_does_not_lose_the_others(spark, tmp_path):
     written = spark.read.parquet(f"{out}/model_terms")
     assert {r.phenotype for r in written.collect()} == {"heat"}
     assert any("x2" in r.value for r in spark.read.text(f"{out}/heat.summary").collect())
+
+
+def test_sample_major_job_with_a_dropped_column(spark, tmp_path):
+    """The same models as from term-major files; times and status of each trait in its own summary."""
+    names = [f"i{i + 1}" for i in range(9)]
+    rows = [["id", "note", *CEMENT], *[[n, "NA", *[CEMENT[c][i] for c in CEMENT]] for i, n in enumerate(names)]]
+    geno = _write(tmp_path / "g.txt", rows)
+    pheno = _write(tmp_path / "p.txt", [["id", "heat", "cool"], *[[names[i], CEMENT_Y[i], -CEMENT_Y[i]] for i in (8, 2, 5, 1, 0, 3, 4, 7, 6)]])
+    out = str(tmp_path / "out")
+    frame = jobs.run_stepwise(spark, geno, pheno, out, pairs=False, layout="samples", drop=[1])
+    heat = frame.filter("phenotype = 'heat'").orderBy("position").collect()
+    assert [r.term for r in heat] == ["x2", "x1", "(Intercept)"]
+    assert [r.estimate for r in heat] == pytest.approx([0.65914, 1.43143, 53.02180], abs=1e-5)
+    runs = {r.phenotype: r for r in spark.read.parquet(f"{out}/runs").collect()}
+    assert set(runs) == {"heat", "cool"} and all(r.status == "threshold" and 0 < r.seconds == pytest.approx(60 * r.minutes) for r in runs.values())
+    for t in runs:
+        lines = [r.value for r in spark.read.text(f"{out}/{t}.summary").collect()]
+        assert lines[0] == f"Calculation time (in seconds): {runs[t].seconds}" and "Search ended: threshold" in lines
+    with pytest.raises(ValueError):
+        jobs.run_stepwise(spark, geno, pheno, out, layout="columns")
+    with pytest.raises(BadShape):
+        text.read_sample_rows(spark, geno, [0])
+
+
+def test_summary_lines_are_those_of_the_table(spark):
+    rows = [("x1", 1, 2.5, 0.25, 10.0, 1e-9), ("(Intercept)", 2, -1234.5678, 1.5, -823.045, 0.0)]
+    table = spark.createDataFrame(rows, "term string, position int, estimate double, std_error double, t_value double, p_value double")
+    assert "\n".join(ols.summary_lines(table.collect(), "y")) + "\n" == ols.summary_text(table, "y")
+
+
+def test_lasso_path_job(spark, tmp_path):
+    """Six columns and their fifteen products at four penalties, against Spark's own solver."""
+    from termscan.operators import lasso
+
+    rng = np.random.default_rng(21)
+    x = np.round(rng.normal(size=(60, 6)), 3)
+    y = np.round(3 * x[:, 0] + 2 * x[:, 1] * x[:, 4] + 0.2 * rng.normal(size=60), 4)
+    geno = _write(tmp_path / "g.txt", [["id", *[f"m{j}" for j in range(6)]], *[[f"s{i}", *x[i]] for i in range(60)]])
+    pheno = _write(tmp_path / "p.txt", [["id", "other", "y"], *[[f"s{i}", 0, y[i]] for i in rng.permutation(60)]])
+    out = str(tmp_path / "out")
+    regs = [0.001, 0.01, 0.1, 1.0]
+    got = jobs.run_lasso_path(spark, geno, pheno, out, regs, trait="y").collect()
+    a, b = np.triu_indices(6, 1)
+    full, names = np.column_stack([x, x[:, a] * x[:, b]]), [f"m{j}" for j in range(6)] + [f"m{i}_m{j}" for i, j in zip(a, b)]
+    df = vector_frame(spark, full, {"y": y})
+    for reg in regs:
+        want = {r.term: r.estimate for r in lasso.lasso_ml(df, names, reg, tol=1e-13, max_iter=2000).collect() if abs(r.estimate) > 1e-6}
+        mine = {r.term: r.estimate for r in got if r.reg == reg and abs(r.estimate) > 1e-6}
+        assert mine == pytest.approx(want, abs=1e-4)
+    assert {(r.term_a, r.term_b) for r in got if r.term == "m1_m4"} == {(1, 4)}
+    fits = spark.read.parquet(f"{out}/fits").collect()
+    assert sorted(r.reg for r in fits) == regs and all(r.converged for r in fits)
+    with pytest.raises(ValueError):
+        jobs.run_lasso_path(spark, geno, pheno, out, regs, trait="nothing")
