@@ -368,17 +368,18 @@ CONVERGENCE_SCHEMA = LOG_SCHEMA + ", converged boolean"
 
 def row_blocks(
     df: DataFrame, design: _Design, n: int, rho: float, values: str = "values", y: str = "y", sample: str = "sample",
-    blocks: int | None = None,
+    blocks: int | None = None, block: Column | None = None,
 ) -> tuple[DataFrame, int]:
     """Row blocks with their inverses, kept in memory and on disk, and how many there are.
 
-    Samples are unique, so their hash spreads them evenly. A task takes as many blocks as make a
+    Samples are unique, so their hash spreads them evenly; ``block`` gives their blocks otherwise. A task takes as many blocks as make a
     fair amount of work.
     """
     size = max(1, BLOCK_BYTES // (8 * design.columns))
     count = blocks or max(1, -(-n // size))
     parts = max(1, min(count, int(8 * n * design.columns / TASK_BYTES)))
-    rows = df.select(F.pmod(F.xxhash64(sample), F.lit(count)).cast("long").alias("block"), *_narrow_columns(values, y))
+    block = F.pmod(F.xxhash64(sample), F.lit(count)) if block is None else block
+    rows = df.select(block.cast("long").alias("block"), *_narrow_columns(values, y))
     ordered = rows.repartition(parts, "block").sortWithinPartitions("block")
     kept = ordered.mapInArrow(_block_kernel(design, rho), BLOCK_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
     return kept, kept.count()
@@ -387,6 +388,7 @@ def row_blocks(
 def admm(
     df: DataFrame, lam: float = 0.5, rho: float = 1.0, max_iter: int = 100, abs_tol: float = 1e-4, rel_tol: float = 1e-2,
     values: str = "values", y: str = "y", sample: str = "sample", blocks: int | None = None, pairs: bool = False,
+    block: Column | None = None,
 ) -> AdmmResult:
     """Minimise RSS / 2 + lam |b| by consensus over row blocks; no intercept, no standardisation.
 
@@ -401,7 +403,7 @@ def admm(
     n, stored = array_shape(df, values)
     design = _Design(stored, pairs)
     d = design.columns
-    data, n_blocks = row_blocks(df, design, n, rho, values, y, sample, blocks)
+    data, n_blocks = row_blocks(df, design, n, rho, values, y, sample, blocks, block)
     tasks = max(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     none = F.lit(None).cast("binary")
     ready = data.withColumn("w", none).withColumn("u", none)
