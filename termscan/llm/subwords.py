@@ -42,7 +42,8 @@ WIDE = 48
 _MARK = "▁"
 _WORDS = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 _MASK = (1 << 64) - 1
-_FAR = np.int64(1) << np.int64(40)
+_FAR = np.int32(1 << 30)
+_GONE = np.int64(-2)
 
 
 class Pieces:
@@ -72,7 +73,12 @@ class Pieces:
             for p, i in name.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol
         }
         self.pair = np.array(sorted(pairs), np.int64)
-        self.pair_rank, self.pair_piece = (np.array([pairs[k][x] for k in self.pair.tolist()], np.int64) for x in (0, 1))
+        rank, piece = (np.array([pairs[k][x] for k in self.pair.tolist()], np.int64) for x in (0, 1))
+        # the agenda's order of all pairs: by score, then by symbols
+        order = np.lexsort((np.arange(len(rank)), rank))
+        self.pair_rank = np.empty(len(rank), np.int32)
+        self.pair_rank[order] = np.arange(len(rank))
+        self.piece_at = piece[order]
         self.limit = np.uint64(min(int(dropout * (1 << 64)), _MASK))
         self.seed = mix64(np.array([(seed * 2 + 1) & _MASK], np.uint64))[0]
         self._forget()
@@ -97,7 +103,7 @@ class Pieces:
         """The place of the piece that two neighbours make in the agenda, above ``_FAR`` if there is none."""
         key = np.where((left < 0) | (right < 0), -1, (left << 20) + right)
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, at + (self.pair_rank[at] << 20), _FAR)
+        return np.where(self.pair[at] == key, self.pair_rank[at], _FAR)
 
     def _skipped(self, key: np.ndarray, candidate: np.ndarray) -> np.ndarray:
         """Whether a candidate that comes up at an occurrence is dropped."""
@@ -112,32 +118,37 @@ class Pieces:
         taken: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
         out: list[list[int]] = [[]] * len(words)
-        sym, width = self.of_char[chars], chars.shape[1]
-        place = np.broadcast_to(np.arange(width), sym.shape).copy()
-        rank = np.full(sym.shape, _FAR)
-        rank[:, :-1] = self._ranked(sym[:, :-1], sym[:, 1:])
-        size, row = np.full(len(words), width), np.arange(len(words))
-        column = np.arange(width)
+        width = chars.shape[1]
+        # a symbol stands at its first character's place; a merge only relinks its neighbours
+        sym = np.full((len(words), width + 1), _GONE)
+        sym[:, :width] = self.of_char[chars]
+        after = np.broadcast_to(np.arange(1, width + 2), sym.shape).copy()
+        before = np.broadcast_to(np.arange(-1, width), sym.shape).copy()
+        rank = np.full((len(words), width), _FAR, np.int32)
+        rank[:, :-1] = self._ranked(sym[:, : width - 1], sym[:, 1:width])
+        row = np.arange(len(words))
         while len(row):
             best = rank.argmin(axis=1)
             each = np.arange(len(row))
             found = rank[each, best]
             over = found >= _FAR
             if over.any():
-                for k, n, symbols, places in zip(row[over].tolist(), size[over].tolist(), sym[over].tolist(), place[over].tolist(), strict=True):
-                    symbols = symbols[:n]
+                ended = sym[over, :width]
+                for k, symbols in zip(row[over].tolist(), ended.tolist(), strict=True):
+                    places = [i for i, y in enumerate(symbols) if y != _GONE]
+                    symbols = [symbols[i] for i in places]
                     if min(symbols) < 0 or max(symbols) >= self.n_pieces:
-                        symbols = [x for y, i in zip(symbols, places, strict=False) for x in (
+                        symbols = [x for y, i in zip(symbols, places, strict=True) for x in (
                             [y] if 0 <= y < self.n_pieces else [self.bytes[b] for b in words[k][i].encode()])]
                     out[k] = symbols
                 go = ~over
-                sym, place, rank, size, row = sym[go], place[go], rank[go], size[go], row[go]
+                if not go.any():
+                    break
+                sym, after, before, rank, row = sym[go], after[go], before[go], rank[go], row[go]
                 best, found = best[go], found[go]
                 each = np.arange(len(row))
-                if not len(row):
-                    break
-            piece = self.pair_piece[found & ((1 << 20) - 1)]
-            candidate = (place[each, best] << 20) + piece
+            piece = self.piece_at[found]
+            candidate = (best << 20) + piece
             skip = self._skipped(key[row], candidate) if key is not None else (skips[row] == candidate[:, None]).any(axis=1)
             if key is None:
                 taken.append((row[~skip], candidate[~skip]))
@@ -146,20 +157,18 @@ class Pieces:
             if not len(go):
                 continue
             at = best[go]
-            sym[go, at] = piece[~skip]
-            shift = np.minimum(column + (column[None, :] > at[:, None]), width - 1)
-            for table in (sym, place, rank):
-                table[go] = np.take_along_axis(table[go], shift, axis=1)
-            size[go] -= 1
+            gone = after[go, at]
+            next_ = after[go, gone]
+            sym[go, at], sym[go, gone] = piece[~skip], _GONE
+            after[go, at], before[go, np.minimum(next_, width)] = next_, at
+            rank[go, gone] = _FAR
             # the two pairs that the new symbol is part of
-            left = go[at > 0], at[at > 0]
-            rank[left[0], left[1] - 1] = self._ranked(sym[left[0], left[1] - 1], sym[left])
-            inner = at + 1 < size[go]
-            right = go[inner], at[inner]
-            rank[right] = self._ranked(sym[right], sym[right[0], right[1] + 1])
-            last = go[~inner]
-            rank[last[:, None], np.minimum(np.maximum(column[None, :], (size[last] - 1)[:, None]), width - 1)] = _FAR
-            rank[go, size[go] - 1] = _FAR
+            inner = next_ < width
+            rank[go, at] = _FAR
+            rank[go[inner], at[inner]] = self._ranked(sym[go[inner], at[inner]], sym[go[inner], next_[inner]])
+            prev = before[go, at]
+            inner = prev >= 0
+            rank[go[inner], prev[inner]] = self._ranked(sym[go[inner], prev[inner]], sym[go[inner], at[inner]])
         rows, candidates = (np.concatenate(x) for x in zip(*taken, strict=True))
         order = np.argsort(rows, kind="stable")
         return out, rows[order], candidates[order]
