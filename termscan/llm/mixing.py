@@ -154,6 +154,8 @@ def slots(shares: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     inside = Window.partitionBy("shard").orderBy("named").rowsBetween(Window.unboundedPreceding, -1)
     drawn = counts.withColumns({"before": F.coalesce(F.sum("count").over(before), F.lit(0)), "start": F.coalesce(F.sum("count").over(inside), F.lit(0))})
     drawn = drawn.join(lots, ["named", "lot"]).join(shares.select("named", "n_blocks", "all_slots"), "named")
+    # a row becomes as many as a shard has slots, so Spark must not put these short ones into few tasks
+    drawn = drawn.repartition(int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "named")
     each = drawn.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     draw, size = F.col("ahead") + F.col("before") + F.col("k"), F.col("n_blocks")
     width = F.least(F.lit(shard_slots).cast("long"), F.col("all_slots") - F.col("shard") * shard_slots)
