@@ -129,6 +129,34 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read(spark, sf_dir, "pages"))
 
 
-@query()
+#: The checksum bit by bit, conversations as lists, nodes as their beginnings, sums over every beginning of a beginning.
+TRIE_SQL = """
+WITH own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+checked AS (
+  SELECT c, t, c - c % 100 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 6 AS h
+  FROM own),
+built AS (
+  SELECT a.c, list_concat(coalesce(b.t, [])[1 : a.h], a.t[a.h + 1 : len(a.t)]) AS t FROM checked a LEFT JOIN own b ON b.c = a.base),
+members AS (SELECT c, len(t) AS size, d, t[1 : d] AS p FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, list(c ORDER BY c) FILTER (WHERE size = d) AS ends,
+    CASE WHEN d > 0 THEN (count(*) - 1) * length(p[d].text) ELSE 0 END AS saved
+  FROM members GROUP BY p, d),
+kids AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.p = n.p),
+sums AS (
+  SELECT p[1 : k] AS p, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT p, saved, n_children, unnest(range(0, d + 1)) AS k FROM full_nodes) GROUP BY 1)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+  sha256(coalesce(array_to_string(n.ends, ','), '')) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.p = n.p LEFT JOIN nodes u ON n.d > 0 AND u.p = n.p[1 : n.d - 1]
+"""
+
+
+@query(TRIE_SQL)
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
