@@ -159,3 +159,12 @@ def write_summary(spark, folder):
     )
 
 
+@query("SELECT 'y' AS phenotype, 'threshold' AS status, count(*) > 0 AS timed FROM embeddings")
+def run_times(spark, folder):
+    """How each search of a job ended, with times that agree in all units and with the job's total."""
+    _, out = _run_job(spark, folder)
+    runs = spark.read.parquet(f"{out}/runs")
+    total = spark.read.json(f"{out}/total_time").first()
+    same = (F.abs(F.col("minutes") * 60 - F.col("seconds")) < 1e-6) & (F.abs(F.col("hours") * 3600 - F.col("seconds")) < 1e-6)
+    agree = abs(total.minutes * 60 - total.seconds) < 1e-6 and abs(total.hours * 3600 - total.seconds) < 1e-6
+    return runs.select("phenotype", "status", (same & (F.col("seconds") > 0) & (F.col("seconds") <= total.seconds) & F.lit(agree)).alias("timed"))

@@ -196,7 +196,7 @@ def redundancy_check(spark, folder):
 
 # Forced terms, and (size, seed) of each draw.
 FORCED = ["e5", "e7", "e3", "e10", "e20"]
-DRAWS = [(10, 903315), (20, 990852), (40, 870470)]
+DRAWS = [(10, 31), (20, 47), (40, 59)]
 _DRAWN = " UNION ALL ".join(
     f"SELECT CAST({size} AS INTEGER) AS size, CAST({seed} AS INTEGER) AS seed, term, forced FROM (SELECT term, true AS forced FROM catalog WHERE term IN {tuple(FORCED)} "
     f"UNION ALL (SELECT term, false FROM catalog WHERE term NOT IN {tuple(FORCED)} ORDER BY md5('{seed}:' || term), term LIMIT {size - len(FORCED)}))"

@@ -99,6 +99,17 @@ def ols_by_phenotype(spark, folder):
     )
 
 
+@query(
+    """SELECT CAST(l_orderkey AS VARCHAR) AS phenotype, CASE WHEN n < 3 THEN 'NotEnoughSamples' WHEN v = 0 THEN 'SingularModel' END AS failure,
+CASE WHEN n >= 3 AND v > 0 THEN round(slope, 4) + 0.0 END AS estimate FROM (SELECT l_orderkey, count(*) AS n, var_pop(l_quantity) AS v,
+regr_slope(l_extendedprice, l_quantity) AS slope FROM lineitem GROUP BY l_orderkey)"""
+)
+def ols_groups_that_fail(spark, folder):
+    """A line per order; orders with too few lines, or of one quantity, are rows that say so."""
+    fits = ols.ols_by_group(table(spark, folder, "lineitem"), "l_orderkey", ["l_quantity"], "l_extendedprice", failures=True)
+    return fits.where("term IS NULL OR term = 'l_quantity'").select("phenotype", "failure", rounded("estimate", 4).alias("estimate"))
+
+
 _NUM = ["estimate", "std_error", "t_value", "p"]
 _FMT = ["%.6f", "%.6f", "%.3f", "%.6f"]
 _HEADS = ["Estimate", "Std. Error", "t value", "Pr(>|t|)"]

@@ -129,6 +129,14 @@ def bind_terms(spark, folder):
     return both.select("sample", rounded("e0").alias("e0"), rounded("e63").alias("e63"), "label")
 
 
+@query("SELECT c_custkey AS sample, c_mktsegment, n FROM customer JOIN (SELECT c_custkey AS k, c_nationkey AS n FROM customer) ON k = c_custkey")
+def join_phenotype_strict(spark, folder):
+    """The join that first sees to it that both sides have the same samples."""
+    c = table(spark, folder, "customer")
+    left = c.select(F.col("c_custkey").alias("sample"), "c_mktsegment")
+    return samples.join_phenotype(left, c.select(F.col("c_custkey").alias("sample"), F.col("c_nationkey").alias("n")), strict=True)
+
+
 @query(
     "SELECT o_orderkey AS sample, c_mktsegment, round(c_acctbal, 2) + 0.0 AS c_acctbal, round(o_totalprice, 2) + 0.0 AS y "
     "FROM orders JOIN customer ON o_custkey = c_custkey"

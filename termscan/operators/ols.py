@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.errors import BadShape
+from termscan.errors import BadShape, TermscanError
 from termscan.functions.solve import Coefficients, check_samples, coefficients, coefficients_by_group
 
 INTERCEPT = "(Intercept)"
@@ -76,10 +76,56 @@ def ols_stats(spark: SparkSession, fit: Coefficients) -> DataFrame:
     return spark.createDataFrame([row], "n long, k int, df long, rss double, rse double")
 
 
-def ols_by_group(df: DataFrame, group: str, x: Sequence[str], y: str) -> DataFrame:
-    """One model per group: moments by hash aggregation, then a small solve per group in tasks."""
+def ols_by_group(df: DataFrame, group: str, x: Sequence[str], y: str, failures: bool = False) -> DataFrame:
+    """One model per group: moments by hash aggregation, then a small solve per group in tasks.
+
+    A group that cannot be fitted raises. With ``failures`` it is one row without a term instead, whose column
+    ``failure`` names what a fit of it would raise, and the others are not touched by it.
+    """
     k = len(x)
     names = [*x, INTERCEPT]
+    schema = "phenotype string, " + FIT_SCHEMA + (", failure string" if failures else "")
+
+    def fitted_alone(n, mean, cov):
+        try:
+            return coefficients_by_group(n, mean, cov), None
+        except TermscanError as err:
+            return None, type(err).__name__
+
+    def solve_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            whole = ~pdf["missing"].to_numpy().astype(bool)
+            good = pdf[whole]
+            n, mean, cov = _group_moments(good, k)
+            why = np.full(len(good), None, dtype=object)
+            few, flat = n <= k + 1, (np.einsum("gii->gi", cov[:, :k, :k]) <= 0).any(axis=1)
+            why[flat], why[few] = "SingularModel", "NotEnoughSamples"
+            some = np.flatnonzero(~(few | flat))
+            stats, failed = fitted_alone(n[some], mean[some], cov[some]) if len(some) else (None, None)
+            parts = [(some, stats)] if stats is not None else []
+            if failed:  # some group among these: one by one
+                for g in some.tolist():
+                    own, why[g] = fitted_alone(n[[g]], mean[[g]], cov[[g]])
+                    if own is not None:
+                        parts.append((np.array([g]), own))
+            for at, own in parts:
+                yield pd.DataFrame(
+                    {
+                        "phenotype": np.repeat(good["g"].to_numpy()[at], k + 1),
+                        "position": np.tile(np.arange(1, k + 2), len(at)),
+                        "term": np.tile(names, len(at)),
+                        **{name: v.ravel() for name, v in own.items()},
+                        "failure": np.full(len(at) * (k + 1), None, dtype=object),
+                    }
+                )
+            bad = [(g, f) for g, f in zip(good["g"], why) if f] + [(g, "BadShape") for g in pdf["g"][~whole]]
+            if bad:
+                none = np.full(len(bad), None, dtype=object)
+                blank = dict.fromkeys(("term", "estimate", "std_error", "t_value", "p_value"), none)
+                position = pd.array([None] * len(bad), dtype="Int32")
+                yield pd.DataFrame({"phenotype": [g for g, _ in bad], "position": position, **blank, "failure": [f for _, f in bad]}, dtype=object)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -87,11 +133,7 @@ def ols_by_group(df: DataFrame, group: str, x: Sequence[str], y: str) -> DataFra
                 continue
             if pdf["missing"].any():
                 raise BadShape(f"{pdf['missing'].sum()} rows lack a value or have an infinite one")
-            mean = pdf[[f"m{i}" for i in range(k + 1)]].to_numpy(dtype=float)
-            cov = np.stack(
-                [pdf[[f"c{min(i, j)}_{max(i, j)}" for j in range(k + 1)]].to_numpy(dtype=float) for i in range(k + 1)], axis=1
-            )
-            stats = coefficients_by_group(pdf["n"].to_numpy(dtype=float), mean, cov)
+            stats = coefficients_by_group(*_group_moments(pdf, k))
             yield pd.DataFrame(
                 {
                     "phenotype": np.repeat(pdf["g"].to_numpy(), k + 1),
@@ -102,7 +144,15 @@ def ols_by_group(df: DataFrame, group: str, x: Sequence[str], y: str) -> DataFra
             )
 
     moments = df.groupBy(F.col(group).cast("string").alias("g")).agg(*_moments(x, y))
-    return moments.mapInPandas(solve, "phenotype string, " + FIT_SCHEMA)
+    return moments.mapInPandas(solve_each if failures else solve, schema)
+
+
+def _group_moments(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mean = pdf[[f"m{i}" for i in range(k + 1)]].to_numpy(dtype=float)
+    cov = np.stack(
+        [pdf[[f"c{min(i, j)}_{max(i, j)}" for j in range(k + 1)]].to_numpy(dtype=float) for i in range(k + 1)], axis=1
+    )
+    return pdf["n"].to_numpy(dtype=float), mean, cov
 
 
 def ols_ml(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:

@@ -158,3 +158,15 @@ def test_missing_values_are_an_error(spark, bad):
             fit(df, ["x1", "x2"], "y")
     with pytest.raises(PythonException, match="1 rows lack"):
         ols.ols_by_group(df, "g", ["x1", "x2"], "y").collect()
+
+
+def test_groups_that_fail_are_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, float(a), float(b), float(a - 2 * b + rng.normal())) for g in "pq" for a, b in rng.normal(size=(12, 2))]
+    rows += [("few", 1.0, 2.0, 3.0), ("few", 2.0, 1.0, 3.5), ("flat", *[4.0] * 2, 1.0)] + [("flat", 4.0, float(k), float(k)) for k in range(6)]
+    rows += [("twice", float(k), 2.0 * k, float(k % 3)) for k in range(8)] + [("hole", float(k), None if k == 3 else float(k * k), 1.0 * k) for k in range(8)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y double")
+    got = ols.ols_by_group(df, "g", ["a", "b"], "y", failures=True).collect()
+    assert {r.phenotype: r.failure for r in got if r.term is None} == {"few": "NotEnoughSamples", "flat": "SingularModel", "twice": "SingularModel", "hole": "BadShape"}
+    alone = {(r.phenotype, r.term): r.estimate for r in ols.ols_by_group(df.where("g IN ('p', 'q')"), "g", ["a", "b"], "y").collect()}
+    assert {(r.phenotype, r.term): r.estimate for r in got if r.term is not None} == pytest.approx(alone)

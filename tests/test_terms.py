@@ -9,16 +9,16 @@ from termscan.operators import blocks, reshape, terms
 
 
 def _long(spark, x):
-    return reshape.vectors_to_long(vector_frame(spark, x, {}) if False else vector_frame(spark, x, {"y": np.zeros(len(x))}), "sample", "values")
+    return reshape.vectors_to_long(vector_frame(spark, x, {"y": np.zeros(len(x))}), "sample", "values")
 
 
 def test_pair_names_in_order(spark):
-    df = spark.createDataFrame([("Sample1", 1.1, 5.4, 9.2)], "Sample string, X1 double, X2 double, X3 double")
-    pairs = terms.pair_list(terms.term_catalog(df, "Sample"), 3).orderBy("term_a", "term_b").collect()
-    assert [r.term for r in pairs] == ["X1_X2", "X1_X3", "X2_X3"]
+    df = spark.createDataFrame([("row", 2.5, -1.5, 4.0)], "id string, u double, v double, w double")
+    pairs = terms.pair_list(terms.term_catalog(df, "id"), 3).orderBy("term_a", "term_b").collect()
+    assert [r.term for r in pairs] == ["u_v", "u_w", "v_w"]
     wide = terms.pair_terms_wide(df, [(r.name_a, r.name_b) for r in pairs])
-    assert wide.columns == ["Sample", "X1", "X2", "X3", "X1_X2", "X1_X3", "X2_X3"]
-    assert wide.first()[4:] == pytest.approx((5.940000000000001, 10.12, 49.68))
+    assert wide.columns == ["id", "u", "v", "w", "u_v", "u_w", "v_w"]
+    assert wide.first()[4:] == pytest.approx((-3.75, 10.0, -6.0))
     assert terms.pair_terms_wide(df, []).columns == df.columns
 
 
