@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termscan.errors import BadShape, DuplicateTerms
+from termscan.session import small_enough_to_broadcast
 
 # Partners are spelled out in chunks of this many ids, so no array outgrows it.
 CHUNK = 4096
@@ -104,22 +105,51 @@ def fingerprints(long: DataFrame) -> DataFrame:
     )
 
 
+#: Bytes of a term's record where such records are broadcast.
+TERM_BYTES = 48
+
+
+def _few(terms: DataFrame) -> DataFrame:
+    """Small records of terms, broadcast if their counted size allows it."""
+    return F.broadcast(terms) if small_enough_to_broadcast(terms.count() * TERM_BYTES) else terms
+
+
 def redundant_terms(long: DataFrame) -> DataFrame:
     """``(kept, redundant)``: each redundant term with the first term of the same values.
 
-    Terms meet by fingerprint, then every suspect is compared with the first of its group value by
-    value: no pairs within a group, no array of a whole term. Terms that only share a fingerprint
-    are grouped anew until none is left over.
+    Terms meet by fingerprint. The values of all suspects of a group then meet by sample, added up map-side: in
+    a group of equal terms the least and the largest value of every sample are the same. No pairs are made
+    within a group, and nothing is joined by term but the small records. Only groups in which some
+    sample differs, whose terms share no more than a fingerprint, are taken apart value by value. A missing
+    value is equal to none.
     """
-    # One small record per term, used in every round.
+    # One small record per term.
     left = fingerprints(long).persist()
+    first = left.groupBy("h1", "h2", "n").agg(F.min("term_id").alias("kept"), F.count("*").alias("members")).filter("members > 1")
+    suspects = left.join(first, ["h1", "h2", "n"]).select("term_id", "kept", "members").persist()
+    met = long.join(_few(suspects), "term_id").groupBy("kept", "members", "sample").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("values")
+    )
+    even = F.coalesce((F.col("low") == F.col("high")) & (F.col("values") == F.col("members")), F.lit(False))
+    groups = met.groupBy("kept").agg(F.bool_and(even).alias("even")).persist()
+    same = suspects.filter("term_id <> kept").join(groups.filter("even"), "kept").select("kept", F.col("term_id").alias("redundant"))
+    mixed = groups.filter(~F.col("even")).select("kept")
+    if mixed.isEmpty():
+        return same
+    apart = left.join(suspects.join(mixed, "kept").select("term_id"), "term_id")
+    return same.unionByName(_taken_apart(long, apart))
+
+
+def _taken_apart(long: DataFrame, left: DataFrame) -> DataFrame:
+    """The same for the terms of ``left``, each compared with the first of its group, until no group is left over."""
     found: DataFrame | None = None
+    left = left.persist()
     while True:
         first = left.groupBy("h1", "h2", "n").agg(F.min("term_id").alias("kept"), F.count("*").alias("members"))
         suspects = left.join(first.filter("members > 1"), ["h1", "h2", "n"]).filter("term_id <> kept")
         # The two value columns meet per kept term and sample.
-        mine = long.join(suspects.select("term_id", "kept"), "term_id").select("kept", "term_id", "sample", "value")
-        theirs = long.join(suspects.select(F.col("kept").alias("term_id")).distinct(), "term_id").select(
+        mine = long.join(_few(suspects.select("term_id", "kept")), "term_id").select("kept", "term_id", "sample", "value")
+        theirs = long.join(_few(suspects.select(F.col("kept").alias("term_id")).distinct()), "term_id").select(
             F.col("term_id").alias("kept"), "sample", F.col("value").alias("other")
         )
         compared = (
@@ -139,7 +169,7 @@ def redundant_terms(long: DataFrame) -> DataFrame:
 def dedupe_terms(long: DataFrame) -> DataFrame:
     """Without redundant terms; the first of each group stays."""
     gone = redundant_terms(long).select(F.col("redundant").alias("term_id"))
-    return long.join(gone, "term_id", "left_anti")
+    return long.join(_few(gone), "term_id", "left_anti")
 
 
 def redundancy_check(long: DataFrame) -> DataFrame:
