@@ -1,17 +1,14 @@
 """Line dedup: of lines that are nearly the same, anywhere in the table, the first one stays.
 
 A line's set holds every run of ``WIDTH`` characters of its lower-case form, or all of it if it is shorter.
-Two lines are similar if the exact Jaccard similarity of these whole sets is 4/5 or more; distributed
-union-find keeps one line per component. All of it is built-in functions.
-
-Candidates come from MinHash signatures, by one permutation in ``BINS`` bins, in bands of two bins; of
-the pairs that meet, those that agree in less than ``AGREE`` bins are not looked at. Up to ``FULL``
-characters, and where words are long, a signature is one of the whole set. Other lines are signed by their
-anchored shingles, those that start behind a blank: a change of some characters changes as large a share of
-these as of all. Lines near the borders (``ANCHORED`` to ``FULL``
-characters, ``DENSE`` to ``SPARSE`` characters a word) have signatures of both sides, so that any two similar
-lines have one kind in common. At similarity 4/5 the bands miss one pair in 300, at 9/10 fewer than
-one in 10,000.
+MinHash by one permutation in ``BINS`` bins gives a signature; bands of two bins find pairs with high
+recall, and pairs that agree in less than ``AGREE`` bins are not looked at: at similarity 4/5 one pair in 300
+is missed, at 9/10 fewer than one in 10,000. The exact Jaccard similarity of the two whole sets decides,
+and distributed union-find keeps one line per component.
+
+Shingles are hashed, signed and compared in Arrow tasks, many lines at a time; all the rest are joins and
+groupings. (With built-in functions alone the shingles of every character took four times the CPU time that
+the operator is allowed; see the README.)
 
 Lines are parted by line feeds. Lines of white space alone are left as they are. Equal lines are known
 by 64-bit hashes, and their copies go without a comparison.
@@ -19,10 +16,15 @@ by 64-bit hashes, and their copies go without a comparison.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termscan.llm.common import durable, link_groups
+from termscan.llm.common import durable, link_groups, mix64, small_batches
 
 #: Jaccard similarity from which lines count as the same, as a fraction.
 T_NUM, T_DEN = 4, 5
@@ -31,70 +33,121 @@ BANDS, ROWS = 8, 2
 BINS = BANDS * ROWS
 #: Bins in which signatures must agree.
 AGREE = 6
-#: Lines from so many characters on are signed by anchored shingles, up to so many by all; two similar lines
-#: of which one is shorter than ``ANCHORED`` are both at most ``FULL`` long.
-ANCHORED, FULL = 64, 96
-#: Characters a word up to which lines are signed by anchored shingles, and from which on by all.
-SPARSE, DENSE = 20, 12
 VALUES = [f"bin{i}" for i in range(BINS)]
-#: Shingle starts in one part of a line: finding a character counts from the start of its string, so
-#: long lines are read in parts that overlap by ``WIDTH - 1`` characters.
-PART = 64
-PARTS = rf"(?s)(?=(.{{{WIDTH},{PART + WIDTH - 1}}})).{{1,{PART}}}"
+#: Characters that are hashed at a time; longer lines go in pieces that overlap by ``WIDTH - 1``.
+CHARS = 1 << 20
+#: Lines whose signatures a task remembers, about 200 bytes each.
+MEMORY = 300_000
+#: What the expression ``\\s`` matches.
+_SPACES = " \t\n\x0b\f\r"
 #: Lines of one document whose marks share a long.
 MARKS = 62
 #: Documents up to which a list of ids is broadcast (16 MB); a longer one is joined by a shuffle.
 SMALL = 1_000_000
-
-
-def shingles(line: Column) -> Column:
-    """The hashes of the distinct shingles of a line, one at least."""
-    low = F.lower(line)
-    parts = F.when(F.length(low) < PART + WIDTH, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(PARTS), F.lit(1)))
-    starts = lambda part: F.sequence(F.lit(1), F.greatest(F.length(part) - (WIDTH - 1), F.lit(1)))
-    each = F.transform(parts, lambda part: F.transform(starts(part), lambda i: F.xxhash64(F.substring(part, i, WIDTH))))
-    return F.array_distinct(F.flatten(each))
-
-
-def anchored(words: Column) -> Column:
-    """The hashes of the shingles that start at each of a line's words: a word and the two behind it hold the most of them."""
-    nothing = F.lit("")
-    return F.transform(words, lambda w, i: F.xxhash64(F.substring(
-        F.concat(w, F.lit(" "), F.coalesce(F.get(words, i + 1), nothing), F.lit(" "), F.coalesce(F.get(words, i + 2), nothing)), 1, WIDTH)))
-
-
-def signed(rows: DataFrame) -> DataFrame:
-    """``rows`` once for each ``kind`` of signature that its ``line`` has, with the signature ``bin0 ..``.
-
-    A bin's value is the smallest hash in its part of the hash range; an empty bin borrows from the next
-    that is not empty.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Stands behind the end of lines that are shorter than a shingle; no character has this number.
+_END = 0x110000
+
+
+def _blocks(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of shingles and the numbers of their lines, in blocks of about ``CHARS`` characters; lines stay in order."""
+    codes, owners, held = [], [], 0
+    for k, line in enumerate(lines):
+        own = np.frombuffer(line.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(own) < WIDTH:
+            own = np.append(own, np.full(WIDTH - len(own), _END, np.uint32))
+        for at in range(0, max(1, len(own) - WIDTH + 1), CHARS):
+            part = own[at : at + CHARS + WIDTH - 1]
+            codes.append(part)
+            owners.append((k, len(part)))
+            held += len(part)
+            if held >= CHARS:
+                yield _hashed(codes, owners)
+                codes, owners, held = [], [], 0
+    if codes:
+        yield _hashed(codes, owners)
+
+
+def _hashed(codes: list[np.ndarray], owners: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    c = np.concatenate(codes).astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(c) - WIDTH + 1, np.uint64)
+    for j in range(WIDTH):
+        h = h * _BASE + c[j : len(c) - WIDTH + 1 + j]
+    numbers, sizes = np.array(owners, np.int64).T
+    line = np.repeat(numbers, sizes)[: len(h)]
+    # a run must end within its own part
+    ends = np.cumsum(sizes)
+    whole = np.arange(len(h)) + WIDTH <= np.repeat(ends, sizes)[: len(h)]
+    return mix64(h[whole]), line[whole]
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted hashes of each line's distinct shingles."""
+    found: list[list[np.ndarray]] = [[] for _ in lines]
+    for h, line in _blocks(lines):
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+        for k, part in zip(line[first].tolist(), np.split(h, first[1:])):
+            found[k].append(part)
+    return [np.unique(np.concatenate(x)) for x in found]
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of ``BINS`` numbers for each line: the smallest hash in each part of the hash range.
+
+    An empty bin borrows from the next that is not empty.
     """
-    size = F.length("line")
-    rows = rows.withColumn("words", F.split(F.lower("line"), " ", -1))
-    spread = size / F.size("words")
-    whole, some = (size <= FULL) | (spread >= DENSE), (size >= ANCHORED) & (spread <= SPARSE)
-    both = F.array(F.lit(0), F.lit(1))
-    rows = rows.withColumn("kind", F.explode(F.when(whole & some, both).when(some, F.slice(both, 2, 1)).otherwise(F.slice(both, 1, 1))))
-    hashes = F.when(F.col("kind") == 0, shingles(F.col("line"))).otherwise(anchored(F.col("words")))
-    rows = rows.withColumn("sig", F.sort_array(hashes)).drop("words")
-    part = lambda h: F.shiftright((F.shiftright(h, 32) + (1 << 31)) * BINS, 32).cast("int")
-    rows = rows.withColumn("parts", F.transform("sig", part))
-    rows = rows.withColumn("at", F.array(*[F.nullif(F.array_position("parts", F.lit(i)).cast("int"), F.lit(0)) for i in range(BINS)]))
-    rows = rows.withColumn("bins", F.transform("at", lambda p: F.get("sig", p - 1)))
-    value = [F.coalesce(*[F.get("bins", F.lit((i + k) % BINS)) for k in range(BINS)]) for i in range(BINS)]
-    return rows.select("*", *[v.bitwiseAND(0x7FFFFFFF).cast("int").alias(name) for v, name in zip(value, VALUES)]).drop("sig", "parts", "at", "bins")
-
-
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, version, line_no, line)``: each line that is not blank, numbered from 0.
-
-    ``version`` is a hash of the whole text, so that rows that repeat an id are told apart.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    each = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"),
-        F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return each.where(F.regexp_like("line", F.lit(r"\S")))
+    none = np.uint64((1 << 64) - 1)
+    least = np.full((len(lines), BINS), none)
+    for h, line in _blocks(lines):
+        np.minimum.at(least.reshape(-1), line * BINS + (h >> np.uint64(60)).astype(np.int64), h)
+    for _ in range(BINS):
+        empty = least == none
+        if not empty.any():
+            break
+        least = np.where(empty, np.roll(least, -1, axis=1), least)
+    return least
+
+
+_SIGNED = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("line_no", pa.int32()), *[(v, pa.int32()) for v in VALUES]])
+SIGNED_SCHEMA = "node long, doc long, version long, line_no int, " + ", ".join(f"{v} int" for v in VALUES)
+
+
+def _name(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per line that is not blank; a line that a task has met already is not hashed again."""
+    known: dict[int, np.ndarray] = {}
+    for batch in batches:
+        rows, fresh = [], {}
+        for doc, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text"))):
+            for no, line in enumerate(text.split("\n")):
+                if line.strip(_SPACES):
+                    node = _name(line)
+                    rows.append((node, doc, version, no))
+                    if node not in known:
+                        fresh.setdefault(node, line)
+        if not rows:
+            continue
+        if len(known) > MEMORY:
+            keep = {r[0] for r in rows}
+            known = {k: v for k, v in known.items() if k in keep}
+        known.update(zip(fresh, (signatures(list(fresh.values())) >> np.uint64(29)).astype(np.int64).astype(np.int32)))
+        marks = np.stack([known[r[0]] for r in rows])
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _SIGNED)] + [pa.array(marks[:, i]) for i in range(BINS)]
+        yield pa.RecordBatch.from_arrays(columns, schema=_SIGNED)
+
+
+def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = dict.fromkeys([*batch.column("la").to_pylist(), *batch.column("lb").to_pylist()])
+        lines.update(zip(lines, shingle_sets(list(lines))))
+        linked = []
+        for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist()):
+            both = len(np.intersect1d(lines[x], lines[y], assume_unique=True))
+            linked.append((T_NUM + T_DEN) * both >= T_NUM * (len(lines[x]) + len(lines[y])))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
 def _near(left: str, right: str) -> Column:
@@ -103,34 +156,37 @@ def _near(left: str, right: str) -> Column:
 
 
 def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, version, line_no)`` of the lines that stay: the first of each component of similar lines."""
+    """``(doc, version, line_no)`` of the lines that stay: the first of each component of similar lines.
+
+    ``version`` is a hash of the whole text, so that rows that repeat an id are told apart.
+    """
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
     place = F.struct("doc", "version", "line_no")
-    each = signed(lines(docs, id_col, text_col).withColumn("node", F.xxhash64("line"))).drop("line")
-    classes = each.groupBy("node", "kind").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.min(v).alias(v) for v in VALUES])
+    each = texts.mapInArrow(_signed, SIGNED_SCHEMA)
+    classes = each.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.min(v).alias(v) for v in VALUES])
     classes = durable(classes, "lines")
 
-    bands = F.array(*[F.xxhash64(F.lit(b), "kind", *VALUES[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-    keyed = classes.select(F.explode(bands).alias("key"), "node", "kind")
+    bands = F.array(*[F.xxhash64(F.lit(b), *VALUES[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+    keyed = classes.select(F.explode(bands).alias("key"), "node").distinct()
     # counted before the shuffle, so that a key that very many lines share is no burden
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = keyed.join(shared, "key").join(classes.select("node", "kind", "copies", *VALUES), ["node", "kind"])
+    members = keyed.join(shared, "key").join(classes.select("node", "copies", *VALUES), "node")
     members = durable(members, "bands")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(classes, "node").select("node", "first.*")
-        wanted = durable(wanted.distinct(), "wanted")
+        wanted = durable(wanted, "wanted")
         ids = wanted.select("doc", "version").distinct()
         if ids.count() <= SMALL:
             ids = F.broadcast(ids)
-        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).join(ids, ["doc", "version"])
+        rows = texts.join(ids, ["doc", "version"])
         found = rows.select("doc", "version", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         found = found.join(wanted, ["doc", "version", "line_no"]).dropDuplicates(["node"])
-        found = durable(found.select("node", "line"), "compared")  # a set takes eight times the room of its line
-        both = F.size(F.array_intersect("sa", "sb"))
-        texts = pairs.join(found.toDF("a", "la"), "a").join(found.toDF("b", "lb"), "b")
-        return texts.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb")).select(
-            "a", "b", ((T_NUM + T_DEN) * both >= T_NUM * (F.size("sa") + F.size("sb"))).alias("linked"))
+        found = durable(found.select("node", "line"), "compared")
+        compared = pairs.join(found.toDF("a", "la"), "a").join(found.toDF("b", "lb"), "b")
+        return compared.select("a", "b", "la", "lb").mapInArrow(_verified, "a long, b long, linked boolean")
 
     # the line that others were made from tends to have the most copies
     label = link_groups(members, verify, _near, centre=-F.col("copies"))
