@@ -7,7 +7,7 @@ is missed, at 9/10 fewer than one in 10,000. The exact Jaccard similarity of the
 and distributed union-find keeps one line per component.
 
 Shingles are hashed, signed and compared in Arrow tasks, many lines at a time; all the rest are joins and
-groupings. (With built-in functions alone the shingles of every character took four times the CPU time that
+groupings. (With built-in functions alone the shingles of every character took more than twice the CPU time that
 the operator is allowed; see the README.)
 
 Lines are parted by line feeds. Lines of white space alone are left as they are. Equal lines are known
