@@ -12,6 +12,7 @@ Training reads at most ``SAMPLE`` documents of either label; scoring reads every
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -186,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
     terms = [f for line in IDENTITIES for term in line for f in word_features(term)]
     chosen = list(dict.fromkeys(chosen + terms))
     got = rows.mapInArrow(_designed(chosen), "features array<int>, toxic int, swaps array<array<array<int>>>").collect()  # bounded as above
-    pairs = sorted({(tuple(a), tuple(b)) for r in got for a, b in r.swaps})[:PAIRS]
+    pairs = {(tuple(a), tuple(b)) for r in got for a, b in r.swaps}
+    pairs = sorted(pairs, key=lambda pair: hashlib.sha256(repr(pair).encode()).digest())[:PAIRS]  # any of them alike
     w, b = fit([r.features for r in got], np.array([r.toxic for r in got]), pairs, len(chosen), all_of[1] / (all_of[0] + all_of[1]))
     return {f: float(x) for f, x in zip(chosen, w, strict=True) if x}, float(b)
 
@@ -226,7 +228,11 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """The rows of ``docs`` whose text is not predicted toxic; all columns stay."""
+    """The rows of ``docs`` whose text is not predicted toxic; all columns stay.
+
+    Only ``text`` is looked at: a null one counts as empty, rows with null or repeated ids are rows like any
+    other, equal texts go or stay together, and an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     schema = docs.schema
 
