@@ -3,6 +3,11 @@
 Toxic documents go; lines that repeat anywhere go but for their first place, and documents that are left
 without any; of near-duplicate documents the one with the smallest id stays; the sources are mixed to their target weights, in pieces of
 documents; the mix is encoded into subword ids.
+
+Every stage takes rows with null ids and texts, repeated ids, repeated rows, long texts and empty tables: null and
+empty texts are clean and keep no line and no shingle, so they stay until the mix, which gives no piece of
+them; rows with null ids stay whole up to there and are mixed like others; rows that repeat an id are
+documents of their own, of which all stay where that id is kept. An empty table gives an empty one.
 """
 
 from __future__ import annotations
