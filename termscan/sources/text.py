@@ -164,7 +164,8 @@ def read_sample_major(
     """A typed wide table: first column string, all others double.
 
     Columns are dropped by position before the optional transposition. The plain form is one csv
-    scan that reads only the columns a query needs; meant for up to a few thousand columns.
+    scan that reads only the columns a query needs; meant for up to a few thousand columns. In a folder
+    of part files each part's header must have the columns of the first one, in their order.
     """
     if transpose:
         cells = grid.transpose(grid.drop_columns(read_grid(spark, path), drop))
@@ -177,7 +178,7 @@ def read_sample_major(
     for i in drop:
         if 0 < i < len(names):
             schema[i].dataType = T.StringType()
-    df = spark.read.csv(path, header=True, sep="\t", schema=schema, mode="FAILFAST", enforceSchema=True)
+    df = spark.read.csv(path, header=True, sep="\t", schema=schema, mode="FAILFAST", enforceSchema=False)
     return df.select(*[F.col(f"`{n}`") for i, n in enumerate(names) if i not in set(drop)])
 
 

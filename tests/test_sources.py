@@ -289,3 +289,14 @@ def test_lasso_path_job(spark, tmp_path):
     assert sorted(r.reg for r in fits) == regs and all(r.converged for r in fits)
     with pytest.raises(ValueError):
         jobs.run_lasso_path(spark, geno, pheno, out, regs, trait="nothing")
+
+
+def test_every_part_has_the_header_of_the_first(spark, tmp_path):
+    (tmp_path / "ok").mkdir()
+    for k in range(2):
+        _write(tmp_path / "ok" / f"part-{k}.txt", [["id", "a", "b"], [f"s{k}", 1, 2]])
+    assert sorted(tuple(r) for r in text.read_sample_major(spark, str(tmp_path / "ok")).collect()) == [("s0", 1.0, 2.0), ("s1", 1.0, 2.0)]
+    assert [r.b for r in text.read_sample_major(spark, str(tmp_path / "ok"), drop=[1]).collect()] == [2.0, 2.0]
+    _write(tmp_path / "ok" / "part-2.txt", [["id", "b", "a"], ["s2", 2, 1]])
+    with pytest.raises(Exception, match="header"):
+        text.read_sample_major(spark, str(tmp_path / "ok")).collect()
