@@ -26,20 +26,25 @@ def wide_to_long(df: DataFrame, sample: str, terms: Sequence[str]) -> DataFrame:
 
 
 def long_to_wide(long: DataFrame, terms: Sequence, sample: str = "sample", term: str = "term") -> DataFrame:
-    """One column per listed term; the list is given, so no extra pass looks for it."""
-    return long.groupBy(sample).pivot(term, list(terms)).agg(F.first("value"))
+    """One column per listed term; the list is given, so no extra pass looks for it. A repeated cell raises."""
+    twice = F.raise_error(F.lit("a cell occurs twice")).cast("double")
+    return long.groupBy(sample).pivot(term, list(terms)).agg(F.when(F.count("value") > 1, twice).otherwise(F.first("value")))
 
 
 def term_vectors(long: DataFrame, position: str, block_rows: int = 4096) -> DataFrame:
     """``(term_id, block, first_pos, values)``: term vectors cut into blocks of sample positions.
 
     ``position`` is a column of dense sample positions. No array outgrows ``block_rows`` whatever
-    the number of samples; blocks of a term in order make its whole vector.
+    the number of samples; blocks of a term in order make its whole vector. A cell that is missing
+    within a block, or there twice, raises: the values behind it would stand for other samples.
     """
     keyed = long.withColumn("block", F.floor(F.col(position) / block_rows))
     pairs = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("value").alias("v"))))
+    places = F.element_at("pv", -1)["p"] - F.col("pv")[0]["p"] + 1
+    broken = F.raise_error(F.concat(F.lit("a sample lacks a cell or has one twice in term "), F.col("term_id").cast("string")))
+    values = F.when(F.size("pv") == places, F.transform("pv", lambda s: s["v"])).otherwise(broken.cast("array<double>"))
     return keyed.groupBy("term_id", "block").agg(pairs.alias("pv")).select(
-        "term_id", "block", F.col("pv")[0]["p"].alias("first_pos"), F.transform("pv", lambda s: s["v"]).alias("values")
+        "term_id", "block", F.col("pv")[0]["p"].alias("first_pos"), values.alias("values")
     )
 
 

@@ -127,3 +127,15 @@ def test_design_blocks_hold_mains_and_pairs(spark, monkeypatch):
     got = np.concatenate([np.frombuffer(r.x).reshape(r.n_rows, r.n_cols) for r in made])
     full = np.column_stack([x, x[:, 0] * x[:, 1], x[:, 0] * x[:, 2], x[:, 1] * x[:, 2]])
     assert np.allclose(got[np.lexsort(got.T)], full[np.lexsort(full.T)])
+
+
+def test_missing_and_repeated_cells_raise(spark):
+    rows = [(p, 0, float(p)) for p in range(6)]
+    long = lambda r: spark.createDataFrame(r, "sample long, term_id long, value double")
+    assert reshape.term_vectors(long(rows), "sample", 4).count() == 2
+    for bad in (rows[:1] + rows[2:], rows + rows[2:3]):
+        with pytest.raises(Exception, match="lacks a cell or has one twice"):
+            reshape.term_vectors(long(bad), "sample", 4).collect()
+    with pytest.raises(Exception, match="a cell occurs twice"):
+        reshape.long_to_wide(long(rows + rows[2:3]), [0], term="term_id").collect()
+    assert sorted(r[1] for r in reshape.long_to_wide(long(rows), [0], term="term_id").collect()) == [float(p) for p in range(6)]
