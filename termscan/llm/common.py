@@ -18,9 +18,25 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_written: list[DurableTable] = []
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Written to the shared folder and read back: survives lost executors and ends the lineage."""
-    return DurableTable(df, f"llm-{label}").df
+    table = DurableTable(df, f"llm-{label}")
+    _written.append(table)
+    return table.df
+
+
+def release() -> int:
+    """Deletes the tables that operators have written on their way so far, and says how many.
+
+    To be called when the results that read from them are written.
+    """
+    count = len(_written)
+    while _written:
+        _written.pop().drop()
+    return count
 
 
 def small_batches(spark: SparkSession) -> None:

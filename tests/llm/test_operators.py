@@ -58,6 +58,18 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_on_the_way_are_released(spark):
+    from pathlib import Path
+
+    from termscan.session import shared_folder
+
+    common.release()
+    table = common.durable(spark.range(5), "probe")
+    folder = Path(shared_folder(spark).removeprefix("file://")) / "termscan"
+    assert table.count() == 5 and list(folder.glob("llm-probe-*"))
+    assert common.release() == 1 and common.release() == 0 and not list(folder.glob("llm-probe-*"))
+
+
 # ---- embeddings
 
 
