@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termscan.llm import jaccard_join, line_dedup, mixing, subwords, toxicity
+from termscan.llm.common import release
 from termscan.session import shared_folder
 
 #: Words of a block of the mix: most documents lie in a few blocks.
@@ -66,11 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what each leaves is a table in the shared folder."""
+    """All stages on ``documents``; what each leaves is a table in the shared folder, its tables on the way are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/termscan/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        release()
         docs = spark.read.parquet(path)
     return docs
