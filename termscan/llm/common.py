@@ -28,13 +28,18 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return table.df
 
 
-def release() -> int:
-    """Deletes the tables that operators have written on their way so far, and says how many.
+def written() -> int:
+    """How many tables operators have written on their way so far."""
+    return len(_written)
+
+
+def release(since: int = 0) -> int:
+    """Deletes the tables written on the way but for the first ``since`` of them, and says how many.
 
     To be called when the results that read from them are written.
     """
-    count = len(_written)
-    while _written:
+    count = len(_written) - since
+    while len(_written) > since:
         _written.pop().drop()
     return count
 

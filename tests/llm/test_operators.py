@@ -63,11 +63,11 @@ def test_tables_on_the_way_are_released(spark):
 
     from termscan.session import shared_folder
 
-    common.release()
+    before = common.written()
     table = common.durable(spark.range(5), "probe")
     folder = Path(shared_folder(spark).removeprefix("file://")) / "termscan"
     assert table.count() == 5 and list(folder.glob("llm-probe-*"))
-    assert common.release() == 1 and common.release() == 0 and not list(folder.glob("llm-probe-*"))
+    assert common.release(before) == 1 and common.release(before) == 0 and not list(folder.glob("llm-probe-*"))
 
 
 # ---- embeddings
