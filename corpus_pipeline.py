@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termscan.llm import jaccard_join, line_dedup, mixing, subwords, toxicity
-from termscan.llm.common import release
+from termscan.llm.common import release, written
 from termscan.session import shared_folder
 
 #: Words of a block of the mix: most documents lie in a few blocks.
@@ -72,7 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/termscan/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
+        before = written()
         stage(spark, docs, sf_dir).write.parquet(path)
-        release()
+        release(before)  # nothing that others have written
         docs = spark.read.parquet(path)
     return docs
