@@ -262,13 +262,12 @@ class _Counter:
         yield from self._run(self.trie.spill(0))
         self.words = _Words(self.lang, self.marks)
         if self.total:
-            yield self._piece(0, "", np.array([self.total]))
+            yield _batch([self._piece(0, "", np.array([self.total]))])
             self.total = 0
 
-    def _piece(self, bucket: int, text: str, counts: np.ndarray) -> pa.RecordBatch:
+    def _piece(self, bucket: int, text: str, counts: np.ndarray) -> tuple:
         data, numbers = text.encode(), counts.astype("<i8").tobytes()
-        row = (bucket, self.lang, len(data), pa.compress(data, "zstd", asbytes=True), len(counts), pa.compress(numbers, "zstd", asbytes=True))
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _RUN)], schema=_RUN)
+        return bucket, self.lang, len(data), pa.compress(data, "zstd", asbytes=True), len(counts), pa.compress(numbers, "zstd", asbytes=True)
 
     def _run(self, entries: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         """The phrases of spilled subtrees, by bucket of their first two words, in the order of their words."""
@@ -285,9 +284,15 @@ class _Counter:
         rows = np.lexsort([*place[at].T[::-1], bucket])
         text, bucket, at, counts = text.cast(pa.string()), bucket[rows], at[rows], counts[rows]
         first = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)]]).tolist()
+        pieces = []
         for lo, hi in zip(first[:-1], first[1:]):
             phrases = pc.binary_join_element_wise(*[text.take(pa.array(at[lo:hi, c])) for c in range(self.k)], " ")
-            yield self._piece(int(bucket[lo]), "\n".join(phrases.to_pylist()), counts[lo:hi])
+            pieces.append(self._piece(int(bucket[lo]), "\n".join(phrases.to_pylist()), counts[lo:hi]))
+        yield _batch(pieces)
+
+
+def _batch(pieces: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*pieces), _RUN)], schema=_RUN)
 
 
 def _unpacked(size: int, text: bytes, n: int, counts: bytes) -> pa.Table:
