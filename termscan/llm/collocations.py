@@ -1,6 +1,6 @@
 """Phrase collocation mining: phrases of some words whose words stand together more often than chance has it.
 
-Phrases are counted level by level, those of k words in pass k. Each task counts in a burst trie: hash
+Phrases are counted level by level, those of k words in pass k, the longest ones together. Each task counts in a burst trie: hash
 containers of phrases hang below a shallow trie of word ids; a container that grows too large bursts into
 one container per next word. When a task holds too many phrases, its largest subtrees are spilled whole, as
 sorted runs, cut by bucket of the first two words; the pieces of a bucket meet in one partition, are merged
@@ -26,6 +26,8 @@ from termscan.llm.common import durable, mix64, small_batches
 
 LEAST = 100
 WORDS = 5
+#: Phrases from so many words on are counted in one pass: few are left by then.
+TOGETHER = 4
 TOP = 2000
 #: Phrases in a container before it bursts, phrases in a task before subtrees are spilled, words a task remembers.
 BURST, HELD, KNOWN = 4096, 600_000, 700_000
@@ -187,14 +189,14 @@ class BurstTrie:
 
 
 class _Counter:
-    """Counts the phrases of ``k`` words of one language and hands on sorted runs.
+    """Counts the phrases of ``k`` to ``last`` words of one language and hands on sorted runs.
 
     ``words`` marks the hashes of frequent words, ``parts`` those of frequent phrases of ``k - 1`` words.
     """
 
-    def __init__(self, lang: str, k: int, buckets: int, words: np.ndarray | None, parts: np.ndarray | None):
-        self.lang, self.k, self.buckets, self.marks, self.parts = lang, k, buckets, words, parts
-        self.trie = BurstTrie()
+    def __init__(self, lang: str, k: int, last: int, buckets: int, words: np.ndarray | None, parts: np.ndarray | None):
+        self.lang, self.k, self.last, self.buckets, self.marks, self.parts = lang, k, last, buckets, words, parts
+        self.tries = {size: BurstTrie() for size in range(k, last + 1)}
         self.words = _Words(lang, words)
         self.total = 0
         self.waiting: list[bytes] = []
@@ -208,8 +210,8 @@ class _Counter:
                 end = _cut(text, at)
                 # the last words of a part are counted again with the next, as phrases start in them
                 tokens = tail + _tokens(text[at:end])
-                self._count(tokens)
-                tail, at = tokens[len(tokens) - min(self.k - 1, len(tokens)) :], end
+                self._count(tokens, len(tail))
+                tail, at = tokens[len(tokens) - min(self.last - 1, len(tokens)) :], end
                 yield from self._runs(keep)
             return
         self.waiting.append(text)
@@ -223,7 +225,8 @@ class _Counter:
             self._count(_tokens(_STOP.join(self.waiting)))
             self.waiting, self.waiting_bytes = [], 0
 
-    def _count(self, tokens: list[bytes]) -> None:
+    def _count(self, tokens: list[bytes], old: int = 0) -> None:
+        """Phrases that end behind the first ``old`` tokens, which were there before."""
         k, words = self.k, self.words
         ids = words.numbers(tokens)
         if k == 1:
@@ -237,9 +240,13 @@ class _Counter:
             ok &= may[i : last + i]
         if self.parts is not None:
             ok = self._frequent_parts(ids, ok)
-        start = np.flatnonzero(ok)
-        if len(start):
-            self.trie.add(*_distinct(ids[start[:, None] + np.arange(k)]))
+        for size, trie in self.tries.items():
+            if size > k:  # all phrases of k words in it may be frequent
+                ok = ok[:-1] & ok[1:]
+            start = np.flatnonzero(ok)
+            start = start[start >= old - size + 1]
+            if len(start):
+                trie.add(*_distinct(ids[start[:, None] + np.arange(size)]))
 
     def _frequent_parts(self, ids: np.ndarray, ok: np.ndarray) -> np.ndarray:
         """Where the first and the last k - 1 words of the phrase may be frequent."""
@@ -254,12 +261,15 @@ class _Counter:
     def _runs(self, keep: int) -> Iterator[pa.RecordBatch]:
         if len(self.words) > KNOWN:
             yield from self.finish()
-        else:
-            yield from self._run(self.trie.spill(keep // 2 if self.trie.size > keep else keep))
+            return
+        keep //= len(self.tries)
+        for trie in self.tries.values():
+            yield from self._run(trie.spill(keep // 2 if trie.size > keep else keep))
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         self._count_waiting()
-        yield from self._run(self.trie.spill(0))
+        for trie in self.tries.values():
+            yield from self._run(trie.spill(0))
         self.words = _Words(self.lang, self.marks)
         if self.total:
             yield _batch([self._piece(0, "", np.array([self.total]))])
@@ -286,7 +296,7 @@ class _Counter:
         first = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)]]).tolist()
         pieces = []
         for lo, hi in zip(first[:-1], first[1:]):
-            phrases = pc.binary_join_element_wise(*[text.take(pa.array(at[lo:hi, c])) for c in range(self.k)], " ")
+            phrases = pc.binary_join_element_wise(*[text.take(pa.array(at[lo:hi, c])) for c in range(grams.shape[1])], " ")
             pieces.append(self._piece(int(bucket[lo]), "\n".join(phrases.to_pylist()), counts[lo:hi]))
         yield _batch(pieces)
 
@@ -360,7 +370,7 @@ def _cut(text: bytes, at: int) -> int:
     return min(ahead, default=len(text))
 
 
-def _count_kernel(k: int, buckets: int, words, parts):
+def _count_kernel(k: int, last: int, buckets: int, words, parts):
     """``words`` and ``parts`` are broadcast bitmaps or None."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +378,7 @@ def _count_kernel(k: int, buckets: int, words, parts):
         counters: dict[str, _Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-                own = counters.get(lang) or counters.setdefault(lang, _Counter(lang, k, buckets, marks, bits))
+                own = counters.get(lang) or counters.setdefault(lang, _Counter(lang, k, last, buckets, marks, bits))
                 yield from own.add(text.as_py(), HELD // len(counters))
         for own in counters.values():
             yield from own.finish()
@@ -446,10 +456,10 @@ def frequent_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, la
     ).where(F.length("text") > 0)
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found, totals, marks, parts = [], None, None, None
-    for k in range(1, words + 1):
-        runs = rows.mapInArrow(_count_kernel(k, buckets, marks, parts), RUN_SCHEMA)
+    for k in range(1, min(words, TOGETHER) + 1):
+        runs = rows.mapInArrow(_count_kernel(k, words if k == TOGETHER else k, buckets, marks, parts), RUN_SCHEMA)
         merged = runs.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_merge_kernel(least), COUNT_SCHEMA)
-        level = durable(merged.select("lang", "phrase", F.lit(k).alias("size"), "f"), f"phrases{k}")
+        level = durable(merged.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), f"phrases{k}")
         if k == 1:
             totals = level.where("phrase = ''").select("lang", F.col("f").alias("n"))
             level = level.where("phrase != ''")
@@ -461,7 +471,7 @@ def frequent_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, la
         found.append(level)
         if k == 1:
             marks = phrase_bitmap(level, count)
-        elif k < words:
+        elif k < min(words, TOGETHER):
             parts = phrase_bitmap(level, count)
     if not found:
         return spark.createDataFrame([], "lang string, phrase string, size int, f long"), totals
