@@ -39,7 +39,7 @@ PIECE = 4 << 20
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 30, 16
 SLICES = 64
 #: Buckets of prefixes per shuffle partition, and phrases of a bucket that are added up together.
-BUCKETS, MERGED = 4, 2_000_000
+BUCKETS, MERGED = 1, 2_000_000
 
 #: Upper case becomes lower case; everything that ends a piece becomes a full stop, which is in no word.
 _FOLD = bytes(
