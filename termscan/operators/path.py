@@ -188,10 +188,10 @@ def _picked(p: _Problem, table: DataFrame, least: float) -> list:
     """Columns whose gradients are ``least`` or more, after the column with the largest of all."""
     rows = table.where("j >= 0").select("j", "m").mapInArrow(_pick_kernel(p.ts.width, least), PICK_SCHEMA)
     top = F.max_by(F.struct("term_id", "g", "mean", "scale"), F.abs("g")).alias("t")
-    many = rows.where(F.abs("g") >= least).agg(F.count(F.lit(1)).alias("n")).first().n
-    if many + len(p.chosen.terms) > ACTIVE_COLUMNS:
-        raise TooManyColumns(f"{many} columns may be in the model, more than {ACTIVE_COLUMNS}; use lasso_admm for penalties this small")
-    return [rows.agg(top).first().t, *rows.where(F.abs("g") >= least).collect()]
+    found = rows.agg(top, F.count_if(F.abs("g") >= least).alias("n")).first()
+    if found.n + len(p.chosen.terms) > ACTIVE_COLUMNS:
+        raise TooManyColumns(f"{found.n} columns may be in the model, more than {ACTIVE_COLUMNS}; use lasso_admm for penalties this small")
+    return [found.t, *(rows.where(F.abs("g") >= least).collect() if found.n else [])]
 
 
 def _cross_kernel(cols: scan._Columns, fresh: int, blocks: Sequence[int]):
