@@ -31,8 +31,9 @@ from termscan.llm.common import mix64, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20261201
-#: Segmentations a task remembers before it starts again.
-CACHE = 1_000_000
+#: Segmentations a task remembers before it starts again, and words before it forgets those without any: there is
+#: one worker per core, and with other stages' memory all of them share an executor.
+CACHE = 300_000
 #: Name under which a worker process keeps them between its tasks.
 MEMORY = "_subword_segmentations"
 #: Symbols up to which a word's segmentations are remembered, and occurrences looked at together.
@@ -46,6 +47,13 @@ _FAR = np.int32(1 << 30)
 _GONE = np.int64(-2)
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` in another order, and their lengths."""
+    start, count = start[order], count[order]
+    total = np.cumsum(count)
+    return flat[np.repeat(start - total + count, count) + np.arange(total[-1] if len(total) else 0)], count
+
+
 class Pieces:
     """A merge vocabulary, read from a model's bytes, and the segmentations worked out with it so far."""
 
@@ -95,6 +103,16 @@ class Pieces:
         self.slots = 0
         self.candidate, self.owner, self.child = np.zeros((3, 1024), np.int64)
 
+    def _forget_single(self) -> None:
+        """Forgets the words that have no segmentation to remember, most of all words."""
+        kept = np.flatnonzero(self.root[: len(self.words)] >= 0)
+        number = np.full(len(self.words), -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        self.words = [self.words[k] for k in kept.tolist()]
+        self.index = {word: k for k, word in enumerate(self.words)}
+        self.root, self.size = self.root[kept], self.size[kept]
+        self.word[: self.nodes] = number[self.word[: self.nodes]]
+
     @staticmethod
     def _room(table: np.ndarray, size: int) -> np.ndarray:
         return table if size <= len(table) else np.concatenate([table, np.empty(max(size - len(table), len(table)), table.dtype)])
@@ -109,15 +127,16 @@ class Pieces:
         """Whether a candidate that comes up at an occurrence is dropped."""
         return mix64(key ^ (candidate.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) < self.limit
 
-    def _merged(self, words: list[str], key: np.ndarray | None, skips: np.ndarray) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    def _merged(self, words: list[str], key: np.ndarray | None, skips: np.ndarray) -> tuple[np.ndarray, ...]:
         """Agenda processing of many words at once, all of one length: each step takes every word's best candidate.
 
         Skipped is what the occurrences' keys drop, or without keys the candidates in each row of
-        ``skips``. Returned are the ids, and without keys the accepted candidates with their words' numbers, by word.
+        ``skips``. Returned are the ids of all words in a row and their numbers, and without keys the accepted
+        candidates with their words' numbers, by word.
         """
         taken: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
-        out: list[list[int]] = [[]] * len(words)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, numbers of their ids, ids
         width = chars.shape[1]
         # a symbol stands at its first character's place; a merge only relinks its neighbours
         sym = np.full((len(words), width + 1), _GONE)
@@ -133,14 +152,14 @@ class Pieces:
             found = rank[each, best]
             over = found >= _FAR
             if over.any():
-                ended = sym[over, :width]
-                for k, symbols in zip(row[over].tolist(), ended.tolist(), strict=True):
-                    places = [i for i, y in enumerate(symbols) if y != _GONE]
-                    symbols = [symbols[i] for i in places]
-                    if min(symbols) < 0 or max(symbols) >= self.n_pieces:
-                        symbols = [x for y, i in zip(symbols, places, strict=True) for x in (
-                            [y] if 0 <= y < self.n_pieces else [self.bytes[b] for b in words[k][i].encode()])]
-                    out[k] = symbols
+                ended, who = sym[over, :width], row[over]
+                spelt = ((ended == -1) | (ended >= self.n_pieces)).any(axis=1)
+                for k, symbols in zip(who[spelt].tolist(), ended[spelt].tolist(), strict=True):
+                    ids = [x for i, y in enumerate(symbols) if y != _GONE for x in (
+                        [y] if 0 <= y < self.n_pieces else [self.bytes[b] for b in words[k][i].encode()])]
+                    done.append((np.array([k]), np.array([len(ids)]), np.array(ids, np.int32)))
+                stays = (ended != _GONE) & ~spelt[:, None]
+                done.append((who[~spelt], stays.sum(axis=1)[~spelt], ended[stays].astype(np.int32)))
                 go = ~over
                 if not go.any():
                     break
@@ -171,7 +190,8 @@ class Pieces:
             rank[go[inner], prev[inner]] = self._ranked(sym[go[inner], prev[inner]], sym[go[inner], at[inner]])
         rows, candidates = (np.concatenate(x) for x in zip(*taken, strict=True))
         order = np.argsort(rows, kind="stable")
-        return out, rows[order], candidates[order]
+        who, counts, flat = (np.concatenate(x) for x in zip(*done, strict=True))
+        return *_gathered(flat, np.cumsum(counts) - counts, counts, np.argsort(who)), rows[order], candidates[order]
 
     def _add(self, words: np.ndarray, above: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
         """New nodes: of words, under the skips that the slots ``above`` (-1: none) stand for, or that the keys drop."""
@@ -199,11 +219,11 @@ class Pieces:
                     for k, which in enumerate(some.tolist() if skips else ()):
                         own = skips.get(which, ())
                         table[k, : len(own)] = own
-                    found, rows, candidates = self._merged([names[k] for k in some.tolist()], None if key is None else key[some], table)
+                    flat, counts, rows, candidates = self._merged([names[k] for k in some.tolist()], None if key is None else key[some], table)
                 else:  # a literal mark
-                    found, rows, candidates = [[self.bytes[b] for b in _MARK.encode()]] * len(some), *(np.empty(0, np.int64),) * 2
-                counts = np.array([len(x) for x in found])
-                flat = np.array([x for y in found for x in y], np.int32)
+                    mark = [self.bytes[b] for b in _MARK.encode()]
+                    flat, counts = np.array(mark * len(some), np.int32), np.full(len(some), len(mark))
+                    rows, candidates = (np.empty(0, np.int64),) * 2
                 self.pool = self._room(self.pool, self.used + len(flat))
                 self.pool[self.used : self.used + len(flat)] = flat
                 self.start[node[some]] = self.used + np.cumsum(counts) - counts
@@ -249,8 +269,10 @@ class Pieces:
 
     def encode_all(self, texts: list[str], names: list[int]) -> list[np.ndarray]:
         """The ids of each text; a name stands for the document in the draws."""
-        if max(len(self.index), self.nodes) > CACHE:
+        if max(self.nodes, self.slots // 4) > CACHE:
             self._forget()
+        elif len(self.index) > CACHE:
+            self._forget_single()
         index, known, codes, ends = self.index, self.words, [], []
         get = index.get
         for text in texts:
@@ -259,13 +281,13 @@ class Pieces:
                 found = _WORDS.findall((_MARK if not k and text else "") + stretch.replace(" ", _MARK))
                 if k:
                     found.insert(0, "")
-                seen = [get(word) for word in found]
+                seen = list(map(get, found))
                 if None in seen:
                     for word in found:
                         if word not in index:
                             index[word] = len(known)
                             known.append(word)
-                    seen = [get(word) for word in found]
+                    seen = list(map(get, found))
                 codes += seen
             ends.append(len(codes))
         code = np.array(codes, np.int64)

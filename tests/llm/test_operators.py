@@ -289,6 +289,22 @@ def test_dropout_draws_anew_at_every_occurrence(model):
         assert [tree.decode(x.tolist()) for x in one] == texts
 
 
+def test_subwords_forget_words_met_once(model, monkeypatch):
+    """Words without a segmentation go when there are many; those with one stay, and no result changes."""
+    monkeypatch.setattr(subwords, "CACHE", 60)
+    often, once = ["some common words"] * 9, [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(3)]
+    some = subwords.Pieces(model, 0.1, 7)
+    some.encode_all(often + once, list(range(12)))
+    kept = some.nodes
+    assert 0 < kept <= 60 < len(some.index)
+    some.encode_all(["x"], [12])
+    assert len(some.index) <= 60 and some.nodes == kept
+    again = some.encode_all(often + ["more \u2581 words \U0001f600"], list(range(20, 30)))
+    fresh = subwords.Pieces(model, 0.1, 7).encode_all(often + ["more \u2581 words \U0001f600"], list(range(20, 30)))
+    assert [x.tolist() for x in again] == [x.tolist() for x in fresh]
+    assert some.decode(again[-1].tolist()) == "more \u2581 words \U0001f600"
+
+
 # ---- lines
 
 
