@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termscan.llm.common import durable, link_groups, mix64, small_batches
+from termscan.llm.common import durable, link_groups, mix64, shared, small_batches
 
 SHINGLE = 5
 #: The similarity as a fraction, 80 of 100.
@@ -181,9 +181,9 @@ def prefix_length(n: int) -> int:
     return n - -(-T_NUM * n // T_DEN) + 1 if n else 0
 
 
-def _prefixes(shared):
+def _prefixes(sketch):
     def run(batches):
-        counts = shared.value
+        counts = sketch.value
         seen: set[int] = set()  # copies within a task are sent once
         for batch in batches:
             key, node, meta = [], [], []
@@ -260,14 +260,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = durable(texts.mapInArrow(_profile, "kind int, id long, n long, node long, parts binary"), "profile")
     each = seen.where("kind = 0")
-    classes = each.where("n > 0").groupBy("node").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
-    shared = spark.sparkContext.broadcast(frequencies(seen.where("kind = 1")))
-    keyed = texts.mapInArrow(_prefixes(shared), "key long, node long, meta long")
-    keyed = durable(keyed.distinct(), "prefixes")
-    # counted before the shuffle, so that a shingle that very many documents share is no burden
-    shared_keys = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = durable(keyed.join(shared_keys, "key"), "members")
+    classes = durable(each.where("n > 0").groupBy("node").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")), "classes")
+    counts = spark.sparkContext.broadcast(frequencies(seen.where("kind = 1")))
+    # most prefix shingles are of one document only: they go where they are first brought together
+    members = shared(texts.mapInArrow(_prefixes(counts), "key long, node long, meta long"))
+    members = members.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
 
     bounds = classes.select("node", *_bits("parts"))
     sides = classes.select("node", (F.col("n") * (1 << 31)).alias("meta"), *_bits("parts"))

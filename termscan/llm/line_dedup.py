@@ -21,10 +21,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termscan.llm.common import durable, link_groups, mix64, small_batches
+from termscan.llm.common import durable, link_groups, mix64, shared, small_batches
 
 #: Jaccard similarity from which lines count as the same, as a fraction.
 T_NUM, T_DEN = 4, 5
@@ -169,11 +169,10 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = durable(classes, "lines")
 
     bands = F.array(*[F.xxhash64(F.lit(b), *VALUES[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-    keyed = classes.select(F.explode(bands).alias("key"), "node").distinct()
-    # counted before the shuffle, so that a key that very many lines share is no burden
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = keyed.join(shared, "key").join(classes.select("node", "copies", *VALUES), "node")
-    members = durable(members, "bands")
+    # most bands are of one line only: they go where they are first brought together
+    members = shared(classes.select(F.explode(bands).alias("key"), "node"))
+    members = members.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    members = members.join(classes.select("node", "copies", *VALUES), "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(classes, "node").select("node", "first.*")

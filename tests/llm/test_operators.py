@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from termscan.llm import (
     collocations, common, embedding_dedup, fingerprints, jaccard_join, language_id, licenses, line_dedup, mixing, pii, prefix_trie, subwords,
@@ -70,6 +71,39 @@ def test_tables_on_the_way_are_released(spark):
     assert common.release(before) == 1 and common.release(before) == 0 and not list(folder.glob("llm-probe-*"))
 
 
+def test_shuffled_files_go_with_the_write(spark):
+    import time
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {name for name in found.split("\n") if "/shuffle_" in name}
+
+    since, before = common.written(), files()
+    table = common.durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "probe")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 7
+    assert spark.conf.get(common.CLEANUP) == "false"
+    common.drop(table)
+    assert common.written() == since
+
+
+def test_small_groups_take_no_rounds(spark):
+    groups = {k: [3 * k, 3 * k + 1, 3 * k + 2] for k in range(20)} | {100: list(range(60)), 101: list(range(30, 90))}
+    rows = [(k, node, len(nodes)) for k, nodes in groups.items() for node in nodes]
+    looks = []
+
+    def verify(pairs):
+        looks.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.withColumn("linked", F.col("a") % 10 == F.col("b") % 10)
+
+    label = common.link_groups(spark.createDataFrame(rows, "key long, node long, m long"), verify)
+    assert looks[0] == {(a, b) for k in range(20) for a in groups[k] for b in groups[k] if a < b}
+    assert sum(map(len, looks)) == len(set().union(*looks))
+    assert {r.node: r.component for r in label.collect()} == {k: k % 10 for k in range(90)}
+
+
 # ---- embeddings
 
 
