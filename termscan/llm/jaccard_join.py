@@ -29,6 +29,8 @@ SKETCH_BITS = 18
 SLICES, FAN_IN = 16, 512
 #: Longs of the bitmap from which the suffix filter bounds how far two sets differ.
 WORDS = 8
+#: Documents up to which a list of ids is broadcast (8 MB); a longer one is joined by a shuffle.
+SMALL = 1_000_000
 _CHUNK = 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -276,8 +278,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         near = near.select("a", "b", *[F.struct(*[F.col(s + c).alias(c) for c in sides.columns[1:]]).alias(s) for s in "lr"])
         near = durable(near.where(_bounded("l", "r")).select("a", "b"), "near")
         wanted = near.select("a").union(near.select("b")).toDF("node").distinct()
-        ids = wanted.join(classes, "node").select("node", F.col("rep").alias("id"))
-        rows = texts.join(ids.select("id").distinct(), "id").select("id", "text")
+        ids = durable(wanted.join(classes, "node").select(F.col("rep").alias("id")).distinct(), "wanted")
+        if ids.count() <= SMALL:
+            ids = F.broadcast(ids)
+        rows = texts.join(ids, "id").select("id", "text")
         sets = durable(rows.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), "sets")
         return near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(
             _verified, "a long, b long, linked boolean")
