@@ -38,6 +38,8 @@ PIECE = 4 << 20
 #: Bits of a bitmap: 16 a phrase, between these bounds (8 KB and 128 MB).
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 30, 16
 SLICES = 64
+#: Bytes of a bitmap that the driver fetches by one job.
+FETCHED = 16 << 20
 #: Buckets of prefixes per shuffle partition, and phrases of a bucket that are added up together.
 BUCKETS, MERGED = 1, 2_000_000
 
@@ -435,7 +437,8 @@ def phrase_bitmap(phrases: DataFrame, count: int):
     packed = marks.repartition(min(SLICES, max(1, count >> 16)), "slice").sortWithinPartitions("slice").mapInArrow(_slice_kernel(bits), "slice int, data binary")
     per = (1 << bits) // SLICES // 8
     whole = bytearray((1 << bits) // 8)
-    for row in packed.toLocalIterator():  # at most 64 rows, at most 128 MB together
+    # a job per partition that is fetched, so as few as the bitmap's size allows, however many the shuffle has
+    for row in packed.coalesce(max(1, len(whole) // FETCHED)).toLocalIterator():  # at most 64 rows, at most 128 MB together
         whole[row.slice * per : row.slice * per + per] = row.data
     return phrases.sparkSession.sparkContext.broadcast(bytes(whole))
 

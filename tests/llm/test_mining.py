@@ -77,6 +77,23 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([("one two", "en", "", 1)], TEXT)).collect() == []
 
 
+def test_bitmap_is_fetched_by_few_jobs(spark):
+    """However many partitions the slices lie in: each of them was a job of its own."""
+    phrases = [(lang, f"word{k} next") for k in range(200) for lang in ("en", "und")]
+    spark.sparkContext.setJobGroup("bitmap", "bitmap")
+    try:
+        marks = collocations.phrase_bitmap(spark.createDataFrame(phrases, "lang string, phrase string"), 1 << 22)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    bitmap = np.frombuffer(marks.value, np.uint8)
+    assert 0 < np.unpackbits(bitmap).sum() <= len(phrases)
+    for lang, phrase in phrases:
+        words = collocations._Words(lang, None)
+        words.numbers(phrase.encode().split())
+        assert collocations._among(collocations._phrase_hash(words.hashes[None, 1:]), bitmap).all()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) <= 4
+
+
 def test_burst_trie():
     draw = np.random.default_rng(1)
     trie, want, spilled = collocations.BurstTrie(burst=8), Counter(), Counter()
