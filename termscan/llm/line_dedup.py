@@ -3,8 +3,9 @@
 A line's set holds every run of ``WIDTH`` characters of its lower-case form, or all of it if it is shorter.
 MinHash by one permutation in ``BINS`` bins gives a signature; bands of two bins find pairs with high
 recall, and pairs that agree in less than ``AGREE`` bins are not looked at: at similarity 4/5 one pair in 300
-is missed, at 9/10 fewer than one in 10,000. The exact Jaccard similarity of the two whole sets decides,
-and distributed union-find keeps one line per component.
+is missed, at 9/10 fewer than one in 10,000. Of the pairs that are left in groups of many lines, those whose
+sizes and bitmaps (parities of the sets in parts of the hash range) rule the similarity out are not formed, which loses none. The exact
+Jaccard similarity of the two whole sets decides, and distributed union-find keeps one line per component.
 
 Shingles are hashed, signed and compared in Arrow tasks, many lines at a time; all the rest are joins and
 groupings. (With built-in functions alone the shingles of every character took more than twice the CPU time that
@@ -34,10 +35,13 @@ BINS = BANDS * ROWS
 #: Bins in which signatures must agree.
 AGREE = 6
 VALUES = [f"bin{i}" for i in range(BINS)]
+#: Longs of the bitmap that bounds from below in how many shingles two lines differ.
+PARITIES = 8
+BITS = [f"bits{i}" for i in range(PARITIES)]
 #: Characters that are hashed at a time; longer lines go in pieces that overlap by ``WIDTH - 1``.
 CHARS = 1 << 20
-#: Lines whose signatures a task remembers, about 200 bytes each.
-MEMORY = 300_000
+#: Lines whose signatures a task remembers, about 400 bytes each.
+MEMORY = 150_000
 #: What the expression ``\\s`` matches.
 _SPACES = " \t\n\x0b\f\r"
 #: Lines of one document whose marks share a long.
@@ -91,25 +95,39 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return [np.unique(np.concatenate(x)) for x in found]
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of ``BINS`` numbers for each line: the smallest hash in each part of the hash range.
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of ``BINS`` numbers for each line: the smallest hash in each part of the hash range; sizes; bitmaps.
 
-    An empty bin borrows from the next that is not empty.
+    An empty bin borrows from the next that is not empty. The size of a line's set is 0 where the line is cut into blocks,
+    as its bitmap counts a shingle once per block then. Hashes lose the few bits that tell the lines apart.
     """
     none = np.uint64((1 << 64) - 1)
     least = np.full((len(lines), BINS), none)
+    sizes, blocks = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+    odd = np.zeros((len(lines), PARITIES), np.uint64)
+    lost = np.uint64(len(lines).bit_length())
     for h, line in _blocks(lines):
         np.minimum.at(least.reshape(-1), line * BINS + (h >> np.uint64(60)).astype(np.int64), h)
+        distinct = np.sort((line.astype(np.uint64) << (np.uint64(64) - lost)) | (h >> lost))
+        distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])]
+        own = (distinct >> (np.uint64(64) - lost)).astype(np.int64)
+        part = distinct & np.uint64(64 * PARITIES - 1)
+        np.bitwise_xor.at(odd.reshape(-1), own * PARITIES + (part >> np.uint64(6)).astype(np.int64), np.uint64(1) << (part & np.uint64(63)))
+        first, last = int(line[0]), int(line[-1]) + 1
+        count = np.bincount(own - first, minlength=last - first)
+        sizes[first:last] += count
+        blocks[first:last] += count > 0
     for _ in range(BINS):
         empty = least == none
         if not empty.any():
             break
         least = np.where(empty, np.roll(least, -1, axis=1), least)
-    return least
+    return least, np.where(blocks > 1, 0, sizes), odd
 
 
-_SIGNED = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("line_no", pa.int32()), *[(v, pa.int32()) for v in VALUES]])
-SIGNED_SCHEMA = "node long, doc long, version long, line_no int, " + ", ".join(f"{v} int" for v in VALUES)
+_PLACED = [("node", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("line_no", pa.int32())]
+_SIGNED = pa.schema([*_PLACED, *[(v, pa.int32()) for v in VALUES], ("size", pa.int64()), *[(b, pa.int64()) for b in BITS]])
+SIGNED_SCHEMA = "node long, doc long, version long, line_no int, " + ", ".join([*[f"{v} int" for v in VALUES], "size long", *[f"{b} long" for b in BITS]])
 
 
 def _name(line: str) -> int:
@@ -118,7 +136,7 @@ def _name(line: str) -> int:
 
 def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per line that is not blank; a line that a task has met already is not hashed again."""
-    known: dict[int, np.ndarray] = {}
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         rows, fresh = [], {}
         for doc, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text"))):
@@ -133,9 +151,10 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(known) > MEMORY:
             keep = {r[0] for r in rows}
             known = {k: v for k, v in known.items() if k in keep}
-        known.update(zip(fresh, (signatures(list(fresh.values())) >> np.uint64(29)).astype(np.int64).astype(np.int32)))
-        marks = np.stack([known[r[0]] for r in rows])
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _SIGNED)] + [pa.array(marks[:, i]) for i in range(BINS)]
+        least, sizes, odd = signatures(list(fresh.values()))
+        known.update(zip(fresh, zip((least >> np.uint64(29)).astype(np.int64).astype(np.int32), np.column_stack([sizes, odd.view(np.int64)]))))
+        marks, sets = (np.stack(x) for x in zip(*(known[r[0]] for r in rows)))
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _SIGNED)] + [pa.array(x[:, i]) for x in (marks, sets) for i in range(x.shape[1])]
         yield pa.RecordBatch.from_arrays(columns, schema=_SIGNED)
 
 
@@ -155,6 +174,19 @@ def _near(left: str, right: str) -> Column:
     return sum(((F.col(f"{left}.{v}") == F.col(f"{right}.{v}")).cast("int") for v in VALUES), F.lit(0)) >= AGREE
 
 
+def _bounded(left: str, right: str) -> Column:
+    """Whether sizes and bitmaps allow the similarity: each bit that differs stands for a shingle that only one of the sets has.
+
+    Of the bands that two lines share, only the first brings them together.
+    """
+    n, m = F.col(f"{left}.size"), F.col(f"{right}.size")
+    apart = sum((F.bit_count(F.col(f"{left}.{b}").bitwiseXOR(F.col(f"{right}.{b}"))) for b in BITS), F.lit(0))
+    sized = (T_DEN * F.least(n, m) >= T_NUM * F.greatest(n, m)) & ((T_NUM + T_DEN) * apart <= (T_DEN - T_NUM) * (n + m))
+    same = [sum(((F.col(f"{left}.{v}") == F.col(f"{right}.{v}")).cast("int") for v in VALUES[b * ROWS : (b + 1) * ROWS]), F.lit(0)) == ROWS for b in range(BANDS)]
+    band = F.coalesce(*[F.when(x, F.lit(b)) for b, x in enumerate(same)])
+    return (F.col(f"{left}.band") == band) & ((n == 0) | (m == 0) | sized)
+
+
 def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, version, line_no)`` of the lines that stay: the first of each component of similar lines.
 
@@ -165,12 +197,12 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
     place = F.struct("doc", "version", "line_no")
     each = texts.mapInArrow(_signed, SIGNED_SCHEMA)
-    classes = each.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.min(v).alias(v) for v in VALUES])
+    classes = each.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.min(v).alias(v) for v in (*VALUES, "size", *BITS)])
     classes = durable(classes, "lines")
 
     bands = F.array(*[F.xxhash64(F.lit(b), *VALUES[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
     # most bands are of one line only: they go where they are first brought together
-    members = shared(classes.select(F.explode(bands).alias("key"), "node"))
+    members = shared(classes.select(F.posexplode(bands).alias("band", "key"), "node"))
     members = members.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
     members = members.join(classes.select("node", "copies", *VALUES), "node")
 
@@ -188,7 +220,7 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return compared.select("a", "b", "la", "lb").mapInArrow(_verified, "a long, b long, linked boolean")
 
     # the line that others were made from tends to have the most copies
-    label = link_groups(members, verify, _near, centre=-F.col("copies"))
+    label = link_groups(members, verify, _near, -F.col("copies"), classes.select("node", "size", *BITS), _bounded)
     own = classes.select("node", "first").join(label, "node", "left")
     return own.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.*")
 

@@ -434,6 +434,39 @@ def test_lines_compare_all_characters(spark, monkeypatch):
     assert sum(got[k] for k in range(8)) == 8 and sum(got.values()) < len(lines)
 
 
+def test_lines_with_a_common_passage(spark, monkeypatch):
+    """Lines that share a half are brought together by bands, but only few of their pairs are looked at."""
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n - 1)) + "z"
+    common = text(130)
+    lines = [common + text(70) for _ in range(80)]
+    lines += [x[:-1] + "!" for x in lines[:5]]
+    looked = []
+
+    def counted(members, verify, *rest, **named):
+        return common_link(members, lambda pairs: looked.append(pairs.count()) or verify(pairs), *rest, **named)
+
+    common_link = line_dedup.link_groups
+    monkeypatch.setattr(line_dedup, "link_groups", counted)
+    kept = {(r.doc, r.line_no) for r in line_dedup.first_lines(spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")).collect()}
+    assert kept == {(k, 0) for k in range(80)}
+    assert sum(looked) < 12 * len(lines)
+
+
+def test_line_bounds(monkeypatch):
+    rng = np.random.default_rng(12)
+    lines = ["".join(rng.choice(list("abcdef "), rng.integers(1, 400))) for _ in range(200)] + ["a" * 60, "", "ab" * 30]
+    lines += [x[:100] + "#" + x[101:] for x in lines[:200]]
+    sets = line_dedup.shingle_sets(lines)
+    least, sizes, odd = line_dedup.signatures(lines)
+    assert sizes.tolist() == [len(s) for s in sets]
+    for a, b in [*rng.integers(0, len(lines), (500, 2)), *((k, 203 + k) for k in range(200))]:
+        assert sum(int(v).bit_count() for v in odd[a] ^ odd[b]) <= len(np.setxor1d(sets[a], sets[b]))
+    monkeypatch.setattr(line_dedup, "CHARS", 50)
+    again, cut, _ = line_dedup.signatures(lines)
+    assert (again == least).all() and all(c in (0, n) for c, n in zip(cut, sizes)) and not cut.all()
+
+
 # ---- fingerprints
 
 
