@@ -48,6 +48,13 @@ def drop(*tables: DataFrame) -> None:
         table.drop()
 
 
+def drop_between(since: int, until: int) -> None:
+    """Deletes the tables written on the way from number ``since`` up to ``until``, which nothing reads from any more."""
+    for table in _written[since:until]:
+        _written.remove(table)
+        table.drop()
+
+
 def written() -> int:
     """How many tables operators have written on their way so far."""
     return len(_written)
@@ -80,34 +87,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: ``(node, component)``, the component its smallest node.
 
+    Nodes without edges are not listed; null ends and loops are ignored; no edges give no rows.
+    """
+    now, _ = _stars(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def _stars(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges ``(u, v)`` from every node but the smallest of its component to that one, and how many they are.
+
     Alternates large-star and small-star steps until the edges are stars. Each step groups and joins by
-    node, so no component is ever gathered, and each round is a table in the shared folder. Nodes
-    without edges are not listed; null ends and loops are ignored; no edges give no rows.
+    node, so no component is ever gathered, and each round is a table in the shared folder.
     """
     now = durable(
-        edges.where((F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+        edges.where("a != b")
+        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "edges",
     )
-    state = _state(now)
-    while state[0]:
+    count, left = _state(now)
+    while left:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(light(low, 2 * count), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if 2 * count > LIGHT:
+            large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(light(low, 2 * count), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, now = now, durable(small.union(low.select("u", "m")).distinct(), "edges")
         drop(old)
-        last, state = state, _state(now)
-        if state == last:
-            break
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        count, left = _state(now)
+    return now, count
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and how many nodes have several smaller ends or both smaller and larger ones: none if all are stars."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    count, left = ends.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return count or 0, left
+
+
+#: Rows of numbers up to which a counted table is broadcast (a few MB); a longer one is joined by a shuffle.
+LIGHT = 200_000
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def light(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have up to ``rows`` rows, for a join that leaves the other side where it is if they are few."""
+    return F.broadcast(df) if rows <= LIGHT else df
 
 
 #: Pivot rounds go on until a member has so few pairs left to look at, or so many rounds are over.
@@ -145,10 +173,10 @@ def link_groups(
     spark = members.sparkSession
     none = spark.range(0)
     done = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    label = none.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    stars, in_stars = none.select(F.col("id").alias("u"), F.col("id").alias("v")), 0
 
     def look(left: DataFrame, right: DataFrame, apart: F.Column) -> None:
-        nonlocal done, label
+        nonlocal done, stars, in_stars
         if admissible is not None:
             apart = apart & admissible("l", "r")
         pairs = (
@@ -159,10 +187,14 @@ def link_groups(
         )
         pairs = durable(pairs, "pairs")
         if not pairs.isEmpty():
+            before = written()
             found = durable(verify(pairs).select("a", "b", "linked"), "links")
+            drop_between(before, written() - 1)
             done = done.union(found.select("a", "b"))
             # what was found before stays: its components are stars
-            label = components(found.where("linked").select("a", "b").union(label))
+            old = stars
+            stars, in_stars = _stars(found.where("linked").select("a", "b").union(stars))
+            drop(old)
         drop(pairs)
 
     members = durable(members, "members")
@@ -174,7 +206,8 @@ def link_groups(
     size = large.count()
     last = None
     for turn in range(PIVOT_ROUNDS + 1):
-        own = large.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        label = stars.toDF("node", "component")
+        own = large.join(light(label, in_stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
         order = F.xxhash64("component", F.lit(turn)) if turn or centre is None else centre
         parts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", order).alias("pivot"), F.min(order).alias("order"))
         spread = parts.groupBy("key").agg(
@@ -182,12 +215,13 @@ def link_groups(
             ((F.sum("c").cast("double") * F.sum("c") - F.sum(F.col("c").cast("double") * F.col("c"))) / 2).alias("open"),
         ).where("parts > 1")
         spread = durable(spread, "groups")
-        left_open = spread.agg(F.sum("open")).first()[0] or 0
+        groups, left_open = spread.agg(F.count(F.lit(1)), F.sum("open")).first()
         if not left_open:
+            drop(spread)
             break
         final = turn == PIVOT_ROUNDS or left_open <= FEW_PAIRS * size or (last is not None and left_open > 0.9 * last)
         last = left_open
-        own = own.join(spread.select("key", "pivot"), "key")
+        own = own.join(light(spread.select("key", "pivot"), groups), "key")
         if final and bounds is not None:
             own = own.join(bounds, "node")
         left, right = own.alias("l"), own.alias("r")
@@ -199,6 +233,9 @@ def link_groups(
             if bounded is not None:
                 apart = apart & bounded("l", "r")
         look(left, right, apart)
+        drop(spread)
         if final:
             break
-    return label
+    drop(large)
+    roots = stars.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return stars.toDF("node", "component").union(roots)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termscan.llm.common import durable, link_groups, mix64, shared, small_batches
+from termscan.llm.common import drop_between, durable, link_groups, mix64, shared, small_batches, written
 
 SHINGLE = 5
 #: The similarity as a fraction, 80 of 100.
@@ -259,6 +259,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     small_batches(spark)
+    before = written()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = durable(texts.mapInArrow(_profile, "kind int, id long, n long, node long, parts binary"), "profile")
     each = seen.where("kind = 0")
@@ -291,10 +292,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     best = label.join(classes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     best = label.join(best, "component").select("node", "component_id")
     own = classes.join(best, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return each.join(own, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+    groups = durable(each.join(own, "node", "left").select(
+        "id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    ), "found")
+    drop_between(before, written() - 1)
+    return groups.withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termscan.llm.common import durable, link_groups, mix64, shared, small_batches
+from termscan.llm.common import drop_between, durable, light, link_groups, mix64, shared, small_batches, written
 
 #: Jaccard similarity from which lines count as the same, as a fraction.
 T_NUM, T_DEN = 4, 5
@@ -193,6 +193,7 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``version`` is a hash of the whole text, so that rows that repeat an id are told apart.
     """
     small_batches(docs.sparkSession)
+    before = written()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
     place = F.struct("doc", "version", "line_no")
@@ -207,14 +208,15 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = members.join(classes.select("node", "copies", *VALUES), "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(classes, "node").select("node", "first.*")
-        wanted = durable(wanted, "wanted")
+        rows = 2 * pairs.count()
+        nodes = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+        wanted = durable(classes.join(light(nodes, rows), "node").select("node", "first.*"), "wanted")
         ids = wanted.select("doc", "version").distinct()
         if ids.count() <= SMALL:
             ids = F.broadcast(ids)
-        rows = texts.join(ids, ["doc", "version"])
-        found = rows.select("doc", "version", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-        found = found.join(wanted, ["doc", "version", "line_no"]).dropDuplicates(["node"])
+        found = texts.join(ids, ["doc", "version"])
+        found = found.select("doc", "version", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+        found = found.join(light(wanted, rows), ["doc", "version", "line_no"]).dropDuplicates(["node"])
         found = durable(found.select("node", "line"), "compared")
         compared = pairs.join(found.toDF("a", "la"), "a").join(found.toDF("b", "lb"), "b")
         return compared.select("a", "b", "la", "lb").mapInArrow(_verified, "a long, b long, linked boolean")
@@ -222,7 +224,9 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the line that others were made from tends to have the most copies
     label = link_groups(members, verify, _near, -F.col("copies"), classes.select("node", "size", *BITS), _bounded)
     own = classes.select("node", "first").join(label, "node", "left")
-    return own.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.*")
+    stay = durable(own.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.*"), "stay")
+    drop_between(before, written() - 1)
+    return stay
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -89,6 +89,30 @@ def test_shuffled_files_go_with_the_write(spark):
     assert common.written() == since
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars already are written once; before, a round that changed nothing told that they were."""
+    labels = []
+    monkeypatch.setattr(common, "durable", lambda df, label, write=common.durable: labels.append(label) or write(df, label))
+    edges = [(k, 1000 + k % 5) for k in range(20, 60)] + [(1000 + k, k) for k in range(5)]
+    for light in (common.LIGHT, 0):
+        monkeypatch.setattr(common, "LIGHT", light)
+        stars = common.components(spark.createDataFrame([(10 * (k // 10), k) for k in range(100)], "a long, b long"))
+        assert labels == ["edges"] and {(r.node, r.component) for r in stars.collect()} == {(k, 10 * (k // 10)) for k in range(100)}
+        got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {k: k % 5 for k in [*range(5), *range(20, 60), *range(1000, 1005)]}
+        labels.clear()
+
+
+def test_only_results_are_left_of_tables_on_the_way(spark):
+    lines = "\n".join(f"a line about something {k % 9} and nothing more than this {k // 9}" for k in range(40))
+    docs = spark.createDataFrame([(k, lines[: 900 + 40 * k]) for k in range(12)], "doc_id long, text string")
+    for run in (line_dedup.first_lines, jaccard_join.jaccard_groups):
+        before = common.written()
+        rows = run(docs)
+        assert common.written() == before + 1 and rows.count() > 0
+        assert common.release(before) == 1
+
+
 def test_small_groups_take_no_rounds(spark):
     groups = {k: [3 * k, 3 * k + 1, 3 * k + 2] for k in range(20)} | {100: list(range(60)), 101: list(range(30, 90))}
     rows = [(k, node, len(nodes)) for k, nodes in groups.items() for node in nodes]
